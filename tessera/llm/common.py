@@ -7,6 +7,8 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,5 +184,26 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     return out, np.diff(np.concatenate(([0], upto)))
 
 
+def by_bytes(batch, columns: list[int], most: int = 1 << 21):
+    """Slices of a record batch whose given string or binary columns hold about `most` bytes together, or one row."""
+    n = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in columns:
+        n += _lengths(batch.column(c))
+    ends, at = np.cumsum(n), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _lengths(column) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def raw(column) -> list[bytes]:
+    """The values of a string or binary column as bytes; null becomes empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -10,8 +10,8 @@ values of either side. Values of passages that thousands of documents share are
 a document has enough of its own.
 
 Long lists (over SHORT members) are of near copies of one text. They aren't expanded into pairs: only components count,
-so each list goes through rounds in which all members meet one pivot, members that join the pivot's component rest, and a
-last step compares what is still apart. Work is linear for a group of near copies; nothing is capped.
+so in each of ROUNDS rounds all members of a list meet PIVOTS of them, and a last step compares the pairs of members that
+are still in different components, in salted blocks. Work is linear for a group of near copies; nothing is capped.
 
 Scale: hashes and sketches are made where the texts are; the widest shuffles carry K values a class. Texts travel once,
 for classes with candidates. Counts are combined before shuffles, and joins on hot values can be split by AQE.
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, components, mix, table, word_hashes
+from tessera.llm.common import Stash, by_bytes, components, mix, raw, table, union_all, word_hashes
 from tessera.llm.quality import let
 
-WORDS, K, NEED, SHORT, PERCENT = 5, 32, 12, 24, 85
+WORDS, K, NEED, SHORT, PIVOTS, ROUNDS, PERCENT = 5, 32, 12, 64, 6, 2, 85
 _PLACE = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -57,15 +57,10 @@ def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _raw(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            sets = shingle_sets(_raw(part.column(1)))
+        for part in by_bytes(b, [1]):
+            sets = shingle_sets(raw(part.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -79,8 +74,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = shingle_sets(_raw(b.column(2))), shingle_sets(_raw(b.column(3)))
+        for b in (part for batch in batches for part in by_bytes(batch, [2, 3])):
+            a, c = shingle_sets(raw(b.column(2))), shingle_sets(raw(b.column(3)))
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, c, strict=True)]
             ok = [100 * i >= percent * (len(x) + len(y) - i) for i, x, y in zip(both, a, c, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -145,23 +140,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     short = with_sketch.where(F.col("members") <= SHORT)
     links = verified(side(short, "a").join(side(short, "b"), "value").where("a < b"))
 
-    long = with_sketch.where(F.col("members") > SHORT).select("value", "rep", "c")
-    salt = 0
-    apart = stash.keep(long)
-    while apart.limit(1).count():
-        # all members of a list meet one of them; those of its component then rest, as far as the others can't reach them
-        pivot = apart.groupBy("value").agg(F.min_by(F.struct("rep", "c"), F.xxhash64(F.lit(salt), "rep")).alias("p")).select("value", F.col("p.rep").alias("a"), F.col("p.c").alias("ca"))
-        found = verified(apart.select("value", F.col("rep").alias("b"), F.col("c").alias("cb")).join(pivot, "value").where("a <> b"))
-        fresh = found.limit(1).count() > 0
-        links = links.unionByName(found)
-        salt += 1
-        if fresh and salt < 8:
-            apart = _unsettled(stash, long, components(stash, links))
-            continue
-        # no pivot links any more: what is apart is compared in pairs of different components
-        rest = _unsettled(stash, long, components(stash, links), True)
-        links = links.unionByName(verified(_salted_pairs(rest)))
-        break
+    long = stash.keep(with_sketch.where(F.col("members") > SHORT).select("value", "rep", "c"))
+    apart, meets = long, long.limit(1).count() > 0
+    for turn in range(ROUNDS):
+        if not meets:
+            break
+        # every member of a list meets its pivots; lists that this makes one component are done
+        chosen = [apart.groupBy("value").agg(F.min_by(F.struct("rep", "c"), F.xxhash64(F.lit(turn * PIVOTS + k), "rep")).alias("p")) for k in range(PIVOTS)]
+        pivots = union_all(chosen).select("value", F.col("p.rep").alias("a"), F.col("p.c").alias("ca")).dropDuplicates(["value", "a"])
+        links = stash.keep(links.unionByName(verified(side(apart, "b").join(pivots, "value").where("a <> b"))))
+        apart = _unsettled(stash, long, components(stash, links))
+        meets = apart.limit(1).count() > 0
+    if meets:  # what is still apart is compared in pairs of different components
+        links = links.unionByName(verified(_salted_pairs(apart)))
 
     comp = components(stash, links)
     joined = classes.select("same", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
@@ -170,12 +161,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
-def _unsettled(stash: Stash, long: DataFrame, comp: DataFrame, with_component: bool = False) -> DataFrame:
-    """Members of long lists that still have members of several components."""
+def _unsettled(stash: Stash, long: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of long lists that still have members of several components, with their components."""
     now = long.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    out = now.join(several, "value")
-    return stash.keep(out if with_component else out.select("value", "rep", "c"))
+    return stash.keep(now.join(several, "value"))
 
 
 def _salted_pairs(rest: DataFrame, parts: int = 16) -> DataFrame:
