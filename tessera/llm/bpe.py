@@ -28,10 +28,11 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import table
 
-#: Encodings kept for each worker; beyond, the cache starts afresh.
-CACHE = 250_000
-#: Bits of a leaf of the bitmap.
+#: Encodings in each of a worker's two generations; a full one becomes the old one, from which those in use come back.
+CACHE = 400_000
+#: A leaf of the bitmap has 2^LEAF bits.
 LEAF = 8
+MASK = (1 << LEAF) - 1
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -39,67 +40,57 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
-class RankQueue:
-    """Places by rank: buckets under a bitmap of two levels, emptied from the lowest rank."""
-
-    def __init__(self):
-        self.top, self.leaf, self.bucket = 0, {}, {}
-
-    def push(self, rank: int, place: int) -> None:
-        if own := self.bucket.get(rank):
-            heapq.heappush(own, place)
-            return
-        self.bucket[rank] = [place]
-        block = rank >> LEAF
-        self.leaf[block] = self.leaf.get(block, 0) | 1 << (rank & (1 << LEAF) - 1)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.leaf[block]
-        rank = block << LEAF | (bits & -bits).bit_length() - 1
-        own = self.bucket[rank]
-        place = heapq.heappop(own)
-        if not own:
-            self.leaf[block] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, place
-
-
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
-    if (whole := ranks.get(piece)) is not None:
+    """Ids of one pre-token.
+
+    The queue is written out in place, as it is most of the work: bucket[rank] holds places, leaf[block] the bits of the
+    occupied ranks of a block, top the bits of the occupied blocks. `x & -x` is find-first-set.
+    """
+    get, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends; parts are linked through their ends
     before = list(range(-1, n))
     rank_at: list[int | None] = [None] * n
-    queue = RankQueue()
-    for i in range(n - 1):
-        if (r := ranks.get(piece[i : i + 2])) is not None:
-            rank_at[i] = r
-            queue.push(r, i)
-    while (got := queue.pop()) is not None:
-        rank, i = got
-        if rank_at[i] != rank:
-            continue  # stale
+    top, leaf, bucket = 0, {}, {}
+    fresh = [(i, i + 2) for i in range(n - 1)]  # pairs (begin, end) whose rank is to be looked up
+    while True:
+        for i, stop in fresh:
+            rank_at[i] = r = get(piece[i:stop])
+            if r is not None:
+                if own := bucket.get(r):
+                    push(own, i)
+                else:
+                    bucket[r] = [i]
+                    block = r >> LEAF
+                    leaf[block] = leaf.get(block, 0) | 1 << (r & MASK)
+                    top |= 1 << block
+        while top:
+            first = top & -top
+            block = first.bit_length() - 1
+            bits = leaf[block]
+            bit = bits & -bits
+            rank = (block << LEAF) + bit.bit_length() - 1
+            own = bucket[rank]
+            i = pop(own)
+            if not own:
+                leaf[block] = bits = bits ^ bit
+                if not bits:
+                    top ^= first
+            if rank_at[i] == rank:
+                break  # else stale
+        else:
+            break
         j = end[i]
         end[i] = k = end[j]
-        rank_at[j] = None
+        rank_at[i] = rank_at[j] = None
+        h = before[i]
         if k < n:
             before[k] = i
-            rank_at[i] = r = ranks.get(piece[i : end[k]])
-            if r is not None:
-                queue.push(r, i)
+            fresh = [(i, end[k]), (h, k)] if h >= 0 else [(i, end[k])]
         else:
-            rank_at[i] = None
-        if (h := before[i]) >= 0:
-            rank_at[h] = r = ranks.get(piece[h:k])
-            if r is not None:
-                queue.push(r, h)
+            fresh = [(h, k)] if h >= 0 else []
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -115,13 +106,16 @@ class Codec:
         self.token = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _miss(self, piece: str) -> bytes:
-        ids = encode_piece(piece.encode(), self.ranks)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = encode_piece(piece.encode(), self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) < 64:
+            if len(self.cache) >= CACHE:
+                self.old, self.cache = self.cache, {}
             self.cache[piece] = packed
         return packed
 

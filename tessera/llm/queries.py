@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from tessera.llm import bpe, line_dedup, minhash, mixing, pii, quality
+from tessera.llm import bpe, embed_dedup, line_dedup, minhash, mixing, pii, quality, substring_dedup, toxicity
 
-_MODULES = [pii, minhash, bpe, quality, mixing, line_dedup]
+_MODULES = [pii, minhash, substring_dedup, bpe, quality, mixing, line_dedup, toxicity, embed_dedup]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
