@@ -23,6 +23,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -93,14 +94,20 @@ class Words:
         rank = np.empty(len(h), dtype=np.uint32)
         rank[order] = np.arange(len(h), dtype=np.uint32)
         by = np.argsort(h)
-        self.h, self.rank = h[by], rank[by]
+        self.h, self.rank = np.append(h[by], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(rank[by], np.uint32(0))
         self.unknown, self.start = np.uint64(len(h)), np.uint64(len(h) + 1)
+        # hashes are even: their first bits tell the place within a step or two
+        bits = max(1, len(h).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.place = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.h):
-            return np.full(len(h), self.unknown), np.zeros(len(h), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        k = np.where(self.h[at] == h, self.rank[at], self.unknown).astype(np.uint64)
+        at = self.place[h >> self.shift]
+        low = np.flatnonzero(self.h[at] < h)
+        while len(low):
+            at[low] += 1
+            low = low[self.h[at[low]] < h[low]]
+        k = np.where((self.h[at] == h) & (at < len(self.h) - 1), self.rank[at], self.unknown).astype(np.uint64)
         return k, self.count[k.astype(np.int64)]
 
 
@@ -148,10 +155,38 @@ def _bigrams(texts: list[bytes], words, starts: int) -> tuple[np.ndarray, ...]:
     return k[first], k[first + 1], c[first], c[first + 1], np.repeat(np.arange(len(texts)), n + 1)
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin in sorted columns."""
+    if not len(columns[0]):
+        return np.empty(0, dtype=np.int64)
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _unique(k1: np.ndarray, k2: np.ndarray, text: np.ndarray | None, dense: bool):
+    """(k1, k2, text, n) of the different rows, sorted, and one place of each; dense rows are sorted as single numbers."""
+    t = np.uint64(0) if text is None else text.astype(np.uint64)
+    if dense and (not len(k1) or (max(k1.max(), k2.max()) < 1 << 25 and (text is None or text.max() < 1 << 14))):
+        x = np.sort((k1 << np.uint64(39)) | (k2 << np.uint64(14)) | t)
+        cut = _runs(x)
+        n = np.diff(np.append(cut, len(x)))
+        x = x[cut]
+        return x >> np.uint64(39), (x >> np.uint64(14)) & np.uint64((1 << 25) - 1), (x & np.uint64((1 << 14) - 1)).astype(np.int64), n, None
+    t = np.zeros(len(k1), dtype=np.int64) if text is None else text
+    o = np.lexsort((t, k2, k1))
+    cut = _runs(k1[o], k2[o], t[o])
+    n = np.diff(np.append(cut, len(o)))
+    o = o[cut]
+    return k1[o], k2[o], t[o], n, o
+
+
 def _merge(key: np.ndarray, *sums: np.ndarray):
     """(order of the first of each key, sums by key)."""
     o = np.argsort(key, kind="stable")
-    cut = np.flatnonzero(np.concatenate(([True], key[o][1:] != key[o][:-1]))) if len(o) else np.empty(0, dtype=np.int64)
+    cut = _runs(key[o])
     return o[cut], [np.add.reduceat(s[o], cut) if len(cut) else s[:0] for s in sums]
 
 
@@ -186,12 +221,11 @@ class Model:
 
     def histories(self, k1, c, c1, c2):
         """(k1, mass, lower, low) by history: sums of discounted counts, of P(w), and of discounted bigrams."""
-        o = np.argsort(k1, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], k1[o][1:] != k1[o][:-1]))) if len(o) else np.empty(0, dtype=np.int64)
+        cut = _runs(k1)  # rows of a bucket are sorted
         if not len(cut):
             return k1, *(np.empty(0) for _ in range(3))
-        add = lambda x: np.add.reduceat(x[o], cut)
-        return k1[o][cut], add(_d(self.d, c) * c), add(self.uni.p(c2)), add((c <= CUT).astype(float))
+        add = lambda x: np.add.reduceat(x, cut)
+        return k1[cut], add(_d(self.d, c) * c), add(self.uni.p(c2)), add((c <= CUT).astype(float))
 
     def log_seen(self, c, c1, low):
         return np.log10(_d(self.d, c) * c / (c1 + (low == 0)))
@@ -226,8 +260,9 @@ def _ask_counts(said):
         m = said.value
         for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
             k1, k2, c1, c2, _ = _bigrams(raw(b.column(1)), m.own(b), m.starts)
-            at, (n,) = _merge(_key(k1, k2, m.dense), np.ones(len(k1), dtype=np.int64))
-            yield from _dealt(m, k1[at], k2[at], c1[at], c2[at], [n])
+            k1, k2, _, n, at = _unique(k1, k2, None, m.dense)
+            c1, c2 = m.counts(k1, k2, []) if m.dense else (c1[at], c2[at])
+            yield from _dealt(m, k1, k2, c1, c2, [n])
 
     return run
 
@@ -235,8 +270,8 @@ def _ask_counts(said):
 def _dealt(m: Model, k1, k2, c1, c2, more: list[np.ndarray], head: dict[int, bytes] | None = None):
     """One row for each bucket: packed k1, k2, more, and the counts if they can't be looked up; head goes before."""
     bucket = _bucket(k1, k2, c1, m.buckets, m.hot)
-    o = np.lexsort((k2, k1, bucket))
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[o][1:] != bucket[o][:-1]))) if len(o) else np.empty(0, dtype=np.int64)
+    o = np.argsort(bucket.astype(np.uint16) if m.buckets < 1 << 16 else bucket, kind="stable")  # rows come sorted
+    cuts = _runs(bucket[o])
     data = {}
     for i, j in zip(cuts, np.append(cuts[1:], len(o)), strict=True):
         x = o[i:j]
@@ -260,8 +295,9 @@ def _sum_counts(dense: bool):
         k1 = np.concatenate([np.cumsum(p[0]) for p in parts])
         k2, n, *rest = (np.concatenate([p[k] for p in parts]) for k in range(1, 3 if dense else 5))
         at, (n,) = _merge(_key(k1, k2, dense), n.view(np.int64))
-        o = np.lexsort((k2[at], k1[at]))
-        at, n = at[o], n[o]
+        if not dense:
+            o = np.lexsort((k2[at], k1[at]))
+            at, n = at[o], n[o]
         row = pack([_delta(k1[at]), k2[at], n, *(r[at] for r in rest)])
         of = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([row], pa.binary()), *(pa.array([int(of[c])], pa.int64()) for c in range(1, CUT + 2))], names=["bucket", "data", *(f"n{c}" for c in range(1, CUT + 2))])
@@ -318,25 +354,25 @@ def _ask_scores(said):
                 here = keys[at] == key
                 score += np.bincount(text[here], logs[at[here]], minlength=size)
                 rest = np.flatnonzero(~here)
-            at, (n,) = _merge(mix(key[rest]) + text[rest].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.ones(len(rest), dtype=np.int64))
-            at = rest[at]
+            k1, k2, text, n, at = _unique(k1[rest], k2[rest], text[rest], m.dense)
+            c1, c2 = m.counts(k1, k2, []) if m.dense else (c1[rest][at], c2[rest][at])
             docs = b.column(0).to_numpy()
             head = pack([docs.view(np.uint64), tokens.astype(np.uint64), known.astype(np.uint64), base.view(np.uint64), score.view(np.uint64)])
-            ids = pack([docs.view(np.uint64)])
-            buckets = _bucket(k1[at], k2[at], c1[at], m.buckets, m.hot)
-            first = int(buckets[0]) if len(buckets) else 0
-            heads = {int(k): struct.pack("<I", len(ids)) + ids for k in np.unique(buckets)}
-            heads[first] = heads.get(first, struct.pack("<I", len(ids)) + ids) + head
-            yield from _dealt(m, k1[at], k2[at], c1[at], c2[at], [text[at], n], heads)
+            name = hashlib.blake2b(docs.tobytes(), digest_size=8).digest() + struct.pack("<I", size)
+            buckets = np.unique(_bucket(k1, k2, c1, m.buckets, m.hot))
+            heads = {int(k): name for k in buckets}
+            heads[int(buckets[0]) if len(buckets) else 0] = name + head
+            yield from _dealt(m, k1, k2, c1, c2, [text, n], heads)
 
     return run
 
 
+_PARTS = "batch bigint, size int, head binary, parts binary"
 _SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def _answer(said):
-    """A bucket's questions and its row of the table of bigrams to parts of scores by text."""
+    """A bucket's questions and its row of the table of bigrams to one row for each batch that asks: parts of scores by text."""
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = said.value
@@ -355,13 +391,11 @@ def _answer(said):
         out: list[tuple] = []
         for x in asked.column("data").to_pylist():
             first = struct.unpack_from("<I", x)[0]
-            ids = struct.unpack_from("<I", x, 4)[0]
-            docs = unpack(x[8 : 8 + ids], 1)[0].view(np.int64)
-            if 4 + ids < first:
-                d, t, k, b, s = unpack(x[8 + ids : 4 + first], 5)
-                out.append((d.view(np.int64), t.view(np.int64), k.view(np.int64), b.view(np.float64), s.view(np.float64)))
+            batch, size = struct.unpack_from("<qI", x, 4)
+            head = x[16 : 4 + first]
             q1, q2, text, n, *rest = unpack(x[4 + first :], 4 if m.dense else 6)
             if not len(q1):
+                out.append((batch, size, head, b""))
                 continue
             q1 = np.cumsum(q1)
             a1, a2 = m.counts(q1, q2, rest)
@@ -376,17 +410,26 @@ def _answer(said):
             value = np.empty(len(q1))
             value[seen] = m.log_seen(c[at[seen]], a1[seen], of[2, seen])
             value[~seen] = m.log_unseen(a1[~seen], a2[~seen], *of[:, ~seen])
-            text = text.astype(np.int64)
-            part = np.bincount(text, value * n.view(np.int64), minlength=len(docs))
-            on = np.unique(text)
-            zero = np.zeros(len(on), dtype=np.int64)
-            out.append((docs[on], zero, zero, zero.astype(float), part[on]))
-        cols = [np.concatenate([r[i] for r in out]) if out else none for i in range(5)]
-        return pa.Table.from_arrays([pa.array(cols[i], pa.int64() if i < 3 else pa.float64()) for i in range(5)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            parts = np.bincount(text.astype(np.int64), value * n.view(np.int64), minlength=size)
+            out.append((batch, size, head, parts.tobytes()))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "size", "head", "parts"])
 
     return run
 
 
+def _total(group: pa.Table) -> pa.Table:
+    """All parts of a batch to its texts' results."""
+    size = group.column("size")[0].as_py()
+    score = np.zeros(size)
+    for x in group.column("parts").to_pylist():
+        if x:
+            score += np.frombuffer(x)
+    heads = [unpack(x, 5) for x in group.column("head").to_pylist() if x]
+    docs = heads[0][0].view(np.int64)
+    sums = [sum(h[k].view(t) for h in heads) for k, t in ((1, np.int64), (2, np.int64), (3, np.float64), (4, np.float64))]
+    return pa.Table.from_arrays([pa.array(x) for x in (docs, sums[0], sums[1], sums[2], sums[3] + score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
 def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, share: int = SHARE) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; `train` is a Column over docs."""
     spark = docs.sparkSession
@@ -430,7 +473,8 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     said.unpersist()
     said = spark.sparkContext.broadcast(m)
     asked = source.mapInArrow(_ask_scores(said), "bucket int, data binary")
-    parts = asked.groupBy("bucket").cogroup(bigrams.select("bucket", "data").groupBy("bucket")).applyInArrow(_answer(said), _SCORES)
+    parts = asked.groupBy("bucket").cogroup(bigrams.select("bucket", "data").groupBy("bucket")).applyInArrow(_answer(said), _PARTS)
+    parts = parts.groupBy("batch").applyInArrow(_total, _SCORES)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return parts.groupBy("doc_id").agg(*sums).withColumn("train_tokens", F.lit(total).cast("long"))
 
