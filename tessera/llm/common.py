@@ -205,5 +205,45 @@ def raw(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id in each member's component, by spreading minima with pointer jumps."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    up = np.arange(n)
+    a, b = rank[a], rank[b]
+    while True:
+        low = np.minimum(up[a], up[b])
+        new = up.copy()
+        np.minimum.at(new, up[a], low)
+        np.minimum.at(new, up[b], low)
+        new = new[new]
+        if np.array_equal(new, up):
+            return ids[order[up[rank]]]
+        up = new
+
+
+def sorted_groups(batches, key: int):
+    """(record batch, cuts) of whole groups of rows that come sorted by the column `key`; a group may span batches."""
+    left = None
+    for b in _ended(batches):
+        if b is not None:
+            left = b if left is None else pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
+        if left is None or not left.num_rows:
+            continue
+        k = left.column(key).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+        if b is not None:
+            cuts = cuts[:-1]  # the last group may go on
+        if len(cuts) > 1:
+            yield left.slice(0, int(cuts[-1])), cuts
+            left = left.slice(int(cuts[-1]))
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, components, mix, table
+from tessera.llm.common import Stash, components, mix, roots, sorted_groups, table
 
 TABLES, PROJECTIONS, WIDTH, BLOCK, LEAST, SEED = 32, 8, 1.25, 512, 0.95, 10
 
@@ -72,24 +72,6 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["rep", "hs"])
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id in each member's component, by spreading minima with pointer jumps."""
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    up = np.arange(n)
-    a, b = rank[a], rank[b]
-    while True:
-        low = np.minimum(up[a], up[b])
-        new = up.copy()
-        np.minimum.at(new, up[a], low)
-        np.minimum.at(new, up[b], low)
-        new = new[new]
-        if np.array_equal(new, up):
-            return ids[order[up[rank]]]
-        up = new
-
-
 def _block(t: int, same: bool, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray, least: float):
     """(ids, links, roots) of the members of one block that have links first found in table t."""
     x = unit(x.astype(np.float64))
@@ -112,45 +94,29 @@ def _block(t: int, same: bool, ids: np.ndarray, copies: np.ndarray, side: np.nda
         return None
     links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
     on = links > 0
-    return ids[on], links[on].astype(np.int64), _roots(len(ids), a, b, ids)[on]
+    return ids[on], links[on].astype(np.int64), roots(len(ids), a, b, ids)[on]
 
 
 def _blocks(least: float):
     """Over rows (t, key, same, side, rep, copies, v) sorted by key: the members' links, group after group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        for b in _with_end(batches):
-            if b is not None:
-                left = b if left is None else pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
-            if left is None or not left.num_rows:
-                continue
-            key = left.column(1).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-            ready = len(cuts) - 1 if b is None else len(cuts) - 2
-            if ready <= 0:
-                continue
+        for left, cuts in sorted_groups(batches, 1):
             t, same, side = left.column(0).to_numpy(), left.column(2).to_numpy(zero_copy_only=False), left.column(3).to_numpy()
             ids, copies, v = left.column(4).to_numpy(), left.column(5).to_numpy(), left.column(6)
             flat, ends = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy()
             ends = ends - ends[0]
             made = []
-            for i, j in zip(cuts[:ready], cuts[1 : ready + 1], strict=True):
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if j - i > 1:
                     x = flat[ends[i] : ends[j]].reshape(j - i, -1)
                     made.append(_block(int(t[i]), bool(same[i]), ids[i:j], copies[i:j].astype(np.float64), side[i:j], x, least))
-            left = left.slice(cuts[ready])
             if made := [m for m in made if m]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made])) for k in range(3)], names=["node", "links", "root"])
 
     return run
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     stash = Stash(vectors.sparkSession)

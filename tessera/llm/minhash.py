@@ -9,9 +9,11 @@ probability under 1e-9; for sets of up to K shingles it is certain), so sharing
 values of either side. Values of passages that thousands of documents share are therefore left out without loss wherever
 a document has enough of its own.
 
-Long lists (over SHORT members) are of near copies of one text. They aren't expanded into pairs: only components count,
-so in each of ROUNDS rounds all members of a list meet PIVOTS of them, and a last step compares the pairs of members that
-are still in different components, in salted blocks. Work is linear for a group of near copies; nothing is capped.
+Long lists (over SHORT members) mostly hold documents that share a passage, or many near copies of one text, few of them
+linked. Their members are indexed anew, by the rarest 15 % of their full sets, which a link at 0.85 must show in on both
+sides (prefix filter, exact). The new lists are cut into blocks, and all pairs of two blocks are counted at once by a matrix
+product over the shingles that two or more of them have; what leaves a task is one row for each linked member, with the
+smallest member of its component there. Nothing is capped, and no pairs are written.
 
 Scale: hashes and sketches are made where the texts are; the widest shuffles carry K values a class. Texts travel once,
 for classes with candidates. Counts are combined before shuffles, and joins on hot values can be split by AQE.
@@ -27,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, by_bytes, components, mix, raw, table, union_all, word_hashes
+from tessera.llm.common import Stash, by_bytes, components, mix, raw, roots, sorted_groups, table, word_hashes
 from tessera.llm.quality import let
 
-WORDS, K, NEED, SHORT, PIVOTS, ROUNDS, PERCENT = 5, 32, 12, 64, 6, 2, 85
+WORDS, K, NEED, SHORT, PERCENT = 5, 32, 12, 32, 85
+#: Members and shingles of a block of a long list.
+MEMBERS, WEIGHT = 256, 131_072
 _PLACE = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -83,6 +87,71 @@ def _verify(percent: int):
     return run
 
 
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (part for batch in batches for part in by_bytes(batch, [1])):
+        sets = shingle_sets(raw(b.column(1)))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(map(len, sets), pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+            names=["rep", "n", "shingles", "values"],
+        )
+
+
+def common_counts(sets: list[np.ndarray], sparse: int = 8, width: int = 8192) -> np.ndarray:
+    """(sets, sets) numbers of common values. Values that many sets have are counted by matrix products over `width` of
+    them at a time, values that up to `sparse` sets have pair by pair."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    o = np.argsort(flat, kind="stable")
+    row, flat = row[o], flat[o]
+    cut = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, dtype=np.int64)
+    n = np.diff(np.append(cut, len(flat)))
+    out = np.zeros(m * m, dtype=np.int64)
+    for k in range(2, sparse + 1):
+        at = row[cut[n == k][:, None] + np.arange(k)]
+        i, j = np.triu_indices(k, 1)
+        out += np.bincount((at[:, i] * m + at[:, j]).ravel(), minlength=m * m)
+    out = out.reshape(m, m)
+    out = out + out.T
+    dense = np.flatnonzero(n > sparse)
+    for at in range(0, len(dense), width):
+        which = dense[at : at + width]
+        x = np.zeros((m, len(which)), dtype=np.float32)
+        size = n[which]
+        x[row[np.repeat(cut[which] - np.cumsum(size) + size, size) + np.arange(size.sum())], np.repeat(np.arange(len(which)), size)] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def _count_blocks(percent: int):
+    """Over rows (key, same, side, rep, shingles) sorted by key: links of members to the smallest of their component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in sorted_groups(batches, 0):
+            same, side, ids = rows.column(1).to_numpy(zero_copy_only=False), rows.column(2).to_numpy(), rows.column(3).to_numpy()
+            nodes, tops = [], []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if j - i < 2 or not (same[i] or side[i:j].min() != side[i:j].max()):
+                    continue
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column(4).slice(i, j - i).to_pylist()]
+                n = np.array([len(s) for s in sets])
+                both = common_counts(sets)
+                near = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
+                if not same[i]:
+                    near &= side[i:j, None] != side[None, i:j]
+                a, b = np.nonzero(near)
+                if len(a):
+                    own = ids[i:j]
+                    top = roots(len(own), a, b, own)
+                    on = top != own
+                    nodes.append(own[on])
+                    tops.append(top[on])
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tops)), pa.array(np.concatenate(nodes))], names=["a", "b"])
+
+    return run
+
+
 def _hopeful(a: str, b: str, percent: int) -> Column:
     """Whether two classes (structs of n and sketch, its values ascending by unsigned hash) may be linked.
 
@@ -140,19 +209,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     short = with_sketch.where(F.col("members") <= SHORT)
     links = verified(side(short, "a").join(side(short, "b"), "value").where("a < b"))
 
-    long = stash.keep(with_sketch.where(F.col("members") > SHORT).select("value", "rep", "c"))
-    apart, meets = long, long.limit(1).count() > 0
-    for turn in range(ROUNDS):
-        if not meets:
-            break
-        # every member of a list meets its pivots; lists that this makes one component are done
-        chosen = [apart.groupBy("value").agg(F.min_by(F.struct("rep", "c"), F.xxhash64(F.lit(turn * PIVOTS + k), "rep")).alias("p")) for k in range(PIVOTS)]
-        pivots = union_all(chosen).select("value", F.col("p.rep").alias("a"), F.col("p.c").alias("ca")).dropDuplicates(["value", "a"])
-        links = stash.keep(links.unionByName(verified(side(apart, "b").join(pivots, "value").where("a <> b"))))
-        apart = _unsettled(stash, long, components(stash, links))
-        meets = apart.limit(1).count() > 0
-    if meets:  # what is still apart is compared in pairs of different components
-        links = links.unionByName(verified(_salted_pairs(apart)))
+    long = stash.keep(with_sketch.where(F.col("members") > SHORT).select("rep").distinct())
+    full = stash.keep(texts.join(long, texts.doc_id == long.rep, "left_semi").mapInArrow(_full, "rep bigint, n int, shingles binary, values array<bigint>"))
+    held = full.select("rep", "n", F.explode("values").alias("value"))
+    many = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    held = held.join(many, "value").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    # n - ceil(0.85 n) + 1 rarest; values of df 1 come first and take up places
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("vs"))
+    exact = held.where(room > 0).select("rep", "n", F.explode(F.slice("vs", 1, room)).alias("v")).select("rep", "n", "v.value")
+    sized = exact.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).where("members > 1")
+    parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    placed = exact.join(sized, "value").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    blocks = placed.select(F.xxhash64("value", low, high).alias("key"), (low == high).alias("same_part"), "part", "rep").join(full.select("rep", "shingles"), "rep")
+    blocks = blocks.select("key", "same_part", "part", "rep", "shingles").repartition("key").sortWithinPartitions("key", "rep")
+    links = links.unionByName(blocks.mapInArrow(_count_blocks(percent), "a bigint, b bigint"))
 
     comp = components(stash, links)
     joined = classes.select("same", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
@@ -161,23 +233,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
-def _unsettled(stash: Stash, long: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of long lists that still have members of several components, with their components."""
-    now = long.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    return stash.keep(now.join(several, "value"))
-
-
-def _salted_pairs(rest: DataFrame, parts: int = 16) -> DataFrame:
-    """Pairs of list members in different components, each pair in one of parts * parts blocks of its list."""
-    at = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    a = rest.select("value", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("component").alias("ka"), at.alias("x"), each.alias("y"))
-    b = rest.select("value", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("component").alias("kb"), at.alias("y"), each.alias("x"))
-    hopeful = (F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & (100 * F.least("ca.n", "cb.n") >= PERCENT * F.greatest("ca.n", "cb.n"))
-    return a.join(b, ["value", "x", "y"]).where(hopeful & _hopeful("ca", "cb", PERCENT))
-
-
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
