@@ -2,14 +2,14 @@
 
 Training rows (crc32 of doc_id mod 4 is not 2) give a lexicon: words, and stems (prefixes of MIN_STEM letters or more),
 whose document frequencies differ by label more than chance allows (likelihood ratio). Copies would count a word again
-and again, so documents with equal smallest shingle hash count once. The lexicon becomes a trie; the word of a text is
-caught if a Levenshtein automaton (with transpositions) accepts a path of the trie. Each hit is weighed by its context
+and again, so documents with equal smallest shingle hash count once. The lexicon becomes a trie; a word of a text is
+caught if the Levenshtein automaton (with transpositions) of a path of the trie accepts it. Each hit is weighed by its context
 window: inside quotation marks or after a word of saying or naming it is a mention and counts MENTION, else 1. A logistic
 model over the sums of weights turns hits into a score.
 
 Bounds (parameters): the lexicon and the model are fitted on at most FIT labelled rows, those with the smallest hashes of
 doc_id; the lexicon has at most TERMS terms. Both are broadcast. Scoring covers whole texts of all rows without a shuffle;
-a worker keeps what it knows of words in a bounded cache.
+a worker keeps what it knows of words, and the states of the automaton, in bounded caches.
 
 Defined results: null and empty texts score as texts without hits; repeated rows are scored each; labels that are null
 are no training rows; without training rows of both labels the score is the share of label 1 (0 without any); an empty
@@ -31,97 +31,112 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.minhash import shingle_sets
 
-FIT, TERMS, MIN_STEM, MAX_STEM, RATIO, LEAST_DOCS, PURE = 30_000, 400, 5, 9, 26.0, 6, 0.75
-MENTION, REACH, AT, CACHE = 0.25, 4, 0.3, 400_000
+FIT, TERMS, MIN_STEM, MAX_STEM, RATIO, LEAST_DOCS, PURE = 8_000, 400, 5, 9, 26.0, 6, 0.75
+MENTION, REACH, AT, CACHE, STATES = 0.25, 4, 0.3, 200_000, 50_000
 STRIP = ".,;:!?\"'()[]{}<>|*%&$#~`´’‘“”«»„…-–—_/\\"
 OPEN_QUOTES, CLOSE_QUOTES, BOTH_QUOTES = "“«„‘", "”»’", "\""
 #: Words of saying and naming that turn a term into a mention.
 SAYING = frozenset("said says say saying wrote writes called quoted quotes quote quoting word words term terms slur insult phrase reads named so-called dit écrit mot sagte schrieb wort dijo escribió palabra".split())
 
 
+def edits(term: str, stem: bool) -> int:
+    """Edits a term allows: words of 5 letters one, of 8 two, stems of 7 one, shorter ones none."""
+    n = len(term)
+    return int(n >= 7) if stem else 2 if n >= 8 else int(n >= 5)
+
+
 class Lexicon:
-    """Trie of terms; whole words and stems. `look` tells what a word is: (kind, exact) or None."""
+    """Trie of terms, and the product of its paths with Levenshtein automata as a lazily determinised automaton.
+
+    A place is (node, pending letter of a transposition); a state of the product holds the fewest edits at each place and
+    the best stem passed. States and transitions are made when a word first needs them and kept, so a word costs a few
+    dictionary lookups; most words die within four letters.
+    """
 
     def __init__(self, terms: list[tuple[str, bool]]):
-        self.terms, self.trie = terms, {}
-        self.word_heads, self.word_tails, self.swaps, self.stem_heads, self.stem_tails = set(), set(), set(), set(), set()
-        self.long_parts: list[str] = []
+        self.children: list[dict[str, int]] = [{}]
+        self.most, self.word, self.stem = [0], [-1], [-1]  # edits: allowed below a node; by a word, a stem ending in it
         for term, stem in terms:
-            node = self.trie
+            node, k = 0, edits(term, stem)
+            self.most[0] = max(self.most[0], k)
             for c in term:
-                node = node.setdefault(c, {})
-            node["" if not stem else "*"] = term
-            half = len(term) // 2
-            if stem:
-                self.stem_heads.add(term[:half])
-                self.stem_tails.add(term[half:])
-            else:
-                self.word_heads.add(term[:half])
-                self.word_tails.add(term[half:])
-                self.swaps.add((term[: half - 1], term[half + 1 :]))
-                if len(term) >= 8:
-                    third = len(term) // 3
-                    self.long_parts += [term[:third], term[third : 2 * third], term[2 * third :]]
-        self.halves = {len(t) // 2 for t, s in terms if not s}
-        self.ends = {len(t) - len(t) // 2 for t, s in terms if not s}
-        self.stem_halves = {len(t) // 2 for t, s in terms if s}
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.most.append(0)
+                    self.word.append(-1)
+                    self.stem.append(-1)
+                node = self.children[node][c]
+                self.most[node] = max(self.most[node], k)
+            end = self.stem if stem else self.word
+            end[node] = max(end[node], k)
+        self.reset()
+
+    def reset(self) -> None:
+        self.moves: list[dict[str, int]] = []
+        self.places: list[tuple] = []
+        self.verdicts: list[tuple[bool, bool] | None] = []
+        self.number: dict[tuple, int] = {}
+        self.start = self._state({(0, ""): 0}, 9)
+
+    def _state(self, at: dict[tuple[int, str], int], stem: int) -> int:
+        """Number of the state with these places, after skipping letters of terms; -1 if it can't accept any more."""
+        todo = list(at.items())
+        while todo:
+            (node, wait), e = todo.pop()
+            if wait or at.get((node, wait)) != e:
+                continue
+            for child in self.children[node].values():
+                if e + 1 <= self.most[child] and e + 1 < at.get((child, ""), 9):
+                    at[child, ""] = e + 1
+                    todo.append(((child, ""), e + 1))
+        for (node, wait), e in at.items():
+            if not wait and e <= self.stem[node]:
+                stem = min(stem, e)
+        key = (tuple(sorted((n, w, e) for (n, w), e in at.items())), stem)
+        if not key[0] and stem == 9:
+            return -1
+        if key not in self.number:
+            self.number[key] = len(self.moves)
+            self.moves.append({})
+            self.places.append((at, stem))
+            word = min((e for (node, wait), e in at.items() if not wait and e <= self.word[node]), default=9)
+            self.verdicts.append((False, True) if word == 0 else (True, True) if stem == 0 else (False, False) if word < 9 else (True, False) if stem < 9 else None)
+        return self.number[key]
+
+    def _move(self, state: int, c: str) -> int:
+        places, stem = self.places[state]
+        at: dict[tuple[int, str], int] = {}
+
+        def put(node: int, wait: str, e: int) -> None:
+            if e <= self.most[node] and e < at.get((node, wait), 9):
+                at[node, wait] = e
+
+        for (node, wait), e in places.items():
+            if wait:
+                if c == wait:
+                    put(node, "", e)
+                continue
+            put(node, "", e + 1)  # a letter too many
+            for x, child in self.children[node].items():
+                put(child, "", e + (x != c))
+                if x != c and c in self.children[child]:  # two letters changed places: x must follow
+                    put(self.children[child][c], x, e + 1)
+        return self._state(at, stem)
 
     def look(self, word: str) -> tuple[bool, bool] | None:
         """(is a stem, is exact) of the best term that the word matches."""
-        node = self.trie
-        stem = False
+        if len(self.moves) > STATES:
+            self.reset()
+        state, moves = self.start, self.moves
         for c in word:
-            if (node := node.get(c)) is None:
-                break
-            stem = stem or "*" in node
-        else:
-            if "" in node:
-                return False, True
-        if stem:
-            return True, True
-        if len(word) < 4 or not self._may(word):
-            return None
-        found = self._automaton(word)
-        return None if found is None else (found, False)
-
-    def _may(self, w: str) -> bool:
-        """Of two parts of a term one survives one edit, of three parts one survives two."""
-        return (
-            any(w[:h] in self.word_heads for h in self.halves)
-            or any(w[-e:] in self.word_tails for e in self.ends)
-            or any((w[: h - 1], w[h + 1 :]) in self.swaps for h in self.halves)
-            or any(w[:h] in self.stem_heads for h in self.stem_halves)
-            or any(w[k : k + e] in self.stem_tails for h in self.stem_halves for k in (h - 1, h, h + 1) if k > 0 for e in (h, h + 1))
-            or any(p in w for p in self.long_parts)
-        )
-
-    def _automaton(self, word: str) -> bool | None:
-        """Walk the trie with rows of the edit table, the states of the automaton for `word`; dead states end a walk.
-
-        Words of 5 letters and more are accepted with one edit, of 8 and more with two, stems of 7 and more with one.
-        """
-        n = len(word)
-        best = None
-        stack = [(self.trie, "", None, list(range(n + 1)))]
-        while stack:
-            node, path, last, row = stack.pop()
-            depth = len(path)
-            if "" in node and depth >= 5 and row[n] <= (2 if depth >= 8 else 1):
-                return False
-            if "*" in node and depth >= 7 and min(row) <= 1:
-                best = True
-            for c, child in node.items():
-                if len(c) != 1 or c == "*":
-                    continue
-                new = [row[0] + 1]
-                for i in range(1, n + 1):
-                    d = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c))
-                    if last is not None and i > 1 and word[i - 1] == path[-1] and word[i - 2] == c:
-                        d = min(d, last[i - 2] + 1)
-                    new.append(d)
-                if min(new) <= 2:
-                    stack.append((child, path + c, row, new))
-        return best
+            nxt = moves[state].get(c)
+            if nxt is None:
+                nxt = moves[state][c] = self._move(state, c)
+            if nxt < 0:
+                return None
+            state = nxt
+        return self.verdicts[state]
 
 
 FEATURES = 4  # exact words, exact stems, fuzzy words, fuzzy stems
@@ -222,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT, key: str = "doc_id"
     chosen = labels.where(F.col(label).isin(0, 1)).where(~held_out(key)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label"))
     chosen = chosen.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     train = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
-    families = train.mapInArrow(_families, "doc_id bigint, label int, text string, family bigint").groupBy("family").agg(F.min_by(F.struct("label", "text"), "doc_id").alias("x")).select("x.label", "x.text").persist()
+    families = train.mapInArrow(_families, "doc_id bigint, label int, text string, family bigint").groupBy("family").agg(F.min_by(F.struct("label", "text"), "doc_id").alias("x")).select("x.label", "x.text").repartition(24).persist()
     try:
         n = {r["label"]: r["n"] for r in families.groupBy("label").agg(F.count("*").alias("n")).collect()}
         n1, n0 = n.get(1, 0), n.get(0, 0)
