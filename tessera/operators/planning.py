@@ -189,7 +189,7 @@ def approvals(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
     Requests without step are for the whole plan.
     """
-    last = responses.groupBy("request_id").agg(F.max_by("decision", F.struct("at", "decision")).alias("decision"))
+    last = responses.groupBy("request_id").agg(F.max_by("decision", F.struct("at_ms", "decision")).alias("decision"))
     r = requests.join(last, "request_id", "left").withColumn("status", F.coalesce("decision", F.lit("pending")))
     whole = F.bool_or(F.col("step").isNull() & (F.col("status") == "approved")).over(Window.partitionBy("plan_id"))
     return r.select("request_id", "plan_id", "step", F.when(whole & (F.col("status") == "pending"), "approved").otherwise(F.col("status")).alias("status"))
