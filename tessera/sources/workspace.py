@@ -7,7 +7,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.text import basename, extension, glob_regex
 
@@ -72,7 +71,7 @@ def valid_path(path: str) -> str:
     return path
 
 
-INDEX = T.StructType.fromDDL("version int, chunks array<struct<id string, filePath string, content string, startLine int, endLine int, embedding array<double>>>, fileHashes map<string, string>")
+INDEX = ("version int, chunks array<struct<id string, filePath string, content string, startLine int, endLine int, embedding array<double>>>, fileHashes map<string, string>")
 
 
 def read_json_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
