@@ -10,7 +10,7 @@ Both directions are `mapInArrow` steps without a shuffle: work follows the bytes
 run again by itself. The rank file (under 1 MB, its path a parameter) is read on the driver and broadcast.
 
 Defined results: null or empty texts have no ids and decode to no bytes; repeated rows are encoded each; other columns
-stay; an empty table gives an empty result.
+stay, but those with a result's name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import packed, table
 
 #: Encodings in each of a worker's two generations; a full one becomes the old one, from which those in use come back.
 CACHE = 400_000
@@ -151,9 +151,9 @@ def _mapped(df: DataFrame, source: str, target: str, keep: bool, vocab: str, pat
                 own["made"] = pa.array([f(x.as_py()) if x.is_valid else b"" for x in part.column("v")], pa.binary())
                 yield pa.RecordBatch.from_pydict(own)
 
-    packed = df.select(F.struct(*(c for c in df.columns if c != source)).alias("row"), F.col(source).alias("v"))
-    schema = T.StructType([*packed.schema.fields[: 1 + keep], T.StructField("made", T.BinaryType())])
-    return packed.mapInArrow(run, schema).select("row.*", *[F.col("v").alias(source)][:keep], F.col("made").alias(target))
+    rows = df.select(packed(df, (source, target)).alias("row"), F.col(source).alias("v"))
+    schema = T.StructType([*rows.schema.fields[: 1 + keep], T.StructField("made", T.BinaryType())])
+    return rows.mapInArrow(run, schema).select("row.*", *[F.col("v").alias(source)][:keep], F.col("made").alias(target))
 
 
 def encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -63,6 +63,23 @@ class Stash:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows without a key count as one document with this key: the last of all.
+LAST = (1 << 63) - 1
+
+
+def keyed(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))
+
+
+def unkeyed(key: str) -> Column:
+    return F.when(F.col(key) != LAST, F.col(key))
+
+
+def packed(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns (but some) as one struct, so that no name can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in but))
+
+
 def words(text: Column) -> Column:
     """Array of the contract's words; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

@@ -10,7 +10,7 @@ row for each linked vector and block: its number of links and the smallest vecto
 shares several tables counts in the first.
 
 Defined results: null, empty or zero vectors and those with null or non-finite components are linked with nothing and
-kept; vectors of different lengths are never linked; repeated vec_ids count as vectors each; an empty table gives an
+kept; vectors of different lengths are never linked; repeated vec_ids count as vectors each, and so do rows without one, which come last; an empty table gives an
 empty result.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, components, mix, roots, sorted_groups, table
+from tessera.llm.common import Stash, components, keyed, mix, roots, sorted_groups, table, unkeyed
 
 TABLES, PROJECTIONS, WIDTH, BLOCK, LEAST, SEED = 32, 8, 1.25, 512, 0.95, 10
 
@@ -121,7 +121,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """(vec_id, n_links, component_id, kept) of every vector."""
     stash = Stash(vectors.sparkSession)
     v = F.transform(vector, lambda x: x + F.lit(0.0).cast("float") if _single(vectors, vector) else x + F.lit(0.0))  # -0.0 becomes 0.0
-    every = vectors.select(F.col(key).alias("vec_id"), F.when(valid(F.col(vector)), v).alias("v"))
+    every = vectors.select(keyed(key).alias("vec_id"), F.when(valid(F.col(vector)), v).alias("v"))
     every = every.withColumn("same", F.when(F.col("v").isNotNull(), F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)))
     classes = stash.keep(every.where("v is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
     hashed = classes.select("rep", "v").mapInArrow(_hash, "rep bigint, hs array<bigint>")
@@ -140,7 +140,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     told = told.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = every.select("vec_id", "same").join(told, "same", "left")
     own = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    return out.select(unkeyed("vec_id").alias("vec_id"), "n_links", unkeyed("component_id").alias("component_id"), "kept")
 
 
 def _single(df: DataFrame, vector: str) -> bool:

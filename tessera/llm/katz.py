@@ -16,7 +16,8 @@ the buckets for its (bigram, text) pairs in packed form. All statistics cover al
 Words are known by 64-bit hashes of their bytes. Up to VOCABULARY words the table of words is broadcast (20 bytes each)
 and words become dense numbers; beyond, each text gets the counts of its own words by a join, with the same results.
 
-Defined results: null and empty texts are one end token; rows with one doc_id count as one document of all their tokens;
+Defined results: null and empty texts are one end token; rows with one doc_id, or without one, count as one document of all
+their tokens;
 without training texts everything is unknown and both scores are those of an unknown word with certainty; an empty
 table gives an empty result.
 """
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, by_bytes, mix, raw, table, word_hashes
+from tessera.llm.common import Stash, by_bytes, keyed, mix, raw, table, unkeyed, word_hashes
 
 CUT, VOCABULARY, SHARE, BATCH = 5, 12_000_000, 1_500_000, 1 << 22
 END, UNKNOWN, START = (np.uint64(0xE4D0000000000000 + k) for k in (1, 2, 3))
@@ -434,7 +435,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; `train` is a Column over docs."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    source = docs.select(keyed(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     learn = source.where("train")
     words = stash.keep(learn.select("doc_id", "text").mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
     n_of = [F.sum((F.col("c") == c).cast("long")) for c in range(1, CUT + 2)]
@@ -476,7 +477,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     parts = asked.groupBy("bucket").cogroup(bigrams.select("bucket", "data").groupBy("bucket")).applyInArrow(_answer(said), _PARTS)
     parts = parts.groupBy("batch").applyInArrow(_total, _SCORES)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-    return parts.groupBy("doc_id").agg(*sums).withColumn("train_tokens", F.lit(total).cast("long"))
+    return parts.groupBy("doc_id").agg(*sums).withColumn("doc_id", unkeyed("doc_id")).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def held_out(key: str):

@@ -10,7 +10,7 @@ that have a chunk with a repeated hash; only those chunks are grouped by their b
 never decide. A passage that a third of all rows share is combined before each shuffle.
 
 Defined results: null texts are kept as they are; empty texts and single lines have no chunk that counts; repeated rows
-with one doc_id count as one document; a document may lose all its lines and stays with an empty text; an empty table
+with one doc_id, or without one, count as one document; a document may lose all its lines and stays with an empty text; an empty table
 gives an empty result.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, table
+from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, keyed, packed, table
 from tessera.llm.quality import let
 
 EVERY, LEAST_WORDS = 3, 12
@@ -57,7 +57,7 @@ def piece_text(text: Column, c: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with `kept_text`, `n_lines` and `n_removed_lines`; clashing names of docs don't matter, they are packed in a struct `row`."""
-    base = docs.select(F.col(key).alias("_id"), F.struct(*docs.columns).alias("row"))
+    base = docs.select(keyed(key).alias("_id"), packed(docs).alias("row"))
     whole = F.col(f"row.`{text}`")
     cut = base.select("_id", F.explode(chunks(whole, every, least_words)).alias("c")).select("_id", F.col("c.hash").alias("h"), F.struct("c.first", "c.n").alias("at"))
     twice = cut.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")

@@ -19,7 +19,8 @@ Scale: hashes and sketches are made where the texts are; the widest shuffles car
 for classes with candidates. Counts are combined before shuffles, and joins on hot values can be split by AQE.
 
 Defined results: null, empty and blank texts have the empty set, are linked with nothing and kept; fewer than five words
-make one shingle; repeated rows with one doc_id count once; an empty table gives an empty result.
+make one shingle; repeated rows with one doc_id count once (with different texts: as one document of
+all their links); rows without doc_id count as one document, the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, by_bytes, components, mix, raw, roots, sorted_groups, table, word_hashes
+from tessera.llm.common import Stash, by_bytes, components, keyed, mix, raw, roots, sorted_groups, table, unkeyed, word_hashes
 from tessera.llm.quality import let
 
 WORDS, K, NEED, SHORT, PERCENT = 5, 32, 12, 32, 85
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """(doc_id, n_shingles, component_id, kept) of every document. Links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(keyed(key).alias("doc_id"), F.col(text).alias("text"))
     sketches = stash.keep(source.mapInArrow(_sketch, "doc_id bigint, n bigint, same binary, sketch array<bigint>"))
     classes = stash.keep(sketches.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
@@ -230,7 +231,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     joined = classes.select("same", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "same").join(joined, "same", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    out = out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return out.select(unkeyed("doc_id").alias("doc_id"), "n_shingles", unkeyed("component_id").alias("component_id"), "kept")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +242,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest doc_id."""
     out = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_keep"), "left_semi")
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
 
 
 QUERIES = {"op2_minhash": op2_minhash}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, words
+from tessera.llm.common import packed, table, words
 
 BLOCKS, SHARDS, MOST, SEED = 1 << 16, 1024, 3, 20
 
@@ -106,12 +106,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it in whole: floor(taken / size), at least once if any of it is taken.
 
-    The copies keep the document's columns. Documents of size 0 are in no block and go.
+    The copies keep the document's columns. Documents of size 0 are in no block and go. Rows
+    without doc_id stay as they are; rows with one doc_id are each taken as often as all of them.
     """
-    own = docs.columns
-    rows = docs.select(F.col("doc_id"), F.struct(*own).alias("row"))
+    rows = docs.select("doc_id", packed(docs).alias("row"))
+    alone = docs.where("doc_id is null")
     times = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("taken") / F.col("size"))).alias("times"))
-    return rows.join(times, F.col("doc_id") == F.col("_id")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
+    return rows.join(times, F.col("doc_id") == F.col("_id")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*").unionByName(alone)
 
 
 QUERIES = {"op6_mix_sources": op6_mix_sources}

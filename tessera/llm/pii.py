@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, table
+from tessera.llm.common import Stash, packed, table
 from tessera.llm.quality import let
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -157,7 +157,7 @@ def mask(text: Column, base: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """docs with `base`, `terms` and `sanitised`; key must be unique."""
     found = spans(docs, key, text, **settings).withColumnRenamed(key, "_key")
-    out = docs.select(F.struct(*docs.columns).alias("row")).join(found, F.col(f"row.{key}") == F.col("_key"), "left")
+    out = docs.select(packed(docs, ("base", "terms", "sanitised")).alias("row")).join(found, F.col(f"row.{key}") == F.col("_key"), "left")
     return out.select("row.*", "base", "terms", F.when(F.size("base") == 0, F.col(f"row.{text}")).otherwise(mask(F.col(f"row.{text}"), F.col("base"), F.col("terms"))).alias("sanitised"))
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, table, words
+from tessera.llm.common import SPACE_CHARS, packed, table, words
 
 #: Frequent function words of the corpus' languages.
 STOP_WORDS = {
@@ -146,8 +146,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with their own columns."""
-    own = docs.columns
-    return judge(docs.select(F.struct(*own).alias("row"), F.col("text"))).where("kept").select("row.*")
+    return judge(docs.select(packed(docs).alias("row"), F.col("text"))).where("kept").select("row.*")
 
 
 _STOP_SQL = "|".join(sorted({x for v in STOP_WORDS.values() for x in v}))

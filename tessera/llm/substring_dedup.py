@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, by_bytes, mix, raw, table
+from tessera.llm.common import Stash, by_bytes, keyed, mix, raw, table, unkeyed
 from tessera.llm.suffix import GRAM, LENGTH, anchors, repeated_windows
 
 #: Bytes of a batch that is taken at once (a longer text by itself), and of text for each bucket of grams.
@@ -177,7 +177,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): removed runs (start, end in bytes) and the bytes that stay, of every row."""
     stash = Stash(docs.sparkSession)
-    source = docs.select(F.col(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
+    source = docs.select(keyed(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
     total = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET))
     packed = source.mapInArrow(_anchor_batches(buckets), "bucket int, data binary")
@@ -188,7 +188,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = stash.keep(contexts.groupBy(bucket).applyInArrow(_resolve, _RANGES))
     ranges = told.where("at is null").select("doc_id", "lo", "hi").unionByName(found.select("doc_id", "lo", "hi"))
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
+    out = source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
+    return out.withColumn("doc_id", unkeyed("doc_id"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import packed, table
 from tessera.llm.minhash import shingle_sets
 
 FIT, TERMS, MIN_STEM, MAX_STEM, RATIO, LEAST_DOCS, PURE = 8_000, 400, 5, 9, 26.0, 6, 0.75
@@ -298,8 +299,8 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             s = np.full(len(x), m["share"]) if w is None else 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["row", "score"])
 
-    packed = docs.select(F.struct(*(c for c in docs.columns if c != text)).alias("row"), F.col(text).alias("text"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
+    rows = docs.select(packed(docs, (text, "score")).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])).select("row.*", "score")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
