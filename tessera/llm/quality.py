@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, packed, table, words
+from tessera.llm.common import SPACE_CHARS, table, words
 
 #: Frequent function words of the corpus' languages.
 STOP_WORDS = {
@@ -79,64 +79,66 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the struct column `q`: base counts and the ratios that rules may name."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def metrics(text: Column) -> Column:
+    """Struct of base counts and of the ratios that rules may name, each part evaluated once."""
+    t = F.coalesce(text, F.lit(""))
     stop = sorted({x for v in STOP_WORDS.values() for x in v})
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
+    ratio = lambda a, b: F.when(b > 0, a / b)
 
-    def of(w: Column) -> Column:
-        return let(
-            lines,
-            lambda ls: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.length(F.concat_ws("", w)).cast("long").alias("word_chars"),
-                n_symbols(t).cast("long").alias("n_symbols"),
-                (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-                repeated_words(w).alias("n_repeat_words"),
-                F.size(ls).cast("long").alias("n_lines"),
-                (F.size(F.split(F.lower(F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))), r" (?:" + "|".join(stop) + r")[.,;:!?]? ")) - 1).cast("long").alias("n_stop"),
-                F.size(F.filter(w, lambda x: x == "|")).cast("long").alias("n_bars"),
-            ),
+    def counts(w: Column, ls: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.concat_ws("", w)).cast("long").alias("word_chars"),
+            n_symbols(t).cast("long").alias("n_symbols"),
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.size(ls).cast("long").alias("n_lines"),
+            (F.size(F.split(F.lower(F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))), r" (?:" + "|".join(stop) + r")[.,;:!?]? ")) - 1).cast("long").alias("n_stop"),
+            F.size(F.filter(w, lambda x: x == "|")).cast("long").alias("n_bars"),
         )
 
-    q = docs.withColumn("q", let(words(F.col(text)), of))
-    ratio = lambda a, b: F.when(b > 0, a / b)
-    return q.withColumn(
-        "q",
-        F.struct(
-            "q.*",
-            ratio(F.col("q.word_chars"), F.col("q.n_words")).alias("mean_word_chars"),
-            ratio(F.col("q.n_symbols"), F.col("q.word_chars")).alias("symbol_ratio"),
-            ratio(F.col("q.n_stop"), F.col("q.n_words")).alias("stop_ratio"),
-            ratio(F.col("q.n_dup_lines"), F.col("q.n_lines")).alias("dup_line_ratio"),
-            ratio(F.col("q.n_bars"), F.col("q.n_words")).alias("bar_ratio"),
-        ),
-    )
+    def all_of(q: Column) -> Column:
+        base = [q[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(
+            *base,
+            ratio(q["word_chars"], q["n_words"]).alias("mean_word_chars"),
+            ratio(q["n_symbols"], q["word_chars"]).alias("symbol_ratio"),
+            ratio(q["n_stop"], q["n_words"]).alias("stop_ratio"),
+            ratio(q["n_dup_lines"], q["n_lines"]).alias("dup_line_ratio"),
+            ratio(q["n_bars"], q["n_words"]).alias("bar_ratio"),
+        )
 
+    return let(let(words(text), lambda w: let(lines, lambda ls: counts(w, ls))), all_of)
 
-def base_failed(q: str = "q") -> Column:
-    return (F.col(f"{q}.n_words") < 20) | (100 * F.col(f"{q}.n_repeat_words") > 30 * F.col(f"{q}.n_words"))
 
+def base_failed(q: Column) -> Column:
+    return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
 
-def verdict(rules: list[Rule] = RULES, q: str = "q") -> Column:
+
+def verdict(q: Column, rules: list[Rule] = RULES) -> Column:
     """Names of the failed rules, compiled from the table."""
     failed = []
     for r in rules:
-        x = F.col(f"{q}.{r.metric}")
         bad = F.lit(False)
         if r.least is not None:
-            bad = bad | F.coalesce(x < r.least, F.lit(False))
+            bad = bad | F.coalesce(q[r.metric] < r.least, F.lit(False))
         if r.most is not None:
-            bad = bad | F.coalesce(x > r.most, F.lit(False))
+            bad = bad | F.coalesce(q[r.metric] > r.most, F.lit(False))
         failed.append(F.when(bad, F.lit(r.metric)))
     return F.array_compact(F.array(*failed))
 
 
+def passes(text: Column, rules: list[Rule] = RULES) -> Column:
+    """The whole decision as one expression, so that a filter, wherever the optimiser puts it, counts once."""
+    return let(metrics(text), lambda q: ~base_failed(q) & (F.size(verdict(q, rules)) == 0))
+
+
 def judge(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """docs with `q` (metrics), `base_failed`, `failed_rules` and `kept`."""
-    out = metrics(docs, text)
-    return out.withColumn("base_failed", base_failed()).withColumn("failed_rules", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    q = F.col("q")
+    out = docs.withColumn("q", metrics(F.col(text))).withColumn("base_failed", base_failed(q)).withColumn("failed_rules", verdict(q, rules))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with their own columns."""
-    return judge(docs.select(packed(docs).alias("row"), F.col("text"))).where("kept").select("row.*")
+    return docs.where(passes(F.col("text")))
 
 
 _STOP_SQL = "|".join(sorted({x for v in STOP_WORDS.values() for x in v}))

@@ -17,8 +17,8 @@ Texts travel twice, everything else is a few bytes for each anchor. Copies and p
 combined in step 1, once for each batch of BATCH bytes. A gram with very many different contexts is one bucket's work in
 steps 2 and 3: its rows are one for each different context of 100 to 200 bytes.
 
-Defined results: null texts are empty; texts under LENGTH bytes lose nothing; strings are judged on the input; repeated
-rows with one doc_id are taken as one text each, the later ones repeat the first; an empty table gives an empty result.
+Defined results: null texts are empty; texts under LENGTH bytes lose nothing; strings are judged on the input; rows with
+one doc_id, or without one (the last of all), are one document with the smallest of their texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -175,10 +175,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): removed runs (start, end in bytes) and the bytes that stay, of every row."""
+    """(doc_id, n_bytes, spans, kept): removed runs (start, end in bytes) and the bytes that stay, of every document."""
     stash = Stash(docs.sparkSession)
     source = docs.select(keyed(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
     total = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    if source.groupBy("doc_id").count().where("count > 1").limit(1).count():  # never in a table of documents
+        source = source.groupBy("doc_id").agg(F.min("text").alias("text"))
     buckets = max(8, -(-total // BUCKET))
     packed = source.mapInArrow(_anchor_batches(buckets), "bucket int, data binary")
     told = stash.keep(packed.groupBy("bucket").applyInArrow(_classes, _RANGES))
