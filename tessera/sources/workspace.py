@@ -16,7 +16,8 @@ MAX_BYTES = {"index": 1 << 20, "parse": 500_000, "markers": 1_000_000, "stats":
 
 
 def read_files(spark: SparkSession, root: str, most_bytes: int = MAX_BYTES["index"]) -> DataFrame:
-    """files(path, content, bytes) under a folder, paths relative to it. Size and path are tested before contents are read."""
+    """files(path, content, bytes) under a folder, paths relative to it. Size and path are tested before contents are
+    read. Spark's listing passes over names that begin with a dot or an underscore."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
     base = re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
     return raw.select(F.regexp_replace("path", rf"^(?:\w+:)?/*{base}/+", "").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"))
