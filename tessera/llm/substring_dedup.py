@@ -7,15 +7,17 @@ equal anchors, and windows share an anchor with their neighbours: about one in 3
 
  1. Anchors (hash of the gram, hash of the context) are made where the texts are. Equal ones of one batch are combined
     there; only the first goes on, the others are repeats already.
- 2. Buckets of grams: rows of equal contexts after the first are repeats as a whole. Firsts of different contexts of one
-    gram are asked for their bytes; most grams occur once and end here.
- 3. The contexts asked for are cut out of their texts, and sorted: right and reversed left sides by mergesort, with
+ 2. Buckets of contexts: rows of equal contexts after the first are repeats as a whole. A first context is of interest if
+    its gram has others; a bucket that sees two of a gram knows it at once, of the rest one row for each gram goes on to
+    buckets of grams. Most grams occur once and end here.
+ 3. The contexts of interest are cut out of their texts, and sorted: right and reversed left sides by mergesort, with
     comparisons by prefix hashes and binary search, verified byte by byte. The orders tell which windows are equal.
  4. Each text meets its repeated ranges and is cut.
 
 Texts travel twice, everything else is a few bytes for each anchor. Copies and passages shared by many documents are
-combined in step 1, once for each batch of BATCH bytes. A gram with very many different contexts is one bucket's work in
-steps 2 and 3: its rows are one for each different context of 100 to 200 bytes.
+combined in step 1, once for each batch of BATCH bytes, so a context in a third of all rows is one row a batch. A gram
+with more than HOT different contexts isn't one group: its windows are spread by their own 128-bit hashes, and the first
+of each is found by an aggregation with map-side combine.
 
 Defined results: null texts are empty; texts under LENGTH bytes lose nothing; strings are judged on the input; rows with
 one doc_id, or without one (the last of all), are one document with the smallest of their texts; an empty table gives an empty result.
@@ -32,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, by_bytes, keyed, mix, raw, table, unkeyed
+from tessera.llm.common import Powers, Stash, by_bytes, byte_codes, keyed, mix, prefix_hash, raw, table, union_all, unkeyed
 from tessera.llm.suffix import GRAM, LENGTH, anchors, repeated_windows
 
-#: Bytes of a batch that is taken at once (a longer text by itself), and of text for each bucket of grams.
-BATCH, BUCKET = 1 << 21, 8 << 20
+#: Bytes of a batch that is taken at once (a longer text by itself), and of text for each bucket; contexts of a hot gram.
+BATCH, BUCKET, HOT = 1 << 21, 8 << 20, 200_000
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -75,7 +77,7 @@ def _anchor_batches(buckets: int):
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
             first = np.zeros(len(o), dtype=bool)
             first[o[new]] = True
-            bucket = (mix(a["h"] ^ np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (a["c"] % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[o][1:] != bucket[o][:-1]))), [len(o)]))
             which, data = [], []
@@ -95,36 +97,74 @@ def _anchor_batches(buckets: int):
 
 _RANGES = "doc_id bigint, at int, lo int, hi int, h bigint"
 _NAMES = ["doc_id", "at", "lo", "hi", "h"]
+_CLASSES = _RANGES + ", bucket int, data binary"
 
 
 def _ranges(doc, at, lo, hi, h) -> pa.Table:
     return pa.Table.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(h, pa.int64())], names=_NAMES)
 
 
-def _classes(group: pa.Table) -> pa.Table:
-    """Of a bucket: repeats (at is null) and the places whose contexts are asked for (with at and gram hash)."""
-    hs, cs, cols, gone = [], [], [], []
+def _repeats(doc, lo, hi) -> pa.Table:
+    return _ranges(doc, np.full(len(doc), None), lo, hi, np.zeros(len(doc), dtype=np.int64))
+
+
+def _classes(buckets: int):
+    """Of a bucket of contexts: repeats (at is null), places of interest (with at and gram hash), and packed rows
+    (bucket, data) of grams seen once here, with the grams that are known to have several contexts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hs, cs, cols, gone = [], [], [], []
+        for x in group.column("data").to_pylist():
+            n, m = struct.unpack_from("<II", x)
+            hs.append(np.frombuffer(x, "<u8", n, 8))
+            cs.append(np.frombuffer(x, "<u8", n, 8 + 8 * n))
+            c = _unpack(x[8 + 16 * n : 8 + 16 * n + m], 4)
+            cols.append([np.cumsum(c[0].view(np.int64)), *(v.view(np.int64) for v in c[1:])])
+            g = _unpack(x[8 + 16 * n + m :], 3)
+            gone.append([np.cumsum(g[0].view(np.int64)), *(v.view(np.int64) for v in g[1:])])
+        h, c = np.concatenate(hs), np.concatenate(cs)
+        doc, at, back, span = (np.concatenate([x[k] for x in cols]) for k in range(4))
+        o = np.lexsort((at, doc, c, h))
+        h, c, doc, at, lo, hi = h[o], c[o], doc[o], at[o], (at - back)[o], (at - back + span)[o]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))[: len(h)]
+        d2, l2, s2 = (np.concatenate([x[k] for x in gone]) for k in range(3))
+        repeats = _repeats(np.concatenate((doc[~new], d2)), np.concatenate((lo[~new], l2)), np.concatenate((hi[~new], l2 + s2)))
+        h, doc, at, lo, hi = h[new], doc[new], at[new], lo[new], hi[new]
+        grams, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        many = times[which] > 1
+        asks = _ranges(doc[many], at[many], lo[many], hi[many], h[many].view(np.int64))
+        # one row for each gram goes to the buckets of grams: its place, or only that it is of interest
+        once = ~many
+        to = lambda x: (mix(x ^ np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
+        known, dest, dest_known = grams[times > 1], to(h[once]), to(grams[times > 1])
+        out = []
+        rows = [h[once], doc[once], at[once], at[once] - lo[once], hi[once] - lo[once]]
+        for b in np.unique(np.concatenate((dest, dest_known))):
+            i, k = np.flatnonzero(dest == b), known[dest_known == b]
+            one = _pack([np.diff(rows[0][i], prepend=np.uint64(0)), *(r[i] for r in rows[1:])])  # grams ascend
+            out.append((int(b), struct.pack("<I", len(one)) + one + k.tobytes()))
+        told = pa.concat_tables([repeats, asks])
+        told = told.append_column("bucket", pa.nulls(told.num_rows, pa.int32())).append_column("data", pa.nulls(told.num_rows, pa.binary()))
+        empty = {n: pa.nulls(len(out), t) for n, t in zip(_NAMES, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)}
+        sent = pa.table(empty | {"bucket": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([x for _, x in out], pa.binary())})
+        return pa.concat_tables([told, sent])
+
+    return run
+
+
+def _grams(group: pa.Table) -> pa.Table:
+    """Of a bucket of grams: places whose gram has another context elsewhere."""
+    rows, known = [], []
     for x in group.column("data").to_pylist():
-        n, m = struct.unpack_from("<II", x)
-        hs.append(np.frombuffer(x, "<u8", n, 8))
-        cs.append(np.frombuffer(x, "<u8", n, 8 + 8 * n))
-        c = _unpack(x[8 + 16 * n : 8 + 16 * n + m], 4)
-        cols.append([np.cumsum(c[0].view(np.int64)), *(v.view(np.int64) for v in c[1:])])
-        g = _unpack(x[8 + 16 * n + m :], 3)
-        gone.append([np.cumsum(g[0].view(np.int64)), *(v.view(np.int64) for v in g[1:])])
-    h, c = np.concatenate(hs), np.concatenate(cs)
-    doc, at, back, span = (np.concatenate([x[k] for x in cols]) for k in range(4))
-    o = np.lexsort((at, doc, c, h))
-    h, c = h[o], c[o]
-    new_h = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
-    new = new_h | np.concatenate(([True], c[1:] != c[:-1]))[: len(h)]
-    which = np.cumsum(new_h) - 1
-    ask = new & (np.bincount(which, new)[which] > 1) if len(h) else new
-    lo = at - back
-    d2, l2, s2 = (np.concatenate([x[k] for x in gone]) for k in range(3))
-    rest, asked = o[~new], o[ask]
-    repeats = _ranges(np.concatenate((doc[rest], d2)), np.full(len(rest) + len(d2), None), np.concatenate((lo[rest], l2)), np.concatenate((lo[rest] + span[rest], l2 + s2)), np.zeros(len(rest) + len(d2), dtype=np.int64))
-    return pa.concat_tables([repeats, _ranges(doc[asked], at[asked], lo[asked], lo[asked] + span[asked], h[ask].view(np.int64))])
+        n = struct.unpack_from("<I", x)[0]
+        c = _unpack(x[4 : 4 + n], 5)
+        rows.append([np.cumsum(c[0]), *(v.view(np.int64) for v in c[1:])])
+        known.append(np.frombuffer(x, "<u8", offset=4 + n))
+    h, doc, at, back, span = (np.concatenate([r[k] for r in rows]) for k in range(5))
+    _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+    ask = (times[which] > 1) | np.isin(h, np.concatenate(known))
+    lo = (at - back)[ask]
+    return _ranges(doc[ask], at[ask], lo, lo + span[ask], h[ask].view(np.int64))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +188,26 @@ def _resolve(group: pa.Table) -> pa.Table:
     context = group.column("context").to_pylist()
     at, lo, hi = at[o].astype(np.int64), lo[o].astype(np.int64), hi[o].astype(np.int64)
     row, first, last = repeated_windows([context[i] for i in o], at, lo, hi, h[o])
-    return _ranges(doc[o][row], np.full(len(row), None), first, last, np.zeros(len(row), dtype=np.int64))
+    return _repeats(doc[o][row], first, last)
+
+
+_BASES = [(byte_codes(21), Powers(0x9FB21C651E98DF25)), (byte_codes(22), Powers(0xC2B2AE3D27D4EB4F))]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts to their windows (w1, w2, doc_id, start), known by two hashes."""
+    for b in (part for batch in batches for part in by_bytes(batch, [5], BATCH // 16)):
+        lo, hi, doc = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3, 0))
+        data, begin, _ = _joined(raw(b.column(5)))
+        n = hi - lo + 1
+        row = np.repeat(np.arange(len(n)), n)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = begin[row] + off
+        w = []
+        for codes, pw in _BASES:
+            h = prefix_hash(data, codes, pw)
+            w.append(mix((h[at + LENGTH] - h[at]) * pw.get(len(data) + 1)[1][at]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(doc[row]), pa.array((lo[row] + off).astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +242,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         source = source.groupBy("doc_id").agg(F.min("text").alias("text"))
     buckets = max(8, -(-total // BUCKET))
     packed = source.mapInArrow(_anchor_batches(buckets), "bucket int, data binary")
-    told = stash.keep(packed.groupBy("bucket").applyInArrow(_classes, _RANGES))
-    asks = told.where("at is not null").groupBy("doc_id").agg(F.collect_list(F.struct("at", "lo", "hi", "h")).alias("asks"))
+    told = stash.keep(packed.groupBy("bucket").applyInArrow(_classes(buckets), _CLASSES))
+    more = told.where("data is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_grams, _RANGES)
+    asked = stash.keep(told.where("at is not null").select(*_NAMES).unionByName(more))
+    hot = asked.groupBy("h").count().where(F.col("count") > HOT).select("h").cache()  # at most one for each HOT contexts
+    any_hot = hot.limit(1).count() > 0
+    asks = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "lo", "hi", "h")).alias("asks"))
     contexts = source.join(asks, "doc_id").select("doc_id", "text", "asks").mapInArrow(_contexts, _RANGES + ", context binary")
+    contexts = stash.keep(contexts) if any_hot else contexts
+    cold = contexts.join(F.broadcast(hot), "h", "left_anti").select(*_NAMES, "context") if any_hot else contexts
     bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")
-    found = stash.keep(contexts.groupBy(bucket).applyInArrow(_resolve, _RANGES))
-    ranges = told.where("at is null").select("doc_id", "lo", "hi").unionByName(found.select("doc_id", "lo", "hi"))
+    found = [told.where("at is null and data is null"), stash.keep(cold.groupBy(bucket).applyInArrow(_resolve, _RANGES))]
+    if any_hot:
+        w = contexts.join(F.broadcast(hot), "h", "left_semi").select(*_NAMES, "context").mapInArrow(_windows, "w1 bigint, w2 bigint, doc_id bigint, start int")
+        first = w.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+        again = w.join(first, ["w1", "w2"]).where(F.struct("doc_id", "start") != F.col("first"))
+        found.append(stash.keep(again.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))))
+    hot.unpersist()
+    ranges = union_all([f.select("doc_id", "lo", "hi") for f in found])
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     out = source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
     return out.withColumn("doc_id", unkeyed("doc_id"))

@@ -99,6 +99,14 @@ def test_repeated_substrings_small_batches(docs, texts, no_key, monkeypatch):
     assert substring_dedup.remove_repeats(no_key).count() == no_key.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_repeated_substrings_hot_grams(docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    want = brute.repeats(texts)
+    for i, r in got(substring_dedup.remove_repeats(docs)).items():
+        assert brute.sha(bytes(r["kept"])) == want[i][3]
+
+
 def test_suffix_order_against_sorting():
     r = np.random.default_rng(2)
     rows = [bytes(r.integers(97, 99, r.integers(0, 30)).astype(np.uint8)) for _ in range(200)]
