@@ -105,7 +105,7 @@ def test_diffs(spark):
     rows = [r for r in q.diff_lines(spark, "").collect() if r["diff_id"] == 0]
     assert [(r["type"], r["old_line"], r["new_line"]) for r in rows if r["hunk"] == 0 and r["file_no"] == 0] == [("context", 1, 1), ("remove", 2, None), ("add", None, 2), ("add", None, 3), ("context", 3, 4), ("context", 4, 5)]  # the last: the line break at the end
     kinds = {r["diff_id"]: r["change"] for r in q.change_classification(spark, "").collect()}
-    assert kinds == {0: "feature", 1: "docs", 2: "infra", 3: "feature", 4: "refactor", 5: "refactor"}
+    assert kinds == {0: "bugfix", 1: "docs", 2: "infra", 3: "feature", 4: "refactor", 5: "refactor"}
     found = {(r["diff_id"], r["id"]) for r in q.invariants_eval(spark, "").collect()}
     assert found == {(0, "SEC002"), (3, "SEC001"), (1, "DOC001")}
     risk = {r["diff_id"]: r["risk"] for r in q.preflight_risk(spark, "").collect()}
