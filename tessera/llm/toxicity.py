@@ -3,9 +3,10 @@
 Training rows (crc32 of doc_id mod 4 is not 2) give a lexicon: words, and stems (prefixes of MIN_STEM letters or more),
 whose document frequencies differ by label more than chance allows (likelihood ratio). Copies would count a word again
 and again, so documents with equal smallest shingle hash count once. The lexicon becomes a trie; a word of a text is
-caught if the Levenshtein automaton (with transpositions) of a path of the trie accepts it. Each hit is weighed by its context
-window: inside quotation marks or after a word of saying or naming it is a mention and counts MENTION, else 1. A logistic
-model over the sums of weights turns hits into a score.
+caught if the Levenshtein automaton (with transpositions) of a path of the trie accepts it; a term allows only as many
+edits as catch next to nothing in training rows of label 0. Each hit is weighed by its context window: inside quotation
+marks or after a word of saying or naming it is a mention and counts MENTION, else 1. A logistic model over the sums of
+weights turns hits into a score.
 
 Bounds (parameters): the lexicon and the model are fitted on at most FIT labelled rows, those with the smallest hashes of
 doc_id; the lexicon has at most TERMS terms. Both are broadcast. Scoring covers whole texts of all rows without a shuffle;
@@ -33,7 +34,7 @@ from tessera.llm.common import packed, table
 from tessera.llm.minhash import shingle_sets
 
 FIT, TERMS, MIN_STEM, MAX_STEM, RATIO, LEAST_DOCS, PURE = 8_000, 400, 5, 9, 26.0, 6, 0.75
-MENTION, REACH, AT, CACHE, STATES = 0.25, 4, 0.3, 200_000, 50_000
+MENTION, REACH, AT, CACHE, STATES, TOLERATED = 0.25, 4, 0.3, 200_000, 50_000, 0.0005
 STRIP = ".,;:!?\"'()[]{}<>|*%&$#~`´’‘“”«»„…-–—_/\\"
 OPEN_QUOTES, CLOSE_QUOTES, BOTH_QUOTES = "“«„‘", "”»’", "\""
 #: Words of saying and naming that turn a term into a mention.
@@ -46,6 +47,20 @@ def edits(term: str, stem: bool) -> int:
     return int(n >= 7) if stem else 2 if n >= 8 else int(n >= 5)
 
 
+def apart(term: str, word: str, stem: bool) -> int:
+    """Edits, with transpositions, from a term to a word, of a stem to the nearest beginning of the word."""
+    rows = [list(range(len(word) + 1))]
+    for i, c in enumerate(term, 1):
+        row = [i]
+        for j, x in enumerate(word, 1):
+            d = min(rows[-1][j] + 1, row[j - 1] + 1, rows[-1][j - 1] + (c != x))
+            if i > 1 and j > 1 and c == word[j - 2] and term[i - 2] == x:
+                d = min(d, rows[-2][j - 2] + 1)
+            row.append(d)
+        rows.append(row)
+    return min(rows[-1]) if stem else rows[-1][-1]
+
+
 class Lexicon:
     """Trie of terms, and the product of its paths with Levenshtein automata as a lazily determinised automaton.
 
@@ -54,11 +69,11 @@ class Lexicon:
     dictionary lookups; most words die within four letters.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple]):
         self.children: list[dict[str, int]] = [{}]
         self.most, self.word, self.stem = [0], [-1], [-1]  # edits: allowed below a node; by a word, a stem ending in it
-        for term, stem in terms:
-            node, k = 0, edits(term, stem)
+        for term, stem, *allowed in terms:
+            node, k = 0, allowed[0] if allowed else edits(term, stem)
             self.most[0] = max(self.most[0], k)
             for c in term:
                 if c not in self.children[node]:
@@ -147,6 +162,11 @@ class Scorer:
     def __init__(self, terms: list[tuple[str, bool]]):
         self.lexicon, self.clean, self.hits = Lexicon(terms), set(), {}
 
+    def fuzzy(self, text: str) -> set[str]:
+        """Words of a text that match a term with edits only."""
+        ws = {t.strip(STRIP) for t in text.lower().split()}
+        return {w for w in ws if (f := self.lexicon.look(w)) and not f[1]}
+
     def features(self, text: str) -> list[float]:
         tokens = text.lower().split()
         for raw in set(tokens) - self.clean:
@@ -164,7 +184,7 @@ class Scorer:
         for i in at:
             stem, exact = self.hits[tokens[i]]
             out[stem + 2 * (not exact)] += MENTION if mention(tokens, i) else 1.0
-        return [math.log1p(x) for x in out]
+        return [x / (x + 0.5) for x in out]  # the first hit tells most
 
 
 def mention(tokens: list[str], i: int) -> bool:
@@ -218,7 +238,31 @@ def choose(counts: list[tuple[str, bool, int, int]], n1: int, n0: int) -> list[t
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+def _fuzzy_words(said):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer([tuple(t) for t in json.loads(said.value)])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for t in _texts(b.column(1)) for w in scorer.fuzzy(t)], pa.string())], names=["word"])
+
+    return run
+
+
+def restrain(terms: list[tuple[str, bool, int]], near: list[tuple[str, int]], most: float) -> list[tuple[str, bool, int]]:
+    """terms with as many edits as catch words of at most `most` training documents without label 1; near: such words."""
+    out = []
+    for term, stem, k in terms:
+        at = Counter()
+        for word, n in near:
+            if k and abs(len(word) - len(term)) <= k or k and stem and len(word) > len(term):
+                d = apart(term, word, stem)
+                at[d] += n if d <= k else 0
+        while k and sum(at[d] for d in range(1, k + 1)) > most:
+            k -= 1
+        out.append((term, stem, k))
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, steps: int = 50) -> np.ndarray:
     """Weights (bias first) by Newton steps; the ridge leaves the bias free."""
     x = np.column_stack([np.ones(len(x)), x])
     w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -249,7 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT, key: str = "doc_id"
         counts = counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") >= PURE * (F.col("a") + F.col("b"))))
         # far more than can be chosen, and a bound for what comes to the driver
         counts = counts.orderBy(F.col("a").desc(), "b", "term", "stem").limit(50 * TERMS)
-        terms = choose([tuple(r) for r in counts.collect()], n1, n0)
+        terms = [(t, stem, edits(t, stem)) for t, stem in choose([tuple(r) for r in counts.collect()], n1, n0)]
+        near = families.where("label = 0").mapInArrow(_fuzzy_words(spark.sparkContext.broadcast(json.dumps(terms))), "word string").groupBy("word").agg(F.count("*").alias("n"))
+        terms = restrain(terms, [tuple(r) for r in near.collect()], TOLERATED * n0)
         said = spark.sparkContext.broadcast(json.dumps(terms))
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
