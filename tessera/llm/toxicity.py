@@ -64,34 +64,35 @@ def apart(term: str, word: str, stem: bool) -> int:
 class Lexicon:
     """Trie of terms, and the product of its paths with Levenshtein automata as a lazily determinised automaton.
 
-    A place is (node, pending letter of a transposition); a state of the product holds the fewest edits at each place and
-    the best stem passed. States and transitions are made when a word first needs them and kept, so a word costs a few
+    Terms are (term, is a stem, edits allowed, is mixed); mixed ones are rare or also stand in texts without label 1. A match has a rank:
+    0 exact, 1 exact of a mixed term, 2 and 3 the same with edits. A place is (node, pending letter of a transposition); a
+    state of the product holds the fewest edits at each place and the best rank of a stem passed. States and transitions are made when a word first needs them and kept, so a word costs a few
     dictionary lookups; most words die within four letters.
     """
 
     def __init__(self, terms: list[tuple]):
         self.children: list[dict[str, int]] = [{}]
-        self.most, self.word, self.stem = [0], [-1], [-1]  # edits: allowed below a node; by a word, a stem ending in it
-        for term, stem, *allowed in terms:
-            node, k = 0, allowed[0] if allowed else edits(term, stem)
+        self.most = [0]  # edits allowed by any term below a node
+        self.ends: list[list[tuple[bool, int, bool]]] = [[]]  # (is a stem, edits, is mixed) of the terms that end in a node
+        for term, stem, *rest in terms:
+            k, mixed = (*rest, False)[:2] if rest else (edits(term, stem), False)
+            node = 0
             self.most[0] = max(self.most[0], k)
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.most.append(0)
-                    self.word.append(-1)
-                    self.stem.append(-1)
+                    self.ends.append([])
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], k)
-            end = self.stem if stem else self.word
-            end[node] = max(end[node], k)
+            self.ends[node].append((stem, k, mixed))
         self.reset()
 
     def reset(self) -> None:
         self.moves: list[dict[str, int]] = []
         self.places: list[tuple] = []
-        self.verdicts: list[tuple[bool, bool] | None] = []
+        self.verdicts: list[int | None] = []
         self.number: dict[tuple, int] = {}
         self.start = self._state({(0, ""): 0}, 9)
 
@@ -106,9 +107,8 @@ class Lexicon:
                 if e + 1 <= self.most[child] and e + 1 < at.get((child, ""), 9):
                     at[child, ""] = e + 1
                     todo.append(((child, ""), e + 1))
-        for (node, wait), e in at.items():
-            if not wait and e <= self.stem[node]:
-                stem = min(stem, e)
+        ranks = [(own, 2 * (e > 0) + mixed) for (node, wait), e in at.items() if not wait for own, k, mixed in self.ends[node] if e <= k]
+        stem = min([stem, *(r for own, r in ranks if own)])
         key = (tuple(sorted((n, w, e) for (n, w), e in at.items())), stem)
         if not key[0] and stem == 9:
             return -1
@@ -116,8 +116,8 @@ class Lexicon:
             self.number[key] = len(self.moves)
             self.moves.append({})
             self.places.append((at, stem))
-            word = min((e for (node, wait), e in at.items() if not wait and e <= self.word[node]), default=9)
-            self.verdicts.append((False, True) if word == 0 else (True, True) if stem == 0 else (False, False) if word < 9 else (True, False) if stem < 9 else None)
+            best = min([stem, *(r for _, r in ranks)])
+            self.verdicts.append(None if best == 9 else best)
         return self.number[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -140,8 +140,8 @@ class Lexicon:
                     put(self.children[child][c], x, e + 1)
         return self._state(at, stem)
 
-    def look(self, word: str) -> tuple[bool, bool] | None:
-        """(is a stem, is exact) of the best term that the word matches."""
+    def look(self, word: str) -> int | None:
+        """Rank of the best match of a word."""
         if len(self.moves) > STATES:
             self.reset()
         state, moves = self.start, self.moves
@@ -155,7 +155,7 @@ class Lexicon:
         return self.verdicts[state]
 
 
-FEATURES = 4  # exact words, exact stems, fuzzy words, fuzzy stems
+FEATURES = 4  # by rank
 
 
 class Scorer:
@@ -165,7 +165,7 @@ class Scorer:
     def fuzzy(self, text: str) -> set[str]:
         """Words of a text that match a term with edits only."""
         ws = {t.strip(STRIP) for t in text.lower().split()}
-        return {w for w in ws if (f := self.lexicon.look(w)) and not f[1]}
+        return {w for w in ws if (self.lexicon.look(w) or 0) > 1}
 
     def features(self, text: str) -> list[float]:
         tokens = text.lower().split()
@@ -182,9 +182,8 @@ class Scorer:
         out = [0.0] * FEATURES
         at = [i for i, t in enumerate(tokens) if t in self.hits] if self.hits and not self.hits.keys().isdisjoint(tokens) else []
         for i in at:
-            stem, exact = self.hits[tokens[i]]
-            out[stem + 2 * (not exact)] += MENTION if mention(tokens, i) else 1.0
-        return [x / (x + 0.5) for x in out]  # the first hit tells most
+            out[self.hits[tokens[i]]] += MENTION if mention(tokens, i) else 1.0
+        return [math.log1p(x) if k & 1 else x / (x + 0.5) for k, x in enumerate(out)]  # of mixed terms, the number tells
 
 
 def mention(tokens: list[str], i: int) -> bool:
@@ -228,13 +227,14 @@ def ratio(a, b, na, nb) -> float:
     return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p)) if 0 < p < 1 else 0.0
 
 
-def choose(counts: list[tuple[str, bool, int, int]], n1: int, n0: int) -> list[tuple[str, bool]]:
-    """Terms from (term, stem, documents of label 1, of label 0), strongest first; none is a prefix of another."""
-    scored = [(round(ratio(a, b, n1, n0), 6), len(t), not stem, t, stem) for t, stem, a, b in counts if a + b >= LEAST_DOCS and a >= PURE * (a + b)]
-    out: list[tuple[str, bool]] = []
-    for r, _, _, t, stem in sorted(scored, key=lambda x: (-x[0], -x[1], not x[2], x[3])):
-        if r >= RATIO and len(out) < TERMS and not any(t.startswith(u) or u.startswith(t) for u, _ in out):
-            out.append((t, stem))
+def choose(counts: list[tuple[str, bool, int, int]], n1: int, n0: int) -> list[tuple[str, bool, int, bool]]:
+    """Terms (term, stem, edits, mixed) from (term, stem, documents of label 1, of label 0), strongest first; none is a
+    prefix of another."""
+    scored = [(round(ratio(a, b, n1, n0), 6), len(t), not stem, t, stem, b > 0 or a < 0.05 * n1) for t, stem, a, b in counts if a + b >= LEAST_DOCS and a >= PURE * (a + b)]
+    out: list[tuple[str, bool, int, bool]] = []
+    for r, _, _, t, stem, mixed in sorted(scored, key=lambda x: (-x[0], -x[1], not x[2], x[3])):  # of equal ones the longest
+        if r >= RATIO and len(out) < TERMS and not any(t.startswith(u[0]) or u[0].startswith(t) for u in out):
+            out.append((t, stem, edits(t, stem), mixed))
     return out
 
 
@@ -247,10 +247,10 @@ def _fuzzy_words(said):
     return run
 
 
-def restrain(terms: list[tuple[str, bool, int]], near: list[tuple[str, int]], most: float) -> list[tuple[str, bool, int]]:
+def restrain(terms: list[tuple], near: list[tuple[str, int]], most: float) -> list[tuple]:
     """terms with as many edits as catch words of at most `most` training documents without label 1; near: such words."""
     out = []
-    for term, stem, k in terms:
+    for term, stem, k, mixed in terms:
         at = Counter()
         for word, n in near:
             if k and abs(len(word) - len(term)) <= k or k and stem and len(word) > len(term):
@@ -258,7 +258,7 @@ def restrain(terms: list[tuple[str, bool, int]], near: list[tuple[str, int]], mo
                 at[d] += n if d <= k else 0
         while k and sum(at[d] for d in range(1, k + 1)) > most:
             k -= 1
-        out.append((term, stem, k))
+        out.append((term, stem, k, mixed))
     return out
 
 
@@ -293,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT, key: str = "doc_id"
         counts = counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") >= PURE * (F.col("a") + F.col("b"))))
         # far more than can be chosen, and a bound for what comes to the driver
         counts = counts.orderBy(F.col("a").desc(), "b", "term", "stem").limit(50 * TERMS)
-        terms = [(t, stem, edits(t, stem)) for t, stem in choose([tuple(r) for r in counts.collect()], n1, n0)]
+        terms = choose([tuple(r) for r in counts.collect()], n1, n0)
         near = families.where("label = 0").mapInArrow(_fuzzy_words(spark.sparkContext.broadcast(json.dumps(terms))), "word string").groupBy("word").agg(F.count("*").alias("n"))
         terms = restrain(terms, [tuple(r) for r in near.collect()], TOLERATED * n0)
         said = spark.sparkContext.broadcast(json.dumps(terms))
@@ -314,8 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT, key: str = "doc_id"
 
 
 def tame(w: np.ndarray) -> list[float]:
-    """A hit never speaks against toxicity, and a fuzzy hit, rare in training, weighs at least half an exact one of its
-    kind where training says nothing about it; stems are short, so theirs weigh a quarter."""
+    """A hit never speaks against toxicity, and a hit with edits, rare in training, weighs most of an exact one of a pure term,
+    a quarter of one of a mixed term, where training says less."""
     w = w.copy()
     w[1:] = np.maximum(w[1:], 0)
     w[3] = max(w[3], 0.8 * w[1])

@@ -204,7 +204,7 @@ def test_lexicon_against_edit_distances():
     import random
 
     r = random.Random(5)
-    terms = [("idiot", False), ("disgusting", False), ("scum", False), ("worthless", False), ("achlich", True), ("bomente", True), ("clown", False)]
+    terms = [("idiot", False, 1, False), ("disgusting", False, 2, True), ("scum", False, 0, False), ("worthless", False, 2, False), ("achlich", True, 1, True), ("bomente", True, 0, False), ("clown", False, 1, True)]
     lexicon = toxicity.Lexicon(terms)
     for _ in range(4000):
         w = list(r.choice(terms)[0])
@@ -212,10 +212,9 @@ def test_lexicon_against_edit_distances():
             i = r.randrange(len(w) + 1)
             w[i : i + r.randint(0, 1)] = r.choice([[], [r.choice("idotscumwrhl")], w[i : i + 2][::-1]])
         w = "".join(w)
-        word = min((e for t, s in terms if not s and (e := brute.distance(t, w)[-1][-1]) <= toxicity.edits(t, s)), default=9)
-        stem = min((e for t, s in terms if s and (e := min(brute.distance(t, w)[-1])) <= toxicity.edits(t, s)), default=9)
-        want = (False, True) if word == 0 else (True, True) if stem == 0 else (False, False) if word < 9 else (True, False) if stem < 9 else None
-        assert lexicon.look(w) == want, w
+        rows = [(min(brute.distance(t, w)[-1]) if s else brute.distance(t, w)[-1][-1], k, mixed) for t, s, k, mixed in terms]
+        assert lexicon.look(w) == min((2 * (e > 0) + mixed for e, k, mixed in rows if e <= k), default=None), w
+        assert all(toxicity.apart(t, w, s) == e for (t, s, *_), (e, *_) in zip(terms, rows, strict=True))
 
 
 def test_toxicity_learns_and_tells_mentions(spark):
@@ -233,7 +232,7 @@ def test_toxicity_learns_and_tells_mentions(spark):
         labels.append((i, 1, int(bad)))
     d, l = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([*labels, (9999, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     model = toxicity.fit(d, l)
-    assert {t for t, _ in model["terms"]} >= {"blockhead", "nitwit"}
+    assert {t[0] for t in model["terms"]} >= {"blockhead", "nitwit"}
     probe = spark.createDataFrame([(1, "you blokhead go away"), (2, "you nitwitt"), (3, 'he said "blockhead" once'), (4, "kind words"), (5, None)], "doc_id bigint, text string")
     s = {r["doc_id"]: r["score"] for r in toxicity.score(probe, model).collect()}
     assert s[1] >= 0.3 and s[2] >= 0.3 and s[4] < 0.3 and s[5] == s[4] and s[3] < s[1]
