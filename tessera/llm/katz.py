@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Stash, by_bytes, keyed, mix, raw, table, unkeyed, word_hashes
 
-CUT, VOCABULARY, SHARE, BATCH = 5, 12_000_000, 1_500_000, 1 << 22
+CUT, VOCABULARY, SHARE, BATCH = 5, 12_000_000, 1_500_000, 1 << 21
 END, UNKNOWN, START = (np.uint64(0xE4D0000000000000 + k) for k in (1, 2, 3))
 _U32 = np.uint64(32)
 
