@@ -153,4 +153,10 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_embed_dedup": op10_embed_dedup}
-ORACLES: dict[str, str] = {}
+#: All pairs, for small tables.
+ORACLES = {
+    "op10_embed_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {LEAST}),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a)
+SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(c) AS component_id, r.vec_id = min(c) AS kept FROM r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = r.vec_id GROUP BY r.vec_id"""
+}
