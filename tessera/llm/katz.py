@@ -458,7 +458,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     counted = learn.mapInArrow(_ask_counts(said), "bucket int, data binary")
     bigrams = stash.keep(counted.groupBy("bucket").applyInArrow(_sum_counts(dense), _BIGRAMS))
     m.d = discounts([0, *(x or 0 for x in bigrams.agg(*(F.sum(f"n{c}") for c in range(1, CUT + 2))).first())])
-    said.unpersist()
+    said.destroy()  # its jobs are over and their results written
     said = spark.sparkContext.broadcast(m)
     hot = bigrams.select("data").mapInArrow(_hot(said), "kind bigint, k1 bigint, k2 bigint, x double, y double, z double")
     hot = hot.groupBy("kind", "k1", "k2").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()  # at most a few for each bucket
@@ -471,7 +471,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         keys = _key(k1, k2, dense)
         o = np.argsort(keys)
         m.pairs = keys[o], m.log_seen(c, c1, low)[o]
-    said.unpersist()
+    said.destroy()  # its jobs are over and their results written
     said = spark.sparkContext.broadcast(m)
     asked = source.mapInArrow(_ask_scores(said), "bucket int, data binary")
     parts = asked.groupBy("bucket").cogroup(bigrams.select("bucket", "data").groupBy("bucket")).applyInArrow(_answer(said), _PARTS)
