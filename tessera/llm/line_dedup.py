@@ -1,21 +1,28 @@
-"""Operator 8: removal of globally repeated multi-line chunks with content-defined boundaries.
+"""Operator 8: removal of globally repeated multi-line passages by content-defined chunks.
 
-A text is its \\n-split lines. A chunk ends after line i if the rolling hash of the hashes of lines i-1 and i falls in one
-of `every` classes, so a boundary depends on two lines only and finds its place again after any shift. A chunk counts if
-it has two or more lines with a word and at least `least_words` words in all; the first of equal chunks (smallest
-doc_id, then place) stays, later ones go.
+A text is its \\n-split lines. A passage counts if it has two or more lines with a word and at least `least_words` words
+in all. A line goes if it lies in a passage that counts and stands, byte for byte, in an earlier place too (smaller
+doc_id, then line) that does not overlap it; so the first of equal passages stays and every later one goes whole.
 
-Three narrow steps: hashes of chunks, without text, are counted with map-side combine; texts travel once, to documents
-that have a chunk with a repeated hash; only those chunks are grouped by their bytes, which is the comparison: hashes
+windows: from each line with a word the shortest passage that counts downwards, and the shortest upwards. A passage that
+counts is the union of the windows in it, and each of them is repeated where the passage is, so the windows tell the same
+lines as all passages would, with at most two rows a line. chunks: the same thresholds at boundaries set by the rolling
+hash of the hashes of lines i-1 and i (one of `every` classes): fewer rows, but a passage that shares a chunk with other
+lines stays. op8_line_chunks and the pipeline use the windows.
+
+Three narrow steps: hashes of pieces, without text, are counted with map-side combine; texts travel once, to documents
+that have a piece with a repeated hash; only those pieces are grouped by their bytes, which is the comparison: hashes
 never decide. A passage that a third of all rows share is combined before each shuffle.
 
-Defined results: null texts are kept as they are; empty texts and single lines have no chunk that counts; repeated rows
+Defined results: null texts are kept as they are; empty texts and single lines have no piece that counts; repeated rows
 with one doc_id, or without one, count as one document; a document may lose all its lines and stays with an empty text; an empty table
-gives an empty result.
+gives an empty result. Blank lines at the edges of a passage stay. Each line that goes stands in an earlier place that stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,15 +58,65 @@ def chunks(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) ->
     return F.when(F.instr(text, "\n") == 0, None).otherwise(F.filter(let(F.split(text, "\n"), cut), lambda c: c["counts"]))
 
 
+def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (first, n, hash) of the shortest passages that count, downwards and upwards from each line with a word."""
+    most = max(2, least_words)  # of lines with a word in a window
+
+    def cut(lines: Column) -> Column:
+        def count(x: Column, i: Column) -> Column:
+            own = F.btrim(x, F.lit(SPACE_CHARS))
+            n = F.when(F.length(own) == 0, 0).otherwise(F.size(F.split(own, SPACE_CLASS + "+", most)))
+            return F.struct((i + 1).alias("line"), n.alias("words"))
+
+        def reach(near: Column) -> Column:
+            """How many of the lines `near` are enough; null if all are not."""
+            start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+            enough = lambda a: (a["n"] >= 2) & (a["words"] >= least_words)
+            add = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), (a["n"] + 1).alias("n")))
+            return F.aggregate(near, start, add, lambda a: F.when(enough(a), a["n"]))
+
+        def pieces(at: Column) -> Column:
+            code = lambda a, z: F.shiftleft(a["line"].cast("long"), 32) + (z["line"] - a["line"] + 1)
+            down = lambda x, k: code(x, F.get(at, k + reach(F.slice(at, k + 1, most)) - 1))
+            up = lambda x, k: code(F.get(at, k - reach(F.reverse(F.slice(at, F.greatest(k + 2 - most, F.lit(1)), F.least(k + 1, F.lit(most))))) + 1), x)
+            codes = F.array_compact(F.array_union(F.transform(at, down), F.transform(at, up)))
+
+            def piece(h: Column) -> Column:
+                def one(c: Column) -> Column:
+                    first, n = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+                    return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"))
+
+                return F.transform(codes, one)
+
+            return let(F.transform(lines, lambda x: F.xxhash64(x)), piece)
+
+        return let(F.filter(F.transform(lines, count), lambda x: x["words"] > 0), pieces)
+
+    return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
+
+
 def piece_text(text: Column, c: Column) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), c["first"], c["n"]), "\n")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with `kept_text`, `n_lines` and `n_removed_lines`; clashing names of docs don't matter, they are packed in a struct `row`."""
+    """docs without repeated chunks; see without_repeats."""
+    return without_repeats(docs, lambda whole: chunks(whole, every, least_words), key, text)
+
+
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs without repeated passages, whole; see without_repeats."""
+    return without_repeats(docs, lambda whole: windows(whole, least_words), key, text)
+
+
+def without_repeats(docs: DataFrame, pieces: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with `kept_text`, `n_lines` and `n_removed_lines`; clashing names of docs don't matter, they are packed in a struct `row`.
+
+    Pieces may overlap, but none may begin and end within another one.
+    """
     base = docs.select(keyed(key).alias("_id"), packed(docs).alias("row"))
     whole = F.col(f"row.`{text}`")
-    cut = base.select("_id", F.explode(chunks(whole, every, least_words)).alias("c")).select("_id", F.col("c.hash").alias("h"), F.struct("c.first", "c.n").alias("at"))
+    cut = base.select("_id", F.explode(pieces(whole)).alias("c")).select("_id", F.col("c.hash").alias("h"), F.struct("c.first", "c.n").alias("at"))
     twice = cut.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     suspects = cut.join(twice, "h").groupBy("_id").agg(F.collect_set(F.struct("h", "at.first", "at.n")).alias("cs"))
     met = base.join(suspects.withColumnRenamed("_id", "_sid"), F.col("_id") == F.col("_sid"), "left")
@@ -67,41 +124,41 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     classes = told.groupBy("h", "bytes").agg(F.min(F.struct("_id", "first")).alias("keeper"), F.count("*").alias("times")).where("times > 1")
     gone = (
         told.join(classes, ["h", "bytes"])
-        .where((F.col("_id") != F.col("keeper._id")) | (F.col("first") != F.col("keeper.first")))
+        .where((F.col("_id") != F.col("keeper._id")) | (F.col("first") >= F.col("keeper.first") + F.col("n")))
         .groupBy(F.col("_id").alias("_gid"))
         .agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("gone"))
     )
     out = base.join(gone, F.col("_id") == F.col("_gid"), "left")
     lines = F.split(whole, "\n")
-    #: what stands between the removed chunks, in order
+    #: what stands between the removed pieces, in order
     borders = F.concat(F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("n"))), F.col("gone"), F.array(F.struct((F.size(lines) + 1).alias("first"), F.lit(0).alias("n"))))
-    between = let(
-        F.array(lines),
-        lambda ls: let(
-            borders,
-            lambda b: F.flatten(
-                F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.slice(F.get(ls, F.lit(0)), F.get(b, i - 1)["first"] + F.get(b, i - 1)["n"], F.get(b, i)["first"] - F.get(b, i - 1)["first"] - F.get(b, i - 1)["n"]))
-            ),
-        ),
-    )
-    return out.select(
+
+    def between(ls: Column, b: Column) -> Column:
+        def gap(i: Column) -> Column:
+            start = F.get(b, i - 1)["first"] + F.get(b, i - 1)["n"]
+            return F.slice(F.get(ls, F.lit(0)), start, F.greatest(F.lit(0), F.get(b, i)["first"] - start))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(b) - 1), gap))
+
+    left = out.withColumn("left", F.when(F.col("gone").isNotNull(), let(F.array(lines), lambda ls: let(borders, lambda b: between(ls, b)))))
+    return left.select(
         "row",
-        F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(between, "\n")).alias("kept_text"),
+        F.when(F.col("gone").isNull(), whole).otherwise(F.array_join("left", "\n")).alias("kept_text"),
         F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size("left")).cast("long").alias("n_removed_lines"),
     )
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed_lines (long), kept_sha256 of the remaining text (null: empty)."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with what is left of their texts; n_chars follows where there is such a column."""
     own = docs.columns
-    out = dedup_lines(docs)
+    out = dedup_passages(docs)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in own))
 
