@@ -71,8 +71,8 @@ def apportion(parties: DataFrame, n, share: str, order: list[str], group: list[s
     return p.join(seats.select(*(F.col(k).alias(f"_{k}") for k in keys), "seats"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*parties.columns, F.coalesce("seats", F.lit(0)).alias("seats"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, most: int = MOST) -> DataFrame:
-    """(key, size, source, source_size, target, taken) of every row of docs."""
+def laid_out(docs: DataFrame, key: str, text: str, source: str, seed: int, blocks: int, shards: int, most: int) -> DataFrame:
+    """Every row of docs with its size, where it ends in its shard (`upto`), its shard's and source's words taken and the words of the shards before."""
     sized = docs.select(
         F.col(key),
         F.size(words(F.col(text))).cast("long").alias("size"),
@@ -89,10 +89,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     dealt = apportion(own, F.col("quota"), "shard_size", ["shard"], ["rank"], "most")
     # a source at its bound is taken whole, `most` times
     taken = F.when(F.col("target") >= most * F.col("source_size"), most * F.col("shard_size")).otherwise(F.least(F.col("seats") * F.col("block"), most * F.col("shard_size")))
-    quotas = dealt.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "shard_size", taken.alias("shard_taken"))
+    dealt = dealt.withColumn("shard_taken", taken).withColumn("source_taken", F.sum("shard_taken").over(Window.partitionBy("source")))
+    dealt = dealt.withColumn("before", F.coalesce(F.sum("shard_size").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    quotas = dealt.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "shard_size", "shard_taken", "source_taken", "before")
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col(key), "size")
     laid = sized.withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    out = laid.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
+    return laid.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, most: int = MOST) -> DataFrame:
+    """(key, size, source, source_size, target, taken) of every row of docs."""
+    out = laid_out(docs, key, text, source, seed, blocks, shards, most)
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("shard_taken") / F.col("shard_size"))).otherwise(0)
     rest = F.col("shard_taken") - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("upto") - F.col("size"))))
@@ -103,15 +110,28 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def whole_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, most: int = MOST) -> DataFrame:
+    """(key, size, source, target, times) of every row of docs: how often it is taken whole.
+
+    A source's words in all shards, one after the other, are one line in seeded order. Its documents are taken in whole
+    passes, and once more while their middle lies before what is left of the quota: it is met to half a document.
+    """
+    out = laid_out(docs, key, text, source, seed, blocks, shards, most)
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("source_taken") / F.col("source_size"))).otherwise(0)
+    rest = F.col("source_taken") - passes * F.col("source_size")
+    once_more = F.col("before") + F.col("upto") - F.col("size") / 2 < rest
+    return out.select(key, "size", "source", "target", F.when(F.col("size") > 0, passes + once_more.cast("int")).otherwise(0).cast("long").alias("times"))
+
+
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it in whole: floor(taken / size), at least once if any of it is taken.
+    """Each document as often as the mix takes it whole (whole_documents); a source's words meet its quota to half a document.
 
     The copies keep the document's columns. Documents of size 0 are in no block and go. Rows
     without doc_id stay as they are; rows with one doc_id are each taken as often as all of them.
     """
     rows = docs.select("doc_id", packed(docs).alias("row"))
     alone = docs.where("doc_id is null")
-    times = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("taken") / F.col("size"))).alias("times"))
+    times = whole_documents(docs).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
     return rows.join(times, F.col("doc_id") == F.col("_id")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*").unionByName(alone)
 
 

@@ -4,8 +4,9 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup
+from tessera.llm import line_dedup, mixing
 
 
 def passages(docs: dict, least_words: int) -> dict:
@@ -48,3 +49,21 @@ def test_repeated_passages_go_whole(spark, n, tmp_path):
     assert gone == {i: n if i else 0 for i in range(12)}
     left = {x["doc_id"]: x["text"] for x in line_dedup.stage_lines(spark, docs, str(tmp_path)).collect()}
     assert left == {i: f"head {i} of its own\ntail {i} of its own" if i else rows[0][1] for i in range(12)}
+
+
+def sources(spark, sizes: dict, least=20, most=180):
+    """documents whose sources hold about so many of them, of least to most words."""
+    r = random.Random(5)
+    rows = [(s, "w " * r.randint(least, most)) for s, n in sizes.items() for _ in range(n)]
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint").cache()
+
+
+def test_mixing_stage_meets_targets(spark):
+    """Sources of few documents a shard: the copies' words, not only the fractions, follow the targets."""
+    docs = sources(spark, {f"s{k:02d}": 40 for k in range(9)} | {"hot": 500})
+    target = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    copies = mixing.stage_mix(spark, docs, "").groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    out = {r["source"]: r["n"] for r in copies}
+    assert all(abs(out.get(s, 0) - want) <= 100 for s, want in target.items()), (out, target)
+    most = mixing.stage_mix(spark, docs, "").groupBy("doc_id").count().agg(F.max("count")).first()[0]
+    assert most <= mixing.MOST
