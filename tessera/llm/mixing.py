@@ -3,6 +3,7 @@
 Sizes are words. Targets are the water-filling of all words over the sources by weight, each at most `most` times its
 source. The total is cut into BLOCKS equal blocks; a block goes to the source with the highest quotient
 target / (2 * blocks held + 1), then within the source to the shard with the highest quotient size / (2 * held + 1).
+A shard holds up to `most` times its words; what of its blocks it cannot hold goes to the source's other shards that can.
 A shard takes its quota as whole passes over its documents plus the first blocks in a seeded document order.
 
 Scale: the only wide shuffle carries (doc_id, size, source, shard) and deals each source over SHARDS shards, so a
@@ -71,6 +72,16 @@ def apportion(parties: DataFrame, n, share: str, order: list[str], group: list[s
     return p.join(seats.select(*(F.col(k).alias(f"_{k}") for k in keys), "seats"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*parties.columns, F.coalesce("seats", F.lit(0)).alias("seats"))
 
 
+def refill(dealt: DataFrame, most: int) -> DataFrame:
+    """dealt(source, shard, shard_size, quota, seats, block) with `shard_taken`: the quota's words, as far as the shards hold them."""
+    by_shard, all_shards = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
+    held = F.least(F.col("seats") * F.col("block"), most * F.col("shard_size"))
+    d = dealt.withColumn("_held", held).withColumn("_room", most * F.col("shard_size") - held)
+    d = d.withColumn("_short", F.col("quota") * F.col("block") - F.sum("_held").over(all_shards)).withColumn("_before", F.coalesce(F.sum("_room").over(by_shard), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(F.col("_room"), F.col("_short") - F.col("_before")))
+    return d.withColumn("shard_taken", F.col("_held") + more).drop("_held", "_room", "_short", "_before")
+
+
 def laid_out(docs: DataFrame, key: str, text: str, source: str, seed: int, blocks: int, shards: int, most: int) -> DataFrame:
     """Every row of docs with its size, where it ends in its shard (`upto`), its shard's and source's words taken and the words of the shards before."""
     sized = docs.select(
@@ -85,10 +96,11 @@ def laid_out(docs: DataFrame, key: str, text: str, source: str, seed: int, block
     block = F.greatest(F.lit(1).cast("long"), F.floor(F.col("all") / blocks))
     plan = apportion(plan.withColumn("block", block), F.floor(F.col("all") / F.col("block")), "target", ["rank"])
     own = shard.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    own = own.withColumnRenamed("seats", "quota").withColumn("most", F.floor(most * F.col("shard_size") / F.col("block")))
+    own = own.withColumnRenamed("seats", "quota").withColumn("most", F.ceil(most * F.col("shard_size") / F.col("block")))
     dealt = apportion(own, F.col("quota"), "shard_size", ["shard"], ["rank"], "most")
+    dealt = refill(dealt, most)
     # a source at its bound is taken whole, `most` times
-    taken = F.when(F.col("target") >= most * F.col("source_size"), most * F.col("shard_size")).otherwise(F.least(F.col("seats") * F.col("block"), most * F.col("shard_size")))
+    taken = F.when(F.col("target") >= most * F.col("source_size"), most * F.col("shard_size")).otherwise(F.col("shard_taken"))
     dealt = dealt.withColumn("shard_taken", taken).withColumn("source_taken", F.sum("shard_taken").over(Window.partitionBy("source")))
     dealt = dealt.withColumn("before", F.coalesce(F.sum("shard_size").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     quotas = dealt.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "shard_size", "shard_taken", "source_taken", "before")

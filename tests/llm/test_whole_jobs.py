@@ -67,3 +67,13 @@ def test_mixing_stage_meets_targets(spark):
     assert all(abs(out.get(s, 0) - want) <= 100 for s, want in target.items()), (out, target)
     most = mixing.stage_mix(spark, docs, "").groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert most <= mixing.MOST
+
+
+def test_mixing_deals_all_words(spark):
+    """Sources near their bound beside a hot one, with shards of less than a block."""
+    docs = sources(spark, {f"s{k:02d}": 30 for k in range(20)} | {"hot": 520})
+    rows = mixing.mix(docs, blocks=256, shards=64).collect()
+    total = {s: [sum(r["taken"] for r in rows if r["source"] == s), next(r["target"] for r in rows if r["source"] == s)] for s in {r["source"] for r in rows}}
+    block = sum(r["size"] for r in rows) // 256
+    assert all(abs(taken - want) <= block for taken, want in total.values()), (block, total)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
