@@ -6,8 +6,8 @@ find-first-set picks the lowest rank; within a bucket the leftmost place comes f
 since is stale and skipped. A merge costs O(log n) whatever the length of the pre-token, so one of a megabyte is no
 trouble. Encodings of pre-tokens are kept in a bounded cache for each worker.
 
-Both directions are `mapInArrow` steps without a shuffle: work follows the bytes of the input partitions, a lost task is
-run again by itself. The rank file (under 1 MB, its path a parameter) is read on the driver and broadcast.
+Both directions, and both in one, are `mapInArrow` steps without a shuffle: work follows the bytes of the input partitions, a lost task is
+run again by itself. A worker takes BATCH bytes of text at once. The rank file (under 1 MB, its path a parameter) is read on the driver and broadcast.
 
 Defined results: null or empty texts have no ids and decode to no bytes; repeated rows are encoded each; other columns
 stay, but those with a result's name; an empty table gives an empty result.
@@ -16,9 +16,11 @@ stay, but those with a result's name; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappop as pop
+from heapq import heappush as push
 
 import pyarrow as pa
 import regex
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import packed, table
+from tessera.llm.common import by_bytes, packed, table
 
 #: Encodings in each of a worker's two generations; a full one becomes the old one, from which those in use come back.
-CACHE = 400_000
+CACHE = 200_000
 #: A leaf of the bitmap has 2^LEAF bits.
 LEAF = 8
 MASK = (1 << LEAF) - 1
+BITS = [1 << k for k in range(1 << 13)]  # of blocks and ranks in a block: up to two million ranks
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -46,51 +49,66 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     The queue is written out in place, as it is most of the work: bucket[rank] holds places, leaf[block] the bits of the
     occupied ranks of a block, top the bits of the occupied blocks. `x & -x` is find-first-set.
     """
-    get, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    get = ranks.get
     if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends; parts are linked through their ends
     before = list(range(-1, n))
-    rank_at: list[int | None] = [None] * n
+    rank_at = [get(piece[i : i + 2]) for i in range(n - 1)]  # of the pair that begins at i
+    rank_at.append(None)
     top, leaf, bucket = 0, {}, {}
-    fresh = [(i, i + 2) for i in range(n - 1)]  # pairs (begin, end) whose rank is to be looked up
-    while True:
-        for i, stop in fresh:
-            rank_at[i] = r = get(piece[i:stop])
-            if r is not None:
-                if own := bucket.get(r):
-                    push(own, i)
-                else:
-                    bucket[r] = [i]
-                    block = r >> LEAF
-                    leaf[block] = leaf.get(block, 0) | 1 << (r & MASK)
-                    top |= 1 << block
-        while top:
-            first = top & -top
-            block = first.bit_length() - 1
-            bits = leaf[block]
-            bit = bits & -bits
-            rank = (block << LEAF) + bit.bit_length() - 1
-            own = bucket[rank]
+    for i, r in enumerate(rank_at):
+        if r is not None:
+            if r in bucket:
+                bucket[r].append(i)  # places ascend, which is a heap
+            else:
+                bucket[r] = [i]
+                block = r >> LEAF
+                leaf[block] = leaf.get(block, 0) | BITS[r & MASK]
+                top |= BITS[block]
+    while top:
+        first = top & -top
+        block = first.bit_length() - 1
+        bits = leaf[block]
+        bit = bits & -bits
+        rank = (block << LEAF) + bit.bit_length() - 1
+        own = bucket[rank]
+        if len(own) > 1:
             i = pop(own)
-            if not own:
-                leaf[block] = bits = bits ^ bit
-                if not bits:
-                    top ^= first
-            if rank_at[i] == rank:
-                break  # else stale
         else:
-            break
+            i = own[0]
+            del bucket[rank]
+            leaf[block] = bits = bits ^ bit
+            if not bits:
+                top ^= first
+        if rank_at[i] != rank:
+            continue  # stale
         j = end[i]
         end[i] = k = end[j]
         rank_at[i] = rank_at[j] = None
-        h = before[i]
         if k < n:
             before[k] = i
-            fresh = [(i, end[k]), (h, k)] if h >= 0 else [(i, end[k])]
-        else:
-            fresh = [(h, k)] if h >= 0 else []
+            rank_at[i] = r = get(piece[i : end[k]])
+            if r is not None:
+                if r in bucket:
+                    push(bucket[r], i)
+                else:
+                    bucket[r] = [i]
+                    block = r >> LEAF
+                    leaf[block] = leaf.get(block, 0) | BITS[r & MASK]
+                    top |= BITS[block]
+        h = before[i]
+        if h >= 0:
+            rank_at[h] = r = get(piece[h:k])
+            if r is not None:
+                if r in bucket:
+                    push(bucket[r], h)
+                else:
+                    bucket[r] = [h]
+                    block = r >> LEAF
+                    leaf[block] = leaf.get(block, 0) | BITS[r & MASK]
+                    top |= BITS[block]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -137,33 +155,51 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _mapped(df: DataFrame, source: str, target: str, keep: bool, vocab: str, pattern: str, ask: str) -> DataFrame:
-    """df with the binary column `target` made of `source`, which stays if `keep`, by the codec's method `ask`."""
+def _mapped(df: DataFrame, source: str, keep: bool, vocab: str, pattern: str, made: list[T.StructField], ask: Callable[[Codec, object], tuple]) -> DataFrame:
+    """df with the columns `made` of `source`, which stays if `keep`: what ask(codec, value) gives, null values as empty."""
     with open(vocab, "rb") as f:
         raw = df.sparkSession.sparkContext.broadcast(f.read())
+    names = [x.name for x in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = getattr(_codec(raw.value, pattern), ask)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):  # small results at a time
-                part = b.slice(at, 1000)
-                own = {k: part.column(k) for k in ("row", "v")[: 1 + keep]}
-                own["made"] = pa.array([f(x.as_py()) if x.is_valid else b"" for x in part.column("v")], pa.binary())
-                yield pa.RecordBatch.from_pydict(own)
+        codec = _codec(raw.value, pattern)
+        for b in (part for batch in batches for part in by_bytes(batch, [1])):
+            own = [b.column(k) for k in range(1 + keep)]
+            values = list(zip(*(ask(codec, x.as_py() if x.is_valid else None) for x in b.column(1)), strict=True))
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=[*("row", "v")[: 1 + keep], *names])
 
-    rows = df.select(packed(df, (source, target)).alias("row"), F.col(source).alias("v"))
-    schema = T.StructType([*rows.schema.fields[: 1 + keep], T.StructField("made", T.BinaryType())])
-    return rows.mapInArrow(run, schema).select("row.*", *[F.col("v").alias(source)][:keep], F.col("made").alias(target))
+    types = [_ARROW[x.dataType] for x in made]
+    others = [c for c in df.columns if c != source and c not in names]
+    row = packed(df.select(*(F.col(f"`{c}`") for c in others))) if others else F.struct(F.lit(0).alias("_none"))
+    rows = df.select(row.alias("row"), F.col(f"`{source}`").alias("v"))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[: 1 + keep], *made]))
+    return out.select(*(F.col(f"row.`{c}`") for c in others), *[F.col("v").alias(source)][:keep], *names)
+
+
+_ARROW = {T.BinaryType(): pa.binary(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
 
 
 def encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the column text replaced by packed ids (binary); needs another column beside text."""
-    return _mapped(docs, text, ids, False, vocab, pattern, "encode")
+    """docs with the column text replaced by packed ids (binary)."""
+    return _mapped(docs, text, False, vocab, pattern, [T.StructField(ids, T.BinaryType())], lambda codec, x: (codec.encode(x or ""),))
 
 
 def decode(encoded: DataFrame, vocab: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encoded with the bytes of its packed ids (binary; a text that was valid stays valid UTF-8)."""
-    return _mapped(encoded, ids, decoded, True, vocab, pattern, "decode")
+    return _mapped(encoded, ids, True, vocab, pattern, [T.StructField(decoded, T.BinaryType())], lambda codec, x: (codec.decode(x or b""),))
+
+
+def round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with the column text replaced by ids (packed), n_tokens, ids_sha256 and decoded_sha256: encoded and, from the ids,
+    decoded in one pass."""
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+
+    def ask(codec: Codec, x) -> tuple:
+        ids = codec.encode(x or "")
+        return ids, len(ids) // 4, digest(ids), digest(codec.decode(ids))
+
+    made = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _mapped(docs, text, False, vocab, pattern, made, ask)
 
 
 def default_vocab() -> tuple[str, str]:
@@ -172,19 +208,14 @@ def default_vocab() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 after a round trip."""
-    vocab, pattern = default_vocab()
-    out = decode(encode(docs.select("doc_id", "text"), vocab, pattern), vocab, pattern)
-    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *default_vocab())
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digests(docs)
+    """doc_id, ids (packed), n_tokens and the digests of ids and decoded bytes of every row."""
+    return round_trip(docs.select("doc_id", "text"), *default_vocab())
 
 
 QUERIES = {"op4_byte_bpe": op4_byte_bpe}

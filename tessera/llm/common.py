@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own (tests); a
+    cluster without it is an error, as a local folder would scatter a table over the executors' disks."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -41,7 +44,9 @@ class Stash:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, number: str | None = None) -> DataFrame:
+        """df, written and read again. `number` names a further column: a bigint for each row, different for all rows and the
+        same for all readers, made of the row's file and place in it."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -52,6 +57,9 @@ class Stash:
         finally:
             self.spark.conf.unset(freed) if before is None else self.spark.conf.set(freed, before)
         out = self.spark.read.schema(df.schema).parquet(path)
+        if number:
+            file = F.regexp_extract(F.col("_metadata.file_name"), r"^part-([0-9]+)-", 1).cast("bigint")
+            out = out.select("*", (F.shiftleft(file, 40) + F.col("_metadata.row_index")).alias(number))
         self.paths[id(out)] = path
         out._stash_path = path
         return out
@@ -63,7 +71,7 @@ class Stash:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows without a key count as one document with this key: the last of all.
+#: Rows without a key count as one document with this key: the last of all (a key of this value means the same).
 LAST = (1 << 63) - 1
 
 
@@ -123,6 +131,8 @@ def components(stash: Stash, edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 # ---- bytes of many texts at once, for the operators that run on Arrow batches ----
 
+#: Bytes of text that a worker takes at once, a longer text by itself.
+BATCH = 1 << 19
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -153,16 +163,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Cached powers of an odd base and of its inverse."""
+    """Powers of an odd base and of its inverse; those of a batch are kept, those of a longer text are made anew."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 4 * BATCH:
+            return powers(self.base, n), powers(self.inverse, n)
         if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                self.up, self.down = powers(self.base, n + n // 4), powers(self.inverse, n + n // 4)
+            self.up, self.down = powers(self.base, n + n // 4), powers(self.inverse, n + n // 4)
         return self.up[:n], self.down[:n]
 
 
@@ -178,30 +189,38 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_WORD_CODES, _WORD_PW = byte_codes(11), Powers(0x9E3779B97F4A7C15)
+_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and the number of words of each text.
 
-    The words are the contract's; A-Z are lower-cased first. Memory is a few dozen times the batch's bytes.
+    The words are the contract's; A-Z are lower-cased first. A word is hashed in blocks of 8 bytes: each is mixed with its
+    place before the blocks are summed, so no structure of a long word cancels out. Memory is a dozen times the batch's bytes.
     """
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    data = np.frombuffer(b"\n".join(texts) + b"\n" * 9, dtype=np.uint8)  # a block may be read at any byte
     if lower:
         data = _LOWER[data]
-    space = _IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space))))  # begins and ends in turn
-    begin, end = edge[0::2], edge[1::2]
-    h = prefix_hash(data, _WORD_CODES, _WORD_PW)
-    _, down = _WORD_PW.get(len(data))
-    out = mix((h[end] - h[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    stops = np.cumsum(sizes + 1)
-    upto = np.searchsorted(begin, stops, side="left")
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _IS_SPACE[data]))))  # begins and ends in turn
+    begin, size = edge[0::2], edge[1::2] - edge[0::2]
+    block = np.ndarray((len(data) - 8,), dtype="<u8", buffer=data, strides=(1,))
+    out = mix((block[begin] & _EIGHT[np.minimum(size, 8)]) + _STEP)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # blocks after the first
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        left = np.repeat(size[long], more) - 8 * k
+        rest = mix((block[np.repeat(begin[long], more) + 8 * k] & _EIGHT[np.minimum(left, 8)]) + _STEP * (k + 1).astype(np.uint64))
+        out[long] += np.add.reduceat(rest, first)
+    out = mix(out + size.astype(np.uint64) * _STEP)
+    upto = np.searchsorted(begin, np.cumsum(sizes + 1), side="left")
     return out, np.diff(np.concatenate(([0], upto)))
 
 
-def by_bytes(batch, columns: list[int], most: int = 1 << 21):
+def by_bytes(batch, columns: list[int], most: int = BATCH):
     """Slices of a record batch whose given string or binary columns hold about `most` bytes together, or one row."""
     n = np.zeros(batch.num_rows, dtype=np.int64)
     for c in columns:

@@ -10,9 +10,11 @@ lines as all passages would, with at most two rows a line. chunks: the same thre
 hash of the hashes of lines i-1 and i (one of `every` classes): fewer rows, but a passage that shares a chunk with other
 lines stays. op8_line_chunks and the pipeline use the windows.
 
-Three narrow steps: hashes of pieces, without text, are counted with map-side combine; texts travel once, to documents
-that have a piece with a repeated hash; only those pieces are grouped by their bytes, which is the comparison: hashes
-never decide. A passage that a third of all rows share is combined before each shuffle.
+Narrow steps: hashes of pieces, without text, are written and counted with map-side combine; texts meet their repeated
+hashes and are written with them; only those pieces are grouped by their bytes, which is the comparison: hashes never
+decide. Texts without such a piece then pass, the others travel once more, to the pieces that go. A passage that a third
+of all rows share is combined before it is counted or compared, and its rows are dealt by SALTS where they meet the result.
+The steps before the last run while the query is built.
 
 Defined results: null texts are kept as they are; empty texts and single lines have no piece that counts; repeated rows
 with one doc_id, or without one, count as one document; a document may lose all its lines and stays with an empty text; an empty table
@@ -26,10 +28,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, keyed, packed, table
+from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, Stash, keyed, packed, table
 from tessera.llm.quality import let
 
-EVERY, LEAST_WORDS = 3, 12
+EVERY, LEAST_WORDS, SALTS = 3, 12, 16
 
 
 def chunks(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) -> Column:
@@ -95,10 +97,6 @@ def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
     return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
 
 
-def piece_text(text: Column, c: Column) -> Column:
-    return F.array_join(F.slice(F.split(text, "\n"), c["first"], c["n"]), "\n")
-
-
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without repeated chunks; see without_repeats."""
     return without_repeats(docs, lambda whole: chunks(whole, every, least_words), key, text)
@@ -114,21 +112,38 @@ def without_repeats(docs: DataFrame, pieces: Callable[[Column], Column], key: st
 
     Pieces may overlap, but none may begin and end within another one.
     """
+    stash = Stash(docs.sparkSession)
     base = docs.select(keyed(key).alias("_id"), packed(docs).alias("row"))
     whole = F.col(f"row.`{text}`")
-    cut = base.select("_id", F.explode(pieces(whole)).alias("c")).select("_id", F.col("c.hash").alias("h"), F.struct("c.first", "c.n").alias("at"))
-    twice = cut.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    suspects = cut.join(twice, "h").groupBy("_id").agg(F.collect_set(F.struct("h", "at.first", "at.n")).alias("cs"))
-    met = base.join(suspects.withColumnRenamed("_id", "_sid"), F.col("_id") == F.col("_sid"), "left")
-    told = met.where("cs is not null").select("_id", F.explode("cs").alias("c"), whole.alias("_text")).select("_id", "c.h", "c.first", "c.n", piece_text(F.col("_text"), F.col("c")).alias("bytes"))
-    classes = told.groupBy("h", "bytes").agg(F.min(F.struct("_id", "first")).alias("keeper"), F.count("*").alias("times")).where("times > 1")
+    cut = base.select("_id", F.explode(pieces(whole)).alias("c")).select("_id", F.col("c.hash").alias("h"), (F.shiftleft(F.col("c.first").cast("long"), 32) + F.col("c.n")).alias("code"))
+    cut = stash.keep(cut)
+    salt = F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    twice = cut.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", salts)
+    suspects = cut.select("*", salt).join(twice, ["h", "salt"]).groupBy("_id").agg(F.collect_set(F.struct("h", "code")).alias("cs"))
+    met = stash.keep(base.join(suspects.withColumnRenamed("_id", "_sid"), F.col("_id") == F.col("_sid"), "left").select("_id", "row", "cs"))
+    stash.drop(cut)
+
+    def told_of(ls: Column) -> Column:
+        def one(c: Column) -> Column:
+            first, n = F.shiftright(c["code"], 32).cast("int"), c["code"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+            return F.struct(c["h"].alias("h"), first.alias("first"), n.alias("n"), F.array_join(F.slice(F.get(ls, F.lit(0)), first, n), "\n").alias("bytes"))
+
+        return F.transform("cs", one)
+
+    some = met.where("cs is not null")
+    told = some.select("_id", F.explode(let(F.array(F.split(whole, "\n")), told_of)).alias("c")).select("_id", "c.*")
+    digest = F.unhex(F.sha2("bytes", 256)).alias("digest")
+    classes = told.groupBy("h", "bytes").agg(F.min(F.struct("_id", "first")).alias("keeper"), F.count("*").alias("times")).where("times > 1").select("h", digest, "keeper", salts)
     gone = (
-        told.join(classes, ["h", "bytes"])
+        told.select("_id", "h", "first", "n", digest, salt)
+        .join(classes, ["h", "digest", "salt"])
         .where((F.col("_id") != F.col("keeper._id")) | (F.col("first") >= F.col("keeper.first") + F.col("n")))
         .groupBy(F.col("_id").alias("_gid"))
         .agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("gone"))
     )
-    out = base.join(gone, F.col("_id") == F.col("_gid"), "left")
+    out = some.join(gone, F.col("_id") == F.col("_gid"), "left").select("row", "gone")
+    out = out.unionByName(met.where("cs is null").select("row", F.lit(None).cast("array<struct<first:int,n:int>>").alias("gone")))
     lines = F.split(whole, "\n")
     #: what stands between the removed pieces, in order
     borders = F.concat(F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("n"))), F.col("gone"), F.array(F.struct((F.size(lines) + 1).alias("first"), F.lit(0).alias("n"))))

@@ -19,8 +19,9 @@ Scale: hashes and sketches are made where the texts are; the widest shuffles car
 for classes with candidates. Counts are combined before shuffles, and joins on hot values can be split by AQE.
 
 Defined results: null, empty and blank texts have the empty set, are linked with nothing and kept; fewer than five words
-make one shingle; repeated rows with one doc_id count once (with different texts: as one document of
-all their links); rows without doc_id count as one document, the last; an empty table gives an empty result.
+make one shingle; every row is a document of its own, rows that repeat a doc_id too: each gets the smallest doc_id that its
+text reaches; rows without doc_id come after all others, and where a component has nothing else its number is null and its
+rows are kept; an empty table gives an empty result. Most steps run while the query is built.
 """
 
 from __future__ import annotations
@@ -69,11 +70,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
+                    part.column(3),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "same", "sketch"],
+                names=["doc_id", "t1", "t2", "n", "same", "sketch"],
             )
 
 
@@ -93,7 +96,7 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(raw(b.column(1)))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(map(len, sets), pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            names=["rep", "n", "shingles", "values"],
+            names=["cid", "n", "shingles", "values"],
         )
 
 
@@ -178,58 +181,65 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """(doc_id, n_shingles, component_id, kept) of every document. Links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     stash = Stash(spark)
+    # a doc_id may have several texts: t1 and t2, hashes of the text, tell which
     source = docs.select(keyed(key).alias("doc_id"), F.col(text).alias("text"))
-    sketches = stash.keep(source.mapInArrow(_sketch, "doc_id bigint, n bigint, same binary, sketch array<bigint>"))
-    classes = stash.keep(sketches.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    source = source.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    sketches = stash.keep(source.mapInArrow(_sketch, "doc_id bigint, t1 bigint, t2 bigint, n bigint, same binary, sketch array<bigint>"))
+    classes = sketches.where("n > 0").groupBy("same").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stash.keep(classes, "cid")
 
     # inverted lists of the rarest values that must show a link
-    values = classes.select("rep", "n", F.explode("sketch").alias("value"))
+    values = classes.select("cid", "n", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(shared, "value").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    held = values.join(shared, "value").groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     # values of df 1 are the rarest of all and take up places of the prefix
     need = F.least(F.lit(NEED), F.ceil(F.col("n") * percent / 100)).cast("int")
     room = F.least(F.col("n"), F.lit(K)).cast("int") - need + 1
     alone = F.least(F.col("n"), F.lit(K)).cast("int") - F.size("vs")
-    lists = stash.keep(held.where(room > alone).select("rep", F.explode(F.slice("vs", 1, room - alone)).alias("v")).select("rep", "v.value"))
-    sizes = lists.groupBy("value").agg(F.countDistinct("rep").alias("members")).where("members > 1")
+    lists = stash.keep(held.where(room > alone).select("cid", F.explode(F.slice("vs", 1, room - alone)).alias("v")).select("cid", "v.value"))
+    sizes = lists.groupBy("value").agg(F.countDistinct("cid").alias("members")).where("members > 1")
     members = lists.join(sizes, "value").distinct()
-    with_sketch = stash.keep(members.join(classes.select("rep", F.struct("n", "sketch").alias("c")), "rep"))
+    with_sketch = stash.keep(members.join(classes.select("cid", F.struct("n", "sketch").alias("c")), "cid"))
     stash.drop(lists)
-    texts = stash.keep(source.join(with_sketch.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = classes.join(with_sketch.select("cid").distinct(), "cid", "left_semi").select("cid", "first.*")
+    texts = stash.keep(source.join(wanted, ["doc_id", "t1", "t2"]).select("cid", "text").dropDuplicates(["cid"]))
 
     def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("value", F.col("rep").alias(x), F.col("c").alias(f"c{x}"))
+        return df.select("value", F.col("cid").alias(x), F.col("c").alias(f"c{x}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs(a, b, ca, cb) those linked: estimated, made distinct, then compared on full sets."""
         hopeful = pairs.where(_hopeful("ca", "cb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        t = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        u = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        t = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
+        u = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
         return stash.keep(hopeful.join(t, "a").join(u, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a bigint, b bigint"))
 
     short = with_sketch.where(F.col("members") <= SHORT)
     links = verified(side(short, "a").join(side(short, "b"), "value").where("a < b"))
 
-    long = stash.keep(with_sketch.where(F.col("members") > SHORT).select("rep").distinct())
-    full = stash.keep(texts.join(long, texts.doc_id == long.rep, "left_semi").mapInArrow(_full, "rep bigint, n int, shingles binary, values array<bigint>"))
-    held = full.select("rep", "n", F.explode("values").alias("value"))
+    long = stash.keep(with_sketch.where(F.col("members") > SHORT).select("cid").distinct())
+    full = stash.keep(texts.join(long, "cid", "left_semi").mapInArrow(_full, "cid bigint, n int, shingles binary, values array<bigint>"))
+    held = full.select("cid", "n", F.explode("values").alias("value"))
     many = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = held.join(many, "value").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    held = held.join(many, "value").groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     # n - ceil(0.85 n) + 1 rarest; values of df 1 come first and take up places
     room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("vs"))
-    exact = held.where(room > 0).select("rep", "n", F.explode(F.slice("vs", 1, room)).alias("v")).select("rep", "n", "v.value")
+    exact = held.where(room > 0).select("cid", "n", F.explode(F.slice("vs", 1, room)).alias("v")).select("cid", "n", "v.value")
     sized = exact.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).where("members > 1")
     parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("weight") / WEIGHT)).cast("int")
-    placed = exact.join(sized, "value").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = exact.join(sized, "value").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    blocks = placed.select(F.xxhash64("value", low, high).alias("key"), (low == high).alias("same_part"), "part", "rep").join(full.select("rep", "shingles"), "rep")
-    blocks = blocks.select("key", "same_part", "part", "rep", "shingles").repartition("key").sortWithinPartitions("key", "rep")
+    blocks = placed.select(F.xxhash64("value", low, high).alias("key"), (low == high).alias("same_part"), "part", "cid").join(full.select("cid", "shingles"), "cid")
+    blocks = blocks.select("key", "same_part", "part", "cid", "shingles").repartition("key").sortWithinPartitions("key", "cid")
     links = links.unionByName(blocks.mapInArrow(_count_blocks(percent), "a bigint, b bigint"))
 
     comp = components(stash, links)
-    joined = classes.select("same", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "same").join(joined, "same", "left")
+    numbered = comp.join(classes.select(F.col("cid").alias("node"), F.col("first.doc_id").alias("doc_id")), "node")
+    least = numbered.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    told = comp.join(least, "component").select(F.col("node").alias("cid"), "component_id")
+    told = classes.select("cid", "same", F.col("first.doc_id").alias("doc_id")).join(told, "cid", "left").select("same", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "same").join(told, "same", "left")
     own = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
     return out.select(unkeyed("doc_id").alias("doc_id"), "n_shingles", unkeyed("component_id").alias("component_id"), "kept")

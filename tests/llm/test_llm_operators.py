@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embed_dedup, katz, line_dedup, minhash, mixing, pii, quality, substring_dedup, toxicity
+from tessera.llm import bpe, common, embed_dedup, katz, line_dedup, minhash, mixing, pii, quality, substring_dedup, toxicity
 from tessera.llm.suffix import suffix_order
 
 
@@ -75,6 +75,35 @@ def test_near_duplicates_missing_keys(no_key):
     assert len(out) == no_key.count()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_repeated_keys(spark, seed):
+    """Several texts under one doc_id, or under none: each row reaches what its own text reaches, in any row order."""
+    import random
+
+    r = random.Random(seed)
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: say(k) + " tail"
+    rows = [(1, say(1)), (1, say(2)), (2, near(2)), (3, near(1)), (None, say(3)), (None, say(4)), (7, near(4)), (8, near(3)), (None, say(5)), (None, near(5)), (9, say(6)), (4, near(6)), (9, say(7)), (9, say(7)), (6, None), (6, say(8))]
+    r.shuffle(rows)
+    texts = dict(enumerate(t for _, t in rows))
+    group, least = {i: c for i, (_, c) in brute.near_duplicates(texts).items()}, {}
+    for i, (d, _) in enumerate(rows):
+        least[group[i]] = min(least.get(group[i], 1 << 62), 1 << 62 if d is None else d)
+    want = sorted((str(d), str(least[group[i]]) if least[group[i]] < 1 << 62 else "None") for i, (d, _) in enumerate(rows))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(seed)).collect()
+    assert sorted((str(x["doc_id"]), str(x["component_id"])) for x in out) == want
+
+
+def test_word_hashes_tell_words_apart():
+    a, b = b"a", b"b"
+    for _ in range(12):
+        a, b = a + b, b + a  # their power sums modulo 2^64 are equal for every odd base
+    ws = [a, b, b"x", b"X", b"x" * 8, b"x" * 9, b"x" * 16, b"x" * 17, b"x" * 7 + b"\0", b"x" * 7, "é".encode(), b"12345678abc", b"abc12345678"]
+    h, n = common.word_hashes([b" ".join(ws), b"", b"\t" + a + b"\n"])
+    assert n.tolist() == [len(ws), 0, 1] and h[-1] == h[0] and h[2] == h[3]
+    assert len(set(h.tolist())) == len(ws) - 1
+
+
 def test_common_counts():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (5, 40, 40, 3, 50, 33, 60, 60, 60, 60, 44)]
@@ -130,6 +159,10 @@ def test_bpe_against_the_library(docs, texts):
     for i, t in texts.items():
         want = lib.encode_ordinary(t or "")
         assert bytes(out[i]["ids"]) == struct.pack(f"<{len(want)}I", *want) and bytes(out[i]["decoded"]).decode() == (t or "")
+    for i, r in got(bpe.round_trip(docs, vocab, pattern)).items():
+        assert bytes(r["ids"]) == bytes(out[i]["ids"]) and r["n_tokens"] == len(r["ids"]) // 4
+        assert r["ids_sha256"] == brute.sha(bytes(r["ids"])) and r["decoded_sha256"] == brute.sha(texts[i] or "")
+    assert sorted(bytes(r["ids"]) for r in bpe.encode(docs.select("text"), vocab, pattern).collect()) == sorted(bytes(r["ids"]) for r in out.values())
 
 
 def test_bpe_odd_texts():
@@ -273,5 +306,5 @@ def test_empty_tables(spark, empty):
     assert quality.judge(empty.select("doc_id", "text")).count() == 0
     assert pii.spans(empty).count() == 0 and minhash.near_duplicates(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0 and line_dedup.dedup_lines(empty).count() == 0
-    assert mixing.mix(empty).count() == 0 and bpe.digests(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and bpe.round_trip(empty, *bpe.default_vocab()).count() == 0
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
