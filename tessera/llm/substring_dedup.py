@@ -15,12 +15,15 @@ equal anchors, and windows share an anchor with their neighbours: about one in 3
  4. Each text meets its repeated ranges and is cut.
 
 Texts travel twice, everything else is a few bytes for each anchor. Copies and passages shared by many documents are
-combined in step 1, once for each batch of BATCH bytes, so a context in a third of all rows is one row a batch. A gram
-with more than HOT different contexts isn't one group: its windows are spread by their own 128-bit hashes, and the first
-of each is found by an aggregation with map-side combine.
-
-Defined results: null texts are empty; texts under LENGTH bytes lose nothing; strings are judged on the input; rows with
-one doc_id, or without one (the last of all), are one document with the smallest of their texts; an empty table gives an empty result.
+combined in step 1, once for ANCHORS anchors of a task, so a context in a third of all rows is one entry in each of them. A
+gram with more than HOT different contexts isn't one group: its windows are spread by their own 128-bit hashes, and the
+first of each is found by an aggregation with map-side combine; that bounds what a task sorts. Equal contexts are told by 128
+bits: the gram's hash by one base, the context's by two.
+
+Defined results: null texts are empty; texts under LENGTH bytes lose nothing; strings are judged on the input; every row
+gives a row: rows that share a doc_id (or have none, the last of all) are documents one after the other in the order of the
+64-bit hashes of their texts, those with the same text one document; an empty table gives an empty result. All steps but the
+last run while the query is built.
 """
 
 from __future__ import annotations
@@ -34,11 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Powers, Stash, by_bytes, byte_codes, keyed, mix, prefix_hash, raw, table, union_all, unkeyed
+from tessera.llm.common import by_bytes, byte_codes, keyed, mix, Powers, prefix_hash, raw, spread, Stash, table, union_all, unkeyed
 from tessera.llm.suffix import GRAM, LENGTH, anchors, repeated_windows
 
-#: Bytes of a batch that is taken at once (a longer text by itself), and of text for each bucket; contexts of a hot gram.
-BATCH, BUCKET, HOT = 1 << 21, 8 << 20, 200_000
+#: Bytes of a batch that is taken at once (a longer text by itself), anchors that are packed together, bytes of text for each
+#: bucket, contexts that are sorted at once (more if one gram has more), contexts of a hot gram, tasks of a stage at the most.
+BATCH, ANCHORS, BUCKET, SORTED, HOT, TASKS = 1 << 19, 1 << 17, 8 << 20, 8192, 32_768, 50_000
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -64,37 +68,42 @@ def _anchor_batches(buckets: int):
     """(bucket, data): packed columns of the anchors that go on, then of the ranges that are repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
-            doc = b.column(0).to_numpy()
-            order = np.argsort(doc, kind="stable")
-            texts = raw(b.column(1))
-            a = anchors(*_joined([texts[i] for i in order]))
-            if not len(a["h"]):
-                continue
-            d = doc[order][a["text"]]
-            o = np.lexsort((np.arange(len(d)), a["c"], a["h"]))  # stable: texts and places ascend
-            h, c = a["h"][o], a["c"][o]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-            first = np.zeros(len(o), dtype=bool)
-            first[o[new]] = True
-            bucket = (a["c"] % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[o][1:] != bucket[o][:-1]))), [len(o)]))
-            which, data = [], []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                go = o[i:j][first[o[i:j]]]
-                gone = o[i:j][~first[o[i:j]]]
-                hashes = a["h"][go].tobytes() + a["c"][go].tobytes()
-                delta = lambda x: np.diff(x, prepend=0)
-                going = _pack([delta(d[go]), a["at"][go], a["at"][go] - a["lo"][go], a["hi"][go] - a["lo"][go]])
-                repeats = _pack([delta(d[gone]), a["lo"][gone], a["hi"][gone] - a["lo"][gone]])
-                which.append(int(bucket[o[i]]))
-                data.append(struct.pack("<II", len(go), len(going)) + hashes + going + repeats)
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+            a = anchors(*_joined(raw(b.column(1))))
+            if len(a["h"]):
+                held.append([a["h"], a["c"], b.column(0).to_numpy()[a["text"]], a["at"], a["at"] - a["lo"], a["hi"] - a["lo"]])
+            if sum(len(x[0]) for x in held) >= ANCHORS:
+                yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)], buckets)
+                held = []
+        if held:
+            yield _dealt([np.concatenate(x) for x in zip(*held, strict=True)], buckets)
 
     return run
 
 
+def _dealt(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Anchors (h, c, doc, at, back, span) as one packed row for each bucket; of equal contexts the first goes on."""
+    bucket = (columns[1] % np.uint64(buckets)).astype(np.int64)
+    h, c, d, at, back, span = columns
+    o = np.lexsort((at, d, c, h, bucket))
+    h, c, d, at, back, span, bucket = h[o], c[o], d[o], at[o], back[o], span[o], bucket[o]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(o)]))
+    delta = lambda x: np.diff(x, prepend=0)
+    which, data = [], []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        go, gone = i + np.flatnonzero(new[i:j]), i + np.flatnonzero(~new[i:j])
+        go = go[np.lexsort((at[go], d[go]))]  # documents ascend, so their differences are small
+        gone = gone[np.lexsort((at[gone], d[gone]))]
+        hashes = h[go].tobytes() + c[go].tobytes()
+        going = _pack([delta(d[go]), at[go], back[go], span[go]])
+        repeats = _pack([delta(d[gone]), (at - back)[gone], span[gone]])
+        which.append(int(bucket[i]))
+        data.append(struct.pack("<II", len(go), len(going)) + hashes + going + repeats)
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+
 _RANGES = "doc_id bigint, at int, lo int, hi int, h bigint"
 _NAMES = ["doc_id", "at", "lo", "hi", "h"]
 _CLASSES = _RANGES + ", bucket int, data binary"
@@ -182,13 +191,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resolve(group: pa.Table) -> pa.Table:
-    """Of a bucket of contexts: the ranges of windows that occur in an earlier context."""
+    """Of a bucket of contexts: the ranges of windows that occur in an earlier context. SORTED contexts at a time, whole grams."""
     doc, at, lo, hi, h = (group.column(k).to_numpy() for k in _NAMES)
     o = np.lexsort((at, doc, h))
-    context = group.column("context").to_pylist()
-    at, lo, hi = at[o].astype(np.int64), lo[o].astype(np.int64), hi[o].astype(np.int64)
-    row, first, last = repeated_windows([context[i] for i in o], at, lo, hi, h[o])
-    return _repeats(doc[o][row], first, last)
+    doc, at, lo, hi, h = doc[o], at[o].astype(np.int64), lo[o].astype(np.int64), hi[o].astype(np.int64), h[o]
+    context = group.column("context").combine_chunks() if isinstance(group.column("context"), pa.ChunkedArray) else group.column("context")
+    ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+    out, i = [_repeats(doc[:0], lo[:0], hi[:0])], 0
+    while i < len(h):
+        j = int(ends[max(np.searchsorted(ends, i + SORTED, side="right") - 1, np.searchsorted(ends, i, side="right"))])
+        row, first, last = repeated_windows(context.take(pa.array(o[i:j])).to_pylist(), at[i:j], lo[i:j], hi[i:j], h[i:j])
+        out.append(_repeats(doc[i:j][row], first, last))
+        i = j
+    return pa.concat_tables(out)
 
 
 _BASES = [(byte_codes(21), Powers(0x9FB21C651E98DF25)), (byte_codes(22), Powers(0xC2B2AE3D27D4EB4F))]
@@ -234,39 +249,49 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): removed runs (start, end in bytes) and the bytes that stay, of every document."""
+    """(doc_id, n_bytes, spans, kept): removed runs (start, end in bytes) and the bytes that stay, of every row."""
     stash = Stash(docs.sparkSession)
     source = docs.select(keyed(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
+    if not source.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _without_repeats(stash, source).withColumn("doc_id", unkeyed("doc_id"))
+    # rows that share a key: each different text gets a number in the order of keys and hashes of texts
+    source = source.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    places = stash.keep(source.select("doc_id", "t1", "t2").distinct().orderBy("doc_id", "t1", "t2"), "place")
+    rows = source.join(places, ["doc_id", "t1", "t2"])
+    first = stash.keep(rows.select(F.col("place").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    out = _without_repeats(stash, first).withColumnRenamed("doc_id", "place")
+    return rows.select("doc_id", "place").join(out, "place").select(unkeyed("doc_id").alias("doc_id"), "n_bytes", "spans", "kept")
+
+
+def _without_repeats(stash: Stash, source: DataFrame) -> DataFrame:
+    """The same for (doc_id, text), both without nulls and no doc_id twice."""
     total = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    if source.groupBy("doc_id").count().where("count > 1").limit(1).count():  # never in a table of documents
-        source = source.groupBy("doc_id").agg(F.min("text").alias("text"))
     buckets = max(8, -(-total // BUCKET))
-    packed = source.mapInArrow(_anchor_batches(buckets), "bucket int, data binary")
+    tasks = min(buckets, TASKS)
+    packed = source.mapInArrow(_anchor_batches(buckets), "bucket int, data binary").repartition(tasks, "bucket")
     told = stash.keep(packed.groupBy("bucket").applyInArrow(_classes(buckets), _CLASSES))
-    more = told.where("data is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_grams, _RANGES)
+    more = told.where("data is not null").select("bucket", "data").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_grams, _RANGES)
     asked = stash.keep(told.where("at is not null").select(*_NAMES).unionByName(more))
-    hot = asked.groupBy("h").count().where(F.col("count") > HOT).select("h").cache()  # at most one for each HOT contexts
+    hot = stash.keep(asked.groupBy("h").count().where(F.col("count") > HOT).select("h"))
     any_hot = hot.limit(1).count() > 0
     asks = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "lo", "hi", "h")).alias("asks"))
     contexts = source.join(asks, "doc_id").select("doc_id", "text", "asks").mapInArrow(_contexts, _RANGES + ", context binary")
     contexts = stash.keep(contexts) if any_hot else contexts
-    cold = contexts.join(F.broadcast(hot), "h", "left_anti").select(*_NAMES, "context") if any_hot else contexts
-    bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")
-    found = [told.where("at is null and data is null"), stash.keep(cold.groupBy(bucket).applyInArrow(_resolve, _RANGES))]
+    cold = contexts.join(hot, "h", "left_anti").select(*_NAMES, "context") if any_hot else contexts
+    cold = cold.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int")).repartition(tasks, "bucket")
+    found = [told.where("at is null and data is null"), stash.keep(cold.groupBy("bucket").applyInArrow(_resolve, _RANGES))]
     if any_hot:
-        w = contexts.join(F.broadcast(hot), "h", "left_semi").select(*_NAMES, "context").mapInArrow(_windows, "w1 bigint, w2 bigint, doc_id bigint, start int")
+        w = contexts.join(hot, "h", "left_semi").select(*_NAMES, "context").mapInArrow(_windows, "w1 bigint, w2 bigint, doc_id bigint, start int")
         first = w.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
         again = w.join(first, ["w1", "w2"]).where(F.struct("doc_id", "start") != F.col("first"))
         found.append(stash.keep(again.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))))
-    hot.unpersist()
     ranges = union_all([f.select("doc_id", "lo", "hi") for f in found])
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    out = source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
-    return out.withColumn("doc_id", unkeyed("doc_id"))
+    return source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"))
+    out = remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

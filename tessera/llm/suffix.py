@@ -8,6 +8,7 @@ from tessera.llm.common import Powers, byte_codes, mix, prefix_hash
 
 LENGTH, GRAM = 100, 28
 _CODES, _PW = byte_codes(3), Powers(0xD6E8FEB86659FD93)
+_CODES2, _PW2 = byte_codes(4), Powers(0xA24BAED4963EE407)  # a second base for contexts
 
 
 def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -16,7 +17,7 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int =
     A window's anchor is its gram (of `gram` bytes) with the smallest hash, the leftmost of equal ones: equal windows
     have it at the same place. Windows with one anchor stand side by side. For each anchor: text (index), at (place of
     the gram), lo and hi (first and last window start), h (hash of the gram), c (hash of the context: the bytes of all
-    its windows and where the gram stands in them). Places count from the text's begin.
+    its windows, by two bases, and where the gram stands in them). Places count from the text's begin.
     """
     none = np.empty(0, dtype=np.int64)
     n, w = len(data), length - gram + 1
@@ -45,7 +46,11 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int =
     last = np.concatenate((cut[1:], [len(at)])) - 1 if len(at) else none
     at, lo, hi = at[cut], place[cut], place[last]
     text = np.searchsorted(begin, lo, side="right") - 1
-    c = mix(mix((h[hi + length] - h[lo]) * down[lo]) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
+    one = mix((h[hi + length] - h[lo]) * down[lo])
+    del h
+    h = prefix_hash(data, _CODES2, _PW2)
+    two = mix((h[hi + length] - h[lo]) * _PW2.get(n + 1)[1][lo])
+    c = mix(mix(one * np.uint64(3) + two) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
     b = begin[text]
     return {"text": text, "at": at - b, "lo": lo - b, "hi": hi - b, "h": grams[at], "c": c}
 
