@@ -8,7 +8,7 @@ A shard takes its quota as whole passes over its documents plus the first blocks
 
 Scale: the only wide shuffle carries (doc_id, size, source, shard) and deals each source over SHARDS shards, so a
 source with a third of all rows is a thousand window groups. Quotients are made from tables of sources and of
-(source, shard) pairs, never of documents.
+(source, shard) pairs, never of documents; windows over all sources hold a row, or three quotients, for each source.
 
 Defined results: null or empty texts have size 0 and 0 taken; a null source is a source of its own, last in order;
 equal quotients fall to the earlier source and the lower shard; repeated rows count once each, ordered by doc_id;
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, table, words
+from tessera.llm.common import packed, spread, table, words
 
 BLOCKS, SHARDS, MOST, SEED = 1 << 16, 1024, 3, 20
 
@@ -51,25 +51,30 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 def apportion(parties: DataFrame, n, share: str, order: list[str], group: list[str] | None = None, most: str | None = None) -> DataFrame:
     """parties with `seats`: n seats (a Column, per group) by the highest quotients share / (2 * seats held + 1).
 
-    Each party puts up as many quotients as it could win: its exact part plus the number of parties of its group, but no
-    more than `most` (a column of counts). Ties fall by `order`.
+    With P parties and exact parts q, the seats of a party lie between q (1 - P / 2n) - 1 and q (1 + P / 2n) + 1: rounding
+    all parts up or down by that much fills the seats. Only the quotients between are put up, about three a party. With
+    `most`, a column of counts, others may pass the upper bound, and up to P more are put up. Ties fall by `order`.
     """
     group = group or []
     w = Window.partitionBy(*group)
     p = parties.withColumn("_n", n).withColumn("_all", F.sum(share).over(w)).withColumn("_parties", F.count("*").over(w))
-    up = F.when(F.col("_all") > 0, F.ceil(F.col("_n") * F.col(share) / F.col("_all")) + F.col("_parties")).otherwise(0)
-    if most:
-        up = F.least(up, F.col(most))
-    up = F.least(up, F.col("_n")).cast("long")
+    exact, slack = F.col("_n") * F.col(share) / F.col("_all"), F.col("_parties") / (2 * F.col("_n"))
+    some = (F.col("_all") > 0) & (F.col("_n") > 0) & (F.col(share) > 0)
+    sure = F.when(some, F.greatest(F.lit(0), F.ceil(exact * (1 - slack) - 0.5) - 1)).otherwise(0)
+    up = F.when(some, F.ceil(exact * (1 + slack) + 0.5) + 1 if most is None else F.ceil(exact) + F.col("_parties")).otherwise(0)
+    cap = F.least(F.col("_n"), F.col(most)) if most else F.col("_n")
+    p = p.withColumn("_up", F.least(up, cap).cast("long")).withColumn("_sure", F.least(sure, F.col("_up")).cast("long")).withColumn("_left", F.col("_n") - F.sum("_sure").over(w))
     keys = group + order
     seats = (
-        p.select(*keys, "_n", F.col(share).alias("_share"), F.explode(F.when(up > 0, F.sequence(F.lit(0).cast("long"), up - 1))).alias("_j"))
+        p.where("_up > _sure")
+        .select(*keys, "_left", F.col(share).alias("_share"), F.explode(F.sequence("_sure", F.col("_up") - 1)).alias("_j"))
         .withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy((F.col("_share") / (2 * F.col("_j") + 1)).desc(), *order, "_j")))
-        .where("_place <= _n")
+        .where("_place <= _left")
         .groupBy(*keys)
-        .agg(F.count("*").alias("seats"))
+        .agg(F.count("*").alias("_won"))
     )
-    return p.join(seats.select(*(F.col(k).alias(f"_{k}") for k in keys), "seats"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*parties.columns, F.coalesce("seats", F.lit(0)).alias("seats"))
+    won = seats.select(*(F.col(k).alias(f"_{k}") for k in keys), "_won")
+    return p.join(won, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*parties.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("seats"))
 
 
 def refill(dealt: DataFrame, most: int) -> DataFrame:
@@ -119,7 +124,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def whole_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, most: int = MOST) -> DataFrame:
