@@ -4,7 +4,7 @@ Every metric and every rule is a Column over the row's own text, so the whole op
 however the sources are skewed. No user functions.
 
 Defined results: null or empty texts have no words, every count is 0 and base_failed is true (fewer than 20 words);
-repeated rows are judged one by one; an empty table gives an empty result; other columns are left alone by `judge`.
+repeated rows are judged one by one; an empty table gives an empty result; `judge` leaves all columns but `quality` alone.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, table, words
+from tessera.llm.common import SPACE_CHARS, spread, table, words
 
 #: Frequent function words of the corpus' languages.
 STOP_WORDS = {
@@ -55,7 +55,10 @@ def repeated_words(w: Column, k: int = 8) -> Column:
     (hash, place) pairs are sorted, equal neighbours give the places, and gaps between places give the cover.
     """
     none = F.lit(0).cast("long")
-    places = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+
+    def places(own: Column) -> Column:
+        return F.slice(F.transform(own, lambda x, i: F.xxhash64(x, *(F.get(own, i + j) for j in range(1, k)))), 1, F.size(own) - (k - 1))
+
 
     def cover(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -71,7 +74,10 @@ def repeated_words(w: Column, k: int = 8) -> Column:
         )
         return let(let(pairs, at), spans)
 
-    return F.when(F.size(w) < k, none).otherwise(let(places, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(cover(h))))
+    # the later of two equal windows repeats k words
+    few = (F.size(w) < 2 * k) & (F.size(w) - F.size(F.array_distinct(w)) < k)
+    hashed = let(F.transform(w, lambda x: F.xxhash64(x)), places)
+    return F.when((F.size(w) < k) | few, none).otherwise(let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(cover(h))))
 
 
 def let(value: Column, body) -> Column:
@@ -82,7 +88,7 @@ def let(value: Column, body) -> Column:
 def metrics(text: Column) -> Column:
     """Struct of base counts and of the ratios that rules may name, each part evaluated once."""
     t = F.coalesce(text, F.lit(""))
-    stop = sorted({x for v in STOP_WORDS.values() for x in v})
+    stop = sorted({x + end for v in STOP_WORDS.values() for x in v for end in ("", *".,;:!?")})
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
     ratio = lambda a, b: F.when(b > 0, a / b)
 
@@ -94,7 +100,7 @@ def metrics(text: Column) -> Column:
             (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
             F.size(ls).cast("long").alias("n_lines"),
-            (F.size(F.split(F.lower(F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))), r" (?:" + "|".join(stop) + r")[.,;:!?]? ")) - 1).cast("long").alias("n_stop"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop"),
             F.size(F.filter(w, lambda x: x == "|")).cast("long").alias("n_bars"),
         )
 
@@ -135,15 +141,24 @@ def passes(text: Column, rules: list[Rule] = RULES) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
-    """docs with `q` (metrics), `base_failed`, `failed_rules` and `kept`."""
-    q = F.col("q")
-    out = docs.withColumn("q", metrics(F.col(text))).withColumn("base_failed", base_failed(q)).withColumn("failed_rules", verdict(q, rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    """docs with the struct `quality` (replacing a column of that name): q (metrics), base_failed, failed_rules and kept.
+
+    One expression, so that a filter, wherever the optimiser puts it, counts once.
+    """
+
+    def told(q: Column) -> Column:
+        def verdicts(failed: Column) -> Column:
+            return F.struct(q.alias("q"), base_failed(q).alias("base_failed"), failed.alias("failed_rules"), (~base_failed(q) & (F.size(failed) == 0)).alias("kept"))
+
+        return let(verdict(q, rules), verdicts)
+
+    return docs.withColumn("quality", let(metrics(F.col(text)), told))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judge(docs).select("doc_id", *(F.col(f"quality.q.{k}") for k in base), "quality.base_failed", "quality.kept")
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
