@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import by_bytes, packed, table
+from tessera.llm.common import by_bytes, packed, spread, table
 
 #: Encodings in each of a worker's two generations; a full one becomes the old one, from which those in use come back.
 CACHE = 200_000
@@ -209,7 +209,7 @@ def default_vocab() -> tuple[str, str]:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *default_vocab())
+    out = round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), *default_vocab())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, by_bytes, keyed, mix, raw, table, unkeyed, word_hashes
+from tessera.llm.common import by_bytes, keyed, mix, raw, spread, Stash, table, unkeyed, word_hashes
 
 CUT, VOCABULARY, SHARE, BATCH = 5, 12_000_000, 1_500_000, 1 << 21
 END, UNKNOWN, START = (np.uint64(0xE4D0000000000000 + k) for k in (1, 2, 3))
@@ -485,7 +485,7 @@ def held_out(key: str):
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = train_and_score(docs, ~held_out("doc_id"))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

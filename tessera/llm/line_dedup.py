@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, Stash, keyed, packed, table
+from tessera.llm.common import keyed, packed, SPACE_CHARS, SPACE_CLASS, spread, Stash, table
 from tessera.llm.quality import let
 
 EVERY, LEAST_WORDS, SALTS = 3, 12, 16
@@ -166,7 +166,7 @@ def without_repeats(docs: DataFrame, pieces: Callable[[Column], Column], key: st
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed_lines (long), kept_sha256 of the remaining text (null: empty)."""
-    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_passages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("row.doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

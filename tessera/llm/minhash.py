@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, by_bytes, components, keyed, mix, raw, roots, sorted_groups, table, unkeyed, word_hashes
+from tessera.llm.common import by_bytes, components, keyed, mix, raw, roots, sorted_groups, spread, Stash, table, unkeyed, word_hashes
 from tessera.llm.quality import let
 
 WORDS, K, NEED, SHORT, PERCENT = 5, 32, 12, 32, 85
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, packed, table
+from tessera.llm.common import packed, spread, Stash, table
 from tessera.llm.quality import let
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -162,7 +162,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     said = lambda s, kind: F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))
     base = F.transform("base", lambda s: said(s, F.get(F.array(*map(F.lit, KINDS)), s["kind"])))

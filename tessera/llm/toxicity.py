@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import packed, table
+from tessera.llm.common import packed, spread, table
 from tessera.llm.minhash import shingle_sets
 
 FIT, TERMS, MIN_STEM, MAX_STEM, RATIO, LEAST_DOCS, PURE = 8_000, 400, 5, 9, 26.0, 6, 0.75
@@ -350,7 +350,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= AT).cast("int").alias("predicted"))
 

@@ -17,8 +17,8 @@ def got(df, key="doc_id"):
 
 
 def test_quality_counts(docs, texts):
-    for i, r in got(quality.judge(docs.select("doc_id", "text"))).items():
-        t = texts[i] or ""
+    for i, r in got(quality.judge(docs)).items():
+        t, r = texts[i] or "", r["quality"]
         w = brute.WORD.findall(t)
         grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
         cover = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 8)} if len(grams) < 900 else None
@@ -34,7 +34,7 @@ def test_quality_counts(docs, texts):
 def test_quality_rules_table(spark):
     d = spark.createDataFrame([(1, "### $$$ %%% " * 20), (2, "the cat of the house and the dog is in a garden with trees by the road that goes to town on a hill")], "doc_id bigint, text string")
     r = got(quality.judge(d))
-    assert "symbol_ratio" in r[1]["failed_rules"] and r[2]["kept"]
+    assert "symbol_ratio" in r[1]["quality"]["failed_rules"] and r[2]["quality"]["kept"]
 
 
 def test_pii(docs, no_key, texts):
@@ -122,10 +122,21 @@ def test_repeated_substrings(docs, texts):
 def test_repeated_substrings_small_batches(docs, texts, no_key, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BATCH", 3000)
     monkeypatch.setattr(substring_dedup, "BUCKET", 2000)
+    monkeypatch.setattr(substring_dedup, "ANCHORS", 40)
+    monkeypatch.setattr(substring_dedup, "SORTED", 5)
     want = brute.repeats(texts)
     for i, r in got(substring_dedup.remove_repeats(docs)).items():
         assert brute.sha(bytes(r["kept"])) == want[i][3]
-    assert substring_dedup.remove_repeats(no_key).count() == no_key.select("doc_id").distinct().count()
+
+
+def test_repeated_substrings_of_repeated_keys(spark, no_key):
+    """Each different text of a key is a document, in the order of its hash; every row gets its text's result."""
+    rows = [tuple(r) for r in no_key.select("doc_id", F.coalesce("text", F.lit("")), F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).collect()]
+    order = sorted({((d is None, d or 0), h, t) for d, t, h in rows})
+    want = brute.repeats({i: t for i, (_, _, t) in enumerate(order)})
+    number = {(d, t): i for i, (d, _, t) in enumerate(order)}
+    out = [(str(r["doc_id"]), r["n_bytes"], brute.sha(bytes(r["kept"]))) for r in substring_dedup.remove_repeats(no_key).collect()]
+    assert sorted(out) == sorted((str(d), want[i][0], want[i][3]) for d, t, _ in rows for i in [number[(d is None, d or 0), t]])
 
 
 @pytest.mark.parametrize("hot", [0, 3])
@@ -198,6 +209,24 @@ def test_mixing_quotients(spark):
     assert seats == {1: 3, 2: 2, 3: 2}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_mixing_seats_against_all_quotients(spark, seed):
+    import heapq
+    import random
+
+    r = random.Random(seed)
+    share = [float(r.choice([0, 1, 7, r.randint(1, 10**r.randint(1, 7))])) for _ in range(r.choice([1, 5, 60]))]
+    n, want = r.choice([1, 3, 50, 700]), [0] * len(share)
+    queue = [(-s, i) for i, s in enumerate(share) if s]
+    heapq.heapify(queue)
+    for _ in range(n if queue else 0):
+        _, i = heapq.heappop(queue)
+        want[i] += 1
+        heapq.heappush(queue, (-share[i] / (2 * want[i] + 1), i))
+    d = spark.createDataFrame(list(enumerate(share)), "rank int, target double")
+    assert [x["seats"] for x in mixing.apportion(d, F.lit(n).cast("long"), "target", ["rank"]).orderBy("rank").collect()] == want
+
+
 def test_line_chunks(spark, docs, texts, no_key):
     pairs = {}
     for t in texts.values():
@@ -303,7 +332,7 @@ def test_embeddings(spark, monkeypatch, block):
 
 
 def test_empty_tables(spark, empty):
-    assert quality.judge(empty.select("doc_id", "text")).count() == 0
+    assert quality.judge(empty).count() == 0
     assert pii.spans(empty).count() == 0 and minhash.near_duplicates(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0 and line_dedup.dedup_lines(empty).count() == 0
     assert mixing.mix(empty).count() == 0 and bpe.round_trip(empty, *bpe.default_vocab()).count() == 0

@@ -31,7 +31,7 @@ def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
         seen[name] = df
         if name != "encode":
             assert df.columns == own
-    rules = {r["doc_id"]: r["kept"] for r in quality.judge(docs.select("doc_id", "text")).collect()}
+    rules = {r["doc_id"]: r["quality"]["kept"] for r in quality.judge(docs).collect()}
     left = {r["doc_id"]: r["text"] for r in seen["quality_rules"].collect()}
     assert set(left) == {i for i, k in rules.items() if k}
     lines = {r["doc_id"]: r["text"] for r in seen["line_dedup"].collect()}
