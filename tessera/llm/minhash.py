@@ -11,7 +11,8 @@ a document has enough of its own.
 
 Long lists (over SHORT members) mostly hold documents that share a passage, or many near copies of one text, few of them
 linked. Their members are indexed anew, by the rarest 15 % of their full sets, which a link at 0.85 must show in on both
-sides (prefix filter, exact). The new lists are cut into blocks, and all pairs of two blocks are counted at once by a matrix
+sides (prefix filter, exact). Numbers of sets are asked for by chunks of members that share a list, so near copies ask for
+their common values once. The new lists are cut into blocks, and all pairs of two blocks are counted at once by a matrix
 product over the shingles that two or more of them have; what leaves a task is one row for each linked member, with the
 smallest member of its component there. Nothing is capped, and no pairs are written.
 
@@ -92,12 +93,41 @@ def _verify(percent: int):
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in (part for batch in batches for part in by_bytes(batch, [1])):
-        sets = shingle_sets(raw(b.column(1)))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(map(len, sets), pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            names=["cid", "n", "shingles", "values"],
-        )
+    for b in (part for batch in batches for part in by_bytes(batch, [2])):
+        sets = shingle_sets(raw(b.column(2)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["chunk", "cid", "n", "shingles"])
+
+
+def _chunk_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (chunk, shingles) sorted by chunk: the different values of each chunk and in how many of its sets they are."""
+    for rows, cuts in sorted_groups(batches, 0):
+        chunk, sets = rows.column(0).to_numpy(), rows.column(1)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            values, count = np.unique(np.frombuffer(b"".join(sets.slice(i, j - i).to_pylist()), dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), chunk[i])), pa.array(values), pa.array(count, pa.int64())], names=["chunk", "value", "sets"])
+
+
+def _rarest(percent: int):
+    """Of a chunk's sets (cid, n, shingles) and its values that two or more sets have (value, df): the values of each set
+    that must show a link, rarest first; values that no other set has take up places."""
+
+    def run(sets: pa.Table, told: pa.Table) -> pa.Table:
+        flat = told.column("values").combine_chunks().flatten() if told.num_rows else None
+        value, df = (flat.field(k).to_numpy() for k in (0, 1)) if flat is not None else (np.empty(0, dtype=np.int64),) * 2
+        o = np.argsort(value)
+        value, df = value[o], df[o]
+        cids, ns, out = [], [], []
+        for cid, n, own in zip(sets.column("cid").to_pylist(), sets.column("n").to_pylist(), sets.column("shingles").to_pylist(), strict=True):
+            own = np.intersect1d(np.frombuffer(own, dtype=np.int64), value)
+            room = n + (-percent * n // 100) + 1 - (n - len(own))
+            if room > 0:
+                chosen = own[np.lexsort((own, df[np.searchsorted(value, own)]))[:room]]
+                out.append(chosen)
+                cids += [cid] * len(chosen)
+                ns += [n] * len(chosen)
+        return pa.table({"cid": pa.array(cids, pa.int64()), "n": pa.array(ns, pa.int32()), "value": pa.array(np.concatenate(out) if out else [], pa.int64())})
+
+    return run
 
 
 def common_counts(sets: list[np.ndarray], sparse: int = 8, width: int = 8192) -> np.ndarray:
@@ -217,14 +247,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     short = with_sketch.where(F.col("members") <= SHORT)
     links = verified(side(short, "a").join(side(short, "b"), "value").where("a < b"))
 
-    long = stash.keep(with_sketch.where(F.col("members") > SHORT).select("cid").distinct())
-    full = stash.keep(texts.join(long, "cid", "left_semi").mapInArrow(_full, "cid bigint, n int, shingles binary, values array<bigint>"))
-    held = full.select("cid", "n", F.explode("values").alias("value"))
-    many = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = held.join(many, "value").groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
-    # n - ceil(0.85 n) + 1 rarest; values of df 1 come first and take up places
-    room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("vs"))
-    exact = held.where(room > 0).select("cid", "n", F.explode(F.slice("vs", 1, room)).alias("v")).select("cid", "n", "v.value")
+    # members of long lists, in chunks of alike ones: a chunk asks once for each of its values
+    long = with_sketch.where(F.col("members") > SHORT).groupBy("cid").agg(F.min("value").alias("lead"), F.first("c.n").alias("n"))
+    pieces = long.groupBy("lead").agg(F.ceil(F.sum("n") / WEIGHT).cast("int").alias("pieces"))
+    long = long.join(pieces, "lead").select("cid", F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("pieces"))).alias("chunk"))
+    full = texts.join(long, "cid").select("chunk", "cid", "text").mapInArrow(_full, "chunk bigint, cid bigint, n int, shingles binary")
+    full = stash.keep(full)
+    asked = full.select("chunk", "shingles").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_values, "chunk bigint, value bigint, sets bigint")
+    asked = stash.keep(asked)
+    many = asked.groupBy("value").agg(F.sum("sets").alias("df")).where("df > 1")
+    told = asked.join(many, "value").groupBy("chunk").agg(F.collect_list(F.struct("value", "df")).alias("values"))
+    exact = stash.keep(full.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_rarest(percent), "cid bigint, n int, value bigint"))
     sized = exact.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).where("members > 1")
     parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("weight") / WEIGHT)).cast("int")
     placed = exact.join(sized, "value").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
