@@ -176,7 +176,8 @@ def upsert(plans: DataFrame, new: DataFrame, overwrite: bool) -> DataFrame:
     """plans with new ones; an old plan of the same id, or of the same name whatever the case, stays unless overwritten,
     and created_at stays in any case."""
     old = plans.select(F.col("plan_id").alias("_id"), F.lower("name").alias("_name"), F.col("created_at").alias("_created"))
-    met = new.join(old, (F.col("plan_id") == F.col("_id")) | (F.lower("name") == F.col("_name")), "left")
+    # two equi-joins: an OR would compare all pairs
+    met = new.join(old, F.col("plan_id") == F.col("_id"), "left").unionByName(new.join(old, F.lower("name") == F.col("_name"), "left"))
     met = met.groupBy(*new.columns).agg(F.min("_id").alias("_id"), F.min("_created").alias("_created"))
     if not overwrite:
         return plans.unionByName(met.where("_id is null").select(*new.columns))

@@ -175,14 +175,17 @@ def first_of_each(findings: DataFrame, keys: list[str], order: list[Column]) ->
     return findings.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def post_process(findings: DataFrame, threshold: float = 0.55, categories: list[str] | None = None, allow: list[str] | None = None, most: int = 20) -> DataFrame:
-    """Findings over the threshold, of the categories, not allowed by id; the first `most` by ord."""
+def post_process(findings: DataFrame, threshold: float = 0.55, categories: list[str] | None = None, allow: list[str] | None = None, most: int = 20, by: list[str] | None = None) -> DataFrame:
+    """Findings over the threshold, of the categories, not allowed by id; the first `most` by ord, of each diff where `by`
+    names its key."""
     f = findings.where(F.col("confidence") >= threshold)
     if categories:
         f = f.where(F.col("category").isin(categories))
     if allow:
         f = f.where(~F.col("id").isin([x for x in allow if x]))
-    return f.orderBy("ord").limit(most)
+    if not by:
+        return f.orderBy("ord").limit(most)
+    return f.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
 
 
 RANK = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "LOW": 2, "INFO": 1}
@@ -195,12 +198,19 @@ def severity_rank(c: Column) -> Column:
     return out
 
 
-def failure_policy(findings: DataFrame, fail_on: str = "CRITICAL", forced: list[str] | None = None) -> DataFrame:
-    """One row (should_fail, reasons): ids that force a failure, and findings of the severity or above; 20 reasons."""
+def failure_policy(findings: DataFrame, fail_on: str = "CRITICAL", forced: list[str] | None = None, by: list[str] | None = None, most: int = 20) -> DataFrame:
+    """(by, should_fail, reasons), one row without `by`: ids that force a failure, and findings of the severity or above; the
+    first `most` reasons, ranked before they are gathered."""
     force = F.col("id").isin([x for x in forced or [] if x])
     reason = F.when(force, F.concat(F.lit("Invariant "), "id", F.lit(" forced-fail"))).when(severity_rank(F.col("severity")) >= RANK.get(fail_on, 5), F.concat("severity", F.lit(" "), "id", F.lit(": "), "title"))
-    g = findings.agg(F.array_sort(F.collect_list(F.when(reason.isNotNull(), F.struct("ord", reason.alias("r"))))).alias("rs"))
-    return g.select((F.size("rs") > 0).alias("should_fail"), F.array_join(F.transform(F.slice("rs", 1, 20), lambda x: x["r"]), "; ").alias("reasons"))
+    said = findings.withColumn("_r", reason)
+    gather = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_r"))), lambda x: x["_r"]), "; ")
+    if not by:
+        first = said.where("_r is not null").orderBy("ord").limit(most)
+        return first.agg((F.count("*") > 0).alias("should_fail"), gather.alias("reasons"))
+    first = said.where("_r is not null").withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("ord"))).where(F.col("_n") <= most)
+    told = first.groupBy(*by).agg(gather.alias("reasons"))
+    return findings.select(*by).distinct().join(told, by, "left").select(*by, F.col("reasons").isNotNull().alias("should_fail"), F.coalesce("reasons", F.lit("")).alias("reasons"))
 
 
 def _plain(path: Column) -> Column:
@@ -209,13 +219,15 @@ def _plain(path: Column) -> Column:
 
 def on_changed_line(findings: DataFrame, files: DataFrame) -> DataFrame:
     """findings(ord, file, lo, hi, on_line) with on_line filled in where it is null: whether an added line is in the range.
+    Findings with a diff_id are held against the files of their diff.
 
     An equi-join on the path, new before old; the array of changed lines is tested in place, so nothing is multiplied.
     """
-    new = files.select(_plain(F.col("new_path")).alias("_p"), F.lit(0).alias("_o"), "changed_lines")
-    both = new.unionByName(files.select(_plain(F.col("old_path")).alias("_p"), F.lit(1).alias("_o"), "changed_lines"))
-    by_path = both.groupBy("_p").agg(F.min_by("changed_lines", "_o").alias("changed_lines"))
-    f = findings.withColumn("_p", _plain(F.col("file"))).join(by_path, "_p", "left")
+    keys = ["diff_id"] if "diff_id" in findings.columns else []
+    new = files.select(*keys, _plain(F.col("new_path")).alias("_p"), F.lit(0).alias("_o"), "changed_lines")
+    both = new.unionByName(files.select(*keys, _plain(F.col("old_path")).alias("_p"), F.lit(1).alias("_o"), "changed_lines"))
+    by_path = both.groupBy(*keys, "_p").agg(F.min_by("changed_lines", F.struct("_o", "changed_lines")).alias("changed_lines"))
+    f = findings.withColumn("_p", _plain(F.col("file"))).join(by_path, [*keys, "_p"], "left")
     lo, hi = F.greatest(F.lit(1), F.least("lo", "hi")), F.greatest(F.lit(1), F.greatest("lo", "hi"))
     hit = F.exists("changed_lines", lambda x: (x >= lo) & (x <= hi))
     return f.withColumn("on_line", F.coalesce("on_line", hit, F.lit(False))).drop("_p", "changed_lines")

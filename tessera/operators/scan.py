@@ -73,8 +73,7 @@ def line_counts(content: Column) -> Column:
     """struct(total, code, comment, blank). A line is blank, in a block comment, a comment by its first signs, or code."""
     start = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("code", "comment", "blank")), F.lit(False).alias("inside"))
 
-    def step(a: Column, raw: Column) -> Column:
-        x = trim(raw)
+    def step(a: Column, x: Column) -> Column:
         blank = x == ""
         opens = ~a["inside"] & x.startswith("/*")
         comment = ~blank & (a["inside"] | opens | x.startswith("//") | x.startswith("#"))
@@ -82,8 +81,9 @@ def line_counts(content: Column) -> Column:
         one = lambda c: c.cast("long")
         return F.struct((a["code"] + one(~blank & ~comment)).alias("code"), (a["comment"] + one(comment)).alias("comment"), (a["blank"] + one(blank)).alias("blank"), inside.alias("inside"))
 
-    done = F.aggregate(F.split(content, "\n", -1), start, step)
-    return F.struct((done["code"] + done["comment"] + done["blank"]).alias("total"), done["code"].alias("code"), done["comment"].alias("comment"), done["blank"].alias("blank"))
+    # lambdas don't share subexpressions: lines are trimmed before the fold, and a lambda binds its result
+    counts = F.aggregate(F.transform(F.split(content, "\n", -1), trim), start, step)
+    return F.get(F.transform(F.array(counts), lambda done: F.struct((done["code"] + done["comment"] + done["blank"]).alias("total"), done["code"].alias("code"), done["comment"].alias("comment"), done["blank"].alias("blank"))), F.lit(0))
 
 
 def language_stats(files: DataFrame) -> DataFrame:
@@ -99,23 +99,25 @@ def normal_code(code: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def duplicate_groups(blocks: DataFrame, least_lines: int = 5, least_chars: int = 20, most: int = 20) -> DataFrame:
+def duplicate_groups(blocks: DataFrame, least_lines: int = 5, least_chars: int = 20, most: int | None = 20) -> DataFrame:
     """Groups of equal blocks(ord, name, file, lines, code) after normalisation: (hash, copies, lines, redundant, first).
 
-    The most duplicated lines come first; at most 100 groups. Codes are hashed before they are grouped.
+    The most duplicated lines come first; at most 100 groups, or all for `most` None. Codes are hashed before they are grouped.
     """
     b = blocks.withColumn("_n", normal_code(F.col("code"))).where((F.col("lines") >= least_lines) & (F.length("_n") >= least_chars))
     g = b.groupBy(F.md5("_n").alias("hash")).agg(F.count("*").alias("copies"), F.min(F.struct("ord", "lines", "file", "name")).alias("f")).where("copies > 1")
     g = g.select("hash", "copies", F.col("f.lines").cast("long").alias("lines"), (F.col("f.lines") * (F.col("copies") - 1)).cast("long").alias("redundant"), F.concat_ws(":", "f.file", "f.name").alias("first"))
-    return g.orderBy((F.col("lines") * F.col("copies")).desc(), "hash").limit(min(100, most))
+    return g if most is None else g.orderBy((F.col("lines") * F.col("copies")).desc(), "hash").limit(min(100, most))
 
 
 def scan_security(files: DataFrame) -> DataFrame:
     """(path, line, type, message, severity): one row for each line and pattern of all files.
 
-    The patterns are one array of cases on the line: a single pass, no join with a table of patterns.
+    The patterns are one array of cases on the line: a single pass, no join with a table of patterns. No pattern is tied to
+    the ends of a line, so a text without a match of any has no line with one, and is not split.
     """
-    lined = explode_lines(files.select("path", "content"))
+    anything = "|".join(f"(?:{p})" for p in [*(p for _, p, _ in SECRETS), *(p for p, _, _ in RISKS)])
+    lined = explode_lines(files.select("path", "content").where(F.col("content").rlike(anything)))
     note = F.ltrim("text")
     lined = lined.where(~(note.startswith("//") & note.contains("example") & ~note.contains("=")))
     case = lambda p, kind, message, severity: F.when(F.col("text").rlike(p), F.struct(F.lit(kind).alias("type"), F.lit(message).alias("message"), F.lit(severity).alias("severity")))
@@ -164,11 +166,11 @@ def unbalanced_brackets(content: Column) -> Column:
     return F.aggregate(signs, F.struct(none.alias("stack"), none.alias("wrong")), step, lambda a: F.concat(a["wrong"], a["stack"]))
 
 
-def validate(inputs: DataFrame, extra: dict[str, Column] | None = None, most: int = 100) -> DataFrame:
+def validate(inputs: DataFrame, extra: dict[str, Column] | None = None, most: int = 100, rules: list[str] | None = None) -> DataFrame:
     """(id, rule, severity, tier, message, line) over inputs(id, content, content_type), `most` for each id.
 
     Tier 1: brackets, JSON of plan_output, empty content. Tier 2 on generated_code: markers, console calls, fixed URLs;
-    the first five lines over 120 signs. `extra` maps more rule ids to predicates that say what is wrong.
+    the first five lines over 120 signs. `rules` asks for some of them only. `extra` maps more rule ids to predicates that say what is wrong.
     """
     content, kind = F.col("content"), F.col("content_type")
     item = lambda rule, severity, tier, message, line=None: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(tier).alias("tier"), message.alias("message"), (F.lit(None) if line is None else line).cast("int").alias("line"))
@@ -188,14 +190,17 @@ def validate(inputs: DataFrame, extra: dict[str, Column] | None = None, most: in
     urls = hits(r"(?i)https?://(?:localhost|127\.0\.0\.1|[a-z0-9-]+\.[a-z]{2,})[^\s\"'`]*", "T2-003", "info", lambda m: F.concat(F.lit("Hardcoded URL found: "), m))
     urls = F.filter(urls, lambda u: ~(u["message"].contains("example.com") | u["message"].contains("schema.org")))
     long = F.slice(F.transform(F.filter(numbered, lambda l: F.length(l["x"]) > 120), lambda l: item("T2-004", "info", 2, F.concat(F.lit("Line exceeds 120 characters: "), F.length(l["x"]).cast("string")), l["n"])), 1, 5)
+    built_in = {
+        "T1-001": brackets,
+        "T1-002": when((kind == "plan_output") & F.try_parse_json(content).isNull(), F.array(item("T1-002", "error", 1, F.lit("Invalid JSON")))),
+        "T1-003": when(trim(content) == "", F.array(item("T1-003", "warning", 1, F.lit("Content is empty or contains only whitespace")))),
+        "T2-001": when(code, marks),
+        "T2-002": when(code, console),
+        "T2-003": when(code, urls),
+        "T2-004": long,
+    }
     tiers = [
-        brackets,
-        when((kind == "plan_output") & F.try_parse_json(content).isNull(), F.array(item("T1-002", "error", 1, F.lit("Invalid JSON")))),
-        when(trim(content) == "", F.array(item("T1-003", "warning", 1, F.lit("Content is empty or contains only whitespace")))),
-        when(code, marks),
-        when(code, console),
-        when(code, urls),
-        long,
+        *(x for k, x in built_in.items() if rules is None or k in rules),
         *(when(test, F.array(item(rule, "warning", 2, F.lit("Custom rule")))) for rule, test in (extra or {}).items()),
     ]
     return inputs.select("id", F.explode(F.slice(F.concat(*tiers), 1, most)).alias("f")).select("id", "f.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import code as C
-from tessera.plans.fixture import Fixture, ctes
+from tessera.plans.fixture import Fixture, ctes, spread
 
 _TS = """import { a, b as c } from './util.js';
 import Base from '../core/base';
@@ -82,12 +82,12 @@ def related_files(spark, d):
 
 
 def _pairs(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey < 200")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to")).distinct()
 
 
 def related_bfs(spark, d):
-    """Suppliers and parts within two steps of five suppliers, over the orders under 200 (the graph of the query)."""
+    """Suppliers and parts within two steps of five suppliers, over all orders."""
     starts = spark.createDataFrame([(f"s{i}",) for i in range(1, 6)], "start string")
     return C.neighbours(_pairs(spark, d), starts, 2)
 
@@ -129,7 +129,7 @@ def hierarchical_chunks(spark, d):
 
 def document_chunks(spark, d):
     """Definition chunks of all documents."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
     return C.definition_chunks(docs).select("id", "start_line", "end_line", F.length("content").alias("chars"))
 
 
@@ -145,7 +145,7 @@ QUERIES = {f.__name__: f for f in (
 _CALLS = rf"SELECT path, s AS symbol, count(*) AS calls FROM (SELECT path, unnest(regexp_extract_all(content, '{C.CALL}', 1)) AS s FROM files) WHERE s NOT IN ({', '.join(repr(x) for x in C.NO_CALLS)}) GROUP BY ALL"
 _HITS = " + ".join(f"regexp_matches(x, '{p}')::INT" for p in C.DECISIONS)
 ORACLES = {
-    "related_bfs": """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey < 200), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    "related_bfs": """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT 's' || i AS start, 's' || i AS node, 0 AS distance FROM range(1, 6) t(i) UNION SELECT start, b, distance + 1 FROM r JOIN u ON node = a WHERE distance < 2)
 SELECT start, node, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY start, node HAVING min(distance) > 0""",
     "call_site_counts": ctes(FILES) + f" {_CALLS}",

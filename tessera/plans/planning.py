@@ -63,7 +63,7 @@ def affected_files(spark, d):
 
 def _versions(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    words = F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("step", "body")
+    words = F.posexplode(F.split("text", " ")).alias("step", "body")
     return c.select(F.col("conv_id").alias("plan_id"), F.col("turn").alias("version"), words)
 
 
@@ -164,7 +164,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in P.STATUSES)
 _PROGRESS = f"count(*) AS total, {_COUNTS}, CAST(floor(count(*) FILTER (status IN ('completed', 'skipped')) * 100 / count(*) + 0.5) AS BIGINT) AS percentage, CASE WHEN bool_and(status IN ('completed', 'skipped', 'failed')) AND bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status IN ('completed', 'skipped', 'failed')) THEN 'completed' ELSE 'executing' END AS overall"
-_V = "v AS (SELECT conv_id AS plan_id, turn AS version, CAST(i - 1 AS INTEGER) AS step, string_split(text, ' ')[i] AS body FROM (SELECT *, unnest(range(1, least(12, len(string_split(text, ' '))) + 1)) AS i FROM conversations))"
+_V = "v AS (SELECT conv_id AS plan_id, turn AS version, CAST(i - 1 AS INTEGER) AS step, string_split(text, ' ')[i] AS body FROM (SELECT *, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM conversations))"
 ORACLES = {
     "plan_edges": ctes(STEPS) + """, e AS (SELECT plan_id, unnest(depends_on) AS a, step AS b, step AS s, 0 AS k, unnest(range(len(depends_on))) AS p FROM steps UNION ALL SELECT plan_id, step, unnest(blocks), step, 1, unnest(range(len(blocks))) FROM steps),
 f AS (SELECT plan_id, a, b, min((s, k, p)) AS o FROM e WHERE (plan_id, a) IN (SELECT plan_id, step FROM steps) AND (plan_id, b) IN (SELECT plan_id, step FROM steps) GROUP BY ALL)

@@ -109,12 +109,12 @@ def failure_policy(spark, d):
 
 
 def changed_line_range_join(spark, d):
-    f = R.on_changed_line(FINDINGS.df(spark).select("ord", "file", "lo", "hi", "on_line", "priority"), _files(spark))
+    f = R.on_changed_line(FINDINGS.df(spark).select(F.lit(0).alias("diff_id"), "ord", "file", "lo", "hi", "on_line", "priority"), _files(spark))
     return f.select("ord", "on_line")
 
 
 def changed_lines_only(spark, d):
-    f = R.on_changed_line(FINDINGS.df(spark).select("ord", "file", "lo", "hi", "on_line", "priority"), _files(spark))
+    f = R.on_changed_line(FINDINGS.df(spark).select(F.lit(0).alias("diff_id"), "ord", "file", "lo", "hi", "on_line", "priority"), _files(spark))
     return R.on_line_only(f).select("ord", "priority")
 
 
@@ -144,7 +144,7 @@ def range_merge_orders(spark, d):
 
 
 def review_chunks(spark, d):
-    f = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("diff_id"), F.col("doc_id").alias("ord"), "source")
+    f = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("diff_id"), F.col("o_orderkey").alias("ord"))
     return R.review_chunks(f).select("diff_id", "ord", "chunk")
 
 
@@ -185,7 +185,7 @@ ORACLES = {
     "finding_hashes": ctes(FINDINGS) + r" SELECT ord, sha256(concat_ws('|', file, category, severity, nullif(rule, ''), CAST(lo AS VARCHAR), CAST(hi AS VARCHAR), lower(trim(regexp_replace(message, '\s+', ' ', 'g'))))) AS hash FROM findings",
     "range_merge": ctes(RANGES) + f", r AS (SELECT * FROM ranges), {_MERGE} SELECT k, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY k, g",
     "range_merge_orders": f"WITH r AS (SELECT o_custkey AS k, o_orderkey AS lo, o_orderkey + 3000 AS hi FROM orders), {_MERGE} SELECT k AS o_custkey, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY k, g",
-    "review_chunks": "SELECT lang AS diff_id, doc_id AS ord, CAST(CASE WHEN count(*) OVER (PARTITION BY lang) > 15 THEN (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 10 ELSE 0 END AS INTEGER) AS chunk FROM documents",
+    "review_chunks": "SELECT o_custkey AS diff_id, o_orderkey AS ord, CAST(CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 15 THEN (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 10 ELSE 0 END AS INTEGER) AS chunk FROM orders",
     "adaptive_timeout": ctes(NS) + " SELECT n, CAST(greatest(300000, least(3600000, ceil(n / 3) * 60000 * 1.5 + 120000)) AS BIGINT) AS timeout_ms FROM ns",
     "tsc_output": ctes(OUTPUTS) + f", l AS (SELECT id, trim(unnest(regexp_split_to_array(output, '\\r?\\n'))) AS x FROM outputs) SELECT id, regexp_extract(x, {_P}, 1) AS file, CAST(regexp_extract(x, {_P}, 2) AS INTEGER) AS line, CAST(regexp_extract(x, {_P}, 3) AS INTEGER) AS col, 'TS' || regexp_extract(x, {_P}, 4) AS code, trim(regexp_extract(x, {_P}, 5)) AS message FROM l WHERE regexp_matches(x, {_P})",
 }

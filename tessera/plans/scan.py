@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import scan as S
-from tessera.plans.fixture import Fixture, ctes
+from tessera.plans.fixture import Fixture, ctes, spread
 
 
 def _docs(spark, d):
@@ -20,7 +20,7 @@ def line_explode(spark, d):
 
 
 def line_stats(spark, d):
-    return _docs(spark, d).select("doc_id", S.line_counts(F.col("content")).alias("c")).select("doc_id", "c.*")
+    return spread(_docs(spark, d).select("doc_id", "content")).select("doc_id", S.line_counts(F.col("content")).alias("c")).select("doc_id", "c.*")
 
 
 def token_estimate(spark, d):
@@ -37,13 +37,17 @@ def largest_files(spark, d):
     return f.orderBy(F.col("lines").desc(), "doc_id").limit(10).select("path", "lines", T.human_bytes(F.col("bytes")).alias("size"))
 
 
+def _blocks(spark, d):
+    return _docs(spark, d).select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("name"), F.col("source").alias("file"), F.size(F.split("content", "\n", -1)).alias("lines"), F.col("content").alias("code"))
+
+
 def duplicate_groups(spark, d):
-    b = _docs(spark, d).select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("name"), F.col("source").alias("file"), F.size(F.split("content", "\n", -1)).alias("lines"), F.col("content").alias("code"))
-    return S.duplicate_groups(b, most=100)
+    return S.duplicate_groups(_blocks(spark, d), most=100)
 
 
 def duplicate_line_total(spark, d):
-    return duplicate_groups(spark, d).agg(F.count("*").alias("groups"), F.sum("redundant").alias("redundant_lines"))
+    """Over all groups, not only those that are shown."""
+    return S.duplicate_groups(_blocks(spark, d), most=None).agg(F.count("*").alias("groups"), F.sum("redundant").alias("redundant_lines"))
 
 
 def content_hash(spark, d):
@@ -78,7 +82,7 @@ def security_scan_documents(spark, d):
     docs = _docs(spark, d).select("path", "content")
     pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"), F.col("html").alias("content"))
     turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("/", F.lit("conversation"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"))
-    return S.scan_security(docs.unionByName(pages).unionByName(turns)).groupBy("type", "message", "severity").agg(F.count("*").alias("hits"))
+    return S.scan_security(spread(docs).unionByName(pages).unionByName(turns)).groupBy("type", "message", "severity").agg(F.count("*").alias("hits"))
 
 
 def secret_scrub(spark, d):
@@ -127,8 +131,8 @@ def validation_by_severity(spark, d):
 
 def validate_line_length(spark, d):
     """Lines over 120 signs of all documents, the first five of each."""
-    found = S.validate(_docs(spark, d).select(F.col("doc_id").alias("id"), "content", F.lit("review").alias("content_type")))
-    return found.where("rule = 'T2-004'").select(F.col("id").alias("doc_id"), "line")
+    found = S.validate(_docs(spark, d).select(F.col("doc_id").alias("id"), "content", F.lit("review").alias("content_type")), rules=["T2-004"])
+    return found.select(F.col("id").alias("doc_id"), "line")
 
 
 PATHS = Fixture("paths", "id int, path string, base string", [(0, "src/a/../b/c.test.ts", "./x"), (1, "./README.md", "../y"), (2, "../../up/x.go", "z"), (3, ".gitignore", "."), (4, "a//b/./c.TSX", "..")])
@@ -206,7 +210,7 @@ ORACLES = {
     "language_stats": f"SELECT lang AS language, count(*) AS files, CAST(sum(len({_LINES})) AS BIGINT) AS lines, CAST(sum(strlen(text)) AS BIGINT) AS bytes, round(sum(len({_LINES})) / sum(sum(len({_LINES}))) OVER () * 100, 1) AS pct FROM documents GROUP BY lang",
     "largest_files": f"SELECT source || '/' || doc_id AS path, CAST(len({_LINES}) AS BIGINT) AS lines, CASE WHEN strlen(text) < 1024 THEN printf('%d B', strlen(text)) WHEN strlen(text) < 1048576 THEN printf('%.1f KB', strlen(text) / 1024) ELSE printf('%.1f MB', strlen(text) / 1048576) END AS size FROM documents ORDER BY len({_LINES}) DESC, doc_id LIMIT 10",
     "duplicate_groups": f"WITH {_DUP} SELECT * FROM d",
-    "duplicate_line_total": f"WITH {_DUP} SELECT count(*) AS groups, CAST(sum(redundant) AS BIGINT) AS redundant_lines FROM d",
+    "duplicate_line_total": f"WITH {_DUP.rsplit(' ORDER BY', 1)[0]}) SELECT count(*) AS groups, CAST(sum(redundant) AS BIGINT) AS redundant_lines FROM d",
     "content_hash": r"SELECT doc_id, sha256(c) AS sha256, md5(c) AS md5, substr(sha256(c), 1, 16) AS short FROM (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS c FROM documents)",
     "security_scan": ctes(FILES) + f", l AS (SELECT * FROM ({_L.format(f='files')}) {_NOTE}) {_SCAN}",
     "security_scan_documents": f"WITH f AS (SELECT source || '/' || doc_id AS path, text AS content FROM documents UNION ALL SELECT url, html FROM pages UNION ALL SELECT 'conversation/' || conv_id || '/' || turn, text FROM conversations), l AS (SELECT * FROM ({_L.format(f='f')}) {_NOTE}) SELECT type, message, severity, count(*) AS hits FROM ({_SCAN}) GROUP BY ALL",
