@@ -179,4 +179,17 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_line_chunks": op8_line_chunks}
-ORACLES: dict[str, str] = {}
+#: Windows by sums of words, then the lines outside repeated ones.
+ORACLES = {
+    "op8_line_chunks": rf"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS x FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+n AS (SELECT *, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM l),
+k AS (SELECT doc_id, i, row_number() OVER d AS k, sum(n) OVER d AS upto, sum(n) OVER d - n AS before FROM n WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT a.doc_id, a.k AS ak, a.i AS lo, b.k AS bk, b.i AS hi FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + 1 AND a.k + {LEAST_WORDS - 1} AND b.upto - a.before >= {LEAST_WORDS}),
+w AS (SELECT doc_id, lo, min(hi) AS hi FROM p GROUP BY doc_id, lo UNION SELECT doc_id, max(lo), hi FROM p GROUP BY doc_id, hi),
+t AS (SELECT w.doc_id, lo, hi, array_to_string(string_split(text, chr(10))[lo:hi], chr(10)) AS piece FROM w JOIN documents USING (doc_id)),
+c AS (SELECT piece, min((doc_id, lo)) AS keeper FROM t GROUP BY piece HAVING count(*) > 1),
+g AS (SELECT doc_id, lo, hi FROM t JOIN c USING (piece) WHERE doc_id <> keeper[1] OR lo >= keeper[2] + (hi - lo + 1)),
+r AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN g ON g.doc_id = l.doc_id AND l.i BETWEEN lo AND hi),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.i IS NOT NULL) AS n_removed_lines, string_agg(x, chr(10) ORDER BY l.i) FILTER (r.i IS NULL) AS kept FROM l LEFT JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
+}
