@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,3 +164,31 @@ def glob_regex(glob: str) -> str:
             depth -= 1
         i += 1
     return f"^{out}$"
+
+
+def hashed_vector(text: Column, dims: int = 64) -> Column:
+    """Vector of a text without a model: each word (letters and digits, lower case) adds or takes one at a place that its md5
+    tells, then the length is 1 (all 0 without words). A stand-in where no embedding model is at hand; see `embed_with`."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    codes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
+
+    def summed(cs: Column) -> Column:
+        at = lambda d: F.aggregate(F.filter(cs, lambda c: F.pmod(c, F.lit(dims)) == d), F.lit(0), lambda a, c: a + F.when(F.pmod(F.floor(c / dims), F.lit(2)) == 0, 1).otherwise(-1))
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), at)
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x).cast("double"))
+        return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    return bound(bound(codes, summed), scaled)
+
+
+def embed_with(model: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
+    """A column function of a model that turns a list of texts into vectors: Arrow batches, null texts as empty."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(model([x or "" for x in texts]))
+
+    return run

@@ -58,9 +58,9 @@ def blame(outputs: DataFrame) -> DataFrame:
     """(file, line, author, date, content) of line-porcelain output: headers hold until the line that begins with a tab."""
     t = outputs.select("file", F.posexplode(F.split("output", "\n", -1)).alias("pos", "x"))
     w = Window.partitionBy("file").orderBy("pos")
-    told = lambda prefix: F.last(F.when(F.col("x").startswith(prefix), F.substring("x", len(prefix) + 1, 1000)), True).over(w)
+    told = lambda prefix: F.last(F.when(F.col("x").startswith(prefix), F.substr("x", F.lit(len(prefix) + 1))), True).over(w)
     t = t.withColumn("author", told("author ")).withColumn("at", told("author-time ")).where(F.col("x").startswith("\t"))
-    return t.select("file", F.row_number().over(w).alias("line"), "author", F.date_format(F.timestamp_seconds(F.col("at").cast("long")), "yyyy-MM-dd").alias("date"), F.substring("x", 2, 100000).alias("content"))
+    return t.select("file", F.row_number().over(w).alias("line"), "author", F.date_format(F.timestamp_seconds(F.col("at").cast("long")), "yyyy-MM-dd").alias("date"), F.substr("x", F.lit(2)).alias("content"))
 
 
 def ownership(lines: DataFrame) -> DataFrame:

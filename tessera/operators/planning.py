@@ -332,3 +332,34 @@ def assign_workers(tasks: Iterator[tuple[str, int]], workers: int) -> list[tuple
 def utilisation(loads: DataFrame) -> DataFrame:
     """One row: the share of a minute that workers(load_ms) are busy, at most 1."""
     return loads.agg(F.least(F.lit(1.0), F.sum("load_ms") / (F.count("*") * 60_000)).alias("utilisation"))
+
+
+def gantt(steps: DataFrame) -> DataFrame:
+    """(plan_id, chart): the steps of each plan as a Mermaid gantt chart, a day each, after their first dependency."""
+    title = F.substring(F.coalesce(F.when(F.col("title") != "", F.col("title")), F.concat(F.lit("Step "), F.col("step").cast("string"))), 1, 20)
+    after = F.when(F.size("depends_on") > 0, F.concat(F.lit("after step"), F.get("depends_on", F.lit(0)).cast("string"))).otherwise("a1")
+    line = F.concat(F.lit("    "), title, F.lit(" :step"), F.col("step").cast("string"), F.lit(", "), after, F.lit(", 1d\n"))
+    g = steps.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("step", line.alias("line")))).alias("ls"))
+    head = "gantt\n    title Implementation Plan\n    dateFormat YYYY-MM-DD\n    excludes weekends\n\n    section All Steps\n"
+    return g.select("plan_id", F.concat(F.lit(head), F.array_join(F.transform("ls", lambda x: x["line"]), "")).alias("chart"))
+
+
+def approval_requests(steps: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, step, type, status, summary): the pending requests of plans(plan_id, goal): one for the plan, and one for
+    each of its steps."""
+    whole = plans.select("plan_id", F.lit(None).cast("int").alias("step"), F.lit("full_plan").alias("type"), F.concat(F.lit("Approve plan: "), "goal").alias("summary"))
+    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Untitled"))
+    each = steps.join(plans.select("plan_id"), "plan_id", "left_semi").select("plan_id", "step", F.lit("step").alias("type"), F.concat(F.lit("Approve step "), F.col("step").cast("string"), F.lit(": "), title).alias("summary"))
+    return whole.unionByName(each).withColumn("status", F.lit("pending"))
+
+
+def find_plans(plans: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, plan_id): the plan of each asked(asked) id or name; an id comes before a name, whatever its case."""
+    by_id = asked.join(plans, F.col("asked") == F.col("plan_id").cast("string")).select("asked", F.lit(0).alias("_o"), "plan_id")
+    by_name = asked.join(plans, F.lower("asked") == F.lower("name")).select("asked", F.lit(1).alias("_o"), "plan_id")
+    return by_id.unionByName(by_name).groupBy("asked").agg(F.min_by("plan_id", F.struct("_o", "plan_id")).alias("plan_id"))
+
+
+def delete_plans(plans: DataFrame, asked: DataFrame) -> DataFrame:
+    """plans without those that `find_plans` finds."""
+    return plans.join(find_plans(plans, asked).select("plan_id"), "plan_id", "left_anti")

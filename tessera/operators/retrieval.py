@@ -202,3 +202,21 @@ def context_bundle(hits: DataFrame, budget: int = 8000, max_files: int = 5, floo
     cut = within_budget(cut.withColumn("tokens", token_estimate(F.col("snippet"))), per_file, ["path"], [F.col("score").desc(), F.col("ord")])
     by_file = cut.groupBy("path", "relevance", "file_rank").agg(F.count("*").alias("snippets"), F.sum("tokens").alias("tokens"))
     return within_budget(by_file.withColumn("_all", F.lit(0)), budget, ["_all"], [F.col("file_rank")]).select("path", "relevance", "file_rank", "snippets", "tokens")
+
+
+def hints(files: DataFrame, snippets: DataFrame, most: int = 4) -> DataFrame:
+    """(bundle, hint, value, n): files(bundle, extension) by extension ("unknown" without one), and snippets(bundle,
+    code_type) by type, the `most` frequent ones; ties by name."""
+    e = files.groupBy("bundle", F.coalesce(F.when(F.col("extension") != "", F.col("extension")), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n")).select("bundle", F.lit("extension").alias("hint"), "value", "n")
+    t = snippets.where("code_type <> ''").groupBy("bundle", F.col("code_type").alias("value")).agg(F.count("*").alias("n"))
+    t = t.withColumn("_n", F.row_number().over(Window.partitionBy("bundle").orderBy(F.col("n").desc(), "value"))).where(F.col("_n") <= most)
+    return e.unionByName(t.select("bundle", F.lit("code_type").alias("hint"), "value", "n"))
+
+
+def memory_hits(hits: DataFrame, folder: str = ".memories/") -> DataFrame:
+    """Hits that lie in the folder of memories."""
+    return hits.where(F.col("path").startswith(folder))
+
+
+def score_percent(score: Column) -> Column:
+    return F.concat(F.round(score * 100, 0).cast("int").cast("string"), F.lit("%"))

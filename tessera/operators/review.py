@@ -341,3 +341,36 @@ def parse_model_findings(replies: DataFrame) -> DataFrame:
     parsed = F.from_json(body, "struct<findings array<struct<id string, severity string, title string, evidence array<string>>>>")
     f = replies.select("id", F.explode(parsed["findings"]).alias("f")).where("f.id is not null and f.severity is not null and f.title is not null")
     return f.select("id", F.col("f.id").alias("finding"), "f.severity", "f.title", F.array_join(F.slice(F.coalesce("f.evidence", F.array().cast("array<string>")), 1, 5), "; ").alias("evidence"))
+
+
+def exclude_files(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """files without those whose new or old path fits a pattern; `*` stands for anything, all else is a regular expression."""
+    fits = F.lit(False)
+    for p in patterns:
+        whole = "^(?:" + p.replace("*", ".*") + ")$"
+        fits = fits | F.coalesce(F.col("new_path").rlike(whole), F.lit(False)) | F.coalesce(F.col("old_path").rlike(whole), F.lit(False))
+    return files.where(~fits)
+
+
+def noise_gate(checked: DataFrame, invariants: DataFrame, force: bool = False) -> DataFrame:
+    """checked (see `preflight`) with `skip`: risk of 2 at the most, no broken invariant, tests touched, and not forced."""
+    broken = invariants.select("diff_id").distinct().withColumn("_broken", F.lit(True))
+    out = checked.join(broken, "diff_id", "left")
+    return out.withColumn("skip", F.lit(not force) & (F.col("risk") <= 2) & F.col("_broken").isNull() & F.col("tests")).drop("_broken")
+
+
+def _markdown(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\`*_{}\[\]()#+\-!|>])", r"\\$1")
+
+
+def pr_comment(findings: DataFrame, results: DataFrame, most: int = 20) -> DataFrame:
+    """(diff_id, comment) of results(diff_id, risk, change, should_fail): a Markdown comment with the `most` weightiest of
+    findings(diff_id, ord, id, severity, category, title, file, lo). They are ranked before they are gathered."""
+    order = Window.partitionBy("diff_id").orderBy(severity_rank(F.col("severity")).desc(), "ord")
+    f = findings.withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy("diff_id"))).where(F.col("_n") <= most)
+    line = F.concat(F.lit("- **"), "severity", F.lit("** `"), "id", F.lit("` ("), "category", F.lit(") at `"), "file", F.lit(":"), F.col("lo").cast("string"), F.lit("`: "), _markdown(F.col("title")))
+    g = f.groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))).alias("ls"), F.max("_all").alias("n"))
+    head = F.concat(F.lit("## Code Review Summary\n\n- Risk: **"), F.col("risk").cast("string"), F.lit("/5**\n- Classification: **"), "change", F.lit("**\n- CI gate: **"), F.when(F.col("should_fail"), "FAIL").otherwise("PASS"), F.lit("**\n\n"))
+    more = F.when(F.col("n") > most, F.concat(F.lit(f"\n\n(Showing first {most} of "), F.col("n").cast("string"), F.lit(" findings.)"))).otherwise("")
+    body = F.when(F.col("n").isNull(), "No findings.").otherwise(F.concat(F.lit("## Findings\n\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), more))
+    return results.join(g, "diff_id", "left").select("diff_id", F.concat(head, body).alias("comment"))

@@ -204,3 +204,10 @@ def validate(inputs: DataFrame, extra: dict[str, Column] | None = None, most: in
         *(when(test, F.array(item(rule, "warning", 2, F.lit("Custom rule")))) for rule, test in (extra or {}).items()),
     ]
     return inputs.select("id", F.explode(F.slice(F.concat(*tiers), 1, most)).alias("f")).select("id", "f.*")
+
+
+def scrub_report(files: DataFrame) -> DataFrame:
+    """(path, name, confidence, found) of the credentials that `scrub` would mask in files(path, content): how many of each
+    name; confidence is that of the pattern, 0.95 for high severity, else 0.7."""
+    found = [F.struct(F.lit(n).alias("name"), F.lit(0.95 if s == "high" else 0.7).alias("confidence"), F.size(F.regexp_extract_all("content", F.lit(p), F.lit(0))).cast("long").alias("found")) for n, p, s in SECRETS]
+    return files.select("path", F.explode(F.filter(F.array(*found), lambda x: x["found"] > 0)).alias("f")).select("path", "f.*")

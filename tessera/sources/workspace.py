@@ -99,10 +99,37 @@ def clear_index(spark: SparkSession, target: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _parsed(text: str):
+    """A YAML document, or JSON (a part of YAML) where no YAML parser is installed."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def _pattern(x) -> str | None:
+    """A regular expression given as text or as {regex: {pattern, flags}}; the flag i goes into the pattern."""
+    if isinstance(x, str):
+        return x
+    r = x.get("regex", x) if isinstance(x, dict) else {}
+    return ("(?i)" if "i" in str(r.get("flags") or "") else "") + r["pattern"] if isinstance(r, dict) and isinstance(r.get("pattern"), str) else None
+
+
 def load_rules(text: str) -> list[dict]:
-    """Policy rules of a JSON document {section: [rule, ...]}; rules without id, rule, paths, severity or category go."""
-    need = ("id", "rule", "paths", "severity", "category")
-    return [r for section in json.loads(text or "{}").values() if isinstance(section, list) for r in section if isinstance(r, dict) and all(r.get(k) for k in need)]
+    """Policy rules of a YAML or JSON document {section: [rule, ...]}, with `section`; sections that are no lists, and rules
+    without id, rule, paths, severity or category go. A document that is no mapping is refused."""
+    doc = _parsed(text) if text and text.strip() else {}
+    if not isinstance(doc, dict):
+        raise ValueError("policy rules are a mapping of sections to lists of rules")
+    out = []
+    for section, rules in doc.items():
+        for r in rules if isinstance(rules, list) else []:
+            words = [r.get(k) for k in ("id", "rule", "severity", "category")] if isinstance(r, dict) else [None]
+            paths = [p for p in r["paths"] if isinstance(p, str)] if isinstance(r, dict) and isinstance(r.get("paths"), list) else []
+            if paths and all(isinstance(w, str) and w for w in words):
+                out.append({**r, "section": section, "paths": paths} | {k: _pattern(r[k]) for k in ("when", "require", "deny") if k in r})
+    return out
 
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
