@@ -2,14 +2,14 @@
 
 Training rows (crc32 of doc_id mod 4 is not 2) give a lexicon: words, and stems (prefixes of MIN_STEM letters or more),
 whose document frequencies differ by label more than chance allows (likelihood ratio). Copies would count a word again
-and again, so documents with equal smallest shingle hash count once. The lexicon becomes a trie; a word of a text is
+and again, so documents of one label whose KIN smallest shingle hashes are equal count once. The lexicon becomes a trie; a word of a text is
 caught if the Levenshtein automaton (with transpositions) of a path of the trie accepts it; a term allows only as many
 edits as catch next to nothing in training rows of label 0. Each hit is weighed by its context window: inside quotation
 marks or after a word of saying or naming it is a mention and counts MENTION, else 1. A logistic model over the sums of
 weights turns hits into a score.
 
-Bounds (parameters): the lexicon and the model are fitted on at most FIT labelled rows, those with the smallest hashes of
-doc_id; the lexicon has at most TERMS terms. Both are broadcast. Scoring covers whole texts of all rows without a shuffle;
+Bound (a parameter): the lexicon and the model are fitted on at most FIT labelled rows, those with the smallest hashes of
+doc_id; a term of the lexicon is in LEAST_DOCS of them or more, so their words bound it. Both are broadcast. Scoring covers whole texts of all rows without a shuffle;
 a worker keeps what it knows of words, and the states of the automaton, in bounded caches.
 
 Defined results: null and empty texts score as texts without hits; repeated rows are scored each; labels that are null
@@ -19,6 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections import Counter
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import packed, spread, table
 from tessera.llm.minhash import shingle_sets
 
-FIT, TERMS, MIN_STEM, MAX_STEM, RATIO, LEAST_DOCS, PURE = 8_000, 400, 5, 9, 26.0, 6, 0.75
+FIT, MIN_STEM, MAX_STEM, RATIO, LEAST_DOCS, PURE, KIN = 8_000, 5, 9, 26.0, 6, 0.75, 4
 MENTION, REACH, AT, CACHE, STATES, TOLERATED = 0.25, 4, 0.3, 200_000, 50_000, 0.0005
 STRIP = ".,;:!?\"'()[]{}<>|*%&$#~`´’‘“”«»„…-–—_/\\"
 OPEN_QUOTES, CLOSE_QUOTES, BOTH_QUOTES = "“«„‘", "”»’", "\""
@@ -215,7 +216,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = shingle_sets([(x or "").encode() for x in b.column(2).to_pylist()])
-        family = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in sets]
+        family = [int.from_bytes(hashlib.blake2b(s[:KIN].tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(family, pa.int64())], names=["doc_id", "label", "text", "family"])
 
 
@@ -227,13 +228,24 @@ def ratio(a, b, na, nb) -> float:
     return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p)) if 0 < p < 1 else 0.0
 
 
+def _ratio(a, b, na: int, nb: int):
+    """The same as a Column."""
+    part = lambda k, n, q: F.when(k > 0, k * F.log(q)).otherwise(0.0) + F.when(n - k > 0, (n - k) * F.log(1 - q)).otherwise(0.0)
+    p = (a + b) / (na + nb)
+    told = 2 * (part(a, F.lit(na), a / na) + part(b, F.lit(nb), b / nb) - part(a, F.lit(na), p) - part(b, F.lit(nb), p))
+    return F.when((a * nb <= b * na) | (p <= 0) | (p >= 1), 0.0).otherwise(told)
+
+
 def choose(counts: list[tuple[str, bool, int, int]], n1: int, n0: int) -> list[tuple[str, bool, int, bool]]:
     """Terms (term, stem, edits, mixed) from (term, stem, documents of label 1, of label 0), strongest first; none is a
     prefix of another."""
     scored = [(round(ratio(a, b, n1, n0), 6), len(t), not stem, t, stem, b > 0 or a < 0.05 * n1) for t, stem, a, b in counts if a + b >= LEAST_DOCS and a >= PURE * (a + b)]
     out: list[tuple[str, bool, int, bool]] = []
+    chosen, begun = set(), set()  # terms, and all their beginnings
     for r, _, _, t, stem, mixed in sorted(scored, key=lambda x: (-x[0], -x[1], not x[2], x[3])):  # of equal ones the longest
-        if r >= RATIO and len(out) < TERMS and not any(t.startswith(u[0]) or u[0].startswith(t) for u in out):
+        if r >= RATIO and t not in begun and not any(t[:k] in chosen for k in range(1, len(t))):
+            chosen.add(t)
+            begun.update(t[:k] for k in range(1, len(t) + 1))
             out.append((t, stem, edits(t, stem), mixed))
     return out
 
@@ -282,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT, key: str = "doc_id"
     chosen = labels.where(F.col(label).isin(0, 1)).where(~held_out(key)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label"))
     chosen = chosen.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     train = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
-    families = train.mapInArrow(_families, "doc_id bigint, label int, text string, family bigint").groupBy("family").agg(F.min_by(F.struct("label", "text"), "doc_id").alias("x")).select("x.label", "x.text").repartition(24).persist()
+    families = train.mapInArrow(_families, "doc_id bigint, label int, text string, family bigint").groupBy("family", "label").agg(F.min_by("text", "doc_id").alias("text")).select("label", "text").repartition(24).persist()
     try:
         n = {r["label"]: r["n"] for r in families.groupBy("label").agg(F.count("*").alias("n")).collect()}
         n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -291,8 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT, key: str = "doc_id"
         one = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
         counts = families.mapInArrow(_terms, "term string, stem boolean, label int, n bigint").groupBy("term", "stem").agg(one(1).alias("a"), one(0).alias("b"))
         counts = counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("a") >= PURE * (F.col("a") + F.col("b"))))
-        # far more than can be chosen, and a bound for what comes to the driver
-        counts = counts.orderBy(F.col("a").desc(), "b", "term", "stem").limit(50 * TERMS)
+        counts = counts.where(_ratio(F.col("a"), F.col("b"), n1, n0) >= RATIO - 1e-6)
         terms = choose([tuple(r) for r in counts.collect()], n1, n0)
         near = families.where("label = 0").mapInArrow(_fuzzy_words(spark.sparkContext.broadcast(json.dumps(terms))), "word string").groupBy("word").agg(F.count("*").alias("n"))
         terms = restrain(terms, [tuple(r) for r in near.collect()], TOLERATED * n0)
