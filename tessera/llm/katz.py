@@ -1,20 +1,25 @@
-"""Operator 7: a Katz backoff bigram model with Good-Turing discounts, in partitioned tables.
-
-    P(w | h) = d(c) c(h w) / c(h)    if h w was seen     (d(c) < 1 up to CUT, 1 beyond)
-             = a(h) P(w)             else                a(h) so that the sum over all w is exactly 1
-    P(w)     = d(c) c(w) / N, and what the discounts leave for the one class of unknown words
-
-A text is scored word by word, then its end; the first word's history is the start of a text. Histories that were never
-seen back off at once. If no count of a history is discounted, it keeps 1 / (c(h) + 1) for unseen words.
-
-Tables: words with counts; bigrams in buckets, one packed row each, sorted. A bucket holds all bigrams of its histories;
-histories with more than a quarter of a bucket's fair share are spread over all buckets by the second word, and their
-backoff weights are summed over buckets. Bigrams with more than an eighth of a bucket's share are scored where the texts
-are. Texts are read three times: for words, for bigrams (combined in each batch), and for scores, when each batch asks
-the buckets for its (bigram, text) pairs in packed form. All statistics cover all training texts; nothing is cut off.
-
-Words are known by 64-bit hashes of their bytes. Up to VOCABULARY words the table of words is broadcast (20 bytes each)
+"""Operator 7: a Katz backoff model of words with Good-Turing discounts, in partitioned tables; order 3, or 2.
+
+    P(w | u v) = d(c) c(u v w) / c(u v)    if u v w was seen     (d(c) < 1 up to CUT, 1 beyond)
+               = a(u v) P(w | v)           else                  (a so that the sum over all w is exactly 1)
+    P(w | v)   = likewise from c(v w), c(v), a(v) and P(w)
+    P(w)       = d(c) c(w) / N, and what the discounts leave for the one class of unknown words
+
+A text is scored word by word, then its end; the first words' histories begin with starts of a text. Histories that were
+never seen back off at once. If no count of a history is discounted, it keeps 1 / (c(h) + 1) for unseen words. Each order
+has its own discounts.
+
+Tables: words with counts; bigrams and trigrams in buckets, one packed row each, sorted. A bucket holds all grams of its
+histories; histories with more than a quarter of a bucket's fair share (pairs of words: an eighth) are spread over all
+buckets by the last word, and their backoff weights are summed over buckets. Grams with more than an eighth of a bucket's
+share are scored where the texts are. Trigrams are counted where their last two words' bigram is, which gives P(w | v) for
+the backoff weights, and go from there to their histories. Each batch of texts asks the buckets of trigrams for its
+(trigram, text) pairs in packed form; what was not seen there goes on, with its weight, to the buckets of bigrams. All
+statistics cover all training texts; nothing is cut off.
+
+Words are known by 64-bit hashes of their bytes. Up to VOCABULARY words the table of words is broadcast once (20 bytes each)
 and words become dense numbers; beyond, each text gets the counts of its own words by a join, with the same results.
+Everything but the last scoring step runs while the query is being built.
 
 Defined results: null and empty texts are one end token; rows with one doc_id, or without one, count as one document of all
 their tokens;
@@ -38,7 +43,8 @@ from tessera.llm.common import by_bytes, keyed, mix, raw, spread, Stash, table,
 
 CUT, VOCABULARY, SHARE, BATCH = 5, 12_000_000, 1_500_000, 1 << 21
 END, UNKNOWN, START = (np.uint64(0xE4D0000000000000 + k) for k in (1, 2, 3))
-_U32 = np.uint64(32)
+_U32, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+_NONE = np.empty(0, dtype=np.uint64)
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -138,22 +144,31 @@ def _bucket(k1, k2, c1, buckets: int, hot: float) -> np.ndarray:
     return (mix(mix(k1 + np.uint64(9)) + spread) % np.uint64(buckets)).astype(np.int64)
 
 
-def _bigrams(texts: list[bytes], words, starts: int) -> tuple[np.ndarray, ...]:
-    """(k1, k2, c1, c2, text) of all tokens; c1 of the start is `starts`."""
+def _grams(texts: list[bytes], words, starts: int, order: int) -> tuple:
+    """(words of each token's gram, first to last; counts of the last two; text); the count of a start is `starts`."""
     h, n = word_hashes(texts)
-    size = n + 2
-    seq = np.empty(int(size.sum()), dtype=np.uint64)
+    size = n + order
+    seq = np.full(int(size.sum()), START, dtype=np.uint64)
     end = np.cumsum(size)
     begin = end - size
-    inner = np.ones(len(seq), dtype=bool)
-    inner[begin], inner[end - 1] = False, False
-    seq[inner], seq[end - 1], seq[begin] = h, END, START
+    token = np.ones(len(seq), dtype=bool)
+    for j in range(order - 1):
+        token[begin + j] = False
+    inner = token.copy()
+    inner[end - 1] = False
+    seq[inner], seq[end - 1] = h, END
     k, c = words.look(seq)
-    k[begin], c[begin] = words.start, starts
-    first = np.ones(len(seq), dtype=bool)
-    first[end - 1] = False
-    first = np.flatnonzero(first)
-    return k[first], k[first + 1], c[first], c[first + 1], np.repeat(np.arange(len(texts)), n + 1)
+    k[~token], c[~token] = words.start, starts
+    at = np.flatnonzero(token)
+    return [k[at - j] for j in range(order - 1, -1, -1)], c[at - 1], c[at], np.repeat(np.arange(len(texts)), n + 1)
+
+
+def _find(keys: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the asked in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(ask), dtype=np.int64), np.zeros(len(ask), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+    return at, keys[at] == ask
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -184,6 +199,49 @@ def _unique(k1: np.ndarray, k2: np.ndarray, text: np.ndarray | None, dense: bool
     return k1[o], k2[o], t[o], n, o
 
 
+def _different(x: np.ndarray, w: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place, number) of each of the different rows, sorted."""
+    if not len(x):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    of = np.unique(x, return_inverse=True)[1].astype(np.uint64)
+    if w.max() < 1 << 25 and text.max() < 1 << 14 and of.max() < 1 << 25:
+        y = (of << np.uint64(39)) | (w << np.uint64(14)) | text.astype(np.uint64)
+        o = np.argsort(y, kind="stable")
+        cut = _runs(y[o])
+    else:
+        o = np.lexsort((text, w, of))
+        cut = _runs(of[o], w[o], text[o])
+    return o[cut], np.diff(np.append(cut, len(o)))
+
+
+def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its rows in their order)."""
+    o = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    cuts = _runs(bucket[o])
+    for i, j in zip(cuts, np.append(cuts[1:], len(o)), strict=True):
+        yield int(bucket[o[i]]), o[i:j]
+
+
+def _pieces(bucket: np.ndarray, buckets: int, columns: list[np.ndarray]) -> dict[int, bytes]:
+    """Packed columns by bucket; the first, which comes sorted, as differences."""
+    return {k: pack([_delta(columns[0][x]), *(v[x] for v in columns[1:])]) for k, x in _split(bucket, buckets)}
+
+
+def _joined(rows: list, k: int) -> list[np.ndarray]:
+    """The columns of packed rows one after the other."""
+    parts = [unpack(x, k) for x in rows if x]
+    if not parts:
+        return [_NONE] * k
+    return [np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in range(1, k))]
+
+
+def _sparse(text: np.ndarray, value: np.ndarray) -> bytes:
+    """Sums by text, for the texts that have some."""
+    text = text.astype(np.int64)
+    k = np.unique(text)
+    return pack([_delta(k.astype(np.uint64)), np.bincount(text, value)[k].astype(np.float64).view(np.uint64)])
+
+
 def _merge(key: np.ndarray, *sums: np.ndarray):
     """(order of the first of each key, sums by key)."""
     o = np.argsort(key, kind="stable")
@@ -192,18 +250,32 @@ def _merge(key: np.ndarray, *sums: np.ndarray):
 
 
 class Model:
-    """What tasks need to know; `words` None means that texts bring their own counts."""
+    """What tasks need to know; not `dense` means that texts bring their own counts."""
 
-    def __init__(self, uni: Unigram, starts: int, buckets: int, words: Words | None):
-        self.uni, self.starts, self.buckets, self.words = uni, starts, buckets, words
+    def __init__(self, uni: Unigram, starts: int, buckets: int, dense: bool):
+        self.uni, self.starts, self.buckets, self.dense, self.words = uni, starts, buckets, dense, None
         self.hot = max(1.0, uni.total / (4 * buckets))
-        self.d = None  # discounts of bigrams
+        self.d = self.d3 = None  # discounts of bigrams and trigrams
         self.left: dict = {}  # of hot histories: (mass of seen words, their P(w), has discounted counts)
-        self.pairs = (np.empty(0, dtype=np.uint64), np.empty(0))  # keys of hot bigrams and their log10 P
+        self.pairs = (_NONE, np.empty(0))  # keys of hot bigrams and their log10 P
+        self.left3 = (_NONE, *(np.empty(0) for _ in range(4)))  # of hot bigrams as histories: keys, mass, lower, low, total
+        self.triples = (_NONE, np.empty(0))  # keys of hot trigrams and their log10 P
 
-    @property
-    def dense(self) -> bool:
-        return self.words is not None
+    def __getstate__(self):
+        return self.__dict__ | {"words": None}
+
+    def top(self, keys: np.ndarray) -> np.ndarray:
+        """Which pairs are hot."""
+        return _find(self.pairs[0], keys)[1]
+
+    def suffix(self, x, v, w, c1) -> np.ndarray:
+        """Buckets of trigrams by their bigrams v w; those of hot ones are spread by their history."""
+        spread = (mix(mix(x) + w) % np.uint64(self.buckets)).astype(np.int64)
+        return np.where(self.top(_key(v, w, self.dense)), spread, _bucket(v, w, c1, self.buckets, self.hot))
+
+    def context(self, x, w) -> np.ndarray:
+        """Buckets of trigrams by their histories; those of hot ones are spread by the last word."""
+        return _bucket(x, w, self.top(x), self.buckets, 0)
 
     def own(self, batch: pa.RecordBatch):
         if self.dense:
@@ -260,27 +332,21 @@ def _ask_counts(said):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = said.value
         for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
-            k1, k2, c1, c2, _ = _bigrams(raw(b.column(1)), m.own(b), m.starts)
+            (k1, k2), c1, c2, _ = _grams(raw(b.column(1)), m.own(b), m.starts, 2)
             k1, k2, _, n, at = _unique(k1, k2, None, m.dense)
             c1, c2 = m.counts(k1, k2, []) if m.dense else (c1[at], c2[at])
-            yield from _dealt(m, k1, k2, c1, c2, [n])
+            yield from _dealt(m, _bucket(k1, k2, c1, m.buckets, m.hot), [k1, k2, n, *([] if m.dense else [c1, c2])])
 
     return run
 
 
-def _dealt(m: Model, k1, k2, c1, c2, more: list[np.ndarray], head: dict[int, bytes] | None = None):
-    """One row for each bucket: packed k1, k2, more, and the counts if they can't be looked up; head goes before."""
-    bucket = _bucket(k1, k2, c1, m.buckets, m.hot)
-    o = np.argsort(bucket.astype(np.uint16) if m.buckets < 1 << 16 else bucket, kind="stable")  # rows come sorted
-    cuts = _runs(bucket[o])
-    data = {}
-    for i, j in zip(cuts, np.append(cuts[1:], len(o)), strict=True):
-        x = o[i:j]
-        data[int(bucket[x[0]])] = pack([_delta(k1[x]), k2[x], *(v[x] for v in more), *([] if m.dense else [c1[x], c2[x]])])
+def _dealt(m: Model, bucket: np.ndarray, columns: list[np.ndarray], head: dict[int, bytes] | None = None):
+    """One row for each bucket: packed columns; head goes before."""
+    data = _pieces(bucket, m.buckets, columns)
     if head is not None:
         for k in head.keys() | data.keys():
             first = head.get(k, b"")
-            data[k] = struct.pack("<I", len(first)) + first + data.get(k, pack([np.empty(0, dtype=np.uint64)] * (len(more) + (2 if m.dense else 4))))
+            data[k] = struct.pack("<I", len(first)) + first + data.get(k, pack([_NONE] * len(columns)))
     if data:
         yield pa.RecordBatch.from_arrays([pa.array(list(data), pa.int32()), pa.array(list(data.values()), pa.binary())], names=["bucket", "data"])
 
@@ -336,34 +402,194 @@ def _hot(said):
     return run
 
 
-def _ask_scores(said):
-    """Texts (doc_id, text, held_out) to (bucket, data): base results of the texts, and their bigrams by text."""
+class Bigrams:
+    """A bucket's bigrams, with what P(w | v) needs of their histories."""
+
+    def __init__(self, m: Model, rows: list):
+        none = np.empty(0, dtype=np.int64)
+        k1, k2, c, c1, c2 = _read_bucket(m, rows[0]) if rows else (_NONE, _NONE, none, none, none)
+        cold = c1 <= m.hot
+        h, mass, lower, low = m.histories(k1[cold], c[cold], c1[cold], c2[cold])
+        if m.left:
+            h = np.concatenate((h, np.array(list(m.left), dtype=np.uint64)))
+            mass, lower, low = (np.concatenate((x, [v[i] for v in m.left.values()])) for i, x in enumerate((mass, lower, low)))
+        o = np.argsort(h)
+        self.m, self.h, self.of = m, h[o], np.stack([mass[o], lower[o], low[o]])
+        key = _key(k1, k2, m.dense)
+        o = np.argsort(key)
+        self.key, self.c = key[o], c[o]
+
+    def log(self, v, w, c1, c2) -> np.ndarray:
+        """log10 P(w | v)."""
+        at, has = _find(self.h, v)
+        of = np.zeros((3, len(v)))
+        of[:, has] = self.of[:, at[has]]
+        at, seen = _find(self.key, _key(v, w, self.m.dense))
+        value = np.empty(len(v))
+        value[seen] = self.m.log_seen(self.c[at[seen]], c1[seen], of[2, seen])
+        value[~seen] = self.m.log_unseen(c1[~seen], c2[~seen], *of[:, ~seen])
+        return value
+
+
+class Trigrams:
+    """A bucket's trigrams, with what P(w | u v) needs of their histories."""
+
+    def __init__(self, m: Model, data: list, sums: list):
+        x, w, c = _joined(data, 3)
+        c = c.view(np.int64)
+        h, lower = _joined(sums, 2)
+        cold = np.flatnonzero(~m.top(x))
+        xs, mass, low, total = _contexts(m.d3, x[cold], c[cold])
+        at = np.searchsorted(h, xs)  # a history that is not hot has its sum in its bucket
+        cols = [np.concatenate((a, b)) for a, b in zip((xs, mass, lower.view(np.float64)[at] if len(xs) else np.empty(0), low, total), m.left3, strict=True)]
+        o = np.argsort(cols[0])
+        self.h, self.mass, self.lower, self.low, self.total = (a[o] for a in cols)
+        key = _key(x, w, False)
+        o = np.argsort(key)
+        self.d, self.key, self.c = m.d3, key[o], c[o]
+
+    def log(self, x, w) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 P(w | u v) where u v w was seen, else log10 of the weight of P(w | v); seen)."""
+        at, has = _find(self.h, x)
+        place, seen = _find(self.key, _key(x, w, False))
+        value = np.zeros(len(x))
+        k, c = at[seen], self.c[place[seen]]
+        value[seen] = np.log10(_d(self.d, c) * c / (self.total[k] + (self.low[k] == 0)))
+        on = has & ~seen
+        k = at[on]
+        value[on] = np.log10((1 - self.mass[k] / (self.total[k] + (self.low[k] == 0))) / np.maximum(1 - self.lower[k], 1e-300))
+        return value, seen
+
+
+def _contexts(d: np.ndarray, x: np.ndarray, c: np.ndarray):
+    """(x, mass, low, total) by history x, which comes sorted."""
+    cut = _runs(x)
+    if not len(cut):
+        return _NONE, *(np.empty(0) for _ in range(3))
+    return x[cut], np.add.reduceat(_d(d, c) * c, cut), np.add.reduceat((c <= CUT).astype(float), cut), np.add.reduceat(c, cut).astype(float)
+
+
+def _ask_links(said):
+    """Texts to (bucket, data): the batch's trigrams (history, word, number), to the buckets of their bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = said.value
+        for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
+            (u, v, w), c1, c2, _ = _grams(raw(b.column(1)), m.own(b), m.starts, 3)
+            x = _key(u, v, m.dense)
+            at, n = _different(x, w, np.zeros(len(x), dtype=np.int64))
+            x, v, w, c1, c2 = x[at], v[at], w[at], c1[at], c2[at]
+            o = np.arange(len(x)) if m.dense else np.argsort(x, kind="stable")
+            yield from _dealt(m, m.suffix(x, v, w, c1)[o], [a[o] for a in (x, w, n, *(() if m.dense else (v, c1, c2)))])
+
+    return run
+
+
+_LINKS = "bucket int, data binary, sums binary"
+
+
+def _link(said):
+    """A bucket's batches of trigrams and its bigrams to (bucket of the histories, counted trigrams, sums of P(w | v))."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        m: Model = said.value
+        x, w, n, *rest = _joined(asked.column("data").to_pylist(), 3 if m.dense else 6)
+        at, (n,) = _merge(_key(x, w, False), n.view(np.int64))
+        o = np.lexsort((w[at], x[at]))
+        at, n = at[o], n[o]
+        x, w = x[at], w[at]
+        v = x & _LOW if m.dense else rest[0][at]
+        c1, c2 = m.counts(v, w, [r[at] for r in rest[1:]])
+        log = Bigrams(m, known.column("data").to_pylist()).log(v, w, c1, c2)
+        place, hot = _find(m.pairs[0], _key(v, w, m.dense))
+        log[hot] = m.pairs[1][place[hot]]
+        cut = _runs(x)
+        lower = np.add.reduceat(10.0**log, cut) if len(cut) else np.empty(0)
+        data = _pieces(m.context(x, w), m.buckets, [x, w, n])
+        sums = _pieces(m.context(x[cut], np.zeros(len(cut), dtype=np.uint64)), m.buckets, [x[cut], lower.view(np.uint64)])
+        to = sorted(data.keys() | sums.keys())
+        return pa.Table.from_arrays([pa.array(to, pa.int32()), *(pa.array([d.get(k) for k in to], pa.binary()) for d in (data, sums))], names=["bucket", "data", "sums"])
+
+    return run
+
+
+def _gather(key: tuple, group: pa.Table) -> pa.Table:
+    """A bucket's parts to its row of the table of trigrams, with counts of counts."""
+    x, w, n = _joined(group.column("data").to_pylist(), 3)
+    o = np.lexsort((w, x))
+    h, lower = _joined(group.column("sums").to_pylist(), 2)
+    at, (lower,) = _merge(h, lower.view(np.float64))
+    of = np.bincount(np.minimum(n.view(np.int64), CUT + 2), minlength=CUT + 3)
+    rows = [pack([_delta(x[o]), w[o], n[o]]), pack([_delta(h[at]), lower.view(np.uint64)])]
+    return pa.Table.from_arrays(
+        [pa.array([key[0].as_py()], pa.int32()), *(pa.array([r], pa.binary()) for r in rows), *(pa.array([int(of[c])], pa.int64()) for c in range(1, CUT + 2))],
+        names=["bucket", "data", "sums", *(f"n{c}" for c in range(1, CUT + 2))],
+    )
+
+
+_HOT3 = "kind bigint, k1 bigint, k2 bigint, mass double, lower double, low double, total double"
+
+
+def _hot_contexts(said):
+    """Rows of the table of trigrams to parts of the hot histories (kind 0) and to the hot trigrams (kind 1, their count as mass)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = said.value
+        for b in batches:
+            for data, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, w, c = _joined([data], 3)
+                h, lower = _joined([sums], 2)
+                c, lower, on, of = c.view(np.int64), lower.view(np.float64), m.top(x), m.top(h)
+                xs, mass, low, total = _contexts(m.d3, x[on], c[on])
+                many = on & (c > m.hot / 2)
+                i, j, k = len(xs), int(of.sum()), int(many.sum())
+                cols = [
+                    np.repeat([0, 1], [i + j, k]),
+                    np.concatenate((xs, h[of], x[many])).view(np.int64),
+                    np.concatenate((np.zeros(i + j, dtype=np.uint64), w[many])).view(np.int64),
+                    np.concatenate((mass, np.zeros(j), c[many])),
+                    np.concatenate((np.zeros(i), lower[of], np.zeros(k))),
+                    np.concatenate((low, np.zeros(j + k))),
+                    np.concatenate((total, np.zeros(j + k))),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in cols], names=["kind", "k1", "k2", "mass", "lower", "low", "total"])
+
+    return run
+
+
+def _ask_scores(said, order: int):
+    """Texts (doc_id, text, held_out) to (bucket, data): base results of the texts, and their grams by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = said.value
-        keys, logs = m.pairs
+        keys, logs = m.pairs if order == 2 else m.triples
         for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
-            k1, k2, c1, c2, text = _bigrams(raw(b.column(1)), m.own(b), m.starts)
+            k, c1, c2, text = _grams(raw(b.column(1)), m.own(b), m.starts, order)
             size = b.num_rows
             tokens, known = np.bincount(text, minlength=size), np.bincount(text, c2 > 0, minlength=size).astype(np.int64)
             base = np.bincount(text, m.uni.base(c2), minlength=size)
-            score = np.zeros(size)
-            key = _key(k1, k2, m.dense)
-            rest = np.arange(len(key))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                here = keys[at] == key
-                score += np.bincount(text[here], logs[at[here]], minlength=size)
-                rest = np.flatnonzero(~here)
-            k1, k2, text, n, at = _unique(k1[rest], k2[rest], text[rest], m.dense)
-            c1, c2 = m.counts(k1, k2, []) if m.dense else (c1[rest][at], c2[rest][at])
+            x = k[0] if order == 2 else _key(k[0], k[1], m.dense)
+            v, w = k[-2:]
+            at, here = _find(keys, _key(x, w, m.dense and order == 2))
+            score = np.bincount(text[here], logs[at[here]], minlength=size).astype(float)
+            rest = np.flatnonzero(~here)
+            if order == 2:
+                x, w, text, n, at = _unique(x[rest], w[rest], text[rest], m.dense)
+                c1, c2 = m.counts(x, w, []) if m.dense else (c1[rest][at], c2[rest][at])
+                bucket = _bucket(x, w, c1, m.buckets, m.hot)
+                columns = [x, w, text, n, *([] if m.dense else [c1, c2])]
+            else:
+                at, n = _different(x[rest], w[rest], text[rest])
+                at = rest[at]
+                bucket = m.context(x[at], w[at])
+                columns = [x[at], w[at], text[at], n, *([] if m.dense else [v[at], c1[at], c2[at]])]
             docs = b.column(0).to_numpy()
             head = pack([docs.view(np.uint64), tokens.astype(np.uint64), known.astype(np.uint64), base.view(np.uint64), score.view(np.uint64)])
             name = hashlib.blake2b(docs.tobytes(), digest_size=8).digest() + struct.pack("<I", size)
-            buckets = np.unique(_bucket(k1, k2, c1, m.buckets, m.hot))
+            buckets = np.unique(bucket)
             heads = {int(k): name for k in buckets}
             heads[int(buckets[0]) if len(buckets) else 0] = name + head
-            yield from _dealt(m, k1, k2, c1, c2, [text, n], heads)
+            yield from _dealt(m, bucket, columns, heads)
 
     return run
 
@@ -372,48 +598,88 @@ _PARTS = "batch bigint, size int, head binary, parts binary"
 _SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
+def _opened(x: bytes, k: int):
+    """(batch, its texts, head, columns) of a question."""
+    first = struct.unpack_from("<I", x)[0]
+    return *struct.unpack_from("<qI", x, 4), x[16 : 4 + first], _joined([x[4 + first :]], k)
+
+
+def _parts(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "size", "head", "parts"])
+
+
 def _answer(said):
     """A bucket's questions and its row of the table of bigrams to one row for each batch that asks: parts of scores by text."""
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = said.value
-        none = np.empty(0, dtype=np.int64)
-        k1, k2, c, c1, c2 = _read_bucket(m, known.column("data")[0].as_py()) if known.num_rows else (none.view(np.uint64), none.view(np.uint64), none, none, none)
-        cold = c1 <= m.hot
-        h, mass, lower, low = m.histories(k1[cold], c[cold], c1[cold], c2[cold])
-        if m.left:
-            h = np.concatenate((h, np.array(list(m.left), dtype=np.uint64)))
-            mass, lower, low = (np.concatenate((x, [v[i] for v in m.left.values()])) for i, x in enumerate((mass, lower, low)))
-        o = np.argsort(h)
-        h, mass, lower, low = h[o], mass[o], lower[o], low[o]
-        key = _key(k1, k2, m.dense)
-        by = np.argsort(key)
-        key, c = key[by], c[by]
-        out: list[tuple] = []
+        of, out = Bigrams(m, known.column("data").to_pylist()), []
+        for x in asked.column("data").to_pylist():
+            batch, size, head, (v, w, text, n, *rest) = _opened(x, 4 if m.dense else 6)
+            out.append((batch, size, head, _sparse(text, of.log(v, w, *m.counts(v, w, rest)) * n.view(np.int64))))
+        return _parts(out)
+
+    return run
+
+
+_ANSWERS = f"bucket int, data binary, {_PARTS}"
+
+
+def _answer_long(said):
+    """A bucket's questions and its row of the table of trigrams to parts of scores by text, a row for each batch that asks,
+    and to what was not seen: (bucket of the bigrams, data), which no batch is named for."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        m: Model = said.value
+        of = Trigrams(m, known.column("data").to_pylist(), known.column("sums").to_pylist())
+        out, on, names = [], [], []
+        for no, row in enumerate(asked.column("data").to_pylist()):
+            batch, size, head, (x, w, text, n, *rest) = _opened(row, 4 if m.dense else 7)
+            value, seen = of.log(x, w)
+            v = x & _LOW if m.dense else rest[0]
+            c1, c2 = m.counts(v, w, rest[1:])
+            left = np.flatnonzero(~seen)
+            at, here = _find(m.pairs[0], _key(v[left], w[left], m.dense))
+            value[left[here]] += m.pairs[1][at[here]]
+            left = left[~here]
+            out.append((None, None, batch, size, head, _sparse(text, value * n.view(np.int64))))
+            on.append([v[left], w[left], np.full(len(left), no), text[left], n[left], c1[left], c2[left]])
+            names.append((batch, size))
+        v, w, no, text, n, c1, c2 = (np.concatenate(a) for a in zip(*on, strict=True)) if on else [_NONE] * 7
+        o = np.argsort(v, kind="stable")
+        ids, sizes = np.array([i for i, _ in names], dtype=np.int64), np.array([i for _, i in names], dtype=np.int64)
+        for bucket, i in _split(_bucket(v[o], w[o], c1[o], m.buckets, m.hot), m.buckets):
+            i = o[i]
+            of_names, at = np.unique(no[i], return_inverse=True)
+            first = pack([ids[of_names], sizes[of_names]])
+            rest = [] if m.dense else [c1[i], c2[i]]
+            out.append((bucket, struct.pack("<I", len(first)) + first + pack([_delta(v[i]), w[i], at, text[i], n[i], *rest]), None, None, None, None))
+        types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["bucket", "data", "batch", "size", "head", "parts"])
+
+    return run
+
+
+def _answer_rest(said):
+    """What went on to a bucket of bigrams, and its row of their table, to parts of scores by text, a row for each batch."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        m: Model = said.value
+        of, got, out = Bigrams(m, known.column("data").to_pylist()), [], []
         for x in asked.column("data").to_pylist():
-            first = struct.unpack_from("<I", x)[0]
-            batch, size = struct.unpack_from("<qI", x, 4)
-            head = x[16 : 4 + first]
-            q1, q2, text, n, *rest = unpack(x[4 + first :], 4 if m.dense else 6)
-            if not len(q1):
-                out.append((batch, size, head, b""))
-                continue
-            q1 = np.cumsum(q1)
-            a1, a2 = m.counts(q1, q2, rest)
-            at = np.minimum(np.searchsorted(h, q1), max(0, len(h) - 1))
-            of = np.zeros((3, len(q1)))
-            if len(h):
-                has = h[at] == q1
-                of[:, has] = mass[at[has]], lower[at[has]], low[at[has]]
-            ask = _key(q1, q2, m.dense)
-            at = np.minimum(np.searchsorted(key, ask), max(0, len(key) - 1))
-            seen = key[at] == ask if len(key) else np.zeros(len(ask), dtype=bool)
-            value = np.empty(len(q1))
-            value[seen] = m.log_seen(c[at[seen]], a1[seen], of[2, seen])
-            value[~seen] = m.log_unseen(a1[~seen], a2[~seen], *of[:, ~seen])
-            parts = np.bincount(text.astype(np.int64), value * n.view(np.int64), minlength=size)
-            out.append((batch, size, head, parts.tobytes()))
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "size", "head", "parts"])
+            first = 4 + struct.unpack_from("<I", x)[0]
+            batch, size = unpack(x[4:first], 2)
+            v, w, no, text, n, *rest = _joined([x[first:]], 5 if m.dense else 7)
+            no = no.astype(np.int64)
+            got.append([batch[no], size[no], text, of.log(v, w, *m.counts(v, w, rest)) * n.view(np.int64)])
+        if got:
+            batch, size, text, value = (np.concatenate(a) for a in zip(*got, strict=True))
+            o = np.argsort(batch, kind="stable")
+            cuts = _runs(batch[o])
+            for i, j in zip(cuts, np.append(cuts[1:], len(o)), strict=True):
+                k = o[i:j]
+                out.append((int(batch[k[:1]].view(np.int64)[0]), int(size[k[0]]), b"", _sparse(text[k], value[k])))
+        return _parts(out)
 
     return run
 
@@ -424,15 +690,43 @@ def _total(group: pa.Table) -> pa.Table:
     score = np.zeros(size)
     for x in group.column("parts").to_pylist():
         if x:
-            score += np.frombuffer(x)
+            k, s = _joined([x], 2)
+            score[k.astype(np.int64)] += s.view(np.float64)
     heads = [unpack(x, 5) for x in group.column("head").to_pylist() if x]
     docs = heads[0][0].view(np.int64)
     sums = [sum(h[k].view(t) for h in heads) for k, t in ((1, np.int64), (2, np.int64), (3, np.float64), (4, np.float64))]
     return pa.Table.from_arrays([pa.array(x) for x in (docs, sums[0], sums[1], sums[2], sums[3] + score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, share: int = SHARE) -> DataFrame:
+class Said:
+    """A model as tasks get it: broadcast without its words, which are broadcast once."""
+
+    def __init__(self, m: Model, words, spark: SparkSession):
+        self.m, self.words = spark.sparkContext.broadcast(m), words
+
+    @property
+    def value(self) -> Model:
+        m = self.m.value
+        m.words = self.words.value if self.words else None
+        return m
+
+
+def _u64(rows: list, name: str) -> np.ndarray:
+    return np.array([r[name] for r in rows], dtype=np.int64).view(np.uint64)
+
+
+def _doubles(rows: list, name: str) -> np.ndarray:
+    return np.array([r[name] for r in rows], dtype=float)
+
+
+def _of_counts(grams: DataFrame) -> np.ndarray:
+    return discounts([0, *(x or 0 for x in grams.agg(*(F.sum(f"n{c}") for c in range(1, CUT + 2))).first())])
+
+
+def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, share: int = SHARE, order: int = 3) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; `train` is a Column over docs."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     stash = Stash(spark)
     source = docs.select(keyed(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -443,38 +737,61 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     uni = Unigram(total, size, [0, *n])
     starts = learn.count()
     dense = size <= vocabulary
+    table_of = None
     if dense:
         got = words.toArrow()
-        table_of = Words(got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy())
+        table_of = spark.sparkContext.broadcast(Words(got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()))
         del got
     else:
-        table_of = None
         own = source.select("doc_id", "text").mapInArrow(_own_words, "doc_id bigint, h bigint").distinct()
         own = own.join(words, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "c")).alias("own"))
         source = source.join(own, "doc_id", "left").select("doc_id", "text", "train", F.coalesce("own", F.array().cast("array<struct<h:bigint,c:bigint>>")).alias("own"))
         learn = source.where("train")
-    m = Model(uni, starts, max(8, -(-total // share)), table_of)
-    said = spark.sparkContext.broadcast(m)
-    counted = learn.mapInArrow(_ask_counts(said), "bucket int, data binary")
-    bigrams = stash.keep(counted.groupBy("bucket").applyInArrow(_sum_counts(dense), _BIGRAMS))
-    m.d = discounts([0, *(x or 0 for x in bigrams.agg(*(F.sum(f"n{c}") for c in range(1, CUT + 2))).first())])
-    said.destroy()  # its jobs are over and their results written
-    said = spark.sparkContext.broadcast(m)
+    m = Model(uni, starts, max(8, -(-total // share)), dense)
+    said = Said(m, table_of, spark)
+    asked = learn.mapInArrow(_ask_counts(said), "bucket int, data binary")
+    bigrams = stash.keep(asked.groupBy("bucket").applyInArrow(_sum_counts(dense), _BIGRAMS))
+    m.d = _of_counts(bigrams)
+    said = Said(m, table_of, spark)
     hot = bigrams.select("data").mapInArrow(_hot(said), "kind bigint, k1 bigint, k2 bigint, x double, y double, z double")
     hot = hot.groupBy("kind", "k1", "k2").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()  # at most a few for each bucket
-    u64 = lambda x: x & 0xFFFFFFFFFFFFFFFF
-    m.left = {u64(r.k1): (r.x, r.y, r.z) for r in hot if r.kind == 0}
-    pairs = [r for r in hot if r.kind == 1 and u64(r.k1) in m.left]
+    histories = [r for r in hot if r.kind == 0]
+    m.left = {int(k): (r.x, r.y, r.z) for k, r in zip(_u64(histories, "k1"), histories, strict=True)}
+    pairs = [r for r in hot if r.kind == 1 and r.k1 & 0xFFFFFFFFFFFFFFFF in m.left]
     if pairs:
-        k1, k2 = (np.array([u64(r[k]) for r in pairs], dtype=np.uint64) for k in ("k1", "k2"))
-        c, c1, low = np.array([r.x for r in pairs]).astype(np.int64), np.array([r.y for r in pairs]), np.array([m.left[u64(r.k1)][2] for r in pairs])
-        keys = _key(k1, k2, dense)
+        low = np.array([m.left[int(k)][2] for k in _u64(pairs, "k1")])
+        keys = _key(_u64(pairs, "k1"), _u64(pairs, "k2"), dense)
+        o = np.argsort(keys)
+        m.pairs = keys[o], m.log_seen(_doubles(pairs, "x").astype(np.int64), _doubles(pairs, "y"), low)[o]
+    said = Said(m, table_of, spark)
+    known = bigrams.select("bucket", "data").groupBy("bucket")
+    if order == 2:
+        asked = source.mapInArrow(_ask_scores(said, order), "bucket int, data binary")
+        parts = asked.groupBy("bucket").cogroup(known).applyInArrow(_answer(said), _PARTS)
+    else:
+        asked = learn.mapInArrow(_ask_links(said), "bucket int, data binary")
+        links = asked.groupBy("bucket").cogroup(known).applyInArrow(_link(said), _LINKS)
+        trigrams = stash.keep(links.groupBy("bucket").applyInArrow(_gather, _BIGRAMS.replace("data binary", "data binary, sums binary")))
+        m.d3 = _of_counts(trigrams)
+        said = Said(m, table_of, spark)
+        hot = trigrams.select("data", "sums").mapInArrow(_hot_contexts(said), _HOT3).groupBy("kind", "k1", "k2")
+        hot = hot.agg(*(F.sum(c).alias(c) for c in ("mass", "lower", "low", "total"))).orderBy("kind").collect()  # at most a few for each bucket
+        histories, triples = ([r for r in hot if r.kind == k] for k in (0, 1))
+        keys = _u64(histories, "k1")
         o = np.argsort(keys)
-        m.pairs = keys[o], m.log_seen(c, c1, low)[o]
-    said.destroy()  # its jobs are over and their results written
-    said = spark.sparkContext.broadcast(m)
-    asked = source.mapInArrow(_ask_scores(said), "bucket int, data binary")
-    parts = asked.groupBy("bucket").cogroup(bigrams.select("bucket", "data").groupBy("bucket")).applyInArrow(_answer(said), _PARTS)
+        m.left3 = keys[o], *(_doubles(histories, c)[o] for c in ("mass", "lower", "low", "total"))
+        if triples:
+            at, _ = _find(m.left3[0], _u64(triples, "k1"))
+            c = _doubles(triples, "mass").astype(np.int64)
+            keys = _key(_u64(triples, "k1"), _u64(triples, "k2"), False)
+            o = np.argsort(keys)
+            m.triples = keys[o], np.log10(_d(m.d3, c) * c / (m.left3[4][at] + (m.left3[3][at] == 0)))[o]
+        said = Said(m, table_of, spark)
+        asked = source.mapInArrow(_ask_scores(said, order), "bucket int, data binary")
+        grams = trigrams.select("bucket", "data", "sums").groupBy("bucket")
+        answers = stash.keep(asked.groupBy("bucket").cogroup(grams).applyInArrow(_answer_long(said), _ANSWERS))
+        rest = answers.where("bucket is not null").select("bucket", "data").groupBy("bucket").cogroup(known).applyInArrow(_answer_rest(said), _PARTS)
+        parts = answers.where("bucket is null").select("batch", "size", "head", "parts").unionByName(rest)
     parts = parts.groupBy("batch").applyInArrow(_total, _SCORES)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return parts.groupBy("doc_id").agg(*sums).withColumn("doc_id", unkeyed("doc_id")).withColumn("train_tokens", F.lit(total).cast("long"))

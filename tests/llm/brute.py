@@ -95,32 +95,43 @@ def line_chunks(docs: dict, hash_lines, every, least_words):
     return {i: t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if not any(a <= k < b for a, b in gone[i])) for i, t in docs.items()}
 
 
-def katz(docs: dict, discounts, cut=5):
+def katz(docs: dict, discounts, order=3, cut=5):
     """{id: (tokens, known, N, base, score)} and the model's parts for a test of its sums."""
     toks = {i: WORD.findall((t or "").translate(LOWER)) + ["</s>"] for i, t in docs.items()}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, bi, hist, after = Counter(), Counter(), Counter(), defaultdict(list)
-    for i in train:
-        seq = ["<s>", *toks[i]]
-        uni.update(toks[i])
-        bi.update(zip(seq, seq[1:], strict=False))
-        hist.update(seq[:-1])
+    uni, seen = Counter(w for i in train for w in toks[i]), [defaultdict(Counter) for _ in range(order + 1)]
+    grams = lambda t, k: (((*["<s>"] * (k - 1), *t)[j : j + k - 1], w) for j, w in enumerate(t))
+    for k in range(2, order + 1):
+        for i in train:
+            for h, w in grams(toks[i], k):
+                seen[k][h][w] += 1
     total, size = sum(uni.values()), len(uni)
-    of = lambda c: [0] + [sum(v == k for v in c.values()) for k in range(1, cut + 2)]
-    du, db = discounts(of(uni)), discounts(of(bi))
+    of = lambda counts: [0] + [sum(v == k for v in counts) for k in range(1, cut + 2)]
+    du, ds = discounts(of(uni.values())), [discounts(of([c for v in s.values() for c in v.values()])) for s in seen]
     d = lambda t, c: 1.0 if c > cut else t[c]
-    left = sum((1 - du[c]) * c * of(uni)[c] for c in range(1, cut + 1)) / total if total else 1.0
+    left = sum((1 - du[c]) * c * of(uni.values())[c] for c in range(1, cut + 1)) / total if total else 1.0
     scale, p0 = (1.0, left) if left > 0 else (total / (total + 1), 1 / (total + 1))
-    p = lambda w: scale * d(du, uni[w]) * uni[w] / total if w in uni else p0
-    for (a, b), c in bi.items():
-        after[a].append((b, c))
-    extra = {a: int(not any(c <= cut for _, c in v)) for a, v in after.items()}
-    alpha = {a: (1 - sum(d(db, c) * c for _, c in v) / (hist[a] + extra[a])) / (1 - sum(p(b) for b, _ in v)) for a, v in after.items()}
-    cond = lambda a, w: d(db, bi[a, w]) * bi[a, w] / (hist[a] + extra[a]) if bi.get((a, w)) else alpha.get(a, 1.0) * p(w)
+    weights = {}
+
+    def cond(h, w):
+        k = len(h) + 1
+        if k == 1:
+            return scale * d(du, uni[w]) * uni[w] / total if w in uni else p0
+        after = seen[k].get(h)
+        if not after:
+            return cond(h[1:], w)
+        full = sum(after.values()) + (min(after.values()) > cut)
+        if w in after:
+            return d(ds[k], after[w]) * after[w] / full
+        if h not in weights:
+            weights[h] = (1 - sum(d(ds[k], c) * c for c in after.values()) / full) / (1 - sum(cond(h[1:], x) for x in after))
+        return weights[h] * cond(h[1:], w)
+
     out = {}
     for i, t in toks.items():
-        out[i] = len(t), sum(w in uni for w in t), total, sum(math.log10((uni.get(w, 0) + 1) / (total + size + 1)) for w in t), sum(math.log10(cond(a, w)) for a, w in zip(["<s>", *t], t, strict=False))
-    return out, uni, cond, list(after)
+        base = sum(math.log10((uni.get(w, 0) + 1) / (total + size + 1)) for w in t)
+        out[i] = len(t), sum(w in uni for w in t), total, base, sum(math.log10(cond(h, w)) for h, w in grams(t, order))
+    return out, uni, cond, list(seen[order])
 
 
 def targets(sizes: dict, most=3):

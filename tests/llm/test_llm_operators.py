@@ -240,18 +240,20 @@ def test_line_chunks(spark, docs, texts, no_key):
     assert line_dedup.dedup_lines(no_key).count() == no_key.count()
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("vocabulary,share", [(12_000_000, 1_500_000), (12_000_000, 300), (0, 300)])
-def test_katz(docs, texts, vocabulary, share):
-    want, _, _, _ = brute.katz(texts, katz.discounts)
-    out = got(katz.train_and_score(docs.select("doc_id", "text"), ~katz.held_out("doc_id"), vocabulary=vocabulary, share=share))
+def test_katz(docs, texts, vocabulary, share, order):
+    want, _, _, _ = brute.katz(texts, katz.discounts, order)
+    out = got(katz.train_and_score(docs.select("doc_id", "text"), ~katz.held_out("doc_id"), vocabulary=vocabulary, share=share, order=order))
     for i, w in want.items():
         r = out[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3]
         assert r["base_score"] == pytest.approx(w[3], abs=1e-6) and r["score"] == pytest.approx(w[4], abs=1e-6)
 
 
-def test_katz_is_normalised(texts):
-    _, uni, cond, histories = brute.katz(texts, katz.discounts)
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_is_normalised(texts, order):
+    _, uni, cond, histories = brute.katz(texts, katz.discounts, order)
     for h in histories[:25]:
         assert sum(cond(h, w) for w in uni) + cond(h, "no such word") == pytest.approx(1)
 
