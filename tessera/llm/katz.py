@@ -206,7 +206,7 @@ def _different(x: np.ndarray, w: np.ndarray, text: np.ndarray) -> tuple[np.ndarr
     of = np.unique(x, return_inverse=True)[1].astype(np.uint64)
     if w.max() < 1 << 25 and text.max() < 1 << 14 and of.max() < 1 << 25:
         y = (of << np.uint64(39)) | (w << np.uint64(14)) | text.astype(np.uint64)
-        o = np.argsort(y, kind="stable")
+        o = np.argsort(y)
         cut = _runs(y[o])
     else:
         o = np.lexsort((text, w, of))
@@ -238,13 +238,13 @@ def _joined(rows: list, k: int) -> list[np.ndarray]:
 def _sparse(text: np.ndarray, value: np.ndarray) -> bytes:
     """Sums by text, for the texts that have some."""
     text = text.astype(np.int64)
-    k = np.unique(text)
+    k = np.flatnonzero(np.bincount(text))
     return pack([_delta(k.astype(np.uint64)), np.bincount(text, value)[k].astype(np.float64).view(np.uint64)])
 
 
 def _merge(key: np.ndarray, *sums: np.ndarray):
     """(order of the first of each key, sums by key)."""
-    o = np.argsort(key, kind="stable")
+    o = np.argsort(key)
     cut = _runs(key[o])
     return o[cut], [np.add.reduceat(s[o], cut) if len(cut) else s[:0] for s in sums]
 
@@ -257,7 +257,7 @@ class Model:
         self.hot = max(1.0, uni.total / (4 * buckets))
         self.d = self.d3 = None  # discounts of bigrams and trigrams
         self.left: dict = {}  # of hot histories: (mass of seen words, their P(w), has discounted counts)
-        self.pairs = (_NONE, np.empty(0))  # keys of hot bigrams and their log10 P
+        self.pairs = (_NONE, np.empty(0), np.empty(0, dtype=np.int64))  # keys of hot bigrams, their log10 P and counts
         self.left3 = (_NONE, *(np.empty(0) for _ in range(4)))  # of hot bigrams as histories: keys, mass, lower, low, total
         self.triples = (_NONE, np.empty(0))  # keys of hot trigrams and their log10 P
 
@@ -419,6 +419,15 @@ class Bigrams:
         o = np.argsort(key)
         self.key, self.c = key[o], c[o]
 
+    def count(self, v, w) -> np.ndarray:
+        """Twice c(v w) of seen bigrams, and 1 more where no count of v's is discounted."""
+        key = _key(v, w, self.m.dense)
+        c, hot = _find(self.m.pairs[0], key)
+        c = self.m.pairs[2][c] if len(self.m.pairs[0]) else c
+        at, here = _find(self.key, key)
+        c[here & ~hot] = self.c[at[here & ~hot]]
+        return 2 * c + (self.of[2, _find(self.h, v)[0]] == 0) if len(v) else c
+
     def log(self, v, w, c1, c2) -> np.ndarray:
         """log10 P(w | v)."""
         at, has = _find(self.h, v)
@@ -434,39 +443,44 @@ class Bigrams:
 class Trigrams:
     """A bucket's trigrams, with what P(w | u v) needs of their histories."""
 
-    def __init__(self, m: Model, data: list, sums: list):
-        x, w, c = _joined(data, 3)
-        c = c.view(np.int64)
-        h, lower = _joined(sums, 2)
-        cold = np.flatnonzero(~m.top(x))
-        xs, mass, low, total = _contexts(m.d3, x[cold], c[cold])
-        at = np.searchsorted(h, xs)  # a history that is not hot has its sum in its bucket
-        cols = [np.concatenate((a, b)) for a, b in zip((xs, mass, lower.view(np.float64)[at] if len(xs) else np.empty(0), low, total), m.left3, strict=True)]
+    def __init__(self, m: Model, rows: list):
+        x, w, c, *rest = _read_trigrams(m, rows)
+        cold = ~m.top(x)
+        parts = _contexts(m, x[cold], c[cold], *(a[cold] for a in rest))
+        cols = [np.concatenate(a) for a in zip(parts, m.left3, strict=True)]
         o = np.argsort(cols[0])
         self.h, self.mass, self.lower, self.low, self.total = (a[o] for a in cols)
-        key = _key(x, w, False)
+        key = _key(_find(self.h, x)[0].astype(np.uint64), w, m.dense)  # in the order of the histories
         o = np.argsort(key)
-        self.d, self.key, self.c = m.d3, key[o], c[o]
+        self.m, self.key, self.c = m, key[o], c[o]
 
     def log(self, x, w) -> tuple[np.ndarray, np.ndarray]:
         """(log10 P(w | u v) where u v w was seen, else log10 of the weight of P(w | v); seen)."""
         at, has = _find(self.h, x)
-        place, seen = _find(self.key, _key(x, w, False))
-        value = np.zeros(len(x))
-        k, c = at[seen], self.c[place[seen]]
-        value[seen] = np.log10(_d(self.d, c) * c / (self.total[k] + (self.low[k] == 0)))
-        on = has & ~seen
+        value, seen = np.zeros(len(x)), np.zeros(len(x), dtype=bool)
+        on = np.flatnonzero(has)
+        place, seen[on] = _find(self.key, _key(at[on].astype(np.uint64), w[on], self.m.dense))
+        k, c = at[seen], self.c[place[seen[on]]]
+        value[seen] = np.log10(_d(self.m.d3, c) * c / (self.total[k] + (self.low[k] == 0)))
+        on = on[~seen[on]]
         k = at[on]
         value[on] = np.log10((1 - self.mass[k] / (self.total[k] + (self.low[k] == 0))) / np.maximum(1 - self.lower[k], 1e-300))
         return value, seen
 
 
-def _contexts(d: np.ndarray, x: np.ndarray, c: np.ndarray):
-    """(x, mass, low, total) by history x, which comes sorted."""
+def _read_trigrams(m: Model, rows: list):
+    """(history, word, count, what `Bigrams.count` gives, c(v)), sorted by history."""
+    x, w, c, c2, *c1 = _joined(rows, 4 if m.dense else 5)
+    return x, w, c.view(np.int64), c2.view(np.int64), c1[0].view(np.int64) if c1 else m.counts(x & _LOW, w, [])[0]
+
+
+def _contexts(m: Model, x, c, c2, c1):
+    """(x, mass, lower, low, total) by history x, which comes sorted."""
     cut = _runs(x)
     if not len(cut):
-        return _NONE, *(np.empty(0) for _ in range(3))
-    return x[cut], np.add.reduceat(_d(d, c) * c, cut), np.add.reduceat((c <= CUT).astype(float), cut), np.add.reduceat(c, cut).astype(float)
+        return _NONE, *(np.empty(0) for _ in range(4))
+    p = _d(m.d, c2 >> 1) * (c2 >> 1) / (c1 + (c2 & 1))
+    return x[cut], *(np.add.reduceat(a, cut) for a in (_d(m.d3, c) * c, p, (c <= CUT).astype(float), c.astype(float)))
 
 
 def _ask_links(said):
@@ -485,46 +499,35 @@ def _ask_links(said):
     return run
 
 
-_LINKS = "bucket int, data binary, sums binary"
-
-
 def _link(said):
-    """A bucket's batches of trigrams and its bigrams to (bucket of the histories, counted trigrams, sums of P(w | v))."""
+    """A bucket's batches of trigrams and its bigrams to (bucket of the histories, counted trigrams with their bigrams' counts)."""
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = said.value
         x, w, n, *rest = _joined(asked.column("data").to_pylist(), 3 if m.dense else 6)
         at, (n,) = _merge(_key(x, w, False), n.view(np.int64))
-        o = np.lexsort((w[at], x[at]))
+        o = np.argsort(x[at])
         at, n = at[o], n[o]
         x, w = x[at], w[at]
         v = x & _LOW if m.dense else rest[0][at]
-        c1, c2 = m.counts(v, w, [r[at] for r in rest[1:]])
-        log = Bigrams(m, known.column("data").to_pylist()).log(v, w, c1, c2)
-        place, hot = _find(m.pairs[0], _key(v, w, m.dense))
-        log[hot] = m.pairs[1][place[hot]]
-        cut = _runs(x)
-        lower = np.add.reduceat(10.0**log, cut) if len(cut) else np.empty(0)
-        data = _pieces(m.context(x, w), m.buckets, [x, w, n])
-        sums = _pieces(m.context(x[cut], np.zeros(len(cut), dtype=np.uint64)), m.buckets, [x[cut], lower.view(np.uint64)])
-        to = sorted(data.keys() | sums.keys())
-        return pa.Table.from_arrays([pa.array(to, pa.int32()), *(pa.array([d.get(k) for k in to], pa.binary()) for d in (data, sums))], names=["bucket", "data", "sums"])
+        c2 = Bigrams(m, known.column("data").to_pylist()).count(v, w)
+        data = _pieces(m.context(x, w), m.buckets, [x, w, n, c2, *([] if m.dense else [rest[1][at]])])
+        return pa.Table.from_arrays([pa.array(list(data), pa.int32()), pa.array(list(data.values()), pa.binary())], names=["bucket", "data"])
 
     return run
 
 
-def _gather(key: tuple, group: pa.Table) -> pa.Table:
+def _gather(dense: bool):
     """A bucket's parts to its row of the table of trigrams, with counts of counts."""
-    x, w, n = _joined(group.column("data").to_pylist(), 3)
-    o = np.lexsort((w, x))
-    h, lower = _joined(group.column("sums").to_pylist(), 2)
-    at, (lower,) = _merge(h, lower.view(np.float64))
-    of = np.bincount(np.minimum(n.view(np.int64), CUT + 2), minlength=CUT + 3)
-    rows = [pack([_delta(x[o]), w[o], n[o]]), pack([_delta(h[at]), lower.view(np.uint64)])]
-    return pa.Table.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), *(pa.array([r], pa.binary()) for r in rows), *(pa.array([int(of[c])], pa.int64()) for c in range(1, CUT + 2))],
-        names=["bucket", "data", "sums", *(f"n{c}" for c in range(1, CUT + 2))],
-    )
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        x, *rest = _joined(group.column("data").to_pylist(), 4 if dense else 5)
+        o = np.argsort(x)
+        of = np.bincount(np.minimum(rest[1].view(np.int64), CUT + 2), minlength=CUT + 3)
+        row = pack([_delta(x[o]), *(a[o] for a in rest)])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([row], pa.binary()), *(pa.array([int(of[c])], pa.int64()) for c in range(1, CUT + 2))], names=["bucket", "data", *(f"n{c}" for c in range(1, CUT + 2))])
+
+    return run
 
 
 _HOT3 = "kind bigint, k1 bigint, k2 bigint, mass double, lower double, low double, total double"
@@ -536,21 +539,18 @@ def _hot_contexts(said):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = said.value
         for b in batches:
-            for data, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, w, c = _joined([data], 3)
-                h, lower = _joined([sums], 2)
-                c, lower, on, of = c.view(np.int64), lower.view(np.float64), m.top(x), m.top(h)
-                xs, mass, low, total = _contexts(m.d3, x[on], c[on])
+            for data in b.column(0).to_pylist():
+                x, w, c, *rest = _read_trigrams(m, [data])
+                on = m.top(x)
+                xs, *sums = _contexts(m, x[on], c[on], *(a[on] for a in rest))
                 many = on & (c > m.hot / 2)
-                i, j, k = len(xs), int(of.sum()), int(many.sum())
+                k = int(many.sum())
                 cols = [
-                    np.repeat([0, 1], [i + j, k]),
-                    np.concatenate((xs, h[of], x[many])).view(np.int64),
-                    np.concatenate((np.zeros(i + j, dtype=np.uint64), w[many])).view(np.int64),
-                    np.concatenate((mass, np.zeros(j), c[many])),
-                    np.concatenate((np.zeros(i), lower[of], np.zeros(k))),
-                    np.concatenate((low, np.zeros(j + k))),
-                    np.concatenate((total, np.zeros(j + k))),
+                    np.repeat([0, 1], [len(xs), k]),
+                    np.concatenate((xs, x[many])).view(np.int64),
+                    np.concatenate((np.zeros(len(xs), dtype=np.uint64), w[many])).view(np.int64),
+                    np.concatenate((sums[0], c[many])),
+                    *(np.concatenate((a, np.zeros(k))) for a in sums[1:]),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in cols], names=["kind", "k1", "k2", "mass", "lower", "low", "total"])
 
@@ -562,7 +562,7 @@ def _ask_scores(said, order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = said.value
-        keys, logs = m.pairs if order == 2 else m.triples
+        keys, logs = m.pairs[:2] if order == 2 else m.triples
         for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
             k, c1, c2, text = _grams(raw(b.column(1)), m.own(b), m.starts, order)
             size = b.num_rows
@@ -622,6 +622,20 @@ def _answer(said):
     return run
 
 
+def _bounded(rows: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
+    """Packed rows in lists of about `most` bytes."""
+    now: list[bytes] = []
+    size = 0
+    for x in rows:
+        now.append(x)
+        size += len(x)
+        if size >= most:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
 _ANSWERS = f"bucket int, data binary, {_PARTS}"
 
 
@@ -631,20 +645,26 @@ def _answer_long(said):
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = said.value
-        of = Trigrams(m, known.column("data").to_pylist(), known.column("sums").to_pylist())
+        of = Trigrams(m, known.column("data").to_pylist())
         out, on, names = [], [], []
-        for no, row in enumerate(asked.column("data").to_pylist()):
-            batch, size, head, (x, w, text, n, *rest) = _opened(row, 4 if m.dense else 7)
+        for rows in _bounded(asked.column("data").to_pylist()):
+            opened = [_opened(row, 4 if m.dense else 7) for row in rows]
+            sizes = [len(o[3][0]) for o in opened]
+            x, w, text, n, *rest = (np.concatenate(a) for a in zip(*(o[3] for o in opened), strict=True))
             value, seen = of.log(x, w)
             v = x & _LOW if m.dense else rest[0]
-            c1, c2 = m.counts(v, w, rest[1:])
             left = np.flatnonzero(~seen)
             at, here = _find(m.pairs[0], _key(v[left], w[left], m.dense))
             value[left[here]] += m.pairs[1][at[here]]
+            value *= n.view(np.int64)
+            at = 0
+            for (batch, size, head, _), k in zip(opened, sizes, strict=True):
+                out.append((None, None, batch, size, head, _sparse(text[at : at + k], value[at : at + k])))
+                at += k
             left = left[~here]
-            out.append((None, None, batch, size, head, _sparse(text, value * n.view(np.int64))))
-            on.append([v[left], w[left], np.full(len(left), no), text[left], n[left], c1[left], c2[left]])
-            names.append((batch, size))
+            no = np.repeat(np.arange(len(names), len(names) + len(rows)), sizes)
+            on.append([v[left], w[left], no[left], text[left], n[left], *m.counts(v[left], w[left], [r[left] for r in rest[1:]])])
+            names += [o[:2] for o in opened]
         v, w, no, text, n, c1, c2 = (np.concatenate(a) for a in zip(*on, strict=True)) if on else [_NONE] * 7
         o = np.argsort(v, kind="stable")
         ids, sizes = np.array([i for i, _ in names], dtype=np.int64), np.array([i for _, i in names], dtype=np.int64)
@@ -742,6 +762,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         got = words.toArrow()
         table_of = spark.sparkContext.broadcast(Words(got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()))
         del got
+        stash.drop(words)
     else:
         own = source.select("doc_id", "text").mapInArrow(_own_words, "doc_id bigint, h bigint").distinct()
         own = own.join(words, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "c")).alias("own"))
@@ -762,7 +783,8 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         low = np.array([m.left[int(k)][2] for k in _u64(pairs, "k1")])
         keys = _key(_u64(pairs, "k1"), _u64(pairs, "k2"), dense)
         o = np.argsort(keys)
-        m.pairs = keys[o], m.log_seen(_doubles(pairs, "x").astype(np.int64), _doubles(pairs, "y"), low)[o]
+        c = _doubles(pairs, "x").astype(np.int64)
+        m.pairs = keys[o], m.log_seen(c, _doubles(pairs, "y"), low)[o], c[o]
     said = Said(m, table_of, spark)
     known = bigrams.select("bucket", "data").groupBy("bucket")
     if order == 2:
@@ -770,11 +792,11 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         parts = asked.groupBy("bucket").cogroup(known).applyInArrow(_answer(said), _PARTS)
     else:
         asked = learn.mapInArrow(_ask_links(said), "bucket int, data binary")
-        links = asked.groupBy("bucket").cogroup(known).applyInArrow(_link(said), _LINKS)
-        trigrams = stash.keep(links.groupBy("bucket").applyInArrow(_gather, _BIGRAMS.replace("data binary", "data binary, sums binary")))
+        links = asked.groupBy("bucket").cogroup(known).applyInArrow(_link(said), "bucket int, data binary")
+        trigrams = stash.keep(links.groupBy("bucket").applyInArrow(_gather(dense), _BIGRAMS))
         m.d3 = _of_counts(trigrams)
         said = Said(m, table_of, spark)
-        hot = trigrams.select("data", "sums").mapInArrow(_hot_contexts(said), _HOT3).groupBy("kind", "k1", "k2")
+        hot = trigrams.select("data").mapInArrow(_hot_contexts(said), _HOT3).groupBy("kind", "k1", "k2")
         hot = hot.agg(*(F.sum(c).alias(c) for c in ("mass", "lower", "low", "total"))).orderBy("kind").collect()  # at most a few for each bucket
         histories, triples = ([r for r in hot if r.kind == k] for k in (0, 1))
         keys = _u64(histories, "k1")
@@ -788,7 +810,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
             m.triples = keys[o], np.log10(_d(m.d3, c) * c / (m.left3[4][at] + (m.left3[3][at] == 0)))[o]
         said = Said(m, table_of, spark)
         asked = source.mapInArrow(_ask_scores(said, order), "bucket int, data binary")
-        grams = trigrams.select("bucket", "data", "sums").groupBy("bucket")
+        grams = trigrams.select("bucket", "data").groupBy("bucket")
         answers = stash.keep(asked.groupBy("bucket").cogroup(grams).applyInArrow(_answer_long(said), _ANSWERS))
         rest = answers.where("bucket is not null").select("bucket", "data").groupBy("bucket").cogroup(known).applyInArrow(_answer_rest(said), _PARTS)
         parts = answers.where("bucket is null").select("batch", "size", "head", "parts").unionByName(rest)
