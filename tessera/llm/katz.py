@@ -17,7 +17,7 @@ the backoff weights, and go from there to their histories. Each batch of texts a
 (trigram, text) pairs in packed form; what was not seen there goes on, with its weight, to the buckets of bigrams. All
 statistics cover all training texts; nothing is cut off.
 
-Words are known by 64-bit hashes of their bytes. Up to VOCABULARY words the table of words is broadcast once (20 bytes each)
+Words are known by 64-bit hashes of their bytes. Up to VOCABULARY words the table of words is broadcast once (9 bytes each as sent, 28 in a worker)
 and words become dense numbers; beyond, each text gets the counts of its own words by a join, with the same results.
 Everything but the last scoring step runs while the query is being built.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import by_bytes, keyed, mix, raw, spread, Stash, table, unkeyed, word_hashes
 
-CUT, VOCABULARY, SHARE, BATCH = 5, 12_000_000, 1_500_000, 1 << 21
+CUT, VOCABULARY, SHARE, BATCH, BLOCK = 5, 12_000_000, 1_500_000, 1 << 21, 1 << 17
 END, UNKNOWN, START = (np.uint64(0xE4D0000000000000 + k) for k in (1, 2, 3))
 _U32, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 _NONE = np.empty(0, dtype=np.uint64)
@@ -102,11 +102,36 @@ class Words:
         rank[order] = np.arange(len(h), dtype=np.uint32)
         by = np.argsort(h)
         self.h, self.rank = np.append(h[by], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(rank[by], np.uint32(0))
-        self.unknown, self.start = np.uint64(len(h)), np.uint64(len(h) + 1)
-        # hashes are even: their first bits tell the place within a step or two
-        bits = max(1, len(h).bit_length())
+        self._places()
+
+    def _places(self) -> None:
+        """Hashes are even: their first bits tell the place within a step or two."""
+        n = len(self.h) - 1
+        self.unknown, self.start = np.uint64(n), np.uint64(n + 1)
+        bits = max(1, n.bit_length())
         self.shift = np.uint64(64 - bits)
-        self.place = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.place = np.empty(1 << bits, dtype=np.int32)
+        step = min(BLOCK, 1 << bits)
+        cuts = np.append(np.searchsorted(self.h[:-1], np.arange(0, 1 << bits, step, dtype=np.uint64) << self.shift), n)
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            some = np.bincount((self.h[i:j] >> self.shift).astype(np.int64) - k * step, minlength=step)
+            self.place[k * step : (k + 1) * step] = i + np.cumsum(some) - some
+
+    def __getstate__(self):
+        """Packed: every machine writes a broadcast to its disk, and every worker reads it; in blocks, to read it in place."""
+        n = len(self.h) - 1
+        return n, [pack([_delta(self.h[i : min(i + BLOCK, n)]), self.rank[i : min(i + BLOCK, n)], self.count[i : min(i + BLOCK, n)]]) for i in range(0, n, BLOCK)]
+
+    def __setstate__(self, state) -> None:
+        n, blocks = state
+        self.h, self.rank, self.count = np.empty(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint32), np.zeros(n + 2, dtype=np.int64)
+        self.h[n] = 0xFFFFFFFFFFFFFFFF
+        for i, data in zip(range(0, n, BLOCK), blocks, strict=True):
+            h, rank, count = unpack(data, 3)
+            j = i + len(h)
+            np.cumsum(h, out=self.h[i:j])
+            self.rank[i:j], self.count[i:j] = rank, count.view(np.int64)
+        self._places()
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.place[h >> self.shift]
@@ -232,6 +257,8 @@ def _joined(rows: list, k: int) -> list[np.ndarray]:
     parts = [unpack(x, k) for x in rows if x]
     if not parts:
         return [_NONE] * k
+    if len(parts) == 1:
+        return [np.cumsum(parts[0][0]), *parts[0][1:]]
     return [np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in range(1, k))]
 
 
@@ -445,11 +472,13 @@ class Trigrams:
 
     def __init__(self, m: Model, rows: list):
         x, w, c, *rest = _read_trigrams(m, rows)
-        cold = ~m.top(x)
+        cold = np.flatnonzero(~m.top(x))
         parts = _contexts(m, x[cold], c[cold], *(a[cold] for a in rest))
+        del cold, rest
         cols = [np.concatenate(a) for a in zip(parts, m.left3, strict=True)]
         o = np.argsort(cols[0])
         self.h, self.mass, self.lower, self.low, self.total = (a[o] for a in cols)
+        del parts, cols
         key = _key(_find(self.h, x)[0].astype(np.uint64), w, m.dense)  # in the order of the histories
         o = np.argsort(key)
         self.m, self.key, self.c = m, key[o], c[o]
@@ -622,7 +651,7 @@ def _answer(said):
     return run
 
 
-def _bounded(rows: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
+def _bounded(rows: Iterator[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
     """Packed rows in lists of about `most` bytes."""
     now: list[bytes] = []
     size = 0
@@ -647,7 +676,7 @@ def _answer_long(said):
         m: Model = said.value
         of = Trigrams(m, known.column("data").to_pylist())
         out, on, names = [], [], []
-        for rows in _bounded(asked.column("data").to_pylist()):
+        for rows in _bounded(x.as_py() for x in asked.column("data")):
             opened = [_opened(row, 4 if m.dense else 7) for row in rows]
             sizes = [len(o[3][0]) for o in opened]
             x, w, text, n, *rest = (np.concatenate(a) for a in zip(*(o[3] for o in opened), strict=True))
@@ -812,6 +841,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         asked = source.mapInArrow(_ask_scores(said, order), "bucket int, data binary")
         grams = trigrams.select("bucket", "data").groupBy("bucket")
         answers = stash.keep(asked.groupBy("bucket").cogroup(grams).applyInArrow(_answer_long(said), _ANSWERS))
+        stash.drop(trigrams)
         rest = answers.where("bucket is not null").select("bucket", "data").groupBy("bucket").cogroup(known).applyInArrow(_answer_rest(said), _PARTS)
         parts = answers.where("bucket is null").select("batch", "size", "head", "parts").unionByName(rest)
     parts = parts.groupBy("batch").applyInArrow(_total, _SCORES)
