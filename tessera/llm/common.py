@@ -43,10 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Stash:
     """Written tables in the shared folder that cut lineage: a lost executor costs a reread, not a recomputation.
 
-    drop() removes tables that nothing reads any more.
+    drop() removes tables that nothing reads any more. `batch` bounds the bytes of an Arrow batch while a table is written, so
+    that JVM and worker hold no more than a worker takes at once (Spark's own bound lets 10,000 rows of any size in).
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, batch: int | None = None):
+        self.set = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # a write is the only reader of its shuffles
+        if batch:
+            self.set["spark.sql.execution.arrow.maxBytesPerBatch"] = str(batch)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
 
@@ -55,13 +59,14 @@ class Stash:
         same for all readers, made of the row's file and place in it."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(freed, None)
-        self.spark.conf.set(freed, "true")  # this write is the only reader of its shuffles
+        before = {k: self.spark.conf.get(k, None) for k in self.set}
+        for k, v in self.set.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(freed) if before is None else self.spark.conf.set(freed, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         if number:
             file = F.regexp_extract(F.col("_metadata.file_name"), r"^part-([0-9]+)-", 1).cast("bigint")

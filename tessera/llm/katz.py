@@ -777,7 +777,7 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
-    stash = Stash(spark)
+    stash = Stash(spark, BATCH)
     source = docs.select(keyed(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     learn = source.where("train")
     words = stash.keep(learn.select("doc_id", "text").mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
