@@ -40,7 +40,7 @@ def climb(tokens, least=1):
         if not right:
             return value, names, -n
         b, more, used = right
-        simple = tokens[n + 1] != "("
+        simple = sum(t not in "()" for t in tokens[n + 1 : n + 1 + abs(used)]) == 1
         value = {"or": max(value, b), "and": min(value, b), "with": (1 + value) / 2}[op]
         names = names + ([] if op == "with" and simple else more)
         if used < 0:
