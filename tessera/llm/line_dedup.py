@@ -1,74 +1,64 @@
-"""Operator 8: removal of globally repeated multi-line passages by content-defined chunks.
-
-A text is its \\n-split lines. A passage counts if it has two or more lines with a word and at least `least_words` words
-in all. A line goes if it lies in a passage that counts and stands, byte for byte, in an earlier place too (smaller
-doc_id, then line) that does not overlap it; so the first of equal passages stays and every later one goes whole.
-
-windows: from each line with a word the shortest passage that counts downwards, and the shortest upwards. A passage that
-counts is the union of the windows in it, and each of them is repeated where the passage is, so the windows tell the same
-lines as all passages would, with at most two rows a line. chunks: the same thresholds at boundaries set by the rolling
-hash of the hashes of lines i-1 and i (one of `every` classes): fewer rows, but a passage that shares a chunk with other
-lines stays. op8_line_chunks and the pipeline use the windows.
-
-Narrow steps: hashes of pieces, without text, are written and counted with map-side combine; texts meet their repeated
-hashes and are written with them; only those pieces are grouped by their bytes, which is the comparison: hashes never
-decide. Texts without such a piece then pass, the others travel once more, to the pieces that go. A passage that a third
+"""Operator 8: removal of globally repeated multi-line passages by content-defined line chunks.
+
+A text is its \\n-split lines; the lines with a word are numbered. The rolling hash of two lines that follow each other is the
+MD5 of their MD5s. A pair of lines is a boundary if its rolling hash falls into one of EVERY classes, or is the least of the last SPAN:
+a chunk may begin at its first line, and end at its second. Both depend on these lines alone (and on SPAN before
+them where none else would come), so boundaries stay with their lines when text before them is put in or taken out. A chunk begins at each boundary
+and at the text's first line, and ends at the first boundary, or the text's last line, where it counts: two or more lines with a word and
+`least_words` words in all; after LOOK further lines it ends without one.
+
+A chunk is repeated if it stands, byte for byte, in an earlier place too (smaller doc_id, then line) that does not overlap it.
+From a repeated chunk the match is extended line by line, up to CONTEXT lines each way, while the lines equal those around the
+first place (told by their SHA-256); it ends on a line with a word. All of it goes; the first place stays. So a passage goes
+whole if it holds a chunk and no more than CONTEXT lines before or after its chunks; a passage without a boundary pair in a fit place
+stays: README.md has the shares by length. Every line that goes stands in an earlier place too.
+
+Narrow steps: hashes of chunks, without text, are written and counted with map-side combine; texts meet their repeated
+hashes and are written with them; only those chunks are grouped by their bytes, which is the comparison: hashes never
+decide on them. Texts without such a chunk then pass, the others travel once more, to the lines that go. A chunk that a third
 of all rows share is combined before it is counted or compared, and its rows are dealt by SALTS where they meet the result.
 The steps before the last run while the query is built.
 
-Defined results: null texts are kept as they are; empty texts and single lines have no piece that counts; repeated rows
+Defined results: null texts are kept as they are; empty texts and single lines have no chunk; repeated rows
 with one doc_id, or without one, count as one document; a document may lose all its lines and stays with an empty text; an empty table
-gives an empty result. Blank lines at the edges of a passage stay. Each line that goes stands in an earlier place that stays.
+gives an empty result. Blank lines at the edges of a match stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed, packed, SPACE_CHARS, SPACE_CLASS, spread, Stash, table
 from tessera.llm.quality import let
 
-EVERY, LEAST_WORDS, SALTS = 3, 12, 16
+EVERY, LEAST_WORDS, SPAN, LOOK, CONTEXT, SALTS = 2, 12, 16, 32, 16, 16
 
 
-def chunks(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) -> Column:
-    """Array of (first, n, hash, counts): first line (from 1), number of lines, 64-bit hash of the lines' hashes."""
-
-    def cut(lines: Column) -> Column:
-        def ends(h: Column) -> Column:
-            stop = lambda i: (i == F.size(h)) | ((i >= 2) & (F.pmod(F.xxhash64(F.get(h, i - 2), F.get(h, i - 1)), F.lit(every)) == 0))
-            return F.filter(F.sequence(F.lit(1), F.size(h)), stop)
-
-        def pieces(h: Column) -> Column:
-            def piece(stops: Column) -> Column:
-                def one(e: Column, k: Column) -> Column:
-                    first = F.when(k == 0, F.lit(1)).otherwise(F.get(stops, k - 1) + 1)
-                    n = e - first + 1
-                    own = F.filter(F.slice(lines, first, n), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
-                    enough = F.when((n < 2) | (F.size(own) < 2), F.lit(False)).otherwise(F.size(F.split(F.btrim(F.array_join(own, "\n"), F.lit(SPACE_CHARS)), SPACE_CLASS + "+")) >= least_words)
-                    return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"), enough.alias("counts"))
+def _has_word(line: Column) -> Column:
+    return F.length(F.btrim(line, F.lit(SPACE_CHARS))) > 0
 
-                return F.transform(stops, one)
 
-            return let(ends(h), piece)
+def boundaries(hashes: Column, every: int = EVERY) -> Column:
+    """Array of booleans, one for each pair of lines that follow each other in the array of their MD5s."""
 
-        return let(F.transform(lines, lambda x: F.xxhash64(x)), pieces)
+    def told(r: Column) -> Column:
+        code = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long")
+        return F.transform(r, lambda x, k: (F.pmod(code(x), F.lit(every)) == 0) | (x == F.array_min(F.slice(r, F.greatest(k + 2 - SPAN, F.lit(1)), F.least(k + 1, F.lit(SPAN))))))
 
-    return F.when(F.instr(text, "\n") == 0, None).otherwise(F.filter(let(F.split(text, "\n"), cut), lambda c: c["counts"]))
+    pair = lambda x, k: F.md5(F.concat(F.get(hashes, k), F.get(hashes, k + 1)))
+    return F.when(F.size(hashes) < 2, F.array().cast("array<boolean>")).otherwise(let(F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), pair), told))
 
 
-def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
-    """Array of (first, n, hash) of the shortest passages that count, downwards and upwards from each line with a word."""
-    most = max(2, least_words)  # of lines with a word in a window
+def chunks(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (first, n, hash) of the chunks that count; first is a line from 1, n a number of lines."""
+    most = max(2, least_words)  # of lines with a word that a chunk can need
 
     def cut(lines: Column) -> Column:
         def count(x: Column, i: Column) -> Column:
             own = F.btrim(x, F.lit(SPACE_CHARS))
             n = F.when(F.length(own) == 0, 0).otherwise(F.size(F.split(own, SPACE_CLASS + "+", most)))
-            return F.struct((i + 1).alias("line"), n.alias("words"))
+            return F.struct((i + 1).alias("line"), n.alias("words"), F.when(n > 0, F.md5(x)).alias("md5"))
 
         def reach(near: Column) -> Column:
             """How many of the lines `near` are enough; null if all are not."""
@@ -78,44 +68,52 @@ def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
             return F.aggregate(near, start, add, lambda a: F.when(enough(a), a["n"]))
 
         def pieces(at: Column) -> Column:
-            code = lambda a, z: F.shiftleft(a["line"].cast("long"), 32) + (z["line"] - a["line"] + 1)
-            down = lambda x, k: code(x, F.get(at, k + reach(F.slice(at, k + 1, most)) - 1))
-            up = lambda x, k: code(F.get(at, k - reach(F.reverse(F.slice(at, F.greatest(k + 2 - most, F.lit(1)), F.least(k + 1, F.lit(most))))) + 1), x)
-            codes = F.array_compact(F.array_union(F.transform(at, down), F.transform(at, up)))
+            def ranges(b: Column) -> Column:
+                begins = lambda k: (k == 0) | F.coalesce(F.get(b, k), F.lit(False))
+
+                def end(k: Column) -> Column:  # place in `at` of the last line
+                    least = k + reach(F.slice(at, k + 1, most)) - 1
+                    found = F.array_position(F.slice(b, F.greatest(least, F.lit(1)), LOOK), F.lit(True))  # b[least - 1] is the pair that ends at `least`
+                    return F.when(found > 0, least + found.cast("int") - 1).when(least.isNotNull(), F.least(least + LOOK - 1, F.size(at) - 1))
+
+                code = lambda x, k: F.when(begins(k), F.shiftleft(x["line"].cast("long"), 32) + (F.get(at, end(k))["line"] - x["line"] + 1))
+                return F.array_compact(F.transform(at, code))
+
+            def hashed(codes: Column) -> Column:
+                def piece(h: Column) -> Column:
+                    def one(c: Column) -> Column:
+                        first, n = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+                        return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"))
 
-            def piece(h: Column) -> Column:
-                def one(c: Column) -> Column:
-                    first, n = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-                    return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"))
+                    return F.transform(codes, one)
 
-                return F.transform(codes, one)
+                return let(F.transform(lines, lambda x: F.xxhash64(x)), piece)
 
-            return let(F.transform(lines, lambda x: F.xxhash64(x)), piece)
+            return let(let(boundaries(F.transform(at, lambda x: x["md5"]), every), ranges), hashed)
 
         return let(F.filter(F.transform(lines, count), lambda x: x["words"] > 0), pieces)
 
     return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs without repeated chunks; see without_repeats."""
-    return without_repeats(docs, lambda whole: chunks(whole, every, least_words), key, text)
+def _common(mine: Column, theirs: Column) -> Column:
+    """How many leading lines of two arrays of line digests are equal, up to the last of them with a word."""
+    differs = F.array_position(F.transform(F.arrays_zip(mine.alias("a"), theirs.alias("b")), lambda z: F.coalesce(z["a"] == z["b"], F.lit(False))), F.lit(False))
+    n = F.when(differs > 0, differs - 1).otherwise(F.least(F.size(mine), F.size(theirs)).cast("long")).cast("int")
 
+    def ended(same: Column) -> Column:
+        last = F.array_position(F.reverse(F.transform(same, lambda x: F.substring(x, 1, 1) == F.lit(b"\x01"))), F.lit(True)).cast("int")
+        return F.when(last > 0, F.size(same) - last + 1).otherwise(0)
 
-def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs without repeated passages, whole; see without_repeats."""
-    return without_repeats(docs, lambda whole: windows(whole, least_words), key, text)
+    return F.when(n == 0, 0).otherwise(let(F.slice(mine, 1, n), ended))
 
 
-def without_repeats(docs: DataFrame, pieces: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `kept_text`, `n_lines` and `n_removed_lines`; clashing names of docs don't matter, they are packed in a struct `row`.
-
-    Pieces may overlap, but none may begin and end within another one.
-    """
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, least_words: int = LEAST_WORDS, context: int = CONTEXT) -> DataFrame:
+    """docs with `kept_text`, `n_lines` and `n_removed_lines`; clashing names of docs don't matter, they are packed in a struct `row`."""
     stash = Stash(docs.sparkSession)
     base = docs.select(keyed(key).alias("_id"), packed(docs).alias("row"))
     whole = F.col(f"row.`{text}`")
-    cut = base.select("_id", F.explode(pieces(whole)).alias("c")).select("_id", F.col("c.hash").alias("h"), (F.shiftleft(F.col("c.first").cast("long"), 32) + F.col("c.n")).alias("code"))
+    cut = base.select("_id", F.explode(chunks(whole, every, least_words)).alias("c")).select("_id", F.col("c.hash").alias("h"), (F.shiftleft(F.col("c.first").cast("long"), 32) + F.col("c.n")).alias("code"))
     cut = stash.keep(cut)
     salt = F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(SALTS)).cast("int").alias("salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -125,37 +123,39 @@ def without_repeats(docs: DataFrame, pieces: Callable[[Column], Column], key: st
     stash.drop(cut)
 
     def told_of(ls: Column) -> Column:
+        lines = F.get(ls, F.lit(0))
+        digest = lambda x: F.unhex(F.concat(F.when(_has_word(x), "01").otherwise("00"), F.sha2(x, 256)))
+
         def one(c: Column) -> Column:
             first, n = F.shiftright(c["code"], 32).cast("int"), c["code"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-            return F.struct(c["h"].alias("h"), first.alias("first"), n.alias("n"), F.array_join(F.slice(F.get(ls, F.lit(0)), first, n), "\n").alias("bytes"))
+            up = F.reverse(F.slice(lines, F.greatest(first - context, F.lit(1)), F.least(first - 1, F.lit(context))))
+            down = F.slice(lines, first + n, context)
+            return F.struct(c["h"].alias("h"), first.alias("first"), n.alias("n"), F.array_join(F.slice(lines, first, n), "\n").alias("bytes"), F.transform(up, digest).alias("up"), F.transform(down, digest).alias("down"))
 
         return F.transform("cs", one)
 
     some = met.where("cs is not null")
     told = some.select("_id", F.explode(let(F.array(F.split(whole, "\n")), told_of)).alias("c")).select("_id", "c.*")
     digest = F.unhex(F.sha2("bytes", 256)).alias("digest")
-    classes = told.groupBy("h", "bytes").agg(F.min(F.struct("_id", "first")).alias("keeper"), F.count("*").alias("times")).where("times > 1").select("h", digest, "keeper", salts)
+    classes = told.groupBy("h", "bytes").agg(F.min(F.struct("_id", "first", "up", "down")).alias("keeper"), F.count("*").alias("times")).where("times > 1").select("h", digest, "keeper", salts)
     gone = (
-        told.select("_id", "h", "first", "n", digest, salt)
+        told.select("_id", "h", "first", "n", "up", "down", digest, salt)
         .join(classes, ["h", "digest", "salt"])
         .where((F.col("_id") != F.col("keeper._id")) | (F.col("first") >= F.col("keeper.first") + F.col("n")))
+        .select("_id", "first", "n", _common(F.col("up"), F.col("keeper.up")).alias("more_up"), _common(F.col("down"), F.col("keeper.down")).alias("more_down"))
         .groupBy(F.col("_id").alias("_gid"))
-        .agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("gone"))
+        .agg(F.collect_set(F.struct((F.col("first") - F.col("more_up")).alias("first"), (F.col("first") + F.col("n") - 1 + F.col("more_down")).alias("last"))).alias("gone"))
     )
     out = some.join(gone, F.col("_id") == F.col("_gid"), "left").select("row", "gone")
-    out = out.unionByName(met.where("cs is null").select("row", F.lit(None).cast("array<struct<first:int,n:int>>").alias("gone")))
+    out = out.unionByName(met.where("cs is null").select("row", F.lit(None).cast("array<struct<first:int,last:int>>").alias("gone")))
     lines = F.split(whole, "\n")
-    #: what stands between the removed pieces, in order
-    borders = F.concat(F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("n"))), F.col("gone"), F.array(F.struct((F.size(lines) + 1).alias("first"), F.lit(0).alias("n"))))
-
-    def between(ls: Column, b: Column) -> Column:
-        def gap(i: Column) -> Column:
-            start = F.get(b, i - 1)["first"] + F.get(b, i - 1)["n"]
-            return F.slice(F.get(ls, F.lit(0)), start, F.greatest(F.lit(0), F.get(b, i)["first"] - start))
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(b) - 1), gap))
+    def kept(ls: Column) -> Column:
+        n = F.size(F.get(ls, F.lit(0)))
+        out_of = F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], F.least(g["last"], n))))
+        return F.transform(F.array_except(F.sequence(F.lit(1), n), out_of), lambda i: F.get(F.get(ls, F.lit(0)), i - 1))
 
-    left = out.withColumn("left", F.when(F.col("gone").isNotNull(), let(F.array(lines), lambda ls: let(borders, lambda b: between(ls, b)))))
+    left = out.withColumn("left", F.when(F.col("gone").isNotNull(), let(F.array(lines), kept)))
     return left.select(
         "row",
         F.when(F.col("gone").isNull(), whole).otherwise(F.array_join("left", "\n")).alias("kept_text"),
@@ -166,30 +166,35 @@ def without_repeats(docs: DataFrame, pieces: Callable[[Column], Column], key: st
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed_lines (long), kept_sha256 of the remaining text (null: empty)."""
-    out = dedup_passages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = dedup_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("row.doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with what is left of their texts; n_chars follows where there is such a column."""
     own = docs.columns
-    out = dedup_passages(docs)
+    out = dedup_lines(docs)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in own))
 
 
 QUERIES = {"op8_line_chunks": op8_line_chunks}
-#: Windows by sums of words, then the lines outside repeated ones.
+#: Chunks and boundaries by windows over the numbered lines, then extension by counting equal lines.
 ORACLES = {
     "op8_line_chunks": rf"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS x FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 n AS (SELECT *, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM l),
-k AS (SELECT doc_id, i, row_number() OVER d AS k, sum(n) OVER d AS upto, sum(n) OVER d - n AS before FROM n WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT a.doc_id, a.k AS ak, a.i AS lo, b.k AS bk, b.i AS hi FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + 1 AND a.k + {LEAST_WORDS - 1} AND b.upto - a.before >= {LEAST_WORDS}),
-w AS (SELECT doc_id, lo, min(hi) AS hi FROM p GROUP BY doc_id, lo UNION SELECT doc_id, max(lo), hi FROM p GROUP BY doc_id, hi),
-t AS (SELECT w.doc_id, lo, hi, array_to_string(string_split(text, chr(10))[lo:hi], chr(10)) AS piece FROM w JOIN documents USING (doc_id)),
+o AS (SELECT doc_id, i, md5(x) AS h, row_number() OVER d AS k, sum(n) OVER d AS upto, sum(n) OVER d - n AS before, count(*) OVER (PARTITION BY doc_id) AS m FROM n WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, CASE WHEN k < m THEN md5(h || lead(h) OVER (PARTITION BY doc_id ORDER BY k)) END AS r FROM o),
+b AS (SELECT *, coalesce(CAST('0x' || substr(r, 1, 8) AS BIGINT) % {EVERY} = 0 OR r = min(r) OVER (PARTITION BY doc_id ORDER BY k ROWS {SPAN - 1} PRECEDING), false) AS cut FROM r),
+e AS (SELECT a.doc_id, a.k, a.i AS lo, min(z.k) AS least FROM b a JOIN o z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k + 1 AND a.k + {LEAST_WORDS - 1} AND z.upto - a.before >= {LEAST_WORDS} WHERE a.cut OR a.k = 1 GROUP BY ALL),
+f AS (SELECT e.doc_id, lo, coalesce(min(y.k) + 1, least(any_value(e.least) + {LOOK - 1}, any_value(q.m))) AS k FROM e JOIN (SELECT DISTINCT doc_id, m FROM o) q ON q.doc_id = e.doc_id LEFT JOIN b y ON y.doc_id = e.doc_id AND y.cut AND y.k + 1 BETWEEN e.least AND e.least + {LOOK - 1} GROUP BY e.doc_id, lo),
+t AS (SELECT f.doc_id, lo, o.i AS hi, array_to_string(string_split(text, chr(10))[lo:o.i], chr(10)) AS piece FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k JOIN documents d ON d.doc_id = f.doc_id),
 c AS (SELECT piece, min((doc_id, lo)) AS keeper FROM t GROUP BY piece HAVING count(*) > 1),
-g AS (SELECT doc_id, lo, hi FROM t JOIN c USING (piece) WHERE doc_id <> keeper[1] OR lo >= keeper[2] + (hi - lo + 1)),
-r AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN g ON g.doc_id = l.doc_id AND l.i BETWEEN lo AND hi),
-s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.i IS NOT NULL) AS n_removed_lines, string_agg(x, chr(10) ORDER BY l.i) FILTER (r.i IS NULL) AS kept FROM l LEFT JOIN r USING (doc_id, i) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
+g AS (SELECT doc_id, lo, hi, keeper[1] AS kd, keeper[2] AS klo FROM t JOIN c USING (piece) WHERE doc_id <> keeper[1] OR lo >= keeper[2] + (hi - lo + 1)),
+s AS (SELECT g.doc_id, lo, hi, w.side, w.d, a.n > 0 AS has, bool_and(coalesce(a.x = z.x, false)) OVER (PARTITION BY g.doc_id, lo, hi, w.side ORDER BY w.d) AS same FROM g, (SELECT side, d FROM (VALUES (1), (-1)) z(side), range(1, {CONTEXT + 1}) q(d)) w
+LEFT JOIN n a ON a.doc_id = g.doc_id AND a.i = CASE side WHEN 1 THEN hi + d ELSE lo - d END LEFT JOIN l z ON z.doc_id = kd AND z.i = CASE side WHEN 1 THEN klo + hi - lo + d ELSE klo - d END),
+v AS (SELECT g.doc_id, g.lo - coalesce(max(d) FILTER (same AND has AND side = -1), 0) AS lo, g.hi + coalesce(max(d) FILTER (same AND has AND side = 1), 0) AS hi FROM g LEFT JOIN s ON s.doc_id = g.doc_id AND s.lo = g.lo AND s.hi = g.hi GROUP BY g.doc_id, g.lo, g.hi),
+x AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN v ON v.doc_id = l.doc_id AND l.i BETWEEN v.lo AND v.hi),
+y AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (x.i IS NOT NULL) AS n_removed_lines, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (x.i IS NULL) AS kept FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN y ON y.doc_id = d.doc_id"""
 }

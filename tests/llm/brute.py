@@ -74,25 +74,39 @@ def repeats(docs: dict, length=100):
     return out
 
 
-def line_chunks(docs: dict, hash_lines, every, least_words):
-    """{id: kept text}; hash_lines gives Spark's hash of two lines, which sets the boundaries."""
-    cut = {}
-    for i, t in docs.items():
-        if t is None or "\n" not in t:
-            continue
-        ls, first = t.split("\n"), 0
-        for k in range(len(ls)):
-            if k == len(ls) - 1 or (k >= 1 and hash_lines(ls[k - 1], ls[k]) % every == 0):
-                part = ls[first : k + 1]
-                real = [x for x in part if WORD.search(x)]
-                if len(part) > 1 and len(real) > 1 and sum(len(WORD.findall(x)) for x in real) >= least_words:
-                    cut.setdefault("\n".join(part), []).append((i, first, k + 1))
-                first = k + 1
-    gone = defaultdict(list)
-    for found in cut.values():
-        for i, a, b in sorted(found)[1:]:
-            gone[i].append((a, b))
-    return {i: t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if not any(a <= k < b for a, b in gone[i])) for i, t in docs.items()}
+def line_chunks(docs: dict, every=2, least_words=12, span=16, look=32, context=16):
+    """{id: kept text}: chunks between boundary pairs, repeated ones extended to both sides."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    lines = {i: t.split("\n") for i, t in docs.items() if t is not None}
+    count = {i: [len(WORD.findall(x)) for x in ls] for i, ls in lines.items()}
+    places = defaultdict(list)
+    for i, ls in lines.items():
+        own = [k for k, n in enumerate(count[i]) if n]
+        r = [md5(md5(ls[a]) + md5(ls[b])) for a, b in zip(own, own[1:], strict=False)]
+        cut = [int(x[:8], 16) % every == 0 or x == min(r[max(0, k - span + 1) : k + 1]) for k, x in enumerate(r)]
+        for k in range(len(own)):
+            if k and not (k < len(cut) and cut[k]):
+                continue
+            least = next((j for j in range(k + 1, min(len(own), k + max(2, least_words))) if sum(count[i][own[x]] for x in range(k, j + 1)) >= least_words), None)
+            if least is not None:
+                last = next((j for j in range(least, min(least + look, len(own))) if cut[j - 1]), min(least + look - 1, len(own) - 1))
+                places["\n".join(ls[own[k] : own[last] + 1])].append((i, own[k], own[last]))
+    gone = defaultdict(set)
+    for at in places.values():
+        d, lo, hi = min(at)
+        for i, a, z in at:
+            if i == d and a <= hi:
+                continue
+            for step, mine, first in ((-1, a, lo), (1, z, hi)):
+                far = 0
+                for n in range(1, context + 1):
+                    x, y = mine + step * n, first + step * n
+                    if not (0 <= x < len(lines[i]) and 0 <= y < len(lines[d]) and lines[i][x] == lines[d][y]):
+                        break
+                    far = n if count[i][x] else far
+                a, z = (a - far, z) if step < 0 else (a, z + far)
+            gone[i].update(range(a, z + 1))
+    return {i: t if i not in gone else "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i, t in docs.items()}
 
 
 def katz(docs: dict, discounts, order=3, cut=5):
