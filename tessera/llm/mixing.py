@@ -11,8 +11,8 @@ source with a third of all rows is a thousand window groups. Quotients are made
 (source, shard) pairs, never of documents; windows over all sources hold a row, or three quotients, for each source.
 
 Defined results: null or empty texts have size 0 and 0 taken; a null source is a source of its own, last in order;
-equal quotients fall to the earlier source and the lower shard; repeated rows count once each, ordered by doc_id;
-an empty table gives an empty result.
+equal quotients fall to the earlier source and the lower shard; repeated rows count once each, ordered by doc_id; rows without
+doc_id are dealt by their texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, spread, table, words
+from tessera.llm.common import packed, spread, Stash, table, words
 
 BLOCKS, SHARDS, MOST, SEED = 1 << 16, 1024, 3, 20
 
@@ -87,13 +87,17 @@ def refill(dealt: DataFrame, most: int) -> DataFrame:
     return d.withColumn("shard_taken", F.col("_held") + more).drop("_held", "_room", "_short", "_before")
 
 
-def laid_out(docs: DataFrame, key: str, text: str, source: str, seed: int, blocks: int, shards: int, most: int) -> DataFrame:
-    """Every row of docs with its size, where it ends in its shard (`upto`), its shard's and source's words taken and the words of the shards before."""
+def laid_out(docs: DataFrame, key: str, text: str, source: str, seed: int, blocks: int, shards: int, most: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of docs with its key, the columns `more`, its size, where it ends in its shard (`upto`), its shard's and source's
+    words taken and the words of the shards before."""
+    code = lambda n: F.xxhash64(F.lit(n), F.col(key), F.when(F.col(key).isNull(), F.col(text)))
     sized = docs.select(
-        F.col(key),
+        F.col(key).alias("key"),
+        *more,
         F.size(words(F.col(text))).cast("long").alias("size"),
         F.col(source).alias("source"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(code(seed), F.lit(shards)).cast("int").alias("shard"),
+        code(seed + 1).alias("line"),
     )
     shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     plan = targets(shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), most)
@@ -109,7 +113,7 @@ def laid_out(docs: DataFrame, key: str, text: str, source: str, seed: int, block
     dealt = dealt.withColumn("shard_taken", taken).withColumn("source_taken", F.sum("shard_taken").over(Window.partitionBy("source")))
     dealt = dealt.withColumn("before", F.coalesce(F.sum("shard_size").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     quotas = dealt.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "shard_size", "shard_taken", "source_taken", "before")
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col(key), "size")
+    line = Window.partitionBy("source", "shard").orderBy("line", "key", "size", *more)
     laid = sized.withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     return laid.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
 
@@ -120,36 +124,35 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("shard_taken") / F.col("shard_size"))).otherwise(0)
     rest = F.col("shard_taken") - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("upto") - F.col("size"))))
-    return out.select(key, "size", "source", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    return out.select(F.col("key").alias(key), "size", "source", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def whole_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, most: int = MOST) -> DataFrame:
-    """(key, size, source, target, times) of every row of docs: how often it is taken whole.
+def whole_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, most: int = MOST, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, more.., size, source, target, times) of every row of docs: how often it is taken whole.
 
     A source's words in all shards, one after the other, are one line in seeded order. Its documents are taken in whole
     passes, and once more while their middle lies before what is left of the quota: it is met to half a document.
     """
-    out = laid_out(docs, key, text, source, seed, blocks, shards, most)
+    out = laid_out(docs, key, text, source, seed, blocks, shards, most, more)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("source_taken") / F.col("source_size"))).otherwise(0)
     rest = F.col("source_taken") - passes * F.col("source_size")
     once_more = F.col("before") + F.col("upto") - F.col("size") / 2 < rest
-    return out.select(key, "size", "source", "target", F.when(F.col("size") > 0, passes + once_more.cast("int")).otherwise(0).cast("long").alias("times"))
+    return out.select("key", *more, "size", "source", "target", F.when(F.col("size") > 0, passes + once_more.cast("int")).otherwise(0).cast("long").alias("times"))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole (whole_documents); a source's words meet its quota to half a document.
 
-    The copies keep the document's columns. Documents of size 0 are in no block and go. Rows
-    without doc_id stay as they are; rows with one doc_id are each taken as often as all of them.
+    The copies keep the document's columns. Documents of size 0 are in no block and go. Rows are numbered as they are written, so
+    rows that share a doc_id, or have none, are each taken as often as they are by themselves.
     """
-    rows = docs.select("doc_id", packed(docs).alias("row"))
-    alone = docs.where("doc_id is null")
-    times = whole_documents(docs).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
-    return rows.join(times, F.col("doc_id") == F.col("_id")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*").unionByName(alone)
+    rows = Stash(spark).keep(docs.select(packed(docs).alias("row")), "n")
+    times = whole_documents(rows, "row.doc_id", "row.text", "row.source", more=("n",)).where("times > 0").select(F.col("n").alias("m"), "times")
+    return rows.join(times, F.col("n") == F.col("m")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 QUERIES = {"op6_mix_sources": op6_mix_sources}

@@ -13,8 +13,8 @@ All steps are Columns, joins and aggregations. Counts are combined before each s
 of all rows is one row for each task. Only (entity, term) pairs and counts are shuffled, texts only by `sanitise`.
 
 Defined results: null and empty texts have no spans; a match that fails its check is dropped without another try; an
-entity that is in every document has no information and discloses nothing; repeated rows count as documents each;
-an empty table gives an empty result.
+entity that is in every document has no information and discloses nothing; repeated rows, rows that share a key and rows without
+one are documents each, with spans of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import packed, spread, Stash, table
 from tessera.llm.quality import let
 
+#: Matches whose places are summed up at once: the cost of a text follows their number times this.
+BLOCK = 128
 KINDS = ["email", "ip", "card", "phone", "term"]
 WINDOW, LEAST, GENERALISE, REMOVE = 48, 2, 0.8, 0.95
 
@@ -42,16 +44,25 @@ def locate(text: Column, pattern: str) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def place(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-        steps = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("m"))
-        first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        def laid(steps: Column) -> Column:
+            part = lambda k: F.slice(steps, k * BLOCK + 1, BLOCK)
+            size = lambda k: F.aggregate(part(k), F.lit(0), lambda a, s: a + s["gap"] + F.length(s["m"]))
+
+            def add(a: Column, s: Column) -> Column:
+                start = a["at"] + s["gap"]
+                end = start + F.length(s["m"])
+                return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), s["m"].alias("value")))).alias("out"))
+
+            def within(begins: Column) -> Column:
+                return F.flatten(F.transform(begins, lambda at, k: F.aggregate(part(k), F.struct(at.alias("at"), none.alias("out")), add, lambda a: a["out"])))
 
-        def add(a: Column, s: Column) -> Column:
-            start = a["at"] + s["gap"]
-            end = start + F.length(s["m"])
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), s["m"].alias("value")))).alias("out"))
+            blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
+            first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+            begins = F.aggregate(blocks, first, lambda a, k: F.struct((a["at"] + size(k)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+            return let(begins, within)
 
-        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(steps, first, add, lambda a: a["out"]))
+        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+        return F.when(F.size(found) == 0, none).otherwise(let(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("m")), laid))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
@@ -82,23 +93,29 @@ def base_spans(text: Column) -> Column:
 def _near(text: Column, spans: Column, window: int) -> Column:
     """Array of (kind, value, term, start, end): terms wholly inside the window of a span and outside all base spans."""
 
-    def side(s: Column, low: Column, high: Column, cut_low: bool) -> Column:
-        piece = F.substring(text, low + 1, high - low)
+    def side(s: Column, w: Column, low: Column, high: Column, cut_low: bool) -> Column:
+        def terms(piece: Column) -> Column:
+            def whole(x: Column) -> Column:  # a term that touches the window's outer border may go on beyond it
+                return (x["start"] > 0) | (low == 0) if cut_low else (x["end"] < F.length(piece)) | (high >= w["size"])
+
+            return F.transform(
+                F.filter(locate(piece, TERM), whole),
+                lambda x: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.lower(x["value"]).alias("term"), (low + x["start"]).alias("start"), (low + x["end"]).alias("end")),
+            )
+
+        return let(F.substring(text, low + 1, high - low), terms)
 
-        def whole(x: Column) -> Column:  # a term that touches the window's outer border may go on beyond it
-            return (x["start"] > 0) | (low == 0) if cut_low else (x["end"] < F.length(piece)) | (high >= F.length(text))
+    def around(s: Column, size: Column) -> Column:
+        def outside(w: Column) -> Column:
+            def free(close: Column) -> Column:
+                return F.filter(F.concat(side(s, w, w["low"], s["start"], True), side(s, w, s["end"], w["high"], False)), lambda x: ~F.exists(close, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"])))
 
-        return F.transform(
-            F.filter(locate(piece, TERM), whole),
-            lambda x: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.lower(x["value"]).alias("term"), (low + x["start"]).alias("start"), (low + x["end"]).alias("end")),
-        )
+            return let(F.filter(spans, lambda o: (o["start"] < w["high"]) & (w["low"] < o["end"])), free)
 
-    def around(s: Column) -> Column:
-        low, high = F.greatest(F.lit(0), s["start"] - window), F.least(F.length(text), s["end"] + window)
-        return F.concat(side(s, low, s["start"], True), side(s, s["end"], high, False))
+        low, high = F.greatest(F.lit(0), s["start"] - window), F.least(size, s["end"] + window)
+        return let(F.struct(low.alias("low"), high.alias("high"), size.alias("size")), outside)
 
-    free = lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    return F.filter(F.flatten(F.transform(spans, around)), free)
+    return let(F.length(text), lambda size: F.flatten(F.transform(spans, lambda s: around(s, size))))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -124,11 +141,11 @@ def disclosure(docs: DataFrame, found: DataFrame, text: str = "text", least: int
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, least: int = LEAST, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(key, base, terms) of every row; terms: array of (start, end, action) with action remove or generalise."""
     stash = Stash(docs.sparkSession)
-    found = stash.keep(find(docs, key, text, window))
+    found = stash.keep(find(docs, key, text, window), "_row")
     known = disclosure(docs, found, text, least).where(F.col("disclosure") >= generalise)
     known = known.select("kind", "value", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
     told = (
-        found.select(F.col(key).alias("_id"), F.explode("near").alias("x"))
+        found.select(F.col("_row").alias("_id"), F.explode("near").alias("x"))
         .select("_id", "x.*")
         .join(known, ["kind", "value", "term"])
         .groupBy("_id", "start", "end")
@@ -137,7 +154,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     )
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.join(told, F.col(key) == F.col("_id"), "left").select(key, "base", F.coalesce("terms", none).alias("terms"))
+    return found.join(told, F.col("_row") == F.col("_id"), "left").select(key, "base", F.coalesce("terms", none).alias("terms"))
 
 
 def mask(text: Column, base: Column, terms: Column) -> Column:
@@ -154,11 +171,13 @@ def mask(text: Column, base: Column, terms: Column) -> Column:
     return F.aggregate(F.sort_array(F.concat(named, told)), start, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """docs with `base`, `terms` and `sanitised`; key must be unique."""
-    found = spans(docs, key, text, **settings).withColumnRenamed(key, "_key")
-    out = docs.select(packed(docs, ("base", "terms", "sanitised")).alias("row")).join(found, F.col(f"row.{key}") == F.col("_key"), "left")
-    return out.select("row.*", "base", "terms", F.when(F.size("base") == 0, F.col(f"row.{text}")).otherwise(mask(F.col(f"row.{text}"), F.col("base"), F.col("terms"))).alias("sanitised"))
+def sanitise(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """docs with `base`, `terms` and `sanitised` in the place of columns of these names."""
+    rows = docs.select(packed(docs).alias("row"), F.col(f"`{text}`").alias("whole"))
+    out = spans(rows, "row", "whole", **settings)
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("base", "terms", "sanitised")]
+    whole = F.col(f"row.`{text}`")
+    return out.select(*own, "base", "terms", F.when(F.size("base") == 0, whole).otherwise(mask(whole, F.col("base"), F.col("terms"))).alias("sanitised"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
