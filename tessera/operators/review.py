@@ -23,7 +23,7 @@ def _sections(pattern: re.Pattern, text: str) -> Iterator[tuple[re.Match, str]]:
         yield m, text[m.start() : end]
 
 
-def _diff_rows(diff_id: int, text: str, phantom: bool) -> Iterator[tuple]:
+def _diff_rows(diff_id, text: str, phantom: bool) -> Iterator[tuple]:
     for no, (f, part) in enumerate(_sections(_FILE, text)):
         head = (diff_id, no, f[1], f[2], "new file mode" in part, "deleted file mode" in part, "Binary files" in part)
         any_hunk = False
@@ -54,10 +54,10 @@ def diff_lines(diffs: DataFrame, phantom: bool = True) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, text in zip(b["diff_id"], b["diff"], strict=True):
-                if rows := list(_diff_rows(int(i), text or "", phantom)):
+                if rows := list(_diff_rows(i, text or "", phantom)):
                     yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names if c in ("hunk", "old_start", "old_lines", "new_start", "new_lines", "pos", "old_line", "new_line")})
 
-    return diffs.select("diff_id", "diff").mapInPandas(run, _LINE)
+    return diffs.select("diff_id", "diff").mapInPandas(run, _LINE.replace("diff_id int", f"diff_id {dict(diffs.dtypes)['diff_id']}"))
 
 
 def diff_stats(lines: DataFrame) -> DataFrame:
