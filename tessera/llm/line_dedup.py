@@ -1,7 +1,7 @@
 """Operator 8: removal of globally repeated multi-line passages by content-defined line chunks.
 
 A text is its \\n-split lines; the lines with a word are numbered. The rolling hash of two lines that follow each other is the
-MD5 of their MD5s. A pair of lines is a boundary if its rolling hash falls into one of EVERY classes, or is the least of the last SPAN:
+MD5 of their MD5s. A pair of lines is a boundary if its rolling hash lies in the lowest of EVERY parts of its range, or is the least of the last SPAN:
 a chunk may begin at its first line, and end at its second. Both depend on these lines alone (and on SPAN before
 them where none else would come), so boundaries stay with their lines when text before them is put in or taken out. A chunk begins at each boundary
 and at the text's first line, and ends at the first boundary, or the text's last line, where it counts: two or more lines with a word and
@@ -9,7 +9,7 @@ and at the text's first line, and ends at the first boundary, or the text's last
 
 A chunk is repeated if it stands, byte for byte, in an earlier place too (smaller doc_id, then line) that does not overlap it.
 From a repeated chunk the match is extended line by line, up to CONTEXT lines each way, while the lines equal those around the
-first place (told by their SHA-256); it ends on a line with a word. All of it goes; the first place stays. So a passage goes
+first place (told by 128 bits of their SHA-256); it ends on a line with a word. All of it goes; the first place stays. So a passage goes
 whole if it holds a chunk and no more than CONTEXT lines before or after its chunks; a passage without a boundary pair in a fit place
 stays: README.md has the shares by length. Every line that goes stands in an earlier place too.
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import keyed, packed, SPACE_CHARS, SPACE_CLASS, spread, Stash, table
 from tessera.llm.quality import let
 
-EVERY, LEAST_WORDS, SPAN, LOOK, CONTEXT, SALTS = 2, 12, 16, 32, 16, 16
+EVERY, LEAST_WORDS, SPAN, LOOK, CONTEXT = 2, 12, 16, 32, 16
+#: A chunk of HOT places or more is dealt over SALTS parts where it meets its class.
+HOT, SALTS = 256, 16
 
 
 def _has_word(line: Column) -> Column:
@@ -43,8 +45,7 @@ def boundaries(hashes: Column, every: int = EVERY) -> Column:
     """Array of booleans, one for each pair of lines that follow each other in the array of their MD5s."""
 
     def told(r: Column) -> Column:
-        code = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long")
-        return F.transform(r, lambda x, k: (F.pmod(code(x), F.lit(every)) == 0) | (x == F.array_min(F.slice(r, F.greatest(k + 2 - SPAN, F.lit(1)), F.least(k + 1, F.lit(SPAN))))))
+        return F.transform(r, lambda x, k: (x < f"{(1 << 32) // every:08x}" if every > 1 else F.lit(True)) | (x == F.array_min(F.slice(r, F.greatest(k + 2 - SPAN, F.lit(1)), F.least(k + 1, F.lit(SPAN))))))
 
     pair = lambda x, k: F.md5(F.concat(F.get(hashes, k), F.get(hashes, k + 1)))
     return F.when(F.size(hashes) < 2, F.array().cast("array<boolean>")).otherwise(let(F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), pair), told))
@@ -117,27 +118,29 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     cut = stash.keep(cut)
     salt = F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(SALTS)).cast("int").alias("salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    twice = cut.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", salts)
-    suspects = cut.select("*", salt).join(twice, ["h", "salt"]).groupBy("_id").agg(F.collect_set(F.struct("h", "code")).alias("cs"))
+    twice = cut.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", (F.col("times") >= HOT).alias("hot"), salts)
+    suspects = cut.select("*", salt).join(twice, ["h", "salt"]).groupBy("_id").agg(F.collect_set(F.struct("h", "code", "hot")).alias("cs"))
     met = stash.keep(base.join(suspects.withColumnRenamed("_id", "_sid"), F.col("_id") == F.col("_sid"), "left").select("_id", "row", "cs"))
     stash.drop(cut)
 
     def told_of(ls: Column) -> Column:
         lines = F.get(ls, F.lit(0))
-        digest = lambda x: F.unhex(F.concat(F.when(_has_word(x), "01").otherwise("00"), F.sha2(x, 256)))
+        digest = lambda x: F.unhex(F.concat(F.when(_has_word(x), "01").otherwise("00"), F.substring(F.sha2(x, 256), 1, 32)))
 
         def one(c: Column) -> Column:
             first, n = F.shiftright(c["code"], 32).cast("int"), c["code"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
             up = F.reverse(F.slice(lines, F.greatest(first - context, F.lit(1)), F.least(first - 1, F.lit(context))))
             down = F.slice(lines, first + n, context)
-            return F.struct(c["h"].alias("h"), first.alias("first"), n.alias("n"), F.array_join(F.slice(lines, first, n), "\n").alias("bytes"), F.transform(up, digest).alias("up"), F.transform(down, digest).alias("down"))
+            return F.struct(c["h"].alias("h"), c["hot"].alias("hot"), first.alias("first"), n.alias("n"), F.array_join(F.slice(lines, first, n), "\n").alias("bytes"), F.transform(up, digest).alias("up"), F.transform(down, digest).alias("down"))
 
         return F.transform("cs", one)
 
     some = met.where("cs is not null")
     told = some.select("_id", F.explode(let(F.array(F.split(whole, "\n")), told_of)).alias("c")).select("_id", "c.*")
     digest = F.unhex(F.sha2("bytes", 256)).alias("digest")
-    classes = told.groupBy("h", "bytes").agg(F.min(F.struct("_id", "first", "up", "down")).alias("keeper"), F.count("*").alias("times")).where("times > 1").select("h", digest, "keeper", salts)
+    classes = told.groupBy("h", "hot", "bytes").agg(F.min(F.struct("_id", "first", "up", "down")).alias("keeper"), F.count("*").alias("times")).where("times > 1")
+    classes = classes.select("h", digest, "keeper", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))).alias("salt"))
+    salt = F.when(F.col("hot"), salt).otherwise(0).alias("salt")
     gone = (
         told.select("_id", "h", "first", "n", "up", "down", digest, salt)
         .join(classes, ["h", "digest", "salt"])
@@ -185,7 +188,7 @@ ORACLES = {
 n AS (SELECT *, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM l),
 o AS (SELECT doc_id, i, md5(x) AS h, row_number() OVER d AS k, sum(n) OVER d AS upto, sum(n) OVER d - n AS before, count(*) OVER (PARTITION BY doc_id) AS m FROM n WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT *, CASE WHEN k < m THEN md5(h || lead(h) OVER (PARTITION BY doc_id ORDER BY k)) END AS r FROM o),
-b AS (SELECT *, coalesce(CAST('0x' || substr(r, 1, 8) AS BIGINT) % {EVERY} = 0 OR r = min(r) OVER (PARTITION BY doc_id ORDER BY k ROWS {SPAN - 1} PRECEDING), false) AS cut FROM r),
+b AS (SELECT *, coalesce(r < '{(1 << 32) // EVERY:08x}' OR r = min(r) OVER (PARTITION BY doc_id ORDER BY k ROWS {SPAN - 1} PRECEDING), false) AS cut FROM r),
 e AS (SELECT a.doc_id, a.k, a.i AS lo, min(z.k) AS least FROM b a JOIN o z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k + 1 AND a.k + {LEAST_WORDS - 1} AND z.upto - a.before >= {LEAST_WORDS} WHERE a.cut OR a.k = 1 GROUP BY ALL),
 f AS (SELECT e.doc_id, lo, coalesce(min(y.k) + 1, least(any_value(e.least) + {LOOK - 1}, any_value(q.m))) AS k FROM e JOIN (SELECT DISTINCT doc_id, m FROM o) q ON q.doc_id = e.doc_id LEFT JOIN b y ON y.doc_id = e.doc_id AND y.cut AND y.k + 1 BETWEEN e.least AND e.least + {LOOK - 1} GROUP BY e.doc_id, lo),
 t AS (SELECT f.doc_id, lo, o.i AS hi, array_to_string(string_split(text, chr(10))[lo:o.i], chr(10)) AS piece FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k JOIN documents d ON d.doc_id = f.doc_id),

@@ -83,7 +83,7 @@ def line_chunks(docs: dict, every=2, least_words=12, span=16, look=32, context=1
     for i, ls in lines.items():
         own = [k for k, n in enumerate(count[i]) if n]
         r = [md5(md5(ls[a]) + md5(ls[b])) for a, b in zip(own, own[1:], strict=False)]
-        cut = [int(x[:8], 16) % every == 0 or x == min(r[max(0, k - span + 1) : k + 1]) for k, x in enumerate(r)]
+        cut = [int(x[:8], 16) < 2**32 // every or x == min(r[max(0, k - span + 1) : k + 1]) for k, x in enumerate(r)]
         for k in range(len(own)):
             if k and not (k < len(cut) and cut[k]):
                 continue
