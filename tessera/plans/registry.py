@@ -1,7 +1,7 @@
 """All queries of the library but those of the training-data subpackage."""
 
-from tessera.plans import code, diffs, indexing, more, planning, retrieval, review, scan, sql, upkeep
+from tessera.plans import code, diffs, indexing, more, planning, retrieval, review, scan, sql, streams, upkeep
 
-_MODULES = [retrieval, scan, code, review, planning, upkeep, more, diffs, indexing]
+_MODULES = [retrieval, scan, code, review, planning, upkeep, more, diffs, indexing, streams]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in [*_MODULES, sql] for k, v in m.ORACLES.items()}
