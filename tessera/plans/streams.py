@@ -44,12 +44,12 @@ def metric_stream(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (finding_dedupe_stream, session_stream, metric_stream)}
-_LATEST = "(SELECT epoch_ms(max(ts)) - 3600000 FROM events)"
+_LATEST = "(SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)"
 ORACLES = {
-    "session_stream": f"""WITH e AS (SELECT user_id::VARCHAR AS session, epoch_ms(ts) AS t FROM events), g AS (SELECT session, t, CASE WHEN t - lag(t) OVER w > {TIMEOUT} THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY session ORDER BY t)),
+    "session_stream": f"""WITH e AS (SELECT user_id::VARCHAR AS session, epoch_us(ts) // 1000 AS t FROM events), g AS (SELECT session, t, CASE WHEN t - lag(t) OVER w > {TIMEOUT} THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY session ORDER BY t)),
 s AS (SELECT session, t, sum(cut) OVER (PARTITION BY session ORDER BY t RANGE UNBOUNDED PRECEDING) AS part FROM g), r AS (SELECT session, part, min(t) AS first_ms, max(t) AS last_ms, count(*) AS events, max(part) OVER (PARTITION BY session) AS latest FROM s GROUP BY session, part)
 SELECT session, first_ms, last_ms, events FROM r WHERE part < latest OR last_ms + {TIMEOUT} <= {_LATEST}""",
     "metric_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, "
     + ", ".join(f"count(*) FILTER (value <= {b}) AS b{i}" for i, b in enumerate(X.BUCKETS))
-    + f" FROM events WHERE epoch_ms(date_trunc('day', ts)) + 86400000 <= {_LATEST} GROUP BY ALL",
+    + f" FROM events WHERE epoch_us(date_trunc('day', ts)) // 1000 + 86400000 <= {_LATEST} GROUP BY ALL",
 }
