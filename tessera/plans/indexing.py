@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import vector_index as V
 from tessera.plans.fixture import spread
+from tessera.sources.versioned import IndexStore
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -30,6 +31,38 @@ def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return index.search(rows.where(F.col("id") % 20 == 0)).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk,)}
-#: Approximate by design: tests measure the recall against all rows.
-ORACLES: dict[str, str] = {}
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of documents by events: an event changes or removes the document whose number is the event's, modulo as many; in
+    three batches by day."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = docs.agg(F.max("doc_id") + 1).first()[0] or 1
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "event_type", (F.col("event_id") % n).alias("doc_id"))
+    e = e.join(docs.select("doc_id", "text", F.concat_ws("/", "source", "doc_id").alias("path")), "doc_id")
+    kind = F.when(F.col("event_type") == "purchase", "unlink").otherwise("change")
+    batch = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int")
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.col("event_id").cast("string"))
+    last = e.groupBy("path", batch.alias("batch")).agg(F.max_by(F.struct(kind.alias("type"), content.alias("content")), F.struct("ts", "event_id")).alias("l"))
+    return last.select("path", "batch", "l.type", "l.content")
+
+
+def index_after_batches(spark: SparkSession, d: str) -> DataFrame:
+    """(path, hash, chunks): an index of all documents after three published batches of changes by events."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    store = IndexStore(spark, folder(spark, "index"))
+    store.apply(docs.select(F.concat_ws("/", "source", "doc_id").alias("path"), F.lit("add").alias("type"), F.col("text").alias("content")))
+    changes = _batches(spark, d)
+    for k in range(3):
+        store.apply(changes.where(F.col("batch") == k).drop("batch"))
+    chunks = store.read("chunks").groupBy("path").agg(F.count("*").alias("chunks"))
+    return store.read("state").join(chunks, "path")
+
+
+QUERIES = {f.__name__: f for f in (vector_index_topk, index_after_batches)}
+#: vector_index_topk is approximate by design: tests measure its recall against all rows.
+ORACLES = {
+    "index_after_batches": """WITH d AS (SELECT doc_id, text, concat_ws('/', source, doc_id) AS path FROM documents), n AS (SELECT max(doc_id) + 1 AS n FROM documents),
+e AS (SELECT path, least(2, (day(ts) - 1) // 10) AS batch, arg_max(event_type, (ts, event_id)) AS kind, arg_max(coalesce(text, '') || chr(10) || event_id, (ts, event_id)) AS content FROM events, n, d WHERE d.doc_id = event_id % n GROUP BY path, batch),
+l AS (SELECT path, arg_max(kind, batch) AS kind, arg_max(content, batch) AS content FROM e GROUP BY path),
+f AS (SELECT path, coalesce(text, '') AS content FROM d WHERE path NOT IN (SELECT path FROM l) UNION ALL SELECT path, content FROM l WHERE kind <> 'purchase')
+SELECT path, sha256(content) AS hash, CAST(ceil(len(string_split(content, chr(10))) / 20) AS BIGINT) AS chunks FROM f""",
+}
