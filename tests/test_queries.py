@@ -26,11 +26,14 @@ def _rows(frame, columns):
     return sorted(str([float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r]) for r in plain.values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+QUERIES, ORACLES = registry.QUERIES | registry.FIXTURES, registry.ORACLES | registry.FIXTURE_ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    mine = registry.QUERIES[name](spark, SF).toPandas()
-    if name in registry.ORACLES:
-        want = duck.sql(registry.ORACLES[name]).df()
+    mine = QUERIES[name](spark, SF).toPandas()
+    if name in ORACLES:
+        want = duck.sql(ORACLES[name]).df()
         columns = sorted(mine.columns)
         assert columns == sorted(want.columns)
         assert _rows(mine, columns) == _rows(want, columns)
@@ -40,3 +43,4 @@ def test_names_and_import_without_session():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert not set(registry.FIXTURES) & set(entry.queries()) and len(registry.FIXTURES) == 99
