@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of duration histograms in seconds.
@@ -33,9 +33,8 @@ def gauge(samples: DataFrame, series: list[str], value: str, order: list[str]) -
 
 def limit_series(series: DataFrame, order: list[str], most: int = MAX_SERIES) -> DataFrame:
     """The first `most` series, and how many were dropped in each row."""
-    every = Window.partitionBy()
-    n = F.count("*").over(every)
-    return series.withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("dropped", F.greatest(F.lit(0), n - most)).where(F.col("_n") <= most).drop("_n")
+    total = series.agg(F.greatest(F.lit(0), F.count("*") - most).alias("dropped"))
+    return series.orderBy(*order).limit(most).join(F.broadcast(total))
 
 
 def hit_rate(lookups: DataFrame, layer: str, hit: Column) -> DataFrame:

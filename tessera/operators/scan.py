@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re._parser as sre
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,25 +111,69 @@ def duplicate_groups(blocks: DataFrame, least_lines: int = 5, least_chars: int =
     return g if most is None else g.orderBy((F.col("lines") * F.col("copies")).desc(), "hash").limit(min(100, most))
 
 
+def required(pattern: str) -> list[str]:
+    """Literal texts of which every match of the pattern holds one, as long ones as the pattern gives; empty if it gives none."""
+
+    def options(items) -> list[list[str]]:
+        """Alternatives sets: each is a list of literals of which one must occur."""
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is sre.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if op is sre.SUBPATTERN:
+                found += options(value[3])
+            elif op is sre.BRANCH:
+                each = [best(options(x)) for x in value[1]]
+                if all(each):
+                    found.append([x for e in each for x in e])
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] > 0:
+                found += options(value[2])
+        return found
+
+    def best(sets: list[list[str]]) -> list[str]:
+        return max(sets, key=lambda x: min(map(len, x)), default=[])
+
+    parsed = sre.parse(pattern)
+    return [] if parsed.state.flags & sre.SRE_FLAG_IGNORECASE else best(options(parsed))
+
+
+def matching(text: Column, pattern: str) -> Column:
+    """Whether the text holds a match: the pattern runs only where one of the literals that it requires stands."""
+    needs = required(pattern)
+    hit = text.rlike(pattern)
+    return reduce(lambda a, b: a | b, (text.contains(x) for x in needs)) & hit if needs else hit
+
+
 def scan_security(files: DataFrame) -> DataFrame:
     """(path, line, type, message, severity): one row for each line and pattern of all files.
 
-    The patterns are one array of cases on the line: a single pass, no join with a table of patterns. No pattern is tied to
-    the ends of a line, so a text without a match of any has no line with one, and is not split.
+    A text is split into lines only if it holds a match of some pattern, and a pattern runs only where a literal that it requires is found, by
+    a plain search. No pattern is tied to the ends of a line, so a text without a match has no line with one.
     """
-    anything = "|".join(f"(?:{p})" for p in [*(p for _, p, _ in SECRETS), *(p for p, _, _ in RISKS)])
-    lined = explode_lines(files.select("path", "content").where(F.col("content").rlike(anything)))
+    patterns = [*(p for _, p, _ in SECRETS), *(p for p, _, _ in RISKS)]
+    anything = reduce(lambda a, b: a | b, (matching(F.col("content"), p) for p in dict.fromkeys(patterns)))
+    lined = explode_lines(files.select("path", "content").where(anything))
     note = F.ltrim("text")
     lined = lined.where(~(note.startswith("//") & note.contains("example") & ~note.contains("=")))
-    case = lambda p, kind, message, severity: F.when(F.col("text").rlike(p), F.struct(F.lit(kind).alias("type"), F.lit(message).alias("message"), F.lit(severity).alias("severity")))
+    case = lambda p, kind, message, severity: F.when(matching(F.col("text"), p), F.struct(F.lit(kind).alias("type"), F.lit(message).alias("message"), F.lit(severity).alias("severity")))
     cases = [case(p, "secret", f"Potential {n} found.", s) for n, p, s in SECRETS] + [case(p, "vulnerability", m, s) for p, s, m in RISKS]
     return lined.select("path", "line", F.explode(F.array_compact(F.array(*cases))).alias("i")).select("path", "line", "i.*")
 
 
 def scrub(content: Column, extra: list[tuple[str, str]] | None = None) -> Column:
-    """The text with every credential replaced by [REDACTED:name], in the order of the list."""
+    """The text with every credential replaced by [REDACTED:name], in the order of the list; a text without the literals that
+    credentials require is left as it is."""
     rules = [(n, p) for n, p, _ in SECRETS] + (extra or [])
-    return reduce(lambda c, r: F.regexp_replace(c, r[1], f"[REDACTED:{r[0]}]"), rules, content)
+    clean = reduce(lambda c, r: F.regexp_replace(c, r[1], f"[REDACTED:{r[0]}]"), rules, content)
+    needs = [required(p) for _, p in rules]
+    if not all(needs):
+        return clean
+    may = reduce(lambda a, b: a | b, (content.contains(x) for x in dict.fromkeys(x for n in needs for x in n)))
+    return F.when(may, clean).otherwise(content)
 
 
 def scan_markers(files: DataFrame, tags: list[str] = MARKERS, most: int | None = None) -> DataFrame:

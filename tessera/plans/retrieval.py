@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import core_tokens, line_range, overlap, relevance_label, token_estimate
 from tessera.operators import retrieval as R
+from tessera.operators.prefix import running_sum
 from tessera.plans.fixture import Fixture, ctes
 
 
@@ -83,7 +84,7 @@ def best_per_path(spark, d):
 def context_budget(spark, d):
     """Documents of each source in doc_id order up to 3000 tokens."""
     docs = _t(spark, d, "documents").select("source", "doc_id", token_estimate(F.col("text")).alias("tokens"))
-    return R.within_budget(docs, 3000, ["source"], [F.col("doc_id")]).select("source", "doc_id", "tokens", "used")
+    return running_sum(docs, "tokens", ["source"], "doc_id", out="used").where("used <= 3000").select("source", "doc_id", "tokens", "used")
 
 
 HITS = Fixture(

@@ -7,23 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import ranges
+
 
 def sessions(changes: DataFrame, gap_ms: int = 500) -> DataFrame:
     """changes(ts, ord, path, type) with `session`: a change more than gap_ms after the one before opens a new one.
 
     The debounce is global, one timer for all paths, so order is global; the running count is made in two steps: ranges of
-    time sorted apart, then offsets of the ranges, a few rows. No single task sorts all changes.
+    time with about as many changes each are sorted apart, then offsets of the ranges, a few rows. No single task sorts all changes.
     """
-    parts = changes.withColumn("_day", F.floor(F.unix_micros("ts") / 86_400_000_000))
-    w = Window.partitionBy("_day").orderBy("ts", "ord")
-    edge = changes.groupBy(F.floor(F.unix_micros("ts") / 86_400_000_000).alias("_day")).agg(F.max("ts").alias("_last"))
-    before = edge.select("_day", F.lag("_last").over(Window.orderBy("_day")).alias("_end"))
-    parts = parts.join(before, "_day").withColumn("_prev", F.coalesce(F.lag("ts").over(w), "_end"))
+    parts = changes.withColumn("_part", ranges(changes, "ts"))
+    w = Window.partitionBy("_part").orderBy("ts", "ord")
+    edge = parts.groupBy("_part").agg(F.max("ts").alias("_last"))
+    before = edge.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_end"))
+    parts = parts.join(before, "_part").withColumn("_prev", F.coalesce(F.lag("ts").over(w), "_end"))
     parts = parts.withColumn("_new", (F.col("_prev").isNull() | (F.unix_micros("ts") - F.unix_micros("_prev") > gap_ms * 1000)).cast("long"))
     parts = parts.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = parts.groupBy("_day").agg(F.sum("_new").alias("_n"))
-    offset = total.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return parts.join(offset, "_day").withColumn("session", F.col("_run") + F.col("_offset") - 1).select(*changes.columns, "session")
+    total = parts.groupBy("_part").agg(F.sum("_new").alias("_n"))
+    offset = total.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    return parts.join(offset, "_part").withColumn("session", F.col("_run") + F.col("_offset") - 1).select(*changes.columns, "session")
 
 
 def coalesce_changes(grouped: DataFrame) -> DataFrame:
