@@ -268,11 +268,13 @@ def _compare(seg: dict, anchors: list[dict], k: int, same: bool, kind, code: str
                 edge = np.partition(s, len(s) - k)[len(s) - k]
                 s, c = s[s >= edge], c[s >= edge]
             order = np.lexsort((seg["least"][c], -s))[:k]
+            rows = []
             for p in order:
-                at = c[p]
-                own_ids = seg["ids"][seg["begin"][at] : seg["begin"][at] + min(k, seg["many"][at])].tolist()
-                for column, value in zip(out, (anchors[i]["cid"], j, int(s[p]), None, int(seg["cids"][at])), strict=True):
-                    column.extend(own_ids if value is None else [value] * len(own_ids))
+                begin = seg["begin"][c[p]]
+                rows += [(-int(s[p]), x, int(seg["cids"][c[p]])) for x in seg["ids"][begin : begin + min(k, seg["many"][c[p]])].tolist()]
+            for minus, row, cc in sorted(rows)[:k]:
+                for column, value in zip(out, (anchors[i]["cid"], j, -minus, row, cc), strict=True):
+                    column.append(value)
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds, strict=True)], names=["cid", "j", "score", "id", "cc"])
 
