@@ -107,10 +107,11 @@ def _near(text: Column, spans: Column, window: int) -> Column:
 
     def around(s: Column, size: Column) -> Column:
         def outside(w: Column) -> Column:
-            def free(close: Column) -> Column:
-                return F.filter(F.concat(side(s, w, w["low"], s["start"], True), side(s, w, s["end"], w["high"], False)), lambda x: ~F.exists(close, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"])))
+            def free(terms: Column) -> Column:  # spans are looked through only where there are terms
+                apart = lambda close: F.filter(terms, lambda x: ~F.exists(close, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"])))
+                return F.when(F.size(terms) == 0, terms).otherwise(let(F.filter(spans, lambda o: (o["start"] < w["high"]) & (w["low"] < o["end"])), apart))
 
-            return let(F.filter(spans, lambda o: (o["start"] < w["high"]) & (w["low"] < o["end"])), free)
+            return let(F.concat(side(s, w, w["low"], s["start"], True), side(s, w, s["end"], w["high"], False)), free)
 
         low, high = F.greatest(F.lit(0), s["start"] - window), F.least(size, s["end"] + window)
         return let(F.struct(low.alias("low"), high.alias("high"), size.alias("size")), outside)
