@@ -1,7 +1,9 @@
-"""Running sums over groups of any size: ranges of the order are summed apart, then met by the sums of the ranges before."""
+"""Running sums and extremes, successors and chains over groups of any size: ranges of the order are met apart, then get the results of
+the ranges before."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,19 +24,78 @@ def ranges(df: DataFrame, order: str, parts: int = RANGES) -> Column:
     return F.coalesce(reduce(lambda a, b: a + b, ((x > b).cast("int") for b in bounds)), F.lit(0))
 
 
-def running_sum(df: DataFrame, value: str, by: list[str], order: str, ties: list[str] | None = None, out: str = "running", parts: int = RANGES) -> DataFrame:
-    """df with `out`: the sum of `value` over the rows of a group up to this one, in the order of `order` (nulls first), then `ties`.
+def running(df: DataFrame, fold: Callable[[str], Column], merge: Callable[[Column, Column], Column], value: str, by: list[str], order: str, ties: list[str] | None = None, out: str = "running", parts: int = RANGES, down: bool = False) -> DataFrame:
+    """df with `out`: `fold` (a sum, a least or greatest value) of `value` over the rows of a group up to this one, in the order
+    of `order` (nulls first), then `ties`; with `down` the rows are met from the last to the first.
 
-    A group is cut into ranges of the order, so one with a third of all rows is `parts` tasks; the sums of a group's
-    ranges, at most `parts` rows, give each range what comes before it. As in SQL, a sum of nulls only is null.
+    A group is cut into ranges of the order, so one with a third of all rows is `parts` tasks; the results of a group's
+    ranges, at most `parts` rows, give each range what comes before it; `merge` joins the two. As in SQL, nulls are passed over.
     """
+    turn = (lambda c: F.col(c).desc()) if down else F.col
     cut = df.withColumn("_range", ranges(df, order, parts))
-    w = Window.partitionBy(*by, "_range").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
-    within = cut.withColumn("_within", F.sum(value).over(w))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
-    sums = sums.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), F.sum("_sum").over(before).alias("_before"))
+    w = Window.partitionBy(*by, "_range").orderBy(turn(order), *map(turn, ties or [])).rowsBetween(Window.unboundedPreceding, 0)
+    within = cut.withColumn("_within", fold(value).over(w))
+    before = Window.partitionBy(*by).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    told = cut.groupBy(*by, "_range").agg(fold(value).alias("_told"))
+    told = told.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), fold("_told").over(before).alias("_before"))
     same = F.col("_range") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return within.join(sums, same).withColumn(out, F.coalesce(F.col("_within") + F.col("_before"), F.col("_within"), F.col("_before"))).select(*df.columns, out)
+    return within.join(told, same).withColumn(out, F.coalesce(merge(F.col("_within"), F.col("_before")), F.col("_within"), F.col("_before"))).select(*df.columns, out)
+
+
+def running_sum(df: DataFrame, value: str, by: list[str], order: str, ties: list[str] | None = None, out: str = "running", parts: int = RANGES) -> DataFrame:
+    """df with `out`: the sum of `value` over the rows of a group up to this one, null where there were only nulls."""
+    return running(df, F.sum, lambda a, b: a + b, value, by, order, ties, out, parts)
+
+
+def running_max(df: DataFrame, value: str, by: list[str], order: str, ties: list[str] | None = None, out: str = "running", parts: int = RANGES) -> DataFrame:
+    """df with `out`: the greatest `value` of the rows of a group up to this one, null where there were only nulls."""
+    return running(df, F.max, F.greatest, value, by, order, ties, out, parts)
+
+
+def successors(points: DataFrame, by: list[str], at: str, gap: int, parts: int = RANGES) -> DataFrame:
+    """(by, at, next): for each of points(by, at bigint) the first `at` of its group later than its own by more than `gap`; points without one,
+    or without a time, are left out.
+
+    An as-of join by order: points and their ends (at + gap) lie in one order, and met from the last to the first the least point
+    so far is what follows an end. Groups are cut into ranges of that order.
+    """
+    p = points.where(F.col(at).isNotNull())
+    ends = p.select(*by, F.try_add(at, F.lit(gap)).alias("_x"), F.lit(None).cast("bigint").alias("_point"), F.col(at).alias("_from")).where("_x is not null")
+    both = p.select(*by, F.col(at).alias("_x"), F.col(at).alias("_point"), F.lit(None).cast("bigint").alias("_from")).unionByName(ends)
+    both = both.withColumn("_end", F.col("_point").isNull())  # an end comes before the point of its own time, which isn't later
+    met = running(both, F.min, F.least, "_point", by, "_x", ["_end"], "next", parts, down=True)
+    return met.where("_end and next is not null").select(*by, F.col("_from").alias(at), "next")
+
+
+def chain(points: DataFrame, by: list[str], at: str, gap: int, folder: str, parts: int = RANGES) -> DataFrame:
+    """(by, at, n): the first of points(by, at bigint) of each group, n = 1, then always the first that is later by more than `gap`.
+
+    Successor links are doubled: a round joins the links with themselves, so that they leap twice as far, and takes the points that
+    the chain so far reaches by one leap. Rounds are the logarithm of the longest chain; links are dealt by group and time, so no
+    key is hot. Links of a round are written under `folder`, which all executors share.
+    """
+    spark, rounds = points.sparkSession, 0
+
+    def keep(df: DataFrame) -> DataFrame:
+        nonlocal rounds
+        rounds += 1
+        df.write.parquet(f"{folder}/chain-{rounds}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/chain-{rounds}")
+
+    def then(left: DataFrame, on: str, links: DataFrame, *more: Column) -> DataFrame:
+        """left(by, on, ...) with the link that starts at `on`."""
+        to = links.select(*(F.col(c).alias(f"_to_{c}") for c in by), F.col(at).alias("_start"), F.col("next").alias("_next"))
+        same = F.col(on) == F.col("_start")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_to_{c}"))
+        return left.join(to, same).select(*by, *more)
+
+    points = keep(points.where(F.col(at).isNotNull()).select(*by, at).distinct())
+    links = keep(successors(points, by, at, gap, parts))
+    reached, leap = keep(points.groupBy(*by).agg(F.min(at).alias(at)).withColumn("n", F.lit(1).cast("long"))), 1
+    while not links.isEmpty():
+        reached = keep(reached.unionByName(then(reached, at, links, F.col("_next").alias(at), (F.col("n") + leap).alias("n"))))
+        links, leap = keep(then(links, "next", links, F.col(at), F.col("_next").alias("next"))), leap * 2
+    return reached

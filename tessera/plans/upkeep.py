@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import index as I
 from tessera.operators import metrics as M
 from tessera.plans.fixture import Fixture, ctes
+from tessera.plans.indexing import folder
 from tessera.sources import workspace as S
 from tessera.streaming import state as Z
 from tessera.streaming import watch as W
@@ -155,7 +156,14 @@ def watcher_batches(spark, d):
 
 def finding_dedupe_ttl(spark, d):
     e = _events(spark, d).select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_millis("ts").alias("at_ms"), F.col("event_id").alias("ord"))
-    return Z.dedupe_with_ttl(e, 2 * 24 * 3600 * 1000)
+    return Z.dedupe_with_ttl(e, 2 * 24 * 3600 * 1000, folder(spark, "findings"))
+
+
+def click_dedupe_ttl(spark, d):
+    """Clicks as findings of a client and kind that are told again after six hours; clients and kinds are skewed, some unknown, some times too."""
+    c = spark.read.parquet(f"{d}/clicks.parquet")
+    e = c.select(F.concat_ws("|", F.coalesce(F.col("client_id").cast("string"), F.lit("?")), F.coalesce("kind", F.lit("?"))).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("click_id").alias("ord"))
+    return Z.dedupe_with_ttl(e, 6 * 3600 * 1000, folder(spark, "clicks"))
 
 
 def finding_dedupe_stats(spark, d):
@@ -186,11 +194,16 @@ def cache_layers(spark, d):
 QUERIES = {f.__name__: f for f in (
     hash_skip_anti, index_state_merge, chunk_merge, tree_top_entries, file_slice, git_log_parse, blame_lines, blame_ownership, contributors, git_status_counts, memory_counts, memory_entries,
     ignore_match, workspace_crawl, metric_histogram, metric_counter, metric_gauge_last, metric_lines, metric_series_limit, cache_hit_rate, watcher_sessions, watcher_coalesce, watcher_batches,
-    finding_dedupe_ttl, finding_dedupe_stats, session_timeout, cache_last_used, cache_replay, cache_layers,
+    finding_dedupe_ttl, finding_dedupe_stats, click_dedupe_ttl, session_timeout, cache_last_used, cache_replay, cache_layers,
 )}
 _F = "f AS (SELECT source || '/' || doc_id AS path, text, doc_id, sha256(text) AS hash FROM documents), s AS (SELECT path, CASE WHEN doc_id % 2 = 0 THEN hash ELSE 'old' END AS hash FROM f WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 UNION ALL SELECT 'gone/1', 'x'), c AS (SELECT f.* FROM f LEFT JOIN s USING (path, hash) WHERE s.path IS NULL)"
 _S = f"g AS (SELECT ts, event_id AS ord, user_id::VARCHAR AS path, event_type AS type, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > {_GAP} * 1000 THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS session FROM (SELECT *, lag(ts) OVER (ORDER BY ts, event_id) AS p FROM events)), k AS (SELECT CAST(session AS BIGINT) AS session, path, arg_max(type, (ts, ord)) AS type, min((ts, ord)) AS first FROM g GROUP BY session, path), n AS (SELECT session, path, type, CAST(row_number() OVER (PARTITION BY session ORDER BY first, path) AS INTEGER) AS place FROM k)"
 ORACLES = {
+    "click_dedupe_ttl": """WITH RECURSIVE f AS (SELECT coalesce(client_id::VARCHAR, '?') || '|' || coalesce(kind, '?') AS key, epoch_us(ts) // 1000 AS at_ms, click_id AS ord FROM clicks),
+l AS (SELECT key, at_ms, min(at_ms) OVER (PARTITION BY key ORDER BY at_ms RANGE BETWEEN 21600001 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM (SELECT DISTINCT key, at_ms FROM f WHERE at_ms IS NOT NULL)),
+c AS (SELECT key, min(at_ms) AS at_ms, 1 AS n FROM l GROUP BY key UNION ALL SELECT c.key, l.next, c.n + 1 FROM c JOIN l ON l.key = c.key AND l.at_ms = c.at_ms WHERE l.next IS NOT NULL)
+SELECT f.key, f.at_ms, f.ord, c.n IS NOT NULL AND row_number() OVER (PARTITION BY f.key, f.at_ms ORDER BY f.ord) = 1 AS is_new, max(c.n) OVER (PARTITION BY f.key ORDER BY f.at_ms) AS occurrence FROM f LEFT JOIN c ON c.key = f.key AND c.at_ms = f.at_ms WHERE f.at_ms IS NOT NULL
+UNION ALL SELECT key, at_ms, ord, NULL, NULL FROM f WHERE at_ms IS NULL""",
     "hash_skip_anti": f"WITH {_F} SELECT doc_id, hash FROM c",
     "index_state_merge": f"WITH {_F} SELECT path, hash FROM s WHERE path IN (SELECT path FROM f) AND path NOT IN (SELECT path FROM c) UNION ALL SELECT path, hash FROM c",
     "chunk_merge": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE md5(text) END AS content FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 <> 0",

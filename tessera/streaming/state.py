@@ -10,26 +10,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-WEEK_MS = 7 * 24 * 3600 * 1000
+from tessera.operators.prefix import RANGES, chain, running_max
 
+WEEK_MS = 7 * 24 * 3600 * 1000
 
-def dedupe_with_ttl(findings: DataFrame, ttl_ms: int = WEEK_MS) -> DataFrame:
-    """findings(key, at_ms, ord) with `is_new` and `occurrence`: new if never seen, or last recorded more than ttl_ms ago.
 
-    A duplicate doesn't refresh the record; a stale one is recorded again and counts on. The walk needs the last recorded
-    time, so a key's times are folded in order; keys are independent.
-    """
-    rows = findings.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at_ms", "ord"))).alias("xs"))
-    start = F.struct(F.lit(None).cast("long").alias("seen"), F.lit(0).alias("n"), F.array().cast("array<struct<at_ms:bigint,ord:bigint,is_new:boolean,occurrence:int>>").alias("out"))
+def dedupe_with_ttl(findings: DataFrame, ttl_ms: int, folder: str, parts: int = RANGES) -> DataFrame:
+    """(key, at_ms, ord, is_new, occurrence) of findings(key, at_ms, ord): new if never seen, or last recorded more than ttl_ms ago.
 
-    def step(a, x):
-        new = a["seen"].isNull() | (x["at_ms"] - a["seen"] > ttl_ms)
-        n = a["n"] + new.cast("int")
-        row = F.struct(x["at_ms"].alias("at_ms"), x["ord"].alias("ord"), new.alias("is_new"), n.alias("occurrence"))
-        return F.struct(F.when(new, x["at_ms"]).otherwise(a["seen"]).alias("seen"), n.alias("n"), F.array_append(a["out"], row).alias("out"))
+    A duplicate doesn't refresh the record; a stale one is recorded again and counts on. Of findings of one time the one with the lowest `ord` is
+    first, of equal rows one; a null key is a key; findings without a time are in no record and come with nulls.
 
-    done = rows.select("key", F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("o"))
-    return done.select("key", "o.*")
+    Records are a chain of successors over the distinct times of a key, found by doubling; the rest are joins by key and time and a running
+    maximum by ranges, so a key of any size is many tasks. Tables of the rounds are written under `folder`, which all executors share.
+    """
+    spark = findings.sparkSession
+    findings.groupBy("key", "at_ms", "ord").agg(F.count("*").alias("copies")).write.parquet(f"{folder}/findings")
+    rows = spark.read.parquet(f"{folder}/findings")
+    times = rows.where("at_ms is not null").groupBy("key", "at_ms").agg(F.min(F.struct("ord")).alias("first"))
+    records = chain(times, ["key"], "at_ms", ttl_ms, folder, parts).select(F.col("key").alias("_key"), F.col("at_ms").alias("_at"), "n")
+    times.join(records, F.col("key").eqNullSafe(F.col("_key")) & (F.col("at_ms") == F.col("_at")), "left").select("key", "at_ms", "first", "n").write.parquet(f"{folder}/times")
+    told = running_max(spark.read.parquet(f"{folder}/times"), "n", ["key"], "at_ms", out="occurrence", parts=parts)
+    told = told.select(F.col("key").alias("_key"), F.col("at_ms").alias("_at"), F.when(F.col("n").isNotNull(), F.col("first")).alias("_first"), "occurrence")
+    out = rows.join(told, F.col("key").eqNullSafe(F.col("_key")) & (F.col("at_ms") == F.col("_at")), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    new = F.coalesce(F.struct("ord").eqNullSafe(F.col("_first")) & (F.col("_copy") == 1), F.lit(False))
+    return out.select("key", "at_ms", "ord", F.when(F.col("at_ms").isNotNull(), new).alias("is_new"), F.col("occurrence").cast("int").alias("occurrence"))
 
 
 def dedupe_stream(findings: DataFrame, ttl_ms: int = WEEK_MS) -> DataFrame:

@@ -33,7 +33,7 @@ def test_stream_of_findings_is_the_batch_and_forgets(spark, tmp_path, parts):
     df = events(spark).coalesce(1)
     q = X.run(X.dedupe(stage(spark, df, tmp_path, parts), 6 * HOUR), str(tmp_path))
     got = {(r["key"], r["at_ms"], r["ord"]): r["is_new"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = Z.dedupe_with_ttl(df.select("key", F.unix_millis("ts").alias("at_ms"), "ord"), 6 * HOUR).collect()
+    want = Z.dedupe_with_ttl(df.select("key", F.unix_millis("ts").alias("at_ms"), "ord"), 6 * HOUR, f"{tmp_path}/work").collect()
     assert got == {(r["key"], r["at_ms"], r["ord"]): r["is_new"] for r in want} and 0 < sum(got.values()) < len(got)
     keys, rows = df.select("key").distinct().count(), X.state_rows(q)
     assert rows[-1] < keys and (parts == 1 or max(rows) < 2.5 * keys)  # a key's value and its timer

@@ -156,7 +156,7 @@ def test_index_round_trip(spark, tmp_path):
 def test_dedupe_stream_is_the_batch(spark, tmp_path):
     r = random.Random(2)
     rows = sorted({(f"k{r.randint(0, 3)}", r.randint(0, 5000), i) for i in range(200)}, key=lambda x: x[1])
-    batch = {(x["key"], x["at_ms"]) for x in state.dedupe_with_ttl(spark.createDataFrame(rows, "key string, at_ms bigint, ord bigint"), 700).where("is_new").collect()}
+    batch = {(x["key"], x["at_ms"]) for x in state.dedupe_with_ttl(spark.createDataFrame(rows, "key string, at_ms bigint, ord bigint"), 700, str(tmp_path / "work")).where("is_new").collect()}
     for k in range(4):
         spark.createDataFrame([x[:2] for x in rows[k * 50 : k * 50 + 50]], "key string, at_ms bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema("key string, at_ms bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

@@ -8,7 +8,7 @@ import pytest
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 
