@@ -36,10 +36,11 @@ def tree(files: DataFrame, depth: int = 4, most: int = 50) -> DataFrame:
     up = F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth)))).alias("k")
     e = files.select(parts.alias("p"), up).select(F.array_join(F.slice("p", 1, F.col("k") - 1), "/").alias("parent"), F.get("p", F.col("k") - 1).alias("name"), (F.col("k") < F.size("p")).alias("is_dir"), F.get("p", F.col("k")).alias("child"))
     e = e.where(~F.col("name").startswith(".")).groupBy("parent", "name", "is_dir").agg(F.countDistinct("child").alias("entries"))
-    w = Window.partitionBy("parent")
-    ranked = e.withColumn("place", F.row_number().over(w.orderBy(F.col("is_dir").desc(), "name"))).withColumn("_n", F.count("*").over(w))
-    more = ranked.where((F.col("place") == 1) & (F.col("_n") > most)).select("parent", F.format_string("... and %d more entries", F.col("_n") - most).alias("name"), F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("entries"), F.lit(most + 1).alias("place"))
-    return ranked.where(F.col("place") <= most).drop("_n").unionByName(more)
+    w = Window.partitionBy("parent").orderBy(F.col("is_dir").desc(), "name")
+    first = e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)  # ranked alone: tasks cut a hot folder before it is shuffled
+    more = e.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    more = more.select("parent", F.format_string("... and %d more entries", F.col("n") - most).alias("name"), F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("entries"), F.lit(most + 1).alias("place"))
+    return first.unionByName(more)
 
 
 def file_slice(content: Column, first: Column, last: Column) -> Column:

@@ -222,7 +222,8 @@ def validate(inputs: DataFrame, extra: dict[str, Column] | None = None, most: in
     none = F.slice(F.array(item("", "", 1, F.lit(""))), 1, 0)
     when = lambda test, found: F.when(test, found).otherwise(none)
     upto = lambda i: F.size(F.split(F.substring(content, F.lit(1), i), "\n", -1))
-    brackets = F.transform(unbalanced_brackets(content), lambda s: item("T1-001", "error", 1, F.concat(F.lit("Unbalanced or unclosed bracket: '"), s["c"], F.lit("' at position "), s["i"].cast("string")), upto(s["i"])))
+    wrong = F.when(content.rlike(r"[()\[\]{}]"), unbalanced_brackets(content)).otherwise(F.array().cast("array<struct<c:string,i:int>>"))  # most texts hold none
+    brackets = F.transform(wrong, lambda s: item("T1-001", "error", 1, F.concat(F.lit("Unbalanced or unclosed bracket: '"), s["c"], F.lit("' at position "), s["i"].cast("string")), upto(s["i"])))
     numbered = F.transform(F.split(content, "\n", -1), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("n")))
     code = kind == "generated_code"
 

@@ -4,9 +4,9 @@ QUERIES read the given tables. FIXTURES are operators on the small literal input
 tested like queries and are not registered.
 """
 
-from tessera.plans import code, diffs, graphs, indexing, more, planning, retrieval, review, scan, searching, sql, streams, upkeep
+from tessera.plans import checked, code, diffs, graphs, indexing, more, planning, retrieval, review, scan, searching, sql, streams, upkeep
 
-_MODULES = [retrieval, scan, code, review, planning, upkeep, more, diffs, indexing, streams, graphs, searching]
+_MODULES = [retrieval, scan, code, review, planning, upkeep, more, diffs, indexing, streams, graphs, searching, checked]
 _LITERAL = """
 symbol_extract symbol_search import_extract import_edges graph_stats dependents related_files call_site_counts symbol_usage code_metrics code_health complexity_of nesting_of definition_chunks hierarchical_chunks
 glob_exclude noise_gate pr_comment complex_functions secret_report context_hints memory_hits plan_gantt approval_requests plan_find plan_delete

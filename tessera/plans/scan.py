@@ -85,15 +85,18 @@ def security_scan_documents(spark, d):
     return S.scan_security(spread(docs).unionByName(pages).unionByName(turns)).groupBy("type", "message", "severity").agg(F.count("*").alias("hits"))
 
 
-def security_scan_planted(spark, d):
-    """Documents with a line of their own at the end that one of eight rules finds, made of the document's MD5."""
+def planted(spark, d):
+    """(path, content) of documents with a line of their own at the end that one of eight rules finds, made of the document's MD5."""
     docs = _docs(spark, d)
     h = F.md5(F.coalesce("content", F.lit("")))
     lines = ["concat('key = AKIA', upper(substr(h, 1, 16)))", "concat('ghp_', substr(concat(h, h), 1, 36))", "concat('password: \"', substr(h, 1, 12), '\"')", "concat('x = eval(', h, ')')",
              "concat('SG.', substr(h, 1, 22), '.', substr(concat(h, h), 1, 43))", "concat('rejectUnauthorized: false // ', h)", "concat('postgres://u:', h, '@host')", "concat('-----BEGIN RSA PRIVATE KEY-----', h)"]
-    planted = F.element_at(F.array(*map(F.expr, lines)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
-    own = spread(docs).withColumn("h", h).select("path", F.concat_ws("\n", "content", planted).alias("content"))
-    return S.scan_security(own).groupBy("type", "message", "severity").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
+    own = F.element_at(F.array(*map(F.expr, lines)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
+    return spread(docs).withColumn("h", h).select("path", F.concat_ws("\n", "content", own).alias("content"))
+
+
+def security_scan_planted(spark, d):
+    return S.scan_security(planted(spark, d)).groupBy("type", "message", "severity").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
 
 
 def secret_scrub(spark, d):
@@ -211,6 +214,10 @@ _DUP = f"""n AS (SELECT doc_id, source, len({_LINES}) AS lines, {_NORMAL} AS n F
 g AS (SELECT md5(n) AS hash, count(*) AS copies, arg_min(lines, doc_id) AS lines, arg_min(source || ':' || doc_id, doc_id) AS first FROM n WHERE lines >= 5 AND length(n) >= 20 GROUP BY md5(n) HAVING count(*) > 1),
 d AS (SELECT hash, copies, CAST(lines AS BIGINT) AS lines, CAST(lines * (copies - 1) AS BIGINT) AS redundant, first FROM g ORDER BY lines * copies DESC, hash LIMIT 100)"""
 
+#: Lines (l) of the documents with planted secrets.
+PLANTED = f"""h AS (SELECT source || '/' || doc_id AS path, doc_id, text, md5(coalesce(text, '')) AS h FROM documents), f AS (SELECT path, concat_ws(chr(10), text, [concat('key = AKIA', upper(substr(h, 1, 16))), concat('ghp_', substr(h || h, 1, 36)), concat('password: "', substr(h, 1, 12), '"'), concat('x = eval(', h, ')'),
+concat('SG.', substr(h, 1, 22), '.', substr(h || h, 1, 43)), concat('rejectUnauthorized: false // ', h), concat('postgres://u:', h, '@host'), concat('-----BEGIN RSA PRIVATE KEY-----', h)][doc_id % 8 + 1]) AS content FROM h),
+l AS (SELECT * FROM ({_L.format(f='f')}) {_NOTE})"""
 QUERIES = {f.__name__: f for f in (
     line_explode, line_stats, token_estimate, language_stats, largest_files, duplicate_groups, duplicate_line_total, content_hash, binary_reject, security_scan, security_scan_documents, security_scan_planted,
     secret_scrub, secret_scrub_documents, marker_scan, markers_by_tag, validation_findings, validation_by_severity, validate_line_length, path_parts, language_of_extension, human_bytes, repo_url_parse, index_stale, plan_names,
@@ -226,9 +233,7 @@ ORACLES = {
     "security_scan": ctes(FILES) + f", l AS (SELECT * FROM ({_L.format(f='files')}) {_NOTE}) {_SCAN}",
     "security_scan_documents": f"WITH f AS (SELECT source || '/' || doc_id AS path, text AS content FROM documents UNION ALL SELECT url, html FROM pages UNION ALL SELECT 'conversation/' || conv_id || '/' || turn, text FROM conversations), l AS (SELECT * FROM ({_L.format(f='f')}) {_NOTE}) SELECT type, message, severity, count(*) AS hits FROM ({_SCAN}) GROUP BY ALL",
     "secret_scrub": ctes(FILES) + f" SELECT path, {_scrubbed('content', _RULES)} AS clean FROM files",
-    "security_scan_planted": f"""WITH h AS (SELECT source || '/' || doc_id AS path, doc_id, text, md5(coalesce(text, '')) AS h FROM documents), f AS (SELECT path, concat_ws(chr(10), text, [concat('key = AKIA', upper(substr(h, 1, 16))), concat('ghp_', substr(h || h, 1, 36)), concat('password: "', substr(h, 1, 12), '"'), concat('x = eval(', h, ')'),
-concat('SG.', substr(h, 1, 22), '.', substr(h || h, 1, 43)), concat('rejectUnauthorized: false // ', h), concat('postgres://u:', h, '@host'), concat('-----BEGIN RSA PRIVATE KEY-----', h)][doc_id % 8 + 1]) AS content FROM h),
-l AS (SELECT * FROM ({_L.format(f='f')}) {_NOTE}) SELECT type, message, severity, count(*) AS hits, count(DISTINCT path) AS files FROM ({_SCAN}) GROUP BY ALL""",
+    "security_scan_planted": f"""WITH {PLANTED} SELECT type, message, severity, count(*) AS hits, count(DISTINCT path) AS files FROM ({_SCAN}) GROUP BY ALL""",
     "secret_scrub_documents": f"""SELECT doc_id, md5(clean) AS clean_md5 FROM (SELECT doc_id, text, {_scrubbed('text', [*_RULES, (TOKEN[0], TOKEN[1].replace(chr(92) + '"', '"'))])} AS clean FROM documents) WHERE clean <> text""",
     "marker_scan": ctes(FILES) + f", l AS ({_L.format(f='files')}), {_MARK} SELECT path, line, tag, CASE WHEN length(x) > 200 THEN substr(x, 1, 200) || '...' ELSE x END AS text FROM s",
     "markers_by_tag": ctes(FILES) + f", l AS ({_L.format(f='files')}), {_MARK} SELECT tag, count(*) AS items, count(DISTINCT path) AS files FROM s GROUP BY tag",

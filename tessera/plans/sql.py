@@ -64,13 +64,14 @@ _EVENTS = "e AS (SELECT user_id || '|' || event_type AS key, epoch_us(ts) // 100
 _DEDUPE = f"""WITH RECURSIVE {_EVENTS},
 r AS (SELECT key, i, at_ms, ord, true AS is_new, 1 AS occurrence, at_ms AS seen FROM e WHERE i = 1 UNION ALL
   SELECT e.key, e.i, e.at_ms, e.ord, e.at_ms - seen > 172800000, occurrence + (e.at_ms - seen > 172800000)::INT, CASE WHEN e.at_ms - seen > 172800000 THEN e.at_ms ELSE seen END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)"""
-_BRACKETS = f"""WITH RECURSIVE {ctes(scan.INPUTS).removeprefix("WITH ")},
-s AS (SELECT id, i, content[i + 1] AS c, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT id, content, unnest(range(0, length(content))) AS i FROM inputs) WHERE contains('()[]{{}}', content[i + 1])),
+#: What validation finds (v) in inputs(id, content, content_type).
+VALIDATED = f"""
+s AS (SELECT id, i, c, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT id, unnest(range(0, len(cs))) AS i, unnest(cs) AS c FROM (SELECT id, string_split(content, '') AS cs FROM inputs)) WHERE contains('()[]{{}}', c) AND c <> ''),
 w AS (SELECT id, 0::BIGINT AS k, []::STRUCT(c VARCHAR, i BIGINT)[] AS stack, []::STRUCT(c VARCHAR, i BIGINT)[] AS wrong FROM inputs UNION ALL
   SELECT s.id, s.k, CASE WHEN contains('([{{', c) THEN list_append(stack, {{'c': c, 'i': i}}) ELSE stack[:greatest(len(stack) - 1, 0)] END, CASE WHEN contains('([{{', c) OR coalesce(stack[len(stack)].c || c IN ('()', '[]', '{{}}'), false) THEN wrong ELSE list_append(wrong, {{'c': c, 'i': i}}) END
   FROM w JOIN s ON s.id = w.id AND s.k = w.k + 1),
 z AS (SELECT id, unnest(list_concat(wrong, stack)) AS b FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1),
-n AS (SELECT id, content_type, i::INT AS line, string_split(content, chr(10))[i] AS x FROM (SELECT *, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM inputs)),
+n AS (SELECT id, content_type, unnest(range(1, len(ls) + 1))::INT AS line, unnest(ls) AS x FROM (SELECT *, string_split(content, chr(10)) AS ls FROM inputs)),
 g AS (SELECT * FROM n WHERE content_type = 'generated_code'),
 v AS (SELECT id, 'T1-001' AS rule, 'error' AS severity, 1 AS tier, 'Unbalanced or unclosed bracket: ''' || b.c || ''' at position ' || b.i AS message, len(string_split(substr(content, 1, b.i::INT), chr(10)))::INT AS line FROM z JOIN inputs USING (id)
   UNION ALL SELECT id, 'T1-002', 'error', 1, 'Invalid JSON', NULL FROM inputs WHERE content_type = 'plan_output' AND NOT json_valid(content)
@@ -79,6 +80,7 @@ v AS (SELECT id, 'T1-001' AS rule, 'error' AS severity, 1 AS tier, 'Unbalanced o
   UNION ALL SELECT id, 'T2-002', 'info', 2, 'Console statement found: ' || unnest(regexp_extract_all(x, '\\bconsole\\.(?:log|debug|info|warn|error)\\s*\\(')), line FROM g
   UNION ALL SELECT id, 'T2-003', 'info', 2, 'Hardcoded URL found: ' || u, line FROM (SELECT id, line, unnest(regexp_extract_all(x, '(?i)https?://(?:localhost|127\\.0\\.0\\.1|[a-z0-9-]+\\.[a-z]{{2,}})[^\\s"''`]*')) AS u FROM g) WHERE NOT contains(u, 'example.com') AND NOT contains(u, 'schema.org')
   UNION ALL SELECT id, 'T2-004', 'info', 2, 'Line exceeds 120 characters: ' || length(x), line FROM n WHERE length(x) > 120 QUALIFY row_number() OVER (PARTITION BY id ORDER BY line) <= 5)"""
+_BRACKETS = f"WITH RECURSIVE {ctes(scan.INPUTS).removeprefix('WITH ')},{VALIDATED}"
 _CHARS = "SELECT id, i, body[i] AS c FROM (SELECT id, body, unnest(range(0, length(body) + 1)) AS i FROM bodies)"
 _SKIP = "(^|/)(node_modules|dist|build|\\.git|\\.next|__pycache__|vendor|\\.dart_tool|Pods|\\.pub-cache|coverage|\\.local-context|\\.memories)/"
 _IGNORED = "regexp_matches(path, '^root\\.cfg(/|$)|(^|/)gen/|(^|/)[^/]*\\.log(/|$)|(^|/)tmp[^/]\\.ts(/|$)|(^|/)src/tmpx/')"

@@ -176,6 +176,12 @@ def session_timeout(spark, d):
     return Z.session_states(e, 1706572800000, 6 * 3600 * 1000, 20)
 
 
+def session_totals(spark, d):
+    """Sessions of clients in clicks, hot and unknown clients included, at the end of February: a client idle for a day is through."""
+    c = spark.read.parquet(f"{d}/clicks.parquet").where("ts < '2024-03-01'").select(F.col("client_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return Z.session_totals(Z.session_states(c, 1709251200000, 24 * 3_600_000, 20))
+
+
 def cache_last_used(spark, d):
     e = _events(spark, d).select(F.col("event_type").alias("layer"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
     return Z.last_used(e, 10)
@@ -194,7 +200,7 @@ def cache_layers(spark, d):
 QUERIES = {f.__name__: f for f in (
     hash_skip_anti, index_state_merge, chunk_merge, tree_top_entries, file_slice, git_log_parse, blame_lines, blame_ownership, contributors, git_status_counts, memory_counts, memory_entries,
     ignore_match, workspace_crawl, metric_histogram, metric_counter, metric_gauge_last, metric_lines, metric_series_limit, cache_hit_rate, watcher_sessions, watcher_coalesce, watcher_batches,
-    finding_dedupe_ttl, finding_dedupe_stats, click_dedupe_ttl, session_timeout, cache_last_used, cache_replay, cache_layers,
+    finding_dedupe_ttl, finding_dedupe_stats, click_dedupe_ttl, session_timeout, session_totals, cache_last_used, cache_replay, cache_layers,
 )}
 _F = "f AS (SELECT source || '/' || doc_id AS path, text, doc_id, sha256(text) AS hash FROM documents), s AS (SELECT path, CASE WHEN doc_id % 2 = 0 THEN hash ELSE 'old' END AS hash FROM f WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 UNION ALL SELECT 'gone/1', 'x'), c AS (SELECT f.* FROM f LEFT JOIN s USING (path, hash) WHERE s.path IS NULL)"
 _S = f"g AS (SELECT ts, event_id AS ord, user_id::VARCHAR AS path, event_type AS type, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > {_GAP} * 1000 THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS session FROM (SELECT *, lag(ts) OVER (ORDER BY ts, event_id) AS p FROM events)), k AS (SELECT CAST(session AS BIGINT) AS session, path, arg_max(type, (ts, ord)) AS type, min((ts, ord)) AS first FROM g GROUP BY session, path), n AS (SELECT session, path, type, CAST(row_number() OVER (PARTITION BY session ORDER BY first, path) AS INTEGER) AS place FROM k)"
@@ -220,5 +226,6 @@ UNION ALL SELECT key, at_ms, ord, NULL, NULL FROM f WHERE at_ms IS NULL""",
     "watcher_coalesce": f"WITH {_S} SELECT * FROM n",
     "watcher_batches": f"WITH {_S} SELECT session, CAST((place - 1) // 3 AS INTEGER) AS batch, count(*) AS changes FROM n GROUP BY ALL",
     "session_timeout": "WITH g AS (SELECT user_id AS session, count(*) AS events, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY user_id) SELECT session, events, last_ms, CASE WHEN 1706572800000 - last_ms > 21600000 THEN 'timed_out' ELSE 'active' END AS state, 1706572800000 - last_ms <= 21600000 AND row_number() OVER (ORDER BY last_ms DESC, session) <= 20 AS kept FROM g",
+    "session_totals": "WITH g AS (SELECT client_id, count(*) AS n, max(epoch_us(ts) // 1000) AS t FROM clicks WHERE ts < '2024-03-01' GROUP BY client_id), s AS (SELECT *, 1709251200000 - t <= 86400000 AS active, row_number() OVER (ORDER BY t DESC, client_id NULLS FIRST) AS r FROM g) SELECT count(*) AS total, count(*) FILTER (active) AS active, count(*) FILTER (NOT active) AS terminal, count(*) FILTER (active AND r <= 20) AS kept, sum(n)::BIGINT AS events FROM s",
     "cache_last_used": "SELECT * FROM (SELECT event_type AS layer, user_id AS key, max(event_id) AS last FROM events GROUP BY event_type, user_id) QUALIFY row_number() OVER (PARTITION BY layer ORDER BY last DESC) <= 10",
 }

@@ -64,6 +64,12 @@ def session_states(events: DataFrame, now_ms: int, timeout_ms: int = 600_000, mo
     return g.withColumn("kept", (F.col("state") == "active") & F.col("_first").isNotNull()).drop("_first")
 
 
+def session_totals(states: DataFrame) -> DataFrame:
+    """(total, active, terminal, kept, events) of what session_states tells: one row, zeros where there are no sessions."""
+    count = lambda test, name: F.count_if(test).alias(name)
+    return states.agg(F.count("*").alias("total"), count(F.col("state") == "active", "active"), count(F.col("state") != "active", "terminal"), count(F.col("kept"), "kept"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
+
+
 def last_used(accesses: DataFrame, capacity: int) -> DataFrame:
     """(layer, key, last) of what a least-recently-used cache of each layer holds after accesses(layer, key, seq)."""
     g = accesses.groupBy("layer", "key").agg(F.max("seq").alias("last"))
