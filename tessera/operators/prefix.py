@@ -62,40 +62,63 @@ def successors(points: DataFrame, by: list[str], at: str, gap: int, parts: int =
     so far is what follows an end. Groups are cut into ranges of that order.
     """
     p = points.where(F.col(at).isNotNull())
-    ends = p.select(*by, F.try_add(at, F.lit(gap)).alias("_x"), F.lit(None).cast("bigint").alias("_point"), F.col(at).alias("_from")).where("_x is not null")
-    both = p.select(*by, F.col(at).alias("_x"), F.col(at).alias("_point"), F.lit(None).cast("bigint").alias("_from")).unionByName(ends)
-    both = both.withColumn("_end", F.col("_point").isNull())  # an end comes before the point of its own time, which isn't later
-    met = running(both, F.min, F.least, "_point", by, "_x", ["_end"], "next", parts, down=True)
-    return met.where("_end and next is not null").select(*by, F.col("_from").alias(at), "next")
+    ends = p.select(*by, F.try_add(at, F.lit(gap)).alias("_x"), F.lit(True).alias("_end")).where("_x is not null")
+    both = p.select(*by, F.col(at).alias("_x"), F.lit(False).alias("_end")).unionByName(ends).withColumn("_point", F.when(~F.col("_end"), F.col("_x")))
+    met = running(both, F.min, F.least, "_point", by, "_x", ["_end"], "next", parts, down=True)  # an end is met before the point of its own time, which isn't later
+    return met.where("_end and next is not null").select(*by, (F.col("_x") - gap).alias(at), "next")
 
 
-def chain(points: DataFrame, by: list[str], at: str, gap: int, folder: str, parts: int = RANGES) -> DataFrame:
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written and read again: a lost executor costs a reread, and the shuffles before the table go with its writing."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def chain(points: DataFrame, by: list[str], at: str, gap: int, folder: str, parts: int = RANGES, repeats: bool = True) -> DataFrame:
     """(by, at, n): the first of points(by, at bigint) of each group, n = 1, then always the first that is later by more than `gap`.
 
-    Successor links are doubled: a round joins the links with themselves, so that they leap twice as far, and takes the points that
-    the chain so far reaches by one leap. Rounds are the logarithm of the longest chain; links are dealt by group and time, so no
-    key is hot. Links of a round are written under `folder`, which all executors share.
+    Successor links are doubled: a level joins the links of the level before with themselves, so that they leap twice as far, and keeps those
+    that start at a first point or where a leap ends: no other is met. Levels are the logarithm of the longest chain, and shrink as points
+    share their successors. Then the levels are gone through again from the longest leaps to single links, and each doubles the points that
+    are reached. Links are dealt by group and time, so no key is hot. Tables are written under `folder`, which all executors share.
+    `repeats` says that points may stand more than once.
     """
-    spark, rounds = points.sparkSession, 0
+    rounds = 0
 
     def keep(df: DataFrame) -> DataFrame:
         nonlocal rounds
         rounds += 1
-        df.write.parquet(f"{folder}/chain-{rounds}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/chain-{rounds}")
+        return written(df, f"{folder}/chain-{rounds}")
+
+    def renamed(df: DataFrame, start: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"_to_{c}") for c in by), F.col(start).alias("_start"), *([F.col("next").alias("_next")] if start == at and "next" in df.columns else []))
 
-    def then(left: DataFrame, on: str, links: DataFrame, *more: Column) -> DataFrame:
-        """left(by, on, ...) with the link that starts at `on`."""
-        to = links.select(*(F.col(c).alias(f"_to_{c}") for c in by), F.col(at).alias("_start"), F.col("next").alias("_next"))
+    def met(on: str) -> Column:
         same = F.col(on) == F.col("_start")
         for c in by:
             same = same & F.col(c).eqNullSafe(F.col(f"_to_{c}"))
-        return left.join(to, same).select(*by, *more)
-
-    points = keep(points.where(F.col(at).isNotNull()).select(*by, at).distinct())
-    links = keep(successors(points, by, at, gap, parts))
-    reached, leap = keep(points.groupBy(*by).agg(F.min(at).alias(at)).withColumn("n", F.lit(1).cast("long"))), 1
-    while not links.isEmpty():
-        reached = keep(reached.unionByName(then(reached, at, links, F.col("_next").alias(at), (F.col("n") + leap).alias("n"))))
-        links, leap = keep(then(links, "next", links, F.col(at), F.col("_next").alias("next"))), leap * 2
-    return reached
+        return same
+
+    points = points.where(F.col(at).isNotNull()).select(*by, at)
+    if repeats:
+        points = keep(points.distinct())
+    first = keep(points.groupBy(*by).agg(F.min(at).alias(at)))
+    links, levels = keep(successors(points, by, at, gap, parts)), []
+    while True:
+        starts = renamed(first, at).unionByName(renamed(links, "next")).distinct()
+        links = keep(links.join(starts, met(at), "left_semi"))
+        if links.isEmpty():
+            break
+        levels.append(links)
+        links = keep(links.join(renamed(links, at), met("next")).select(*by, at, F.col("_next").alias("next")))
+    reached = first.withColumn("n", F.lit(0).cast("long"))
+    for links in reversed(levels):
+        leapt = reached.join(renamed(links, at), met(at)).select(*by, F.col("_next").alias(at), (F.col("n") * 2 + 1).alias("n"))
+        reached = keep(reached.select(*by, at, (F.col("n") * 2).alias("n")).unionByName(leapt))
+    return reached.withColumn("n", F.col("n") + 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.prefix import RANGES, chain, running_max
+from tessera.operators.prefix import RANGES, chain, running_max, written
 
 WEEK_MS = 7 * 24 * 3600 * 1000
 
@@ -24,13 +24,11 @@ def dedupe_with_ttl(findings: DataFrame, ttl_ms: int, folder: str, parts: int =
     Records are a chain of successors over the distinct times of a key, found by doubling; the rest are joins by key and time and a running
     maximum by ranges, so a key of any size is many tasks. Tables of the rounds are written under `folder`, which all executors share.
     """
-    spark = findings.sparkSession
-    findings.groupBy("key", "at_ms", "ord").agg(F.count("*").alias("copies")).write.parquet(f"{folder}/findings")
-    rows = spark.read.parquet(f"{folder}/findings")
-    times = rows.where("at_ms is not null").groupBy("key", "at_ms").agg(F.min(F.struct("ord")).alias("first"))
-    records = chain(times, ["key"], "at_ms", ttl_ms, folder, parts).select(F.col("key").alias("_key"), F.col("at_ms").alias("_at"), "n")
-    times.join(records, F.col("key").eqNullSafe(F.col("_key")) & (F.col("at_ms") == F.col("_at")), "left").select("key", "at_ms", "first", "n").write.parquet(f"{folder}/times")
-    told = running_max(spark.read.parquet(f"{folder}/times"), "n", ["key"], "at_ms", out="occurrence", parts=parts)
+    rows = written(findings.groupBy("key", "at_ms", "ord").agg(F.count("*").alias("copies")), f"{folder}/findings")
+    times = written(rows.where("at_ms is not null").groupBy("key", "at_ms").agg(F.min(F.struct("ord")).alias("first")), f"{folder}/times")
+    records = chain(times, ["key"], "at_ms", ttl_ms, folder, parts, repeats=False).select(F.col("key").alias("_key"), F.col("at_ms").alias("_at"), "n")
+    times = written(times.join(records, F.col("key").eqNullSafe(F.col("_key")) & (F.col("at_ms") == F.col("_at")), "left").select("key", "at_ms", "first", "n"), f"{folder}/records")
+    told = running_max(times, "n", ["key"], "at_ms", out="occurrence", parts=parts)
     told = told.select(F.col("key").alias("_key"), F.col("at_ms").alias("_at"), F.when(F.col("n").isNotNull(), F.col("first")).alias("_first"), "occurrence")
     out = rows.join(told, F.col("key").eqNullSafe(F.col("_key")) & (F.col("at_ms") == F.col("_at")), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     new = F.coalesce(F.struct("ord").eqNullSafe(F.col("_first")) & (F.col("_copy") == 1), F.lit(False))
