@@ -57,9 +57,9 @@ def session_states(events: DataFrame, now_ms: int, timeout_ms: int = 600_000, mo
     `most` last used stay."""
     g = events.groupBy("session").agg(F.count("*").alias("events"), F.max("at_ms").alias("last_ms"))
     g = g.withColumn("state", F.when(F.lit(now_ms) - F.col("last_ms") > timeout_ms, "timed_out").otherwise("active"))
-    first = g.orderBy(F.col("last_ms").desc(), "session").limit(most).select(F.col("session").alias("_first"))
+    first = g.orderBy(F.col("last_ms").desc(), "session").limit(most).select(F.col("session").alias("_first"), F.lit(True).alias("_kept"))  # an unknown session may be one of them
     g = g.join(F.broadcast(first), F.col("session").eqNullSafe(F.col("_first")), "left")  # `most` rows
-    return g.withColumn("kept", (F.col("state") == "active") & F.col("_first").isNotNull()).drop("_first")
+    return g.withColumn("kept", (F.col("state") == "active") & F.col("_kept").isNotNull()).drop("_first", "_kept")
 
 
 def session_totals(states: DataFrame) -> DataFrame:
