@@ -166,22 +166,40 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """Vector of a text without a model: each word (letters and digits, lower case) adds or takes one at a place that its md5
-    tells, then the length is 1 (all 0 without words). A stand-in where no embedding model is at hand; see `embed_with`."""
+def _hashed_codes(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    codes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
+
+
+def hashed_places(text: Column, dims: int = 64) -> Column:
+    """The places at which `hashed_counts` has the words of a text."""
+    return F.array_distinct(F.transform(_hashed_codes(text), lambda c: F.pmod(c, F.lit(dims))))
+
+
+def hashed_counts(text: Column, dims: int = 64) -> Column:
+    """Whole numbers of a text: each word (letters and digits, lower case) adds or takes one at a place that its md5 tells."""
 
     def summed(cs: Column) -> Column:
         at = lambda d: F.aggregate(F.filter(cs, lambda c: F.pmod(c, F.lit(dims)) == d), F.lit(0), lambda a, c: a + F.when(F.pmod(F.floor(c / dims), F.lit(2)) == 0, 1).otherwise(-1))
         return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), at)
 
+    return F.get(F.transform(F.array(_hashed_codes(text)), summed), F.lit(0))
+
+
+def round_half(x: Column, digits: int) -> Column:
+    """x rounded as SQL engines in C do: the scaled double to the nearest whole number, not its decimal digits."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits
+
+
+def hashed_vector(text: Column, dims: int = 64) -> Column:
+    """Vector of a text without a model: its `hashed_counts`, then the length is 1 (all 0 without words). A stand-in where no
+    embedding model is at hand; see `embed_with`."""
+
     def scaled(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x).cast("double"))
         return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
-    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
-    return bound(bound(codes, summed), scaled)
+    return F.get(F.transform(F.array(hashed_counts(text, dims)), scaled), F.lit(0))
 
 
 def embed_with(model: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
