@@ -8,7 +8,7 @@ The batch forms in state.py and metrics.py give the same rows.
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,31 +19,38 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tessera.operators.metrics import BUCKETS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of keys of a deduplicated stream; the number stays with a checkpoint.
+BUCKETED = 1024
 
 
 class _Dedupe(StatefulProcessor):
-    """Per key the time of the last recorded finding; it goes ttl after that time."""
+    """Per bucket of keys the time of each key's last recorded finding; a key goes once ttl has passed since that time."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "at_ms bigint")
+        self.seen = handle.getValueState("seen", "keys array<string>, at_ms array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         p = pd.concat(list(rows)).sort_values(["at_ms", "ord"])
-        seen = self.seen.get()[0] if self.seen.exists() else None
-        before, new = seen, []
-        for at in p["at_ms"].tolist():
-            fresh = seen is None or at - seen > self.ttl_ms
-            seen = at if fresh else seen
+        keys, at_ms = self.seen.get() if self.seen.exists() else ([], [])
+        last, seen, new = max(at_ms, default=None), dict(zip(keys, at_ms, strict=True)), []
+        for k, at in zip(p["key"].tolist(), p["at_ms"].tolist(), strict=True):
+            before = seen.get(k)
+            fresh = before is None or at - before > self.ttl_ms
+            if fresh:
+                seen[k] = at
             new.append(fresh)
-        if seen != before:
-            if before is not None:
-                self.handle.deleteTimer(before + self.ttl_ms)
-            self.seen.update((seen,))
-            self.handle.registerTimer(seen + self.ttl_ms)
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = {k: at for k, at in seen.items() if at + self.ttl_ms >= passed}  # no row earlier than the watermark comes any more
+        self.seen.update((list(held), list(held.values())))
+        if (now := max(held.values(), default=None)) != last:
+            if last is not None:
+                self.handle.deleteTimer(last + self.ttl_ms)
+            if now is not None:
+                self.handle.registerTimer(now + self.ttl_ms)
         yield p[["key", "at_ms", "ord"]].assign(is_new=new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -54,13 +61,16 @@ class _Dedupe(StatefulProcessor):
         pass
 
 
-def dedupe(findings: DataFrame, ttl_ms: int, late: str = "1 hour") -> DataFrame:
+def dedupe(findings: DataFrame, ttl_ms: int, late: str = "1 hour", buckets: int = BUCKETED) -> DataFrame:
     """findings(key string, ts timestamp, ord bigint) as they come, with at_ms and is_new: never seen, or last recorded more than ttl_ms ago.
 
-    A duplicate doesn't refresh the record. Batches must come in the order of time but for `late`; rows of a batch are sorted.
+    A duplicate doesn't refresh the record. Batches must come in the order of time but for `late`; rows of a batch are sorted. Keys
+    are met in `buckets` by their hash, so that a batch costs a call of Python for each bucket and not for each key; a bucket holds
+    the keys that are alive.
     """
-    rows = findings.select("key", "ts", F.unix_millis("ts").alias("at_ms"), "ord").withWatermark("ts", late)
-    return rows.groupBy("key").transformWithStateInPandas(_Dedupe(ttl_ms), "key string, at_ms bigint, ord bigint, is_new boolean", "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = findings.select(bucket, "key", "ts", F.unix_millis("ts").alias("at_ms"), "ord").withWatermark("ts", late)
+    return rows.groupBy("bucket").transformWithStateInPandas(_Dedupe(ttl_ms), "key string, at_ms bigint, ord bigint, is_new boolean", "Append", "EventTime")
 
 
 class _Sessions(StatefulProcessor):
@@ -114,18 +124,38 @@ def windowed_histogram(samples: DataFrame, series: list[str], value: str, ts: st
     return g.agg(F.count("*").alias("n"), F.sum(value).alias("total"), *counts).select(F.col("w.start").alias("start"), *series, "n", "total", *(f"b{i}" for i in range(len(buckets))))
 
 
-def staged(df: DataFrame, by: str, parts: int, folder: str) -> None:
-    """df as files in the order of `by`, one write for each of `parts` ranges, so that a stream of the folder meets them in order."""
+def in_ranges(df: DataFrame, by: str, parts: int) -> Iterator[DataFrame]:
+    """df in `parts` ranges of `by`, in order; nulls are in the first."""
     x = F.col(by).cast("double")
     bounds = df.select(x.alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01) if parts > 1 else []
     for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
         own = (x > lo if lo is not None else F.lit(True)) & (x <= hi if hi is not None else F.lit(True))
-        (df.where(own | x.isNull() if lo is None else own) if bounds else df).write.mode("append").parquet(folder)
+        yield df.where(own | x.isNull() if lo is None else own) if bounds else df
+
+
+def staged(df: DataFrame, by: str, parts: int, folder: str) -> None:
+    """df as files in the order of `by`, one write for each of `parts` ranges, so that a stream of the folder meets them in order."""
+    for part in in_ranges(df, by, parts):
+        part.write.mode("append").parquet(folder)
+
+
+def source(spark: SparkSession, folder: str, schema, files: int | None = 1) -> DataFrame:
+    """The files of a folder as a stream, `files` in each micro-batch (None: all that are new), oldest first."""
+    stream = spark.readStream.schema(schema)
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(folder)
 
 
-def source(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
-    """The files of a folder as a stream, `files` in each micro-batch, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+def replay(df: DataFrame, by: str, parts: int, folder: str, to: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df as a stream through `to`, each of `parts` ranges of `by` in a micro-batch of its own; what came out.
+
+    A range is written, then the stream goes on from its checkpoint with all new files: however many files a range has, no
+    row of it comes after the watermark has passed it.
+    """
+    spark = df.sparkSession
+    for part in in_ranges(df, by, parts):
+        part.write.mode("append").parquet(f"{folder}/in")
+        run(to(source(spark, f"{folder}/in", df.schema, None)), folder)
+    return spark.read.parquet(f"{folder}/out")
 
 
 def run(stream: DataFrame, folder: str) -> StreamingQuery:
