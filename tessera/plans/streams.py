@@ -13,11 +13,7 @@ TTL, TIMEOUT, PARTS = 2 * 24 * 3_600_000, 6 * 3_600_000, 4
 
 def _streamed(spark: SparkSession, rows: DataFrame, name: str, to) -> DataFrame:
     """The rows in the order of their time, read as a stream of PARTS micro-batches at least, through `to`; what came out."""
-    at = folder(spark, name)
-    X.staged(rows, "ts", PARTS, f"{at}/in")
-    files = max(1, len(spark.read.parquet(f"{at}/in").inputFiles()) // PARTS)
-    X.run(to(X.source(spark, f"{at}/in", rows.schema, files)), at)
-    return spark.read.parquet(f"{at}/out")
+    return X.replay(rows, "ts", PARTS, folder(spark, name), to)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
