@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import glob_regex
 
 _LINE = "diff_id int, file_no int, old_path string, new_path string, is_new boolean, is_deleted boolean, is_binary boolean, hunk int, old_start int, old_lines int, new_start int, new_lines int, pos int, type string, content string, old_line int, new_line int"
+_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+BATCH = 8192
 _FILE = re.compile(r"^diff --git a/(.+?) b/(.+?)$", re.M)
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", re.M)
 
@@ -49,15 +51,24 @@ def diff_lines(diffs: DataFrame, phantom: bool = True) -> DataFrame:
 
     A blank line is context, so the line break at the end of a hunk makes one; `phantom` false leaves it out.
     """
-    names = [c.split()[0] for c in _LINE.split(", ")]
+    schema = _LINE.replace("diff_id int", f"diff_id {dict(diffs.dtypes)['diff_id']}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text in zip(b["diff_id"], b["diff"], strict=True):
-                if rows := list(_diff_rows(i, text or "", phantom)):
-                    yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names if c in ("hunk", "old_start", "old_lines", "new_start", "new_lines", "pos", "old_line", "new_line")})
-
-    return diffs.select("diff_id", "diff").mapInPandas(run, _LINE.replace("diff_id int", f"diff_id {dict(diffs.dtypes)['diff_id']}"))
+            types = [b.schema.field("diff_id").type, *(_ARROW[c.split()[1]] for c in _LINE.split(", ")[1:])]
+            made = pa.schema([(c.split()[0], t) for c, t in zip(_LINE.split(", "), types, strict=True)])
+            told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=made)
+            rows: list[tuple] = []
+            for i, text in zip(b.column("diff_id").to_pylist(), b.column("diff").to_pylist(), strict=True):
+                for row in _diff_rows(i, text or "", phantom):
+                    rows.append(row)
+                    if len(rows) == BATCH:
+                        yield told(rows)
+                        rows = []
+            if rows:
+                yield told(rows)
+
+    return diffs.select("diff_id", "diff").mapInArrow(run, schema)
 
 
 def diff_stats(lines: DataFrame) -> DataFrame:
