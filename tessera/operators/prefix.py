@@ -68,13 +68,14 @@ def successors(points: DataFrame, by: list[str], at: str, gap: int, parts: int =
     return met.where("_end and next is not null").select(*by, (F.col("_x") - gap).alias(at), "next")
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df, written and read again: a lost executor costs a reread, and the shuffles before the table go with its writing."""
+def written(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
+    """df, written and read again: a lost executor costs a reread, and the shuffles before the table go with its writing. `by`: a folder for
+    each value of these columns."""
     spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)

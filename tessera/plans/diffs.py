@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import diffs as D
 from tessera.operators import review as R
+from tessera.operators.prefix import written
 from tessera.plans.fixture import spread
+from tessera.plans.indexing import folder
 
 #: A policy for the invented prose of the tables.
 POLICY = [
@@ -25,6 +27,11 @@ def _turn_lines(spark: SparkSession, d: str) -> DataFrame:
     return R.diff_lines(D.with_diff(_turns(spark, d)), phantom=False)
 
 
+def _turn_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each turn's diff, written: diffs are computed once, however often a query reads them."""
+    return written(R.files_of(_turn_lines(spark, d)), folder(spark, "turn-files"))
+
+
 def _revisions(spark: SparkSession, d: str) -> DataFrame:
     return D.revision_pairs(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")))
 
@@ -48,7 +55,7 @@ def turn_risk(spark, d):
 
 
 def turn_preflight(spark, d):
-    files = R.files_of(_turn_lines(spark, d))
+    files = _turn_files(spark, d)
     return R.preflight_findings(R.preflight(files), R.classify(files))
 
 
@@ -57,7 +64,7 @@ def turn_policy(spark, d):
 
 
 def turn_policy_failures(spark, d):
-    found = R.invariant_findings(R.files_of(_turn_lines(spark, d)), POLICY)
+    found = R.invariant_findings(_turn_files(spark, d), POLICY)
     return R.failure_policy(found.withColumn("ord", F.col("id")), "HIGH", ["TXT003"], by=["diff_id"])
 
 
@@ -67,7 +74,7 @@ def turn_long_lines(spark, d):
     lines = pairs.where("new is not null").select("diff_id", F.col("new_path").alias("file"), F.posexplode(F.split("new", "\n", -1)).alias("at", "x")).where(F.length("x") > 120)
     line = (F.col("at") + 1).alias("lo")
     found = lines.select("diff_id", "file", line, line.alias("hi"), F.lit(None).cast("boolean").alias("on_line"))
-    return R.on_changed_line(found, R.files_of(R.diff_lines(D.with_diff(pairs), phantom=False))).select("diff_id", "file", F.col("lo").alias("line"), F.col("on_line").alias("changed"))
+    return R.on_changed_line(found, _turn_files(spark, d)).select("diff_id", "file", F.col("lo").alias("line"), F.col("on_line").alias("changed"))
 
 
 def revision_diffs(spark, d):
