@@ -6,6 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -75,22 +76,31 @@ def last_used(accesses: DataFrame, capacity: int) -> DataFrame:
 
 
 def replay_cache(accesses: DataFrame, capacity: int, ttl_ms: int) -> DataFrame:
-    """(layer, seq, hit) of a first-in-first-out cache with expiry for each layer of accesses(layer, seq, at_ms, key)."""
+    """(layer, seq, hit) of a first-in-first-out cache with expiry for each layer of accesses(layer, seq, at_ms, key).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    A layer's accesses follow one another, so they are one task's; it meets them in batches and holds `capacity` keys, so its memory doesn't
+    grow with them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[str, int] = OrderedDict()
-        rows = []
-        for layer, seq, at, key in pdf.sort_values("seq")[["layer", "seq", "at_ms", "key"]].itertuples(index=False):
-            hit = key in held and at - held[key] <= ttl_ms
-            if not hit:
-                held.pop(key, None)
-                if len(held) >= capacity:
-                    held.popitem(last=False)
-                held[key] = at
-            rows.append((layer, int(seq), hit))
-        return pd.DataFrame(rows, columns=["layer", "seq", "hit"])
-
-    return accesses.groupBy("layer").applyInPandas(run, "layer string, seq bigint, hit boolean")
+        now, first = None, True
+        for b in batches:
+            hits = []
+            for layer, at, key in zip(*(b.column(c).to_pylist() for c in ("layer", "at_ms", "key")), strict=True):
+                if first or layer != now:
+                    held, now, first = OrderedDict(), layer, False
+                hit = key in held and at is not None and held[key] is not None and at - held[key] <= ttl_ms
+                if not hit:
+                    held.pop(key, None)
+                    if len(held) >= capacity:
+                        held.popitem(last=False)
+                    held[key] = at
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([b.column("layer"), b.column("seq"), pa.array(hits, type=pa.bool_())], names=["layer", "seq", "hit"])
+
+    own = accesses.select(F.col("layer").cast("string").alias("layer"), F.col("seq").cast("long").alias("seq"), F.col("at_ms").cast("long").alias("at_ms"), F.col("key").cast("string").alias("key"))
+    return own.repartition("layer").sortWithinPartitions("layer", "seq").mapInArrow(run, "layer string, seq bigint, hit boolean")
 
 
 def replay_layers(accesses: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
