@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import written
+
 SCHEMAS = {"chunks": "path string, place int, content string", "state": "path string, hash string"}
 
 
@@ -93,7 +95,7 @@ class IndexStore:
         known = state.select(F.col("path").alias("p"), F.col("hash").alias("h"))
         own = own.join(known, F.col("path") == F.col("p"), "left").where(F.when(F.col("gone"), F.col("p").isNotNull()).otherwise(F.col("h").isNull() | (F.col("h") != F.col("hash"))))
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        own.select("path", "gone", "content", "hash", self._bucket().alias("bucket")).write.parquet(f"{folder}/changes")
+        written(own.select("path", "gone", "content", "hash", self._bucket().alias("bucket")), f"{folder}/changes")
         own = self.spark.read.parquet(f"{folder}/changes")
         touched = sorted(r["bucket"] for r in own.select("bucket").distinct().collect())
         if not touched:
@@ -101,14 +103,17 @@ class IndexStore:
             return base
         new = own.where(~F.col("gone"))
         made = {"chunks": self.chunker(new.select("path", "content")), "state": new.select("path", "hash")}
+        # which files stay is told by the narrow table; where they are few, the others' contents aren't shuffled
+        stays = written(self.read("state", base, touched).join(own.select("path"), "path", "left_anti").select("path"), f"{folder}/stays")
         for table, rows in made.items():
-            kept = self.read(table, base, touched).join(own.select("path"), "path", "left_anti")
+            kept = self.read(table, base, touched).join(stays, "path", "left_semi")
             all_rows = kept.unionByName(rows).withColumn("bucket", self._bucket())
-            all_rows.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{folder}/{table}")
+            written(all_rows.repartition(len(touched), "bucket"), f"{folder}/{table}", ["bucket"])
             filled = {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{folder}/{table}"))}
             manifest["tables"][table] = {b: f for b, f in manifest["tables"][table].items() if int(b) not in touched}
             manifest["tables"][table] |= {str(b): f"{folder}/{table}/bucket={b}" for b in touched if f"bucket={b}" in filled}
-        self._fs.delete(self._path(f"{folder}/changes"), True)
+        for done in ("changes", "stays"):
+            self._fs.delete(self._path(f"{folder}/{done}"), True)
         self._publish(base + 1, manifest)
         return base + 1
 
