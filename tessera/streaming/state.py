@@ -16,15 +16,53 @@ from tessera.operators.prefix import RANGES, chain, running_max, written
 WEEK_MS = 7 * 24 * 3600 * 1000
 
 
-def dedupe_with_ttl(findings: DataFrame, ttl_ms: int, folder: str, parts: int = RANGES) -> DataFrame:
+#: A key with more findings is met by ranges of time, in many tasks.
+HOT = 200_000
+
+
+def dedupe_with_ttl(findings: DataFrame, ttl_ms: int, folder: str, parts: int = RANGES, hot: int = HOT) -> DataFrame:
     """(key, at_ms, ord, is_new, occurrence) of findings(key, at_ms, ord): new if never seen, or last recorded more than ttl_ms ago.
 
     A duplicate doesn't refresh the record; a stale one is recorded again and counts on. Of findings of one time the one with the lowest `ord` is
     first, of equal rows one; a null key is a key; findings without a time are in no record and come with nulls.
 
-    Records are a chain of successors over the distinct times of a key, found by doubling; the rest are joins by key and time and a running
-    maximum by ranges, so a key of any size is many tasks. Tables of the rounds are written under `folder`, which all executors share.
+    Keys of up to `hot` findings are dealt over tasks and walked in the order of time, in batches. The others are told by one broadcast of
+    at most rows / hot keys; see _by_chains. Tables of the rounds are written under `folder`, which all executors share.
     """
+    rows = findings.select("key", "at_ms", "ord")
+    many = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("key").alias("_hot"), F.lit(True).alias("_many")), f"{folder}/hot")
+    if many.isEmpty():
+        return _by_walks(rows, ttl_ms)
+    told = rows.join(F.broadcast(many), F.col("key").eqNullSafe(F.col("_hot")), "left")
+    few = told.where("_many is null").select(*rows.columns)
+    return _by_walks(few, ttl_ms).unionByName(_by_chains(told.where("_many").select(*rows.columns), ttl_ms, folder, parts))
+
+
+def _by_walks(findings: DataFrame, ttl_ms: int) -> DataFrame:
+    """What dedupe_with_ttl tells, by a walk through each key's findings; a task holds one batch and one record."""
+    types = dict(findings.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, n, first = None, None, 0, True
+        for b in batches:
+            new, of = [], []
+            for key, at in zip(b.column("key").to_pylist(), b.column("at_ms").to_pylist(), strict=True):
+                if first or key != now:
+                    now, seen, n, first = key, None, 0, False
+                fresh = None if at is None else seen is None or at - seen > ttl_ms
+                if fresh:
+                    seen, n = at, n + 1
+                new.append(fresh)
+                of.append(None if at is None else n)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "at_ms", "ord")), pa.array(new, type=pa.bool_()), pa.array(of, type=pa.int32())], names=["key", "at_ms", "ord", "is_new", "occurrence"])
+
+    dealt = findings.repartition("key").sortWithinPartitions("key", "at_ms", "ord")
+    return dealt.mapInArrow(run, f"key {types['key']}, at_ms {types['at_ms']}, ord {types['ord']}, is_new boolean, occurrence int")
+
+
+def _by_chains(findings: DataFrame, ttl_ms: int, folder: str, parts: int) -> DataFrame:
+    """The same where a key is too large for a task: records are a chain of successors over the distinct times of a key, found by doubling; the
+    rest are joins by key and time and a running maximum by ranges."""
     rows = written(findings.groupBy("key", "at_ms", "ord").agg(F.count("*").alias("copies")), f"{folder}/findings")
     times = written(rows.where("at_ms is not null").groupBy("key", "at_ms").agg(F.min(F.struct("ord")).alias("first")), f"{folder}/times")
     records = chain(times, ["key"], "at_ms", ttl_ms, folder, parts, repeats=False).select(F.col("key").alias("_key"), F.col("at_ms").alias("_at"), "n")
