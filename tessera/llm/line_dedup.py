@@ -11,7 +11,9 @@ A chunk is repeated if it stands, byte for byte, in an earlier place too (smalle
 From a repeated chunk the match is extended line by line, up to CONTEXT lines each way, while the lines equal those around the
 first place (told by 128 bits of their SHA-256); it ends on a line with a word. All of it goes; the first place stays. So a passage goes
 whole if it holds a chunk and no more than CONTEXT lines before or after its chunks; a passage without a boundary pair in a fit place
-stays: README.md has the shares by length. Every line that goes stands in an earlier place too.
+would stay, so the query and the pipeline take windows beside the chunks: from each line with a word the shortest passage that counts (two
+lines, `least_words` words) downwards, and the shortest upwards. Each passage that counts is the union of its windows, so every repeated one goes
+whole. Every line that goes stands in an earlier place too.
 
 Narrow steps: hashes of chunks, without text, are written and counted with map-side combine; texts meet their repeated
 hashes and are written with them; only those chunks are grouped by their bytes, which is the comparison: hashes never
@@ -97,6 +99,43 @@ def chunks(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) ->
     return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
 
 
+def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (first, n, hash) of the shortest passages that count, downwards and upwards from each line with a word."""
+    most = max(2, least_words)  # of lines with a word in a window
+
+    def cut(lines: Column) -> Column:
+        def count(x: Column, i: Column) -> Column:
+            own = F.btrim(x, F.lit(SPACE_CHARS))
+            n = F.when(F.length(own) == 0, 0).otherwise(F.size(F.split(own, SPACE_CLASS + "+", most)))
+            return F.struct((i + 1).alias("line"), n.alias("words"))
+
+        def reach(near: Column) -> Column:
+            """How many of the lines `near` are enough; null if all are not."""
+            start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+            enough = lambda a: (a["n"] >= 2) & (a["words"] >= least_words)
+            add = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), (a["n"] + 1).alias("n")))
+            return F.aggregate(near, start, add, lambda a: F.when(enough(a), a["n"]))
+
+        def pieces(at: Column) -> Column:
+            code = lambda a, z: F.shiftleft(a["line"].cast("long"), 32) + (z["line"] - a["line"] + 1)
+            down = lambda x, k: code(x, F.get(at, k + reach(F.slice(at, k + 1, most)) - 1))
+            up = lambda x, k: code(F.get(at, k - reach(F.reverse(F.slice(at, F.greatest(k + 2 - most, F.lit(1)), F.least(k + 1, F.lit(most))))) + 1), x)
+            codes = F.array_compact(F.array_union(F.transform(at, down), F.transform(at, up)))
+
+            def piece(h: Column) -> Column:
+                def one(c: Column) -> Column:
+                    first, n = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+                    return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"))
+
+                return F.transform(codes, one)
+
+            return let(F.transform(lines, lambda x: F.xxhash64(x)), piece)
+
+        return let(F.filter(F.transform(lines, count), lambda x: x["words"] > 0), pieces)
+
+    return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
+
+
 def _common(mine: Column, theirs: Column) -> Column:
     """How many leading lines of two arrays of line digests are equal, up to the last of them with a word."""
     differs = F.array_position(F.transform(F.arrays_zip(mine.alias("a"), theirs.alias("b")), lambda z: F.coalesce(z["a"] == z["b"], F.lit(False))), F.lit(False))
@@ -109,12 +148,15 @@ def _common(mine: Column, theirs: Column) -> Column:
     return F.when(n == 0, 0).otherwise(let(F.slice(mine, 1, n), ended))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, least_words: int = LEAST_WORDS, context: int = CONTEXT) -> DataFrame:
-    """docs with `kept_text`, `n_lines` and `n_removed_lines`; clashing names of docs don't matter, they are packed in a struct `row`."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, least_words: int = LEAST_WORDS, context: int = CONTEXT, whole_passages: bool = False) -> DataFrame:
+    """docs with `kept_text`, `n_lines` and `n_removed_lines`; clashing names of docs don't matter, they are packed in a struct `row`. `whole_passages`:
+    the windows beside the chunks, so that no repeated passage stays."""
     stash = Stash(docs.sparkSession)
     base = docs.select(keyed(key).alias("_id"), packed(docs).alias("row"))
     whole = F.col(f"row.`{text}`")
-    cut = base.select("_id", F.explode(chunks(whole, every, least_words)).alias("c")).select("_id", F.col("c.hash").alias("h"), (F.shiftleft(F.col("c.first").cast("long"), 32) + F.col("c.n")).alias("code"))
+    pieces = chunks(whole, every, least_words)
+    pieces = F.array_union(pieces, windows(whole, least_words)) if whole_passages else pieces
+    cut = base.select("_id", F.explode(pieces).alias("c")).select("_id", F.col("c.hash").alias("h"), (F.shiftleft(F.col("c.first").cast("long"), 32) + F.col("c.n")).alias("code"))
     cut = stash.keep(cut)
     salt = F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(SALTS)).cast("int").alias("salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -169,14 +211,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed_lines (long), kept_sha256 of the remaining text (null: empty)."""
-    out = dedup_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = dedup_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), whole_passages=True)
     return out.select("row.doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with what is left of their texts; n_chars follows where there is such a column."""
     own = docs.columns
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, whole_passages=True)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in own))
 
@@ -191,7 +233,9 @@ r AS (SELECT *, CASE WHEN k < m THEN md5(h || lead(h) OVER (PARTITION BY doc_id
 b AS (SELECT *, coalesce(r < '{(1 << 32) // EVERY:08x}' OR r = min(r) OVER (PARTITION BY doc_id ORDER BY k ROWS {SPAN - 1} PRECEDING), false) AS cut FROM r),
 e AS (SELECT a.doc_id, a.k, a.i AS lo, min(z.k) AS least FROM b a JOIN o z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k + 1 AND a.k + {LEAST_WORDS - 1} AND z.upto - a.before >= {LEAST_WORDS} WHERE a.cut OR a.k = 1 GROUP BY ALL),
 f AS (SELECT e.doc_id, lo, coalesce(min(y.k) + 1, least(any_value(e.least) + {LOOK - 1}, any_value(q.m))) AS k FROM e JOIN (SELECT DISTINCT doc_id, m FROM o) q ON q.doc_id = e.doc_id LEFT JOIN b y ON y.doc_id = e.doc_id AND y.cut AND y.k + 1 BETWEEN e.least AND e.least + {LOOK - 1} GROUP BY e.doc_id, lo),
-t AS (SELECT f.doc_id, lo, o.i AS hi, array_to_string(string_split(text, chr(10))[lo:o.i], chr(10)) AS piece FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k JOIN documents d ON d.doc_id = f.doc_id),
+p AS (SELECT a.doc_id, a.i AS lo, b.i AS hi FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + 1 AND a.k + {LEAST_WORDS - 1} AND b.upto - a.before >= {LEAST_WORDS}),
+w AS (SELECT doc_id, lo, min(hi) AS hi FROM p GROUP BY doc_id, lo UNION SELECT doc_id, max(lo), hi FROM p GROUP BY doc_id, hi UNION SELECT f.doc_id, lo, o.i FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k),
+t AS (SELECT w.doc_id, lo, hi, array_to_string(string_split(text, chr(10))[lo:hi], chr(10)) AS piece FROM w JOIN documents d ON d.doc_id = w.doc_id),
 c AS (SELECT piece, min((doc_id, lo)) AS keeper FROM t GROUP BY piece HAVING count(*) > 1),
 g AS (SELECT doc_id, lo, hi, keeper[1] AS kd, keeper[2] AS klo FROM t JOIN c USING (piece) WHERE doc_id <> keeper[1] OR lo >= keeper[2] + (hi - lo + 1)),
 s AS (SELECT g.doc_id, lo, hi, w.side, w.d, a.n > 0 AS has, bool_and(coalesce(a.x = z.x, false)) OVER (PARTITION BY g.doc_id, lo, hi, w.side ORDER BY w.d) AS same FROM g, (SELECT side, d FROM (VALUES (1), (-1)) z(side), range(1, {CONTEXT + 1}) q(d)) w
