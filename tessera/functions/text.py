@@ -40,7 +40,7 @@ def lines(s: Column) -> Column:
 
 def tokens(s: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and underscore."""
-    return F.filter(F.split(F.lower(s), "[^a-z0-9_]+"), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9_]+"), F.lit(0))  # splitting at all else costs three times as much
 
 
 def core_tokens(s: Column) -> Column:

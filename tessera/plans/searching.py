@@ -15,15 +15,18 @@ from tessera.sources.versioned import line_chunks
 K, BUDGET = 10, 2000
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
     """(id, text): documents in pieces of twenty lines, id is the document's times 2^20 and the piece's place."""
-    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
-    return line_chunks(docs).select((F.shiftleft(F.col("path").cast("long"), 20) + F.col("place")).alias("id"), F.col("content").alias("text"))
+    return line_chunks(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))).select((F.shiftleft(F.col("path").cast("long"), 20) + F.col("place")).alias("id"), F.col("content").alias("text"))
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query"), "text")
-    return X.search(items, _chunks(spark, d), K, folder(spark, "search"), core_tokens)[0]
+    return X.search(items, _chunks(spread(_documents(spark, d))), K, folder(spark, "search"), core_tokens)[0]
 
 
 def search_benchmark(spark, d):
@@ -33,8 +36,10 @@ def search_benchmark(spark, d):
 
 def bundle_benchmark(spark, d):
     """Of these the first that fit a budget of tokens, for each item."""
-    size = _chunks(spark, d).select("id", token_estimate(F.col("text")).alias("tokens"))
-    out = X.bundle(_found(spark, d).join(size, "id"), BUDGET)
+    found = _found(spark, d)
+    docs = _documents(spark, d).join(found.select(F.shiftright("id", 20).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    size = _chunks(docs).select("id", token_estimate(F.col("text")).alias("tokens"))
+    out = X.bundle(found.join(size, "id"), BUDGET)
     return out.select("query", F.shiftright("id", 20).alias("doc_id"), F.col("id").bitwiseAND(F.lit((1 << 20) - 1)).alias("place"), "rank", "tokens", "used")
 
 
