@@ -2,7 +2,7 @@
 
 A wave settles the steps whose dependencies are all settled, tells the steps that wait for them, and is written: rounds follow the longest
 path, each round costs the edges of what is still open, and a plan of any size is dealt over tasks by its steps. Steps on or behind a
-cycle are never settled and come out with nulls.
+cycle are never settled and come out with nulls. Plans of few steps, each of them one row, go through their waves in place: no edge is written or shuffled.
 """
 
 from __future__ import annotations
@@ -49,10 +49,38 @@ def settle(steps: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
     return lost if settled is None else settled.unionByName(lost)
 
 
+def settle_small(plans: DataFrame) -> DataFrame:
+    """The same of plans(plan, steps), steps an array of (step, weight, deps array): a plan's work is up to the cube of its steps, so for small ones."""
+    step, weight = (f.dataType.simpleString() for f in plans.schema["steps"].dataType.elementType.fields[:2])
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    out = f"step:{step},weight:{weight},level:int,finish:bigint,path:array<{step}>"
+
+    def wave(acc, level):
+        def told(s):
+            best = F.array_min(F.transform(F.filter(acc["done"], lambda t: F.array_contains(s["deps"], t["step"])), lambda t: F.struct((-t["finish"]).alias("minus"), t["path"].alias("path"))))
+            return let(
+                best,
+                lambda b: F.struct(
+                    s["step"].alias("step"), s["weight"].alias("weight"), level.alias("level"), (s["weight"] - F.coalesce(b["minus"], F.lit(0))).cast("long").alias("finish"),
+                    F.concat(F.coalesce(b["path"], F.array().cast(f"array<{step}>")), F.array(s["step"])).alias("path"),
+                ),
+            )
+
+        waits = lambda s: F.exists(s["deps"], lambda d: F.exists(acc["open"], lambda o: F.coalesce(o["step"] == d, F.lit(False))))
+        flagged = F.transform(acc["open"], lambda s: F.struct(s["step"].alias("step"), s["weight"].alias("weight"), s["deps"].alias("deps"), waits(s).alias("waits")))
+        return let(flagged, lambda o: F.struct(F.filter(o, lambda s: s["waits"]).alias("open"), F.concat(acc["done"], F.transform(F.filter(o, lambda s: ~s["waits"]), told)).alias("done")))
+
+    start = F.transform("steps", lambda s: F.struct(s["step"].alias("step"), s["weight"].alias("weight"), s["deps"].alias("deps"), F.lit(True).alias("waits")))
+    start = F.struct(start.cast(f"array<struct<step:{step},weight:{weight},deps:array<{step}>,waits:boolean>>").alias("open"), F.array().cast(f"array<struct<{out}>>").alias("done"))
+    lost = lambda s: F.struct(s["step"], s["weight"], F.lit(None).cast("int"), F.lit(None).cast("bigint"), F.lit(None).cast(f"array<{step}>")).cast(f"struct<{out}>")
+    end = F.aggregate(F.sequence(F.lit(0), F.size("steps") - 1), start, wave, lambda acc: F.concat(acc["done"], F.transform(acc["open"], lost)))
+    return plans.where(F.size("steps") > 0).select("plan", F.explode(end).alias("s")).select("plan", "s.*")
+
+
 def execution_order(settled: DataFrame) -> DataFrame:
-    """(plan, step, position): settled steps by level, then step."""
+    """Settled steps with `position`, by level, then step."""
     w = Window.partitionBy("plan").orderBy("level", "step")
-    return settled.where("level is not null").select("plan", "step", F.row_number().over(w).alias("position"))
+    return settled.where("level is not null").withColumn("position", F.row_number().over(w))
 
 
 def critical_paths(settled: DataFrame) -> DataFrame:

@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 from tessera.operators import plan_graph as G
 from tessera.plans.indexing import folder
 
+#: Orders of up to SMALL lines are settled each by itself; a part holds the orders of about ROWS lines.
+SMALL, ROWS = 24, 1_000_000
+
+
 def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return _steps_of(spark.read.parquet(f"{d}/lineitem.parquet"))
+
+
+def _steps_of(rows: DataFrame) -> DataFrame:
     """One step for each line number of an order; of repeated line numbers the one that ships first, then the one with more pieces."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet")
     g = rows.groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("step")).agg(F.min(F.struct(F.col("l_shipdate").alias("ships"), (-F.col("l_quantity")).alias("q"), F.col("l_linestatus").alias("status"))).alias("r"))
     return g.select("plan", "step", "r.ships", F.ceil(-F.col("r.q") / 10).cast("long").alias("weight"), (F.col("r.status") == "F").alias("done"))
 
@@ -22,9 +29,27 @@ def _edges(steps: DataFrame) -> DataFrame:
     return steps.join(through, "plan").where(F.col("through") <= F.col("ships").cast("date")).where("dep <> step").select("plan", "step", "dep")
 
 
-def _settled(spark: SparkSession, d: str) -> DataFrame:
-    steps = _steps(spark, d)
-    return G.settle(steps, _edges(steps), folder(spark, "plans"))
+def _packed(steps: DataFrame) -> DataFrame:
+    """(plan, steps) of small orders, with the dependencies that _edges gives them."""
+    g = steps.select("plan", F.struct("step", "weight", F.col("ships").cast("date").alias("ships"), (F.col("ships").cast("date") + F.col("weight").cast("int")).alias("through")).alias("s")).groupBy("plan").agg(F.collect_list("s").alias("own"))
+    deps = lambda a: F.transform(F.filter("own", lambda b: (b["through"] <= a["ships"]) & (b["step"] != a["step"])), lambda b: b["step"])
+    return g.select("plan", F.transform("own", lambda a: F.struct(a["step"].alias("step"), a["weight"].alias("weight"), deps(a).alias("deps"))).alias("steps"))
+
+
+def _settled(spark: SparkSession, d: str, then) -> DataFrame:
+    """then(the settled steps): small orders are dealt once, and all that follows stays in their parts; any others go wave by wave."""
+    rows, at = spark.read.parquet(f"{d}/lineitem.parquet"), folder(spark, "plans")
+    many = rows.groupBy(F.col("l_orderkey").alias("plan")).agg(F.count("*").alias("n")).where((F.col("n") > SMALL) | F.col("plan").isNull())
+    many.select("plan").write.parquet(f"{at}/large")
+    large = spark.read.schema(many.select("plan").schema).parquet(f"{at}/large")
+    some = not large.isEmpty()
+    small = rows.join(large, F.col("l_orderkey").eqNullSafe(F.col("plan")), "left_anti") if some else rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
+    out = then(G.settle_small(_packed(_steps_of(small.select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_linestatus").repartition(parts, "l_orderkey")))))
+    if not some:
+        return out
+    steps = _steps_of(rows.join(large, F.col("l_orderkey").eqNullSafe(F.col("plan")), "left_semi"))
+    return out.unionByName(then(G.settle(steps, _edges(steps), f"{at}/waves")))
 
 
 def order_plan_edges(spark, d):
@@ -33,16 +58,15 @@ def order_plan_edges(spark, d):
 
 def order_plan_schedule(spark, d):
     """Level, start and finish in days of each step, and its place in the plan's order of execution."""
-    s = _settled(spark, d)
-    return s.join(G.execution_order(s), ["plan", "step"]).select("plan", "step", "level", (F.col("finish") - F.col("weight")).alias("start"), "finish", "position")
+    return _settled(spark, d, G.execution_order).select("plan", "step", "level", (F.col("finish") - F.col("weight")).alias("start"), "finish", "position")
 
 
 def order_plan_critical_path(spark, d):
-    return G.critical_paths(_settled(spark, d)).select("plan", "finish", F.array_join("path", ",").alias("path"))
+    return _settled(spark, d, G.critical_paths).select("plan", "finish", F.array_join("path", ",").alias("path"))
 
 
 def order_plan_groups(spark, d):
-    return G.parallel_groups(_settled(spark, d)).select("plan", "level", F.array_join("steps", ",").alias("steps"))
+    return _settled(spark, d, G.parallel_groups).select("plan", "level", F.array_join("steps", ",").alias("steps"))
 
 
 def order_plan_ready(spark, d):
