@@ -35,6 +35,7 @@ from tessera.llm.common import keyed, packed, SPACE_CHARS, SPACE_CLASS, spread,
 from tessera.llm.quality import let
 
 EVERY, LEAST_WORDS, SPAN, LOOK, CONTEXT = 2, 12, 16, 32, 16
+NO_SPACE = r"[^\x20\x09-\x0D]"
 #: A chunk of HOT places or more is dealt over SALTS parts where it meets its class.
 HOT, SALTS = 256, 16
 
@@ -53,87 +54,81 @@ def boundaries(hashes: Column, every: int = EVERY) -> Column:
     return F.when(F.size(hashes) < 2, F.array().cast("array<boolean>")).otherwise(let(F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), pair), told))
 
 
-def chunks(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) -> Column:
-    """Array of (first, n, hash) of the chunks that count; first is a line from 1, n a number of lines."""
-    most = max(2, least_words)  # of lines with a word that a chunk can need
-
-    def cut(lines: Column) -> Column:
-        def count(x: Column, i: Column) -> Column:
-            own = F.btrim(x, F.lit(SPACE_CHARS))
-            n = F.when(F.length(own) == 0, 0).otherwise(F.size(F.split(own, SPACE_CLASS + "+", most)))
-            return F.struct((i + 1).alias("line"), n.alias("words"), F.when(n > 0, F.md5(x)).alias("md5"))
+def _counted(x: Column, i: Column, most: int) -> Column:
+    """Line number, words (`most` stands for more, too) and the line itself; most lines have enough words, which one pattern tells without cutting them out."""
+    own = F.btrim(x, F.lit(SPACE_CHARS))
+    many = own.rlike(f"^(?:{NO_SPACE}++{SPACE_CLASS}++){{{most - 1}}}")
+    n = F.when(F.length(own) == 0, 0).when(many, most).otherwise(F.size(F.split(own, SPACE_CLASS + "+", most)))
+    return F.struct((i + 1).alias("line"), n.alias("words"), x.alias("own"))
 
-        def reach(near: Column) -> Column:
-            """How many of the lines `near` are enough; null if all are not."""
-            start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
-            enough = lambda a: (a["n"] >= 2) & (a["words"] >= least_words)
-            add = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), (a["n"] + 1).alias("n")))
-            return F.aggregate(near, start, add, lambda a: F.when(enough(a), a["n"]))
 
-        def pieces(at: Column) -> Column:
-            def ranges(b: Column) -> Column:
-                begins = lambda k: (k == 0) | F.coalesce(F.get(b, k), F.lit(False))
+def _code(a: Column, z: Column) -> Column:
+    """The lines from a to z as one number."""
+    return F.shiftleft(a["line"].cast("long"), 32) + (z["line"] - a["line"] + 1)
 
-                def end(k: Column) -> Column:  # place in `at` of the last line
-                    least = k + reach(F.slice(at, k + 1, most)) - 1
-                    found = F.array_position(F.slice(b, F.greatest(least, F.lit(1)), LOOK), F.lit(True))  # b[least - 1] is the pair that ends at `least`
-                    return F.when(found > 0, least + found.cast("int") - 1).when(least.isNotNull(), F.least(least + LOOK - 1, F.size(at) - 1))
 
-                code = lambda x, k: F.when(begins(k), F.shiftleft(x["line"].cast("long"), 32) + (F.get(at, end(k))["line"] - x["line"] + 1))
-                return F.array_compact(F.transform(at, code))
+def _reach(x: Column, then: Column, near: Column, least_words: int) -> Column:
+    """How many of the lines `near`, of which x and `then` are the first, are enough; null if all are not."""
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    enough = lambda a: (a["n"] >= 2) & (a["words"] >= least_words)
+    add = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), (a["n"] + 1).alias("n")))
+    return F.when(x["words"] + then["words"] >= least_words, 2).otherwise(F.aggregate(near, start, add, lambda a: F.when(enough(a), a["n"])))
 
-            def hashed(codes: Column) -> Column:
-                def piece(h: Column) -> Column:
-                    def one(c: Column) -> Column:
-                        first, n = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-                        return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"))
 
-                    return F.transform(codes, one)
+def _chunk_codes(at: Column, every: int, least_words: int) -> Column:
+    most = max(2, least_words)  # of lines with a word that a chunk can need
 
-                return let(F.transform(lines, lambda x: F.xxhash64(x)), piece)
+    def ranges(b: Column) -> Column:
+        begins = lambda k: (k == 0) | F.coalesce(F.get(b, k), F.lit(False))
 
-            return let(let(boundaries(F.transform(at, lambda x: x["md5"]), every), ranges), hashed)
+        def end(reach: Column, k: Column) -> Column:  # place in `at` of the last line
+            least = k + reach - 1
+            found = F.array_position(F.slice(b, F.greatest(least, F.lit(1)), LOOK), F.lit(True))  # b[least - 1] is the pair that ends at `least`
+            return F.when(found > 0, least + found.cast("int") - 1).when(least.isNotNull(), F.least(least + LOOK - 1, F.size(at) - 1))
 
-        return let(F.filter(F.transform(lines, count), lambda x: x["words"] > 0), pieces)
+        code = lambda x, k: F.when(begins(k), let(_reach(x, F.get(at, k + 1), F.slice(at, k + 1, most), least_words), lambda r: _code(x, F.get(at, end(r, k)))))
+        return F.array_compact(F.transform(at, code))
 
-    return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
+    return let(F.transform(at, lambda x: F.md5(x["own"])), lambda hashes: let(boundaries(hashes, every), ranges))
 
 
-def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
-    """Array of (first, n, hash) of the shortest passages that count, downwards and upwards from each line with a word."""
+def _window_codes(at: Column, least_words: int) -> Column:
     most = max(2, least_words)  # of lines with a word in a window
+    down = lambda x, k: _code(x, F.get(at, k + _reach(x, F.get(at, k + 1), F.slice(at, k + 1, most), least_words) - 1))
+    up = lambda x, k: _code(F.get(at, k - _reach(x, F.get(at, k - 1), F.reverse(F.slice(at, F.greatest(k + 2 - most, F.lit(1)), F.least(k + 1, F.lit(most)))), least_words) + 1), x)
+    return F.array_compact(F.array_union(F.transform(at, down), F.transform(at, up)))
+
+
+def _pieces(text: Column, least_words: int, codes) -> Column:
+    """Array of (first, n, hash) of the passages that codes(lines with a word) tells, null for a single line; each line is looked at once."""
 
     def cut(lines: Column) -> Column:
-        def count(x: Column, i: Column) -> Column:
-            own = F.btrim(x, F.lit(SPACE_CHARS))
-            n = F.when(F.length(own) == 0, 0).otherwise(F.size(F.split(own, SPACE_CLASS + "+", most)))
-            return F.struct((i + 1).alias("line"), n.alias("words"))
+        def piece(h: Column, told: Column) -> Column:
+            def one(c: Column) -> Column:
+                first, n = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+                return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"))
 
-        def reach(near: Column) -> Column:
-            """How many of the lines `near` are enough; null if all are not."""
-            start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
-            enough = lambda a: (a["n"] >= 2) & (a["words"] >= least_words)
-            add = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), (a["n"] + 1).alias("n")))
-            return F.aggregate(near, start, add, lambda a: F.when(enough(a), a["n"]))
+            return F.transform(told, one)
 
-        def pieces(at: Column) -> Column:
-            code = lambda a, z: F.shiftleft(a["line"].cast("long"), 32) + (z["line"] - a["line"] + 1)
-            down = lambda x, k: code(x, F.get(at, k + reach(F.slice(at, k + 1, most)) - 1))
-            up = lambda x, k: code(F.get(at, k - reach(F.reverse(F.slice(at, F.greatest(k + 2 - most, F.lit(1)), F.least(k + 1, F.lit(most))))) + 1), x)
-            codes = F.array_compact(F.array_union(F.transform(at, down), F.transform(at, up)))
+        at = F.filter(F.transform(lines, lambda x, i: _counted(x, i, max(2, least_words))), lambda x: x["words"] > 0)
+        return let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: piece(h, let(at, codes)))
 
-            def piece(h: Column) -> Column:
-                def one(c: Column) -> Column:
-                    first, n = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-                    return F.struct(first.alias("first"), n.alias("n"), F.xxhash64(F.slice(h, first, n)).alias("hash"))
+    return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
 
-                return F.transform(codes, one)
 
-            return let(F.transform(lines, lambda x: F.xxhash64(x)), piece)
+def chunks(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (first, n, hash) of the chunks that count; first is a line from 1, n a number of lines."""
+    return _pieces(text, least_words, lambda at: _chunk_codes(at, every, least_words))
 
-        return let(F.filter(F.transform(lines, count), lambda x: x["words"] > 0), pieces)
 
-    return F.when(F.instr(text, "\n") == 0, None).otherwise(let(F.split(text, "\n"), cut))
+def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (first, n, hash) of the shortest passages that count, downwards and upwards from each line with a word."""
+    return _pieces(text, least_words, lambda at: _window_codes(at, least_words))
+
+
+def chunks_and_windows(text: Column, every: int = EVERY, least_words: int = LEAST_WORDS) -> Column:
+    """Both, each passage once."""
+    return _pieces(text, least_words, lambda at: F.array_union(_chunk_codes(at, every, least_words), _window_codes(at, least_words)))
 
 
 def _common(mine: Column, theirs: Column) -> Column:
@@ -154,8 +149,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     stash = Stash(docs.sparkSession)
     base = docs.select(keyed(key).alias("_id"), packed(docs).alias("row"))
     whole = F.col(f"row.`{text}`")
-    pieces = chunks(whole, every, least_words)
-    pieces = F.array_union(pieces, windows(whole, least_words)) if whole_passages else pieces
+    pieces = (chunks_and_windows if whole_passages else chunks)(whole, every, least_words)
     cut = base.select("_id", F.explode(pieces).alias("c")).select("_id", F.col("c.hash").alias("h"), (F.shiftleft(F.col("c.first").cast("long"), 32) + F.col("c.n")).alias("code"))
     cut = stash.keep(cut)
     salt = F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(SALTS)).cast("int").alias("salt")
@@ -169,13 +163,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
         lines = F.get(ls, F.lit(0))
         digest = lambda x: F.unhex(F.concat(F.when(_has_word(x), "01").otherwise("00"), F.substring(F.sha2(x, 256), 1, 32)))
 
-        def one(c: Column) -> Column:
+        def one(c: Column, digests: Column) -> Column:
             first, n = F.shiftright(c["code"], 32).cast("int"), c["code"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-            up = F.reverse(F.slice(lines, F.greatest(first - context, F.lit(1)), F.least(first - 1, F.lit(context))))
-            down = F.slice(lines, first + n, context)
-            return F.struct(c["h"].alias("h"), c["hot"].alias("hot"), first.alias("first"), n.alias("n"), F.array_join(F.slice(lines, first, n), "\n").alias("bytes"), F.transform(up, digest).alias("up"), F.transform(down, digest).alias("down"))
+            up = F.reverse(F.slice(digests, F.greatest(first - context, F.lit(1)), F.least(first - 1, F.lit(context))))
+            down = F.slice(digests, first + n, context)
+            return F.struct(c["h"].alias("h"), c["hot"].alias("hot"), first.alias("first"), n.alias("n"), F.array_join(F.slice(lines, first, n), "\n").alias("bytes"), up.alias("up"), down.alias("down"))
 
-        return F.transform("cs", one)
+        return let(F.transform(lines, digest), lambda digests: F.transform("cs", lambda c: one(c, digests)))
 
     some = met.where("cs is not null")
     told = some.select("_id", F.explode(let(F.array(F.split(whole, "\n")), told_of)).alias("c")).select("_id", "c.*")

@@ -104,3 +104,15 @@ def test_no_repeated_passage_stays_however_short(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = {x["doc_id"]: x["n_removed_lines"] for x in line_dedup.op8_line_chunks(spark, str(tmp_path)).collect()}
     assert got == {2 * k + j: j * (2 + k % 3) for k in range(60) for j in (0, 1)}
+
+
+def test_chunks_and_windows_look_at_a_line_once(spark):
+    """One step for both, with each passage once; before, lines were split, counted and hashed for chunks and again for windows."""
+    from tessera.llm import line_dedup as L
+
+    texts = ["\n".join(" ".join(f"w{(k * j) % 11}" for j in range(1 + (k * n) % 15)) for k in range(n)) for n in range(1, 40)] + ["", None, "a b\n\n c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    both = df.select(L.chunks_and_windows(F.col("text")).alias("a"), F.array_union(L.chunks(F.col("text")), L.windows(F.col("text"))).alias("b")).collect()
+    assert all((r["a"] is None) == (r["b"] is None) and sorted(r["a"] or []) == sorted(r["b"] or []) for r in both) and any(r["a"] for r in both)
+    plan = df.select(L.chunks_and_windows(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 4 and plan.count("split(") <= 4
