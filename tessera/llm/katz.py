@@ -9,6 +9,11 @@ A text is scored word by word, then its end; the first words' histories begin wi
 never seen back off at once. If no count of a history is discounted, it keeps 1 / (c(h) + 1) for unseen words. Each order
 has its own discounts.
 
+Words have numbers, most frequent first, so that a word's count follows from its number by the table of the counts alone.
+They are known by 64-bit hashes of their bytes. The VOCABULARY most frequent ones are broadcast once (12 bytes each as sent,
+about 18 in a worker); a batch of texts asks parts of the table of words for the numbers of its others, each once. Texts are
+read once, and kept as numbers.
+
 Tables: words with counts; bigrams and trigrams in buckets, one packed row each, sorted. A bucket holds all grams of its
 histories; histories with more than a quarter of a bucket's fair share (pairs of words: an eighth) are spread over all
 buckets by the last word, and their backoff weights are summed over buckets. Grams with more than an eighth of a bucket's
@@ -17,8 +22,8 @@ the backoff weights, and go from there to their histories. Each batch of texts a
 (trigram, text) pairs in packed form; what was not seen there goes on, with its weight, to the buckets of bigrams. All
 statistics cover all training texts; nothing is cut off.
 
-Words are known by 64-bit hashes of their bytes. Up to VOCABULARY words the table of words is broadcast once (9 bytes each as sent, 28 in a worker)
-and words become dense numbers; beyond, each text gets the counts of its own words by a join, with the same results.
+Shuffles of trigrams go in ROUNDS, each for a part of the buckets, and their files go before the next one: the more buckets
+there are, the fewer grams a piece has, the less it can be packed and the more sums by text come back, one for nearly each gram.
 Everything but the last scoring step runs while the query is being built.
 
 Defined results: null and empty texts are one end token; rows with one doc_id, or without one, count as one document of all
@@ -29,7 +34,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -39,10 +43,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, keyed, mix, raw, spread, Stash, table, unkeyed, word_hashes
+from tessera.llm.common import by_bytes, keyed, mix, raw, spread, Stash, table, union_all, unkeyed, word_hashes
 
-CUT, VOCABULARY, SHARE, BATCH, BLOCK = 5, 12_000_000, 1_500_000, 1 << 21, 1 << 17
-END, UNKNOWN, START = (np.uint64(0xE4D0000000000000 + k) for k in (1, 2, 3))
+CUT, VOCABULARY, SHARE, BATCH, BLOCK = 5, 2_000_000, 1_500_000, 1 << 21, 1 << 17
+#: Tokens of a kept row; words of a part of their table; rounds, where there are more than FEW buckets; words whose pairs fit 64 bits.
+ROW, PART, ROUNDS, FEW, NARROW = 700_000, 500_000, 4, 8, (1 << 32) - 2
+END = np.uint64(0xE4D0000000000001)
 _U32, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 _NONE = np.empty(0, dtype=np.uint64)
 
@@ -59,6 +65,19 @@ def unpack(data: bytes, k: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(flat[i].T).view("<u8").ravel() for i in range(k)]
 
 
+def pack_one(x: np.ndarray) -> bytes:
+    """A column as byte planes of 4 or 8 bytes, as its values ask for."""
+    k = 4 if not len(x) or int(x.max()) < 1 << 32 else 8
+    planes = np.ascontiguousarray(x.astype(f"<u{k}").view(np.uint8).reshape(-1, k).T).tobytes()
+    return struct.pack("<BI", k, len(x)) + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack_one(data: bytes) -> np.ndarray:
+    k, n = struct.unpack_from("<BI", data)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=max(1, k * n)), dtype=np.uint8).reshape(k, n)
+    return np.ascontiguousarray(flat.T).view(f"<u{k}").ravel().astype(np.uint64)
+
+
 def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
@@ -93,21 +112,16 @@ def _d(d: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Dense numbers and counts of known words, most frequent first; UNKNOWN and START have the numbers after the last."""
+    """Numbers of known words by their hashes; any other word has the number `none`."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray):
-        order = np.lexsort((h, -c))
-        self.count = np.concatenate((c[order], [0, 0])).astype(np.int64)
-        rank = np.empty(len(h), dtype=np.uint32)
-        rank[order] = np.arange(len(h), dtype=np.uint32)
+    def __init__(self, h: np.ndarray, number: np.ndarray, none: int):
         by = np.argsort(h)
-        self.h, self.rank = np.append(h[by], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(rank[by], np.uint32(0))
+        self.h, self.number, self.none = np.append(h[by], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(number[by], 0).astype(np.uint32), np.uint64(none)
         self._places()
 
     def _places(self) -> None:
         """Hashes are even: their first bits tell the place within a step or two."""
         n = len(self.h) - 1
-        self.unknown, self.start = np.uint64(n), np.uint64(n + 1)
         bits = max(1, n.bit_length())
         self.shift = np.uint64(64 - bits)
         self.place = np.empty(1 << bits, dtype=np.int32)
@@ -120,44 +134,26 @@ class Words:
     def __getstate__(self):
         """Packed: every machine writes a broadcast to its disk, and every worker reads it; in blocks, to read it in place."""
         n = len(self.h) - 1
-        return n, [pack([_delta(self.h[i : min(i + BLOCK, n)]), self.rank[i : min(i + BLOCK, n)], self.count[i : min(i + BLOCK, n)]]) for i in range(0, n, BLOCK)]
+        return n, self.none, [pack([_delta(self.h[i : min(i + BLOCK, n)]), self.number[i : min(i + BLOCK, n)]]) for i in range(0, n, BLOCK)]
 
     def __setstate__(self, state) -> None:
-        n, blocks = state
-        self.h, self.rank, self.count = np.empty(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint32), np.zeros(n + 2, dtype=np.int64)
+        n, self.none, blocks = state
+        self.h, self.number = np.empty(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint32)
         self.h[n] = 0xFFFFFFFFFFFFFFFF
         for i, data in zip(range(0, n, BLOCK), blocks, strict=True):
-            h, rank, count = unpack(data, 3)
+            h, number = unpack(data, 2)
             j = i + len(h)
             np.cumsum(h, out=self.h[i:j])
-            self.rank[i:j], self.count[i:j] = rank, count.view(np.int64)
+            self.number[i:j] = number
         self._places()
 
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look(self, h: np.ndarray) -> np.ndarray:
         at = self.place[h >> self.shift]
         low = np.flatnonzero(self.h[at] < h)
         while len(low):
             at[low] += 1
             low = low[self.h[at[low]] < h[low]]
-        k = np.where((self.h[at] == h) & (at < len(self.h) - 1), self.rank[at], self.unknown).astype(np.uint64)
-        return k, self.count[k.astype(np.int64)]
-
-
-class OwnWords:
-    """The same from (h, c) pairs that came with the texts; words are numbered by their hashes."""
-
-    unknown, start = UNKNOWN, START
-
-    def __init__(self, h: np.ndarray, c: np.ndarray):
-        self.h, at = np.unique(h, return_index=True)
-        self.c = c[at]
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.h):
-            return np.full(len(h), self.unknown), np.zeros(len(h), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        known = self.h[at] == h
-        return np.where(known, h, self.unknown), np.where(known, self.c[at], 0)
+        return np.where((self.h[at] == h) & (at < len(self.h) - 1), self.number[at], self.none).astype(np.uint64)
 
 
 def _key(k1: np.ndarray, k2: np.ndarray, dense: bool) -> np.ndarray:
@@ -169,23 +165,13 @@ def _bucket(k1, k2, c1, buckets: int, hot: float) -> np.ndarray:
     return (mix(mix(k1 + np.uint64(9)) + spread) % np.uint64(buckets)).astype(np.int64)
 
 
-def _grams(texts: list[bytes], words, starts: int, order: int) -> tuple:
-    """(words of each token's gram, first to last; counts of the last two; text); the count of a start is `starts`."""
-    h, n = word_hashes(texts)
-    size = n + order
-    seq = np.full(int(size.sum()), START, dtype=np.uint64)
-    end = np.cumsum(size)
-    begin = end - size
-    token = np.ones(len(seq), dtype=bool)
-    for j in range(order - 1):
-        token[begin + j] = False
-    inner = token.copy()
-    inner[end - 1] = False
-    seq[inner], seq[end - 1] = h, END
-    k, c = words.look(seq)
-    k[~token], c[~token] = words.start, starts
-    at = np.flatnonzero(token)
-    return [k[at - j] for j in range(order - 1, -1, -1)], c[at - 1], c[at], np.repeat(np.arange(len(texts)), n + 1)
+def _grams(k: np.ndarray, n: np.ndarray, start: int, order: int) -> tuple:
+    """(words of each token's gram, first to last; text) of texts of n tokens with the numbers k."""
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(k)) + (order - 1) * (text + 1)
+    seq = np.full(len(k) + (order - 1) * len(n), start, dtype=np.uint64)
+    seq[at] = k
+    return [seq[at - j] for j in range(order - 1, 0, -1)] + [k], text
 
 
 def _find(keys: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,21 +193,27 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _unique(k1: np.ndarray, k2: np.ndarray, text: np.ndarray | None, dense: bool):
-    """(k1, k2, text, n) of the different rows, sorted, and one place of each; dense rows are sorted as single numbers."""
-    t = np.uint64(0) if text is None else text.astype(np.uint64)
-    if dense and (not len(k1) or (max(k1.max(), k2.max()) < 1 << 25 and (text is None or text.max() < 1 << 14))):
-        x = np.sort((k1 << np.uint64(39)) | (k2 << np.uint64(14)) | t)
+def _bits(x: np.ndarray) -> int:
+    return int(x.max()).bit_length() if len(x) else 0
+
+
+def _unique(k1: np.ndarray, k2: np.ndarray, text: np.ndarray | None = None):
+    """(k1, k2, text, n) of the different rows, sorted; as single numbers where they fit."""
+    t = np.zeros(len(k1), dtype=np.int64) if text is None else text
+    b, c = _bits(k2), _bits(t)
+    if _bits(k1) + b + c <= 64:
+        b, c = np.uint64(b), np.uint64(c)
+        x = np.sort((k1 << (b + c)) | (k2 << c) | t.astype(np.uint64))
         cut = _runs(x)
         n = np.diff(np.append(cut, len(x)))
         x = x[cut]
-        return x >> np.uint64(39), (x >> np.uint64(14)) & np.uint64((1 << 25) - 1), (x & np.uint64((1 << 14) - 1)).astype(np.int64), n, None
-    t = np.zeros(len(k1), dtype=np.int64) if text is None else text
+        one = np.uint64(1)
+        return x >> (b + c), (x >> c) & ((one << b) - one), (x & ((one << c) - one)).astype(np.int64), n
     o = np.lexsort((t, k2, k1))
     cut = _runs(k1[o], k2[o], t[o])
     n = np.diff(np.append(cut, len(o)))
     o = o[cut]
-    return k1[o], k2[o], t[o], n, o
+    return k1[o], k2[o], t[o], n
 
 
 def _different(x: np.ndarray, w: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +221,9 @@ def _different(x: np.ndarray, w: np.ndarray, text: np.ndarray) -> tuple[np.ndarr
     if not len(x):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     of = np.unique(x, return_inverse=True)[1].astype(np.uint64)
-    if w.max() < 1 << 25 and text.max() < 1 << 14 and of.max() < 1 << 25:
-        y = (of << np.uint64(39)) | (w << np.uint64(14)) | text.astype(np.uint64)
+    b, c = _bits(w), _bits(text)
+    if _bits(of) + b + c <= 64:
+        y = (of << np.uint64(b + c)) | (w << np.uint64(c)) | text.astype(np.uint64)
         o = np.argsort(y)
         cut = _runs(y[o])
     else:
@@ -277,10 +270,13 @@ def _merge(key: np.ndarray, *sums: np.ndarray):
 
 
 class Model:
-    """What tasks need to know; not `dense` means that texts bring their own counts."""
+    """What tasks need to know. Words have numbers below `size`, those of the i-th count from first[i] on; then come the unknown
+    word and the start of a text. Not `dense` means that a pair of numbers doesn't fit 64 bits."""
 
-    def __init__(self, uni: Unigram, starts: int, buckets: int, dense: bool):
-        self.uni, self.starts, self.buckets, self.dense, self.words = uni, starts, buckets, dense, None
+    def __init__(self, uni: Unigram, starts: int, buckets: int, first: np.ndarray, of: np.ndarray):
+        self.uni, self.buckets, self.size = uni, buckets, uni.words
+        self.start, self.dense = self.size + 1, self.size <= NARROW
+        self.first, self.of = np.append(first, [self.size, self.start]).astype(np.uint64), np.append(of, [0, starts]).astype(np.int64)
         self.hot = max(1.0, uni.total / (4 * buckets))
         self.d = self.d3 = None  # discounts of bigrams and trigrams
         self.left: dict = {}  # of hot histories: (mass of seen words, their P(w), has discounted counts)
@@ -288,8 +284,9 @@ class Model:
         self.left3 = (_NONE, *(np.empty(0) for _ in range(4)))  # of hot bigrams as histories: keys, mass, lower, low, total
         self.triples = (_NONE, np.empty(0))  # keys of hot trigrams and their log10 P
 
-    def __getstate__(self):
-        return self.__dict__ | {"words": None}
+    def count(self, k: np.ndarray) -> np.ndarray:
+        """Counts of words by their numbers."""
+        return self.of[np.searchsorted(self.first, k, side="right") - 1]
 
     def top(self, keys: np.ndarray) -> np.ndarray:
         """Which pairs are hot."""
@@ -304,21 +301,6 @@ class Model:
         """Buckets of trigrams by their histories; those of hot ones are spread by the last word."""
         return _bucket(x, w, self.top(x), self.buckets, 0)
 
-    def own(self, batch: pa.RecordBatch):
-        if self.dense:
-            return self.words
-        flat = batch.column(3).flatten()
-        if not len(flat):
-            return OwnWords(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-        return OwnWords(flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy())
-
-    def counts(self, k1, k2, rest: list[np.ndarray]):
-        """Counts of histories and words: from the dense table, or from the two packed columns `rest`."""
-        if self.dense:
-            c1 = np.where(k1 == self.words.start, self.starts, self.words.count[k1.astype(np.int64)])
-            return c1, self.words.count[k2.astype(np.int64)]
-        return rest[0].view(np.int64), rest[1].view(np.int64)
-
     def histories(self, k1, c, c1, c2):
         """(k1, mass, lower, low) by history: sums of discounted counts, of P(w), and of discounted bigrams."""
         cut = _runs(k1)  # rows of a bucket are sorted
@@ -343,26 +325,114 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
 
 
-def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
-        h, n = word_hashes(raw(b.column(1)))
-        doc = np.repeat(b.column(0).to_numpy(), n)
-        o = np.lexsort((h, doc))
-        new = np.concatenate(([True], (h[o][1:] != h[o][:-1]) | (doc[o][1:] != doc[o][:-1])))[: len(o)]
-        doc, h = np.append(doc[o][new], b.column(0).to_numpy()), np.append(h[o][new], np.full(b.num_rows, END))
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h.view(np.int64))], names=["doc_id", "h"])
+_TEXTS = "texts binary, tokens binary, own binary"
+
+
+def _number(said, size: int):
+    """Texts (doc_id, text, train) to rows of about ROW tokens: packed (doc_id, number of tokens, train) of the texts, and the
+    tokens' numbers; words that aren't broadcast have numbers from size + 2 on, by their place among the row's own hashes."""
+
+    def row(parts: list[tuple]) -> pa.RecordBatch:
+        doc, n, train, k, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, at = np.unique(h, return_inverse=True)
+        if len(h):
+            k[k == said.value.none] = at.astype(np.uint64) + np.uint64(size + 2)
+        data = pack([doc.view(np.uint64), n, train]), pack_one(k), pack([_delta(own)])
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], names=["texts", "tokens", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, many = [], 0
+        for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
+            h, n = word_hashes(raw(b.column(1)))
+            ends = np.cumsum(n + 1) - 1
+            seq = np.full(len(h) + len(n), END, dtype=np.uint64)
+            inner = np.ones(len(seq), dtype=bool)
+            inner[ends] = False
+            seq[inner] = h
+            k = said.value.look(seq)
+            own = seq[k == said.value.none] if said.value.none != size else _NONE
+            parts.append((b.column(0).to_numpy(), n + 1, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), k, own))
+            many += len(k)
+            if many >= ROW:
+                yield row(parts)
+                parts, many = [], 0
+        if parts:
+            yield row(parts)
+
+    return run
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _own(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, 1)[0])
+
+
+def _ask_numbers(parts: int):
+    """Rows (batch, own) to their hashes by parts of the table of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for batch, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = _own(own)
+                data = _pieces(_part(h, parts), parts, [h])
+                yield pa.RecordBatch.from_arrays([pa.array(list(data), pa.int32()), pa.array([batch] * len(data), pa.int64()), pa.array(list(data.values()), pa.binary())], names=["part", "batch", "data"])
+
+    return run
+
+
+def _tell_numbers(size: int):
+    """A part's questions and its words to the numbers asked for; that of unknown words is `size`."""
+
+    def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        h, number = known.column("h").to_numpy().view(np.uint64), known.column("number").to_numpy()
+        o = np.argsort(h)
+        h, number, out = h[o], np.append(number[o], size), []
+        for x in asked.column("data").to_pylist():
+            at, here = _find(h, _own(x))
+            out.append(pack_one(number[np.where(here, at, len(h))]))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int32()), asked.column("batch"), pa.array(out, pa.binary())], names=["part", "batch", "data"])
+
+    return run
+
+
+def _put_numbers(size: int, parts: int):
+    """A row of texts and the numbers of its own words to the row with all numbers."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        k, h = unpack_one(rows.column("tokens")[0].as_py()), _own(rows.column("own")[0].as_py())
+        part, number = _part(h, parts), np.zeros(len(h), dtype=np.uint64)
+        for p, x in zip(told.column("part").to_pylist(), told.column("data").to_pylist(), strict=True):
+            number[part == p] = unpack_one(x)
+        own = k >= size + 2
+        k[own] = number[k[own] - np.uint64(size + 2)]
+        return pa.Table.from_arrays([rows.column("batch"), rows.column("texts"), pa.array([pack_one(k)], pa.binary())], names=["batch", "texts", "tokens"])
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch], learn: bool) -> Iterator[tuple]:
+    """(batch, doc_id, number of tokens, tokens) of kept rows (batch, texts, tokens); of the training texts if `learn`."""
+    for b in batches:
+        for batch, texts, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            (doc, n, train), k = unpack(texts, 3), unpack_one(tokens)
+            n = n.view(np.int64)
+            if learn:
+                on = train > 0
+                k, doc, n = k[np.repeat(on, n)], doc[on], n[on]
+            yield batch, doc, n, k
 
 
 def _ask_counts(said):
     """Texts to (bucket, data): the batch's bigrams with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = said.value
-        for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
-            (k1, k2), c1, c2, _ = _grams(raw(b.column(1)), m.own(b), m.starts, 2)
-            k1, k2, _, n, at = _unique(k1, k2, None, m.dense)
-            c1, c2 = m.counts(k1, k2, []) if m.dense else (c1[at], c2[at])
-            yield from _dealt(m, _bucket(k1, k2, c1, m.buckets, m.hot), [k1, k2, n, *([] if m.dense else [c1, c2])])
+        m: Model = said.value
+        for _, _, n, k in _rows(batches, True):
+            k1, k2, _, n = _unique(*_grams(k, n, m.start, 2)[0])
+            yield from _dealt(m, _bucket(k1, k2, m.count(k1), m.buckets, m.hot), [k1, k2, n])
 
     return run
 
@@ -382,17 +452,15 @@ _BIGRAMS = "bucket int, data binary, " + ", ".join(f"n{c} bigint" for c in range
 
 
 def _sum_counts(dense: bool):
-    """A bucket's batches to its row of the table of bigrams: packed (k1, k2, c[, c1, c2]) and counts of counts."""
+    """A bucket's batches to its row of the table of bigrams: packed (k1, k2, c) and counts of counts."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        parts = [unpack(x, 3 if dense else 5) for x in group.column("data").to_pylist()]
-        k1 = np.concatenate([np.cumsum(p[0]) for p in parts])
-        k2, n, *rest = (np.concatenate([p[k] for p in parts]) for k in range(1, 3 if dense else 5))
+        k1, k2, n = _joined(group.column("data").to_pylist(), 3)
         at, (n,) = _merge(_key(k1, k2, dense), n.view(np.int64))
         if not dense:
             o = np.lexsort((k2[at], k1[at]))
             at, n = at[o], n[o]
-        row = pack([_delta(k1[at]), k2[at], n, *(r[at] for r in rest)])
+        row = pack([_delta(k1[at]), k2[at], n])
         of = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([row], pa.binary()), *(pa.array([int(of[c])], pa.int64()) for c in range(1, CUT + 2))], names=["bucket", "data", *(f"n{c}" for c in range(1, CUT + 2))])
 
@@ -400,9 +468,9 @@ def _sum_counts(dense: bool):
 
 
 def _read_bucket(m: Model, data: bytes):
-    k1, k2, n, *rest = unpack(data, 3 if m.dense else 5)
+    k1, k2, n = unpack(data, 3)
     k1 = np.cumsum(k1)
-    return k1, k2, n.view(np.int64), *m.counts(k1, k2, rest)
+    return k1, k2, n.view(np.int64), m.count(k1), m.count(k2)
 
 
 def _hot(said):
@@ -499,8 +567,8 @@ class Trigrams:
 
 def _read_trigrams(m: Model, rows: list):
     """(history, word, count, what `Bigrams.count` gives, c(v)), sorted by history."""
-    x, w, c, c2, *c1 = _joined(rows, 4 if m.dense else 5)
-    return x, w, c.view(np.int64), c2.view(np.int64), c1[0].view(np.int64) if c1 else m.counts(x & _LOW, w, [])[0]
+    x, w, c, c2, *v = _joined(rows, 4 if m.dense else 5)
+    return x, w, c.view(np.int64), c2.view(np.int64), m.count(v[0] if v else x & _LOW)
 
 
 def _contexts(m: Model, x, c, c2, c1):
@@ -512,18 +580,19 @@ def _contexts(m: Model, x, c, c2, c1):
     return x[cut], *(np.add.reduceat(a, cut) for a in (_d(m.d3, c) * c, p, (c <= CUT).astype(float), c.astype(float)))
 
 
-def _ask_links(said):
+def _ask_links(said, turn: int, rounds: int):
     """Texts to (bucket, data): the batch's trigrams (history, word, number), to the buckets of their bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = said.value
-        for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
-            (u, v, w), c1, c2, _ = _grams(raw(b.column(1)), m.own(b), m.starts, 3)
+        m: Model = said.value
+        for _, _, n, k in _rows(batches, True):
+            (u, v, w), _ = _grams(k, n, m.start, 3)
             x = _key(u, v, m.dense)
-            at, n = _different(x, w, np.zeros(len(x), dtype=np.int64))
-            x, v, w, c1, c2 = x[at], v[at], w[at], c1[at], c2[at]
-            o = np.arange(len(x)) if m.dense else np.argsort(x, kind="stable")
-            yield from _dealt(m, m.suffix(x, v, w, c1)[o], [a[o] for a in (x, w, n, *(() if m.dense else (v, c1, c2)))])
+            bucket = m.suffix(x, v, w, m.count(v))
+            on = np.flatnonzero(bucket % rounds == turn)
+            at, n = _different(x[on], w[on], np.zeros(len(on), dtype=np.int64))
+            at = on[at]
+            yield from _dealt(m, bucket[at], [x[at], w[at], n, *([] if m.dense else [v[at]])])
 
     return run
 
@@ -533,14 +602,14 @@ def _link(said):
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = said.value
-        x, w, n, *rest = _joined(asked.column("data").to_pylist(), 3 if m.dense else 6)
+        x, w, n, *rest = _joined(asked.column("data").to_pylist(), 3 if m.dense else 4)
         at, (n,) = _merge(_key(x, w, False), n.view(np.int64))
         o = np.argsort(x[at])
         at, n = at[o], n[o]
         x, w = x[at], w[at]
         v = x & _LOW if m.dense else rest[0][at]
         c2 = Bigrams(m, known.column("data").to_pylist()).count(v, w)
-        data = _pieces(m.context(x, w), m.buckets, [x, w, n, c2, *([] if m.dense else [rest[1][at]])])
+        data = _pieces(m.context(x, w), m.buckets, [x, w, n, c2, *([] if m.dense else [v])])
         return pa.Table.from_arrays([pa.array(list(data), pa.int32()), pa.array(list(data.values()), pa.binary())], names=["bucket", "data"])
 
     return run
@@ -586,38 +655,36 @@ def _hot_contexts(said):
     return run
 
 
-def _ask_scores(said, order: int):
-    """Texts (doc_id, text, held_out) to (bucket, data): base results of the texts, and their grams by text."""
+def _ask_scores(said, order: int, turn: int, rounds: int):
+    """Texts to (bucket, data): their grams by text, and in the first round base results of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = said.value
+        m: Model = said.value
         keys, logs = m.pairs[:2] if order == 2 else m.triples
-        for b in (part for batch in batches for part in by_bytes(batch, [1], BATCH)):
-            k, c1, c2, text = _grams(raw(b.column(1)), m.own(b), m.starts, order)
-            size = b.num_rows
-            tokens, known = np.bincount(text, minlength=size), np.bincount(text, c2 > 0, minlength=size).astype(np.int64)
-            base = np.bincount(text, m.uni.base(c2), minlength=size)
+        for batch, docs, n, tokens in _rows(batches, False):
+            k, text = _grams(tokens, n, m.start, order)
             x = k[0] if order == 2 else _key(k[0], k[1], m.dense)
             v, w = k[-2:]
+            size = len(docs)
+            bucket = _bucket(x, w, m.count(x), m.buckets, m.hot) if order == 2 else m.context(x, w)
             at, here = _find(keys, _key(x, w, m.dense and order == 2))
-            score = np.bincount(text[here], logs[at[here]], minlength=size).astype(float)
-            rest = np.flatnonzero(~here)
+            rest = np.flatnonzero(~here & (bucket % rounds == turn))
             if order == 2:
-                x, w, text, n, at = _unique(x[rest], w[rest], text[rest], m.dense)
-                c1, c2 = m.counts(x, w, []) if m.dense else (c1[rest][at], c2[rest][at])
-                bucket = _bucket(x, w, c1, m.buckets, m.hot)
-                columns = [x, w, text, n, *([] if m.dense else [c1, c2])]
+                columns = _unique(x[rest], w[rest], text[rest])
+                bucket = _bucket(*columns[:2], m.count(columns[0]), m.buckets, m.hot)
             else:
-                at, n = _different(x[rest], w[rest], text[rest])
-                at = rest[at]
-                bucket = m.context(x[at], w[at])
-                columns = [x[at], w[at], text[at], n, *([] if m.dense else [v[at], c1[at], c2[at]])]
-            docs = b.column(0).to_numpy()
-            head = pack([docs.view(np.uint64), tokens.astype(np.uint64), known.astype(np.uint64), base.view(np.uint64), score.view(np.uint64)])
-            name = hashlib.blake2b(docs.tobytes(), digest_size=8).digest() + struct.pack("<I", size)
+                at_, n_ = _different(x[rest], w[rest], text[rest])
+                at_ = rest[at_]
+                bucket = bucket[at_]
+                columns = [x[at_], w[at_], text[at_], n_, *([] if m.dense else [v[at_]])]
+            name = struct.pack("<qI", batch, size)
             buckets = np.unique(bucket)
-            heads = {int(k): name for k in buckets}
-            heads[int(buckets[0]) if len(buckets) else 0] = name + head
+            heads = {int(b): name for b in buckets}
+            if not turn:
+                c = m.count(w)
+                known, base = np.bincount(text, c > 0, minlength=size).astype(np.uint64), np.bincount(text, m.uni.base(c), minlength=size)
+                score = np.bincount(text[here], logs[at[here]], minlength=size).astype(float)
+                heads[int(buckets[0]) if len(buckets) else 0] = name + pack([docs, n, known, base.view(np.uint64), score.view(np.uint64)])
             yield from _dealt(m, bucket, columns, heads)
 
     return run
@@ -644,8 +711,8 @@ def _answer(said):
         m: Model = said.value
         of, out = Bigrams(m, known.column("data").to_pylist()), []
         for x in asked.column("data").to_pylist():
-            batch, size, head, (v, w, text, n, *rest) = _opened(x, 4 if m.dense else 6)
-            out.append((batch, size, head, _sparse(text, of.log(v, w, *m.counts(v, w, rest)) * n.view(np.int64))))
+            batch, size, head, (v, w, text, n) = _opened(x, 4)
+            out.append((batch, size, head, _sparse(text, of.log(v, w, m.count(v), m.count(w)) * n.view(np.int64))))
         return _parts(out)
 
     return run
@@ -677,7 +744,7 @@ def _answer_long(said):
         of = Trigrams(m, known.column("data").to_pylist())
         out, on, names = [], [], []
         for rows in _bounded(x.as_py() for x in asked.column("data")):
-            opened = [_opened(row, 4 if m.dense else 7) for row in rows]
+            opened = [_opened(row, 4 if m.dense else 5) for row in rows]
             sizes = [len(o[3][0]) for o in opened]
             x, w, text, n, *rest = (np.concatenate(a) for a in zip(*(o[3] for o in opened), strict=True))
             value, seen = of.log(x, w)
@@ -692,17 +759,16 @@ def _answer_long(said):
                 at += k
             left = left[~here]
             no = np.repeat(np.arange(len(names), len(names) + len(rows)), sizes)
-            on.append([v[left], w[left], no[left], text[left], n[left], *m.counts(v[left], w[left], [r[left] for r in rest[1:]])])
+            on.append([v[left], w[left], no[left], text[left], n[left]])
             names += [o[:2] for o in opened]
-        v, w, no, text, n, c1, c2 = (np.concatenate(a) for a in zip(*on, strict=True)) if on else [_NONE] * 7
+        v, w, no, text, n = (np.concatenate(a) for a in zip(*on, strict=True)) if on else [_NONE] * 5
         o = np.argsort(v, kind="stable")
         ids, sizes = np.array([i for i, _ in names], dtype=np.int64), np.array([i for _, i in names], dtype=np.int64)
-        for bucket, i in _split(_bucket(v[o], w[o], c1[o], m.buckets, m.hot), m.buckets):
+        for bucket, i in _split(_bucket(v[o], w[o], m.count(v[o]), m.buckets, m.hot), m.buckets):
             i = o[i]
             of_names, at = np.unique(no[i], return_inverse=True)
             first = pack([ids[of_names], sizes[of_names]])
-            rest = [] if m.dense else [c1[i], c2[i]]
-            out.append((bucket, struct.pack("<I", len(first)) + first + pack([_delta(v[i]), w[i], at, text[i], n[i], *rest]), None, None, None, None))
+            out.append((bucket, struct.pack("<I", len(first)) + first + pack([_delta(v[i]), w[i], at, text[i], n[i]]), None, None, None, None))
         types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["bucket", "data", "batch", "size", "head", "parts"])
 
@@ -718,9 +784,9 @@ def _answer_rest(said):
         for x in asked.column("data").to_pylist():
             first = 4 + struct.unpack_from("<I", x)[0]
             batch, size = unpack(x[4:first], 2)
-            v, w, no, text, n, *rest = _joined([x[first:]], 5 if m.dense else 7)
+            v, w, no, text, n = _joined([x[first:]], 5)
             no = no.astype(np.int64)
-            got.append([batch[no], size[no], text, of.log(v, w, *m.counts(v, w, rest)) * n.view(np.int64)])
+            got.append([batch[no], size[no], text, of.log(v, w, m.count(v), m.count(w)) * n.view(np.int64)])
         if got:
             batch, size, text, value = (np.concatenate(a) for a in zip(*got, strict=True))
             o = np.argsort(batch, kind="stable")
@@ -733,31 +799,29 @@ def _answer_rest(said):
     return run
 
 
-def _total(group: pa.Table) -> pa.Table:
-    """All parts of a batch to its texts' results."""
+def _sum(group: pa.Table) -> tuple[int, np.ndarray]:
+    """(texts of a batch, sums of its parts by text)."""
     size = group.column("size")[0].as_py()
     score = np.zeros(size)
     for x in group.column("parts").to_pylist():
         if x:
             k, s = _joined([x], 2)
             score[k.astype(np.int64)] += s.view(np.float64)
-    heads = [unpack(x, 5) for x in group.column("head").to_pylist() if x]
-    docs = heads[0][0].view(np.int64)
-    sums = [sum(h[k].view(t) for h in heads) for k, t in ((1, np.int64), (2, np.int64), (3, np.float64), (4, np.float64))]
-    return pa.Table.from_arrays([pa.array(x) for x in (docs, sums[0], sums[1], sums[2], sums[3] + score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    return size, score
 
 
-class Said:
-    """A model as tasks get it: broadcast without its words, which are broadcast once."""
+def _less(group: pa.Table) -> pa.Table:
+    """All parts of a batch to one."""
+    size, score = _sum(group)
+    head = b"".join(x for x in group.column("head").to_pylist() if x)  # one bucket has it
+    return _parts([(group.column("batch")[0].as_py(), size, head, _sparse(np.arange(size), score))])
 
-    def __init__(self, m: Model, words, spark: SparkSession):
-        self.m, self.words = spark.sparkContext.broadcast(m), words
 
-    @property
-    def value(self) -> Model:
-        m = self.m.value
-        m.words = self.words.value if self.words else None
-        return m
+def _total(group: pa.Table) -> pa.Table:
+    """All parts of a batch to its texts' results."""
+    _, score = _sum(group)
+    docs, tokens, known, base, hot = unpack(next(x for x in group.column("head").to_pylist() if x), 5)
+    return pa.Table.from_arrays([pa.array(x) for x in (docs.view(np.int64), tokens.view(np.int64), known.view(np.int64), base.view(np.float64), hot.view(np.float64) + score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _u64(rows: list, name: str) -> np.ndarray:
@@ -772,38 +836,57 @@ def _of_counts(grams: DataFrame) -> np.ndarray:
     return discounts([0, *(x or 0 for x in grams.agg(*(F.sum(f"n{c}") for c in range(1, CUT + 2))).first())])
 
 
+def _numbered(stash: Stash, source: DataFrame, words: DataFrame, size: int, vocabulary: int) -> DataFrame:
+    """(batch, texts, tokens): all texts, kept as the numbers of their words in the order of (c descending, h)."""
+    spark = source.sparkSession
+    files = size // (PART // 2) + 1
+    ranked = stash.keep(words.repartitionByRange(files, F.desc("c"), "h").sortWithinPartitions(F.desc("c"), "h"), "at")
+    stash.drop(words)
+    rows = dict(ranked.groupBy(F.shiftright("at", 40).alias("file")).count().collect())  # a row for each 250,000 words
+    before = [0]
+    for k in range(max(rows, default=0)):
+        before.append(before[-1] + rows.get(k, 0))
+    first = F.array(*map(F.lit, before))[F.shiftright("at", 40).cast("int")].cast("bigint")
+    numbers = ranked.select("h", (first + F.col("at").bitwiseAND((1 << 40) - 1)).alias("number"))
+    most = min(vocabulary, NARROW)
+    got = numbers.where(F.col("number") < most).toArrow()
+    known = spark.sparkContext.broadcast(Words(got.column("h").to_numpy().view(np.uint64), got.column("number").to_numpy(), size if size <= most else (1 << 64) - 1))
+    del got
+    texts = stash.keep(source.mapInArrow(_number(known, size), _TEXTS), "batch")
+    if size > most:
+        parts = -(-(size - most) // PART)
+        asked = texts.select("batch", "own").mapInArrow(_ask_numbers(parts), "part int, batch bigint, data binary").groupBy("part")
+        rest = numbers.where(F.col("number") >= most).withColumn("part", (F.shiftrightunsigned("h", 33) % parts).cast("int")).groupBy("part")
+        told = asked.cogroup(rest).applyInArrow(_tell_numbers(size), "part int, batch bigint, data binary").groupBy("batch")
+        own, texts = texts, stash.keep(texts.groupBy("batch").cogroup(told).applyInArrow(_put_numbers(size, parts), "batch bigint, texts binary, tokens binary"))
+        stash.drop(own)
+    stash.drop(ranked)
+    return texts
+
+
 def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, share: int = SHARE, order: int = 3) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; `train` is a Column over docs."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
-    stash = Stash(spark, BATCH)
+    stash, said = Stash(spark, BATCH), spark.sparkContext.broadcast
     source = docs.select(keyed(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     learn = source.where("train")
     words = stash.keep(learn.select("doc_id", "text").mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
-    n_of = [F.sum((F.col("c") == c).cast("long")) for c in range(1, CUT + 2)]
-    size, total, *n = (x or 0 for x in words.agg(F.count("*"), F.sum("c"), *n_of).first())
-    uni = Unigram(total, size, [0, *n])
-    starts = learn.count()
-    dense = size <= vocabulary
-    table_of = None
-    if dense:
-        got = words.toArrow()
-        table_of = spark.sparkContext.broadcast(Words(got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()))
-        del got
-        stash.drop(words)
-    else:
-        own = source.select("doc_id", "text").mapInArrow(_own_words, "doc_id bigint, h bigint").distinct()
-        own = own.join(words, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "c")).alias("own"))
-        source = source.join(own, "doc_id", "left").select("doc_id", "text", "train", F.coalesce("own", F.array().cast("array<struct<h:bigint,c:bigint>>")).alias("own"))
-        learn = source.where("train")
-    m = Model(uni, starts, max(8, -(-total // share)), dense)
-    said = Said(m, table_of, spark)
-    asked = learn.mapInArrow(_ask_counts(said), "bucket int, data binary")
+    counts = words.groupBy("c").count().orderBy(F.desc("c")).toArrow()  # at most the square root of twice the tokens
+    c, n = counts.column("c").to_numpy(), counts.column("count").to_numpy()
+    size, total, n_of = int(n.sum()), int((c * n).sum()), dict(zip(c.tolist(), n.tolist(), strict=True))
+    uni = Unigram(total, size, [0, *(n_of.get(k, 0) for k in range(1, CUT + 2))])
+    kept = _numbered(stash, source, words, size, vocabulary)
+    texts = kept.select("batch", "texts", "tokens")
+    m = Model(uni, learn.count(), max(8, -(-total // share)), np.cumsum(n) - n, c)
+    dense, rounds = m.dense, ROUNDS if m.buckets > FEW else 1
+    turns = range(rounds)
+    of_turn = lambda df, turn: df.where(F.col("bucket") % rounds == turn).select("bucket", "data").groupBy("bucket")
+    asked = texts.mapInArrow(_ask_counts(said(m)), "bucket int, data binary")
     bigrams = stash.keep(asked.groupBy("bucket").applyInArrow(_sum_counts(dense), _BIGRAMS))
     m.d = _of_counts(bigrams)
-    said = Said(m, table_of, spark)
-    hot = bigrams.select("data").mapInArrow(_hot(said), "kind bigint, k1 bigint, k2 bigint, x double, y double, z double")
+    hot = bigrams.select("data").mapInArrow(_hot(said(m)), "kind bigint, k1 bigint, k2 bigint, x double, y double, z double")
     hot = hot.groupBy("kind", "k1", "k2").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()  # at most a few for each bucket
     histories = [r for r in hot if r.kind == 0]
     m.left = {int(k): (r.x, r.y, r.z) for k, r in zip(_u64(histories, "k1"), histories, strict=True)}
@@ -814,18 +897,17 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         o = np.argsort(keys)
         c = _doubles(pairs, "x").astype(np.int64)
         m.pairs = keys[o], m.log_seen(c, _doubles(pairs, "y"), low)[o], c[o]
-    said = Said(m, table_of, spark)
-    known = bigrams.select("bucket", "data").groupBy("bucket")
-    if order == 2:
-        asked = source.mapInArrow(_ask_scores(said, order), "bucket int, data binary")
-        parts = asked.groupBy("bucket").cogroup(known).applyInArrow(_answer(said), _PARTS)
-    else:
-        asked = learn.mapInArrow(_ask_links(said), "bucket int, data binary")
-        links = asked.groupBy("bucket").cogroup(known).applyInArrow(_link(said), "bucket int, data binary")
-        trigrams = stash.keep(links.groupBy("bucket").applyInArrow(_gather(dense), _BIGRAMS))
+    to = said(m)
+    if order == 3:
+        links = []
+        for turn in turns:
+            asked = texts.mapInArrow(_ask_links(to, turn, rounds), "bucket int, data binary")
+            links.append(stash.keep(asked.groupBy("bucket").cogroup(of_turn(bigrams, turn)).applyInArrow(_link(to), "bucket int, data binary")))
+        grams = [stash.keep(of_turn(union_all(links), turn).applyInArrow(_gather(dense), _BIGRAMS)) for turn in turns]
+        stash.drop(*links)
+        trigrams = union_all(grams)
         m.d3 = _of_counts(trigrams)
-        said = Said(m, table_of, spark)
-        hot = trigrams.select("data").mapInArrow(_hot_contexts(said), _HOT3).groupBy("kind", "k1", "k2")
+        hot = trigrams.select("data").mapInArrow(_hot_contexts(said(m)), _HOT3).groupBy("kind", "k1", "k2")
         hot = hot.agg(*(F.sum(c).alias(c) for c in ("mass", "lower", "low", "total"))).orderBy("kind").collect()  # at most a few for each bucket
         histories, triples = ([r for r in hot if r.kind == k] for k in (0, 1))
         keys = _u64(histories, "k1")
@@ -837,16 +919,26 @@ def train_and_score(docs: DataFrame, train, key: str = "doc_id", text: str = "te
             keys = _key(_u64(triples, "k1"), _u64(triples, "k2"), False)
             o = np.argsort(keys)
             m.triples = keys[o], np.log10(_d(m.d3, c) * c / (m.left3[4][at] + (m.left3[3][at] == 0)))[o]
-        said = Said(m, table_of, spark)
-        asked = source.mapInArrow(_ask_scores(said, order), "bucket int, data binary")
-        grams = trigrams.select("bucket", "data").groupBy("bucket")
-        answers = stash.keep(asked.groupBy("bucket").cogroup(grams).applyInArrow(_answer_long(said), _ANSWERS))
-        stash.drop(trigrams)
-        rest = answers.where("bucket is not null").select("bucket", "data").groupBy("bucket").cogroup(known).applyInArrow(_answer_rest(said), _PARTS)
-        parts = answers.where("bucket is null").select("batch", "size", "head", "parts").unionByName(rest)
-    parts = parts.groupBy("batch").applyInArrow(_total, _SCORES)
+        to = said(m)
+    less = lambda parts: stash.keep(parts.groupBy("batch").applyInArrow(_less, _PARTS))
+    parts, rest = [], []
+    for turn in turns:
+        asked = texts.mapInArrow(_ask_scores(to, order, turn, rounds), "bucket int, data binary").groupBy("bucket")
+        if order == 2:
+            parts.append(less(asked.cogroup(of_turn(bigrams, turn)).applyInArrow(_answer(to), _PARTS)))
+            continue
+        answers = stash.keep(asked.cogroup(of_turn(grams[turn], turn)).applyInArrow(_answer_long(to), _ANSWERS))
+        stash.drop(grams[turn])
+        rest.append(stash.keep(answers.where("bucket is not null").select("bucket", "data")))
+        parts.append(less(answers.where("bucket is null").select("batch", "size", "head", "parts")))
+        stash.drop(answers)
+    stash.drop(kept)
+    if order == 3:
+        known = bigrams.select("bucket", "data").groupBy("bucket")
+        parts.append(union_all(rest).groupBy("bucket").cogroup(known).applyInArrow(_answer_rest(to), _PARTS))
+    out = union_all(parts).groupBy("batch").applyInArrow(_total, _SCORES)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-    return parts.groupBy("doc_id").agg(*sums).withColumn("doc_id", unkeyed("doc_id")).withColumn("train_tokens", F.lit(total).cast("long"))
+    return out.groupBy("doc_id").agg(*sums).withColumn("doc_id", unkeyed("doc_id")).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def held_out(key: str):
